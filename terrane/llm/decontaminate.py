@@ -11,8 +11,8 @@ are applied one after the other to the same rows, so no broadcast grows with it
 
 Defined results: null texts, and texts and items without words, have no windows and no hits; an item of fewer than
 `window` words is one window; repeated items and rows each count, item ids once a document; a null item id is the
-empty string; columns of the documents are kept; clashing ones (spans, items, n_words) are not read and must be
-renamed before, as must _found. An empty benchmark gives no hits.
+empty string; columns of the documents travel as one struct, so clashing names do no harm. An empty benchmark gives
+no hits, and no documents give no rows.
 """
 
 from __future__ import annotations
@@ -196,32 +196,33 @@ def _searcher(held, window: int, shard_words: int):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 300_000, batch_bytes: int = 16 << 20) -> DataFrame:
-    """The input's columns, n_words, spans (merged, in words, end exclusive) and items (ids with an occurring window, sorted)."""
+    """row (the input's), n_words, spans (merged, in words, end exclusive) and items (ids with an occurring window, sorted)."""
     spark = docs.sparkSession
     wanted = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     batches = max(1, math.ceil(total / batch_bytes))
     nothing = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    out = docs.withColumn("_found", nothing)
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), nothing.alias("found"))
     for k in range(batches):
         part = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(batches)) == k) if batches > 1 else wanted
         held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
         # Only texts and findings go to Python, as one scalar column; the other columns stay where they are.
-        out = out.withColumn("_found", _searcher(held, window, shard_words)(F.col("text"), F.col("_found")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_found.*")
+        out = out.withColumn("found", _searcher(held, window, shard_words)(F.col("row.text"), F.col("found")))
+    return out.select("row", "found.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return found.select("row.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def remove_spans(found: DataFrame) -> DataFrame:
-    """The documents with the found spans cut out of their texts."""
+    """row and text: the texts with the found spans cut out."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None else without(t, [tuple(s) for s in x]) for t, x in zip(texts, spans, strict=True)])
 
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text")))
+    text = F.col("row.text")
+    return found.select("row", F.when(F.size("spans") > 0, cut(text, "spans")).otherwise(text).alias("text"))

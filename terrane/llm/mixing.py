@@ -4,7 +4,7 @@
    shared anew by weight, down to the level at which all of it is placed.
 2. A source's documents are hashed into blocks of about `block_words` words, in a permuted order. The mix takes
    every block as often as the target holds the source whole, then permuted blocks up to the target; documents of
-   the block at the boundary fill what is left.
+   the block at the boundary fill what is left, as near as one document.
 3. The quotas of blocks are split over output shards by a binary tree: at each node the left half's share of every
    source is drawn from the multivariate hypergeometric law, so quotas stay exact and shards are as if all blocks
    had been permuted globally. A shard takes its quota as the next run of each source's permuted blocks, and orders
@@ -144,6 +144,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
             .withColumn("fits", ~F.col("taken_once") & (F.col("size") <= F.col("left")) & (F.col("size") > 0))
             .withColumn("taken_once", F.col("taken_once") | (F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(w) <= F.col("left"))))
         )
+    # One more, the nearest in size to what is still left, if the sum comes nearer by it.
+    short = F.col("open") - F.sum(F.when(F.col("taken_once"), F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
+    edge = edge.withColumn("left", short).withColumn("gap", F.when(~F.col("taken_once") & (F.col("size") > 0), F.abs(F.col("size") - F.col("left"))))
+    nearest = F.row_number().over(Window.partitionBy("source").orderBy(F.col("gap").asc_nulls_last(), "h"))
+    edge = edge.withColumn("nearest", nearest).withColumn("taken_once", F.col("taken_once") | F.coalesce((F.col("nearest") == 1) & (F.col("gap") < F.col("left")), F.lit(False)))
     edge = edge.withColumn("copies", F.col("whole") + F.col("taken_once").cast("int"))
     names = ("row", "size", "source_size", "target", "copies", "rank", "n_blocks", "ends", "h")
     out = rows.filter("extra <> 2").select(*names).unionByName(edge.select(*names))

@@ -1,6 +1,7 @@
 """Personal data by bootstrapped contextual extraction (DataFrame functions only).
 
-Four regular kinds seed the method. The two words before a seed form a lexical pattern; patterns and the
+Four regular kinds seed the method. The two words before a seed form a lexical pattern (of a mention, the
+two words since the mention before); patterns and the
 identifier-like mentions they precede form a bipartite graph, on which Spark alternately scores patterns
 (the share of their distinct instances that is believed) and instances (noisy-or of their patterns).
 Mentions of high score are then personal data too, though no regular expression of the seeds covers them.
@@ -39,16 +40,40 @@ SHAPES = {
 }
 
 
+#: Matches are placed in blocks of this many, so that a text with n of them costs n x BLOCK + (n / BLOCK)^2 steps.
+BLOCK = 128
+#: A private-use character that stands for the characters of base spans, where mentions are looked for.
+FILLER = "\ue000"
+NO_SPANS = "cast(array() as array<struct<m:string,s:int,e:int,before:string>>)"
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def found(text: Column, pattern: str) -> Column:
-    """array<struct<m, s, e>>: the matches and their places, in code points, end exclusive."""
-    rest = F.split(text, pattern, -1)
-    step = lambda acc, m, gap: F.struct(
-        (acc["at"] + F.length(gap) + F.length(m)).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(m.alias("m"), (acc["at"] + F.length(gap)).alias("s"), (acc["at"] + F.length(gap) + F.length(m)).alias("e")))).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<m:string,s:int,e:int>>)").alias("out"))
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0))).alias("gap"))
-    return F.aggregate(pairs, start, lambda acc, p: step(acc, p["m"], p["gap"]), lambda acc: acc["out"])
+    """array<struct<m, s, e, before>>: the matches, their places in code points (end exclusive) and up to 64 characters before."""
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+    pairs = F.transform(F.filter(zipped, lambda p: p["m"].isNotNull()), lambda p: F.struct(p["m"].alias("m"), F.substring(p["gap"], -64, 64).alias("before"), F.length(p["gap"]).alias("g"), F.length(p["m"]).alias("n")))
+    length = lambda part: F.aggregate(part, F.lit(0), lambda a, p: a + p["g"] + p["n"])
+    blocks = lambda all_pairs: F.transform(F.sequence(F.lit(0), F.floor(F.size(all_pairs) / BLOCK).cast("int")), lambda b: F.slice(all_pairs, b * BLOCK + 1, F.lit(BLOCK)))
+    summed = lambda cut: F.struct(cut.alias("cut"), F.transform(cut, length).alias("sums"))
+    started = lambda x: F.transform(x["cut"], lambda part, i: F.struct(part.alias("part"), F.aggregate(F.slice(x["sums"], F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("start")))
+
+    def placed(block):
+        at = lambda p, j: block["start"] + length(F.slice(block["part"], F.lit(1), j)) + p["g"]
+        return F.transform(F.transform(block["part"], lambda p, j: F.struct(p.alias("p"), at(p, j).alias("s"))), lambda x: F.struct(x["p"]["m"].alias("m"), x["s"].alias("s"), (x["s"] + x["p"]["n"]).alias("e"), x["p"]["before"].alias("before")))
+
+    return _bound(_bound(_bound(pairs, blocks), summed), lambda x: F.flatten(F.transform(started(x), placed)))
+
+
+def masked(text: Column, kind: str) -> Column:
+    """The text with the valid matches of a kind replaced by fillers of their length."""
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("gap"))
+    hidden = lambda m: F.repeat(F.lit(FILLER), F.length(m))
+    shown = lambda m: hidden(m) if kind == "email" else F.when(_valid(kind, m), hidden(m)).otherwise(m)
+    return F.array_join(F.transform(zipped, lambda p: F.when(p["m"].isNull(), p["gap"]).otherwise(F.concat(p["gap"], shown(p["m"])))), "")
 
 
 def _digits(m: Column) -> Column:
@@ -75,15 +100,14 @@ def _valid(kind: str, m: Column) -> Column | None:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<s, k, e, m>> of the regular kinds, by start and then kind."""
-    none = F.expr("cast(array() as array<struct<m:string,s:int,e:int>>)")
+    """array<struct<s, k, e, m, before>> of the regular kinds, by start and then kind."""
     need = {"email": F.contains(text, F.lit("@")), "ip": F.contains(text, F.lit(".")) & text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "phone": F.contains(text, F.lit("+"))}
     each = []
     for k, kind in enumerate(KINDS):
-        spans = F.when(need[kind], found(text, PATTERNS[kind])).otherwise(none)
+        spans = F.when(need[kind], found(text, PATTERNS[kind])).otherwise(F.expr(NO_SPANS))
         ok = (lambda kind: lambda x: _valid(kind, x["m"]))(kind)
         spans = F.filter(spans, ok) if kind != "email" else spans
-        numbered = (lambda k: lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m")))(k)
+        numbered = (lambda k: lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before")))(k)
         each.append(F.transform(spans, numbered))
     return F.array_sort(F.concat(*each))
 
@@ -94,10 +118,9 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", kind(x["k"]), x["s"].cast("string"), x["e"].cast("string"))))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The two words before a place, lower case; null if there are fewer."""
-    before = F.lower(F.substring(text, F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64))))
-    two = F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s+[^\s0-9A-Za-z@]*$", 1)
+def _context(before: Column) -> Column:
+    """The last two words of what stands before a match, lower case; null if there are fewer."""
+    two = F.regexp_extract(F.lower(before), r"(?:^|\s)(\S+\s+\S+)\s+[^\s0-9A-Za-z@]*$", 1)
     return F.when(two != "", F.regexp_replace(two, r"\s+", " "))
 
 
@@ -136,12 +159,16 @@ def discover(edges: DataFrame, rounds: int, least: int, confident: float) -> Dat
 def extract(docs: DataFrame, rounds: int = 2, least: int = 5, confident: float = 0.8) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256, spans (base and discovered), n_found (discovered)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    wanted = F.when(text.rlike("[0-9@]"), found(text, MENTION)).otherwise(F.expr("cast(array() as array<struct<m:string,s:int,e:int>>)"))
-    clear = F.filter(F.col("mentions"), lambda x: ~F.exists(F.col("base"), lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-    per_doc = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"), base_spans(text).alias("base"), wanted.alias("mentions")).select(
+    per_doc = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).select("doc_id", "text_key", base_spans(F.col("text")).alias("base"), F.col("text").alias("rest"))
+    for k, kind in enumerate(KINDS):
+        has = F.exists("base", (lambda k: lambda b: b["k"] == k)(k))
+        per_doc = per_doc.withColumn("rest", F.when(has, masked(F.col("rest"), kind)).otherwise(F.col("rest")))
+    wanted = F.when(F.col("rest").rlike("[0-9@]"), found(F.col("rest"), MENTION)).otherwise(F.expr(NO_SPANS))
+    lead = lambda x: F.length(F.regexp_extract(x["m"], r"^[^0-9A-Za-z+(]*", 0))
+    per_doc = per_doc.select("doc_id", "text_key", "base", wanted.alias("mentions")).select(
         "doc_id", "text_key",
-        F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"), F.lower(b["m"]).alias("m"), _context(F.col("text"), b["s"]).alias("pattern"))).alias("base"),
-        F.transform(clear, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(_core(x["m"])).alias("m"), (x["s"] + F.length(F.regexp_extract(x["m"], r"^[^0-9A-Za-z+(]*", 0))).alias("cs"), F.length(_core(x["m"])).alias("n"), _context(F.col("text"), x["s"]).alias("pattern"))).alias("mentions"),
+        F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"), F.lower(b["m"]).alias("m"), _context(b["before"]).alias("pattern"))).alias("base"),
+        F.transform(F.filter("mentions", lambda x: ~F.contains(x["m"], F.lit(FILLER))), lambda x: F.struct((x["s"] + lead(x)).alias("cs"), F.length(_core(x["m"])).alias("n"), F.lower(_core(x["m"])).alias("m"), _context(x["before"]).alias("pattern"))).alias("mentions"),
     )
     per_doc = materialize(per_doc, "pii-spans")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("b.k") + 1)
@@ -159,9 +186,10 @@ def extract(docs: DataFrame, rounds: int = 2, least: int = 5, confident: float =
         .agg(F.collect_set(F.struct("s", "k", "e")).alias("added"))
     )
     none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
+    apart = F.filter(F.coalesce(F.col("added"), none), lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
     plain = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
-    out = per_doc.join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
+    out = per_doc.join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left").withColumn("added", apart)
     of_kind = lambda k: lambda b: b["k"] == k
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    every = F.array_sort(F.concat(plain, F.coalesce(F.col("added"), none)))
-    return out.select("doc_id", *counts, F.sha2(joined(plain), 256).alias("base_sha256"), joined(every).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_found"))
+    every = F.array_sort(F.concat(plain, "added"))
+    return out.select("doc_id", *counts, F.sha2(joined(plain), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("added").cast("long").alias("n_found"))

@@ -10,7 +10,8 @@ one pass over whole texts without a shuffle.
 
 Defined results: a null text is an empty one and gets a score; labels that contradict each other are averaged
 (a tie counts as good); labels without a document and documents without a label take no part in the fit;
-without any labels the score is 0.5; repeated rows get the same score; clashing columns are kept apart.
+without any labels the score is 0.5; repeated rows get the same score; clashing columns do no harm,
+since the row travels as one struct.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
 
 def score(docs: DataFrame, model: bytes | None, bits: int = BITS, rank: int = RANK) -> DataFrame:
-    """The input's columns and score."""
+    """row (the input's) and score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -157,4 +158,4 @@ def score(docs: DataFrame, model: bytes | None, bits: int = BITS, rank: int = RA
                 out.append(margin(w0, w, v, index, value, np.array([0]))[0][0])
             yield pd.Series(1 / (1 + np.exp(-np.array(out, np.float64))))
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], scored(F.col("text")).alias("score"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scored(F.col("text")).alias("score"))
