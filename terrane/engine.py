@@ -74,14 +74,14 @@ class Engine:
         touched = changed(diff).select(*key)
         gone = diff.filter("status = 'deleted'").select(*key)
         text = files.join(touched, key, "left_semi").withColumn("text", F.col("content").cast("string")).drop("content")
-        symbols, edges = extract(text)
+        symbols, edges = (self._staged(name, df, run_id) for name, df in zip(("symbols", "edges"), extract(self._staged("text", text, run_id)), strict=True))
         paths = touched.unionByName(gone).select(F.col("path").alias("file_path"), "project_id").distinct()
         held = self.store.read("symbols")
         kept = held.join(paths, ["file_path", "project_id"], "left_anti").select(held.columns)
         all_symbols = self.store.write("symbols", graph.upsert_nodes(kept, symbols.withColumn("last_run_id", F.lit(run_id)).select(held.columns), run_id))
         old = self.store.read("edges")
         rest = old.join(paths, ["file_path", "project_id"], "left_anti").select(old.columns)
-        new = self._resolved(edges.withColumn("last_run_id", F.lit(run_id)).select(old.columns), all_symbols.filter(F.col("project_id") == pid))
+        new = self._staged("resolved", self._resolved(edges.withColumn("last_run_id", F.lit(run_id)).select(old.columns), all_symbols.filter(F.col("project_id") == pid)), run_id)
         swept = graph.dangling_sweep(graph.upsert_edges(rest, new, all_symbols, run_id).select(old.columns), all_symbols).filter("action <> 'delete'")
         self.store.write("edges", swept.select(old.columns))
         chunk = retrieval.chunks(all_symbols).withColumn("embedding", retrieval.embed(F.col("text")))
@@ -91,14 +91,22 @@ class Engine:
         inside = (F.col("project_id") == pid) & in_scope(F.col("path"), scope)
         self.store.write("files", registry.filter(~inside).unionByName(fresh))
 
+    def _staged(self, name: str, df: DataFrame, run_id: str) -> DataFrame:
+        """A table of this run only, in the store's folder: what several later writes read is computed once."""
+        path = f"{self.store.root}/staging/{run_id}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _resolved(self, edges: DataFrame, symbols: DataFrame) -> DataFrame:
         mappings = symbols.filter("kind = 'url_mapping'").select(F.col("name").alias("uri"), "id")
-        passes = {"USES_LAYOUT": lambda e: resolve.resolve_layouts(e, symbols), "RENDERS": lambda e: resolve.resolve_renders(e, symbols)}
-        passes |= dict.fromkeys(("REDIRECTS_TO", "FORWARDS_TO", "CHAINS_TO", "LINKS_TO"), lambda e: resolve.resolve_redirects(e, symbols, mappings))
-        passes |= {"INSTANTIATES": lambda e: resolve.resolve_types(e, symbols, "class"), "USES_TYPE": lambda e: resolve.resolve_types(e, symbols)}
-        out = edges.filter(~F.col("type").isin(*passes))
-        for kind, resolver in passes.items():
-            out = out.unionByName(resolver(edges.filter(F.col("type") == kind)).select(edges.columns))
+        passes = [
+            (("USES_LAYOUT",), lambda e: resolve.resolve_layouts(e, symbols)),
+            (("RENDERS",), lambda e: resolve.resolve_renders(e, symbols)),
+            (("REDIRECTS_TO", "FORWARDS_TO", "CHAINS_TO", "LINKS_TO"), lambda e: resolve.resolve_redirects(e, symbols, mappings)),
+        ]
+        out = edges.filter(~F.col("type").isin(*[k for kinds, _ in passes for k in kinds]))
+        for kinds, resolver in passes:
+            out = out.unionByName(resolver(edges.filter(F.col("type").isin(*kinds))).select(edges.columns))
         return out
 
     def rebuild(self, project_id: str, scope: str = "incremental") -> dict:

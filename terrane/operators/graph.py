@@ -10,7 +10,7 @@ EDGE_KEY = ["source_id", "type", "target_id", "target_hint", "file_path", "line"
 
 def upsert_nodes(old: DataFrame, new: DataFrame, run_id: str) -> DataFrame:
     """New nodes, stamped with the run, and the old ones that have no new version. Of equal new ids, the last line's stays."""
-    order = F.struct("line_start", *[c for c in new.columns if c != "line_start" and c != "id"]) if "line_start" in new.columns else F.struct(*new.columns)
+    order = F.struct("line_start", F.to_json(F.struct(*new.columns)))
     once = new.groupBy("id").agg(F.max_by(F.struct(*new.columns), order).alias("row")).select("row.*")
     return once.withColumn("last_run_id", F.lit(run_id)).unionByName(old.join(once.select("id"), "id", "left_anti"))
 

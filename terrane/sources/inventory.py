@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import subprocess
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,37 @@ def allowed(root: str, prefixes: list[str]) -> bool:
     return not prefixes or any(path == PurePosixPath(p) or PurePosixPath(p) in path.parents for p in prefixes)
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
+def _hidden(spark: SparkSession, root: str) -> list[tuple]:
+    """path, length, modification time of files whose name begins with _ or ., which Spark's file sources leave out.
+
+    Only such names are listed here, a glob for each depth; files below hidden folders are not looked for.
+    """
+    api = spark._jvm.org.apache.hadoop.fs
+    fs, found, below = api.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()), [], ""
+    while True:
+        for s in fs.globStatus(api.Path(f"{root.rstrip('/')}{below}/{{_,.}}*")) or []:
+            if s.isFile():
+                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        below += "/*"
+        if not any(s.isDirectory() for s in fs.globStatus(api.Path(root.rstrip("/") + below)) or []):
+            return found
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        contents = []
+        for path, length, most in zip(pdf["path"], pdf["length"], pdf["most"], strict=True):
+            system, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            contents.append(system.open_input_stream(place).read() if length <= most else None)
+        yield pdf.drop(columns="most").assign(content=contents)
+
+
+def _files(spark: SparkSession, root: str, most_mb: int = 5) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    hidden = spark.createDataFrame(_hidden(spark, root), "path string, length long, ms long").select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", F.lit(most_mb << 20).alias("most"))
+    found = found.unionByName(hidden.mapInPandas(_read, "path string, modificationTime timestamp, length long, content binary"))
     marker = root.split(":", 1)[-1].rstrip("/") + "/"
     return found.withColumn("relative", F.substring(F.col("path"), F.instr("path", marker) + len(marker), F.lit(1 << 30)))
 
@@ -44,7 +75,7 @@ def scan(spark: SparkSession, root: str, version: str, scope: str = "full", patt
 
     Spark's file sources leave empty files out, so an empty file is in no inventory. Contents over the size limit are never read: the limit is a filter on length that the source applies first.
     """
-    files = _files(spark, root)
+    files = _files(spark, root, most_mb)
     kept = ~ignored(F.col("relative"), F.lit(version)) & ~ignored_by(F.col("relative"), list(patterns)) & in_scope(F.col("relative"), scope)
     columns = [F.lit(project or project_id(root)).alias("project_id"), F.col("relative").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
     small = files.filter(F.col("length") <= most_mb << 20).filter(kept).select(*columns, F.sha2("content", 256).alias("content_hash"), "content")

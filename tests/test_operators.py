@@ -159,7 +159,7 @@ def test_pages(spark):
 
 FILES = {
     "build.gradle": "// build", "grails-app/controllers/UserController.groovy": "class UserController {}", "grails-app/services/UserService.groovy": "class UserService {}", "grails-app/views/user/show.gsp": GSP,
-    "grails-app/views/layouts/main.gsp": "<html></html>", "grails-app/conf/application.yml": "db:\n  password: x\n", ".gitignore": "*.log\n", "a.log": "x", "build/out.groovy": "x",
+    "grails-app/views/layouts/main.gsp": "<html></html>", "grails-app/views/user/_form.gsp": "<p>form</p>", "grails-app/conf/application.yml": "db:\n  password: x\n", ".gitignore": "*.log\n", "a.log": "x", "build/out.groovy": "x",
 }
 
 
@@ -170,13 +170,13 @@ def test_engine(spark, tmp_path):
         (root / name).write_text(content)
     engine = Engine(spark, str(tmp_path / "store"))
     dry = engine.index(str(root), dry_run=True)
-    assert dry["created"] == 7 and dry["version"] == "3.x" and engine.list_projects().count() == 0
+    assert dry["created"] == 8 and dry["version"] == "3.x" and engine.list_projects().count() == 0
     first = engine.index(str(root))
     pid = first["project_id"]
     assert first["file_counts"] == dry["file_counts"] and first["file_counts"]["unknown"] == 1
     before = {t: sorted(map(str, engine.store.read(t).drop("last_run_id").collect())) for t in ("symbols", "edges", "chunks")}
     again = engine.index(str(root))
-    assert (again["created"], again["modified"], again["deleted"], again["unchanged"]) == (0, 0, 0, 7)
+    assert (again["created"], again["modified"], again["deleted"], again["unchanged"]) == (0, 0, 0, 8)
     assert {t: sorted(map(str, engine.store.read(t).drop("last_run_id").collect())) for t in before} == before
     assert {(r["type"], r["confidence"]) for r in engine.store.read("edges").collect()} >= {("USES_LAYOUT", "EXACT"), ("LINKS_TO", "UNRESOLVED")}
     secret = engine.query(pid, "find_symbol", q="db.password").first()
@@ -184,10 +184,10 @@ def test_engine(spark, tmp_path):
     assert engine.ask(pid, "Where is UserService defined?")["nodes"][0]["name"] == "UserService"
     (root / "grails-app/views/layouts/main.gsp").unlink()
     third = engine.index(str(root))
-    assert (third["deleted"], third["unchanged"]) == (1, 6)
+    assert (third["deleted"], third["unchanged"]) == (1, 7)
     assert [r["confidence"] for r in engine.store.read("edges").filter("type = 'USES_LAYOUT'").collect()] == ["UNRESOLVED"]
-    assert engine.invalidate(pid, "module:grails-app/views/")["invalidated_files"] == 1
-    assert engine.rebuild(pid)["modified"] == 1
+    assert engine.invalidate(pid, "module:grails-app/views/")["invalidated_files"] == 2
+    assert engine.rebuild(pid)["modified"] == 2
     assert engine.status(project_id=pid)["graph_stats"]["nodes"] == engine.store.read("symbols").count() > 0
     assert [r["state"] for r in engine.list_projects().collect()] == ["COMPLETED"]
     assert engine.verify_change(first["run_id"])["new_unresolved_count"] >= 0
