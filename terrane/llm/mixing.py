@@ -106,9 +106,9 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
     return each.withColumn("end", total).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("low", "end"))), lambda x: x["end"]).alias("ends"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, shards: int = 8, block_words: int = 200_000) -> DataFrame:
-    """row (the input's), size, source_size, target, copies, taken, shards (of each copy), order (within the shard)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, shards: int = 8, block_words: int = 200_000, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """row (the input's columns, or those of `keep`), size, source_size, target, copies, taken, shards (of each copy), order (within the shard)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)])
     sized = docs.select(row.alias("row"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(SEED), "doc_id", F.crc32(F.encode("text", "UTF-8"))).alias("h"))
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("int")
