@@ -3,36 +3,42 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.functions.paths import in_scope, kind_of
+from terrane.functions.paths import in_scope
 from terrane.operators import graph, resolve, retrieval, templates
 from terrane.operators.diff import changed, diff_counts, snapshot_diff
 from terrane.operators.store import Store, new_run_id
-from terrane.sources import configs, inventory, views
+from terrane.sources import code, code_graph, configs, inventory, views
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 SYMBOL = ["id", "kind", "name", "fqn", "file_path", "line_start", "line_end", "language", "project_id", "docstring", "source_hash", "properties"]
 
+# Kinds of symbols that are types; edges whose hints name a type, and the keys that name it.
+TYPE_KINDS = ["class", "interface", "enum", "controller", "service", "domain", "tag_lib", "job", "interceptor", "bootstrap"]
+TYPE_EDGES, TYPE_KEYS = ("EXTENDS", "IMPLEMENTS", "INSTANTIATES", "PROVIDES", "USES_TYPE", "QUERIES_DOMAIN", "HAS_RELATION", "BINDS_COMMAND"), ("class", "interface", "type", "domain", "command")
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols and edges of changed files (path, artifact_type, text ...): pages and configuration; source code is not read yet."""
+
+def extract(files: DataFrame, staged: Callable[[str, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges of changed files (path, artifact_type, text ...). `staged` makes a table of declarations, so that source is scanned once."""
     of = lambda *kinds: files.filter(F.col("artifact_type").isin(*kinds))
     gsp = views.parse_gsp(of("gsp_view", "gsp_layout", "gsp_template"))
     jsp = views.parse_jsp(of("jsp_view", "jsp_include"))
     keys = configs.properties(of("properties_config")).select("project_id", "path", "key", "value").unionByName(configs.yaml_keys(files.filter("language = 'yaml'")).select("project_id", "path", "key", "value"))
-    found = [views.view_symbols(gsp, F.col("artifact_type"), "gsp"), views.view_symbols(jsp, F.col("artifact_type"), "jsp"), configs.config_symbols(keys)]
-    code = files.filter(F.col("language").isin("groovy", "java"))
-    found.append(code.select(
-        F.concat_ws(":", "project_id", kind_of(F.col("artifact_type")), "path").alias("id"), kind_of(F.col("artifact_type")).alias("kind"), F.regexp_extract("path", r"([^/]+?)(\.\w+)?$", 1).alias("name"),
-        F.col("path").alias("fqn"), F.col("path").alias("file_path"), F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"), "language", "project_id", F.lit("").alias("docstring"),
-        F.col("content_hash").alias("source_hash"), F.create_map(F.lit("file"), F.col("path")).alias("properties"),
-    ))
-    edges = views.gsp_edges(gsp).unionByName(views.jsp_edges(jsp))
-    return reduce(DataFrame.unionByName, [f.select(SYMBOL) for f in found]), edges
+    source = files.filter(F.col("language").isin("groovy", "java"))
+    declared = staged("declarations", code_graph.described(code.declarations(source)))
+    lines = code_graph.body_lines(declared)
+    (uses, use_edges), (settings, setting_edges) = code_graph.used(lines, declared), code_graph.configured(source, declared)
+    found = [
+        views.view_symbols(gsp, F.col("artifact_type"), "gsp"), views.view_symbols(jsp, F.col("artifact_type"), "jsp"), configs.config_symbols(keys),
+        code_graph.code_symbols(declared), uses, settings, code_graph.bare_files(source, declared),
+    ]
+    edges = [views.gsp_edges(gsp), views.jsp_edges(jsp), code_graph.declared_edges(declared), code_graph.body_edges(lines), use_edges, setting_edges]
+    return reduce(DataFrame.unionByName, [f.select(SYMBOL) for f in found]), reduce(DataFrame.unionByName, edges)
 
 
 class Engine:
@@ -74,7 +80,7 @@ class Engine:
         touched = changed(diff).select(*key)
         gone = diff.filter("status = 'deleted'").select(*key)
         text = files.join(touched, key, "left_semi").withColumn("text", F.col("content").cast("string")).drop("content")
-        symbols, edges = (self._staged(name, df, run_id) for name, df in zip(("symbols", "edges"), extract(self._staged("text", text, run_id)), strict=True))
+        symbols, edges = (self._staged(name, df, run_id) for name, df in zip(("symbols", "edges"), extract(self._staged("text", text, run_id), lambda name, df: self._staged(name, df, run_id)), strict=True))
         paths = touched.unionByName(gone).select(F.col("path").alias("file_path"), "project_id").distinct()
         held = self.store.read("symbols")
         kept = held.join(paths, ["file_path", "project_id"], "left_anti").select(held.columns)
@@ -99,10 +105,15 @@ class Engine:
 
     def _resolved(self, edges: DataFrame, symbols: DataFrame) -> DataFrame:
         mappings = symbols.filter("kind = 'url_mapping'").select(F.col("name").alias("uri"), "id")
+        imports = code_graph.imports(symbols)
+        types = symbols.filter(F.col("kind").isin(TYPE_KINDS))
         passes = [
+            (("CALLS",), lambda e: resolve.resolve_calls(e, symbols.filter(F.col("kind").isin(*TYPE_KINDS, "method", "action", "bean")), imports)),
+            (("INJECTS",), lambda e: resolve.resolve_injects(e, types.unionByName(symbols.filter("kind = 'bean'")), imports)),
+            (TYPE_EDGES, lambda e: resolve.resolve_types(e, types, *TYPE_KEYS)),
             (("USES_LAYOUT",), lambda e: resolve.resolve_layouts(e, symbols)),
             (("RENDERS",), lambda e: resolve.resolve_renders(e, symbols)),
-            (("REDIRECTS_TO", "FORWARDS_TO", "CHAINS_TO", "LINKS_TO"), lambda e: resolve.resolve_redirects(e, symbols, mappings)),
+            (("REDIRECTS_TO", "FORWARDS_TO", "CHAINS_TO", "LINKS_TO", "MAPS_TO"), lambda e: resolve.resolve_redirects(e, symbols, mappings)),
         ]
         out = edges.filter(~F.col("type").isin(*[k for kinds, _ in passes for k in kinds]))
         for kinds, resolver in passes:

@@ -85,9 +85,9 @@ def layout_index(symbols: DataFrame) -> DataFrame:
     return symbols.filter(F.col("kind") == "gsp_layout").groupBy(name.alias("layout")).agg(F.min("id").alias("id"))
 
 
-def resolve_types(edges: DataFrame, symbols: DataFrame, key: str = "type") -> DataFrame:
-    """INSTANTIATES (key class) and USES_TYPE (key type): a known fqn is EXACT, a unique simple name LIKELY."""
-    value = hint(F.col("target_hint"), key)
+def resolve_types(edges: DataFrame, symbols: DataFrame, *keys: str) -> DataFrame:
+    """Edges whose hint names a type under the first of keys that it has: a known fqn is EXACT, a unique simple name LIKELY."""
+    value = F.coalesce(*[hint(F.col("target_hint"), key) for key in keys or ("type",)])
     return resolve(edges, [Tier(fqn_index(symbols), {"fqn": value}, "EXACT"), Tier(unique_names(symbols), {"name": value}, "LIKELY")])
 
 

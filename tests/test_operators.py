@@ -191,7 +191,7 @@ def test_engine(spark, tmp_path):
     assert engine.status(project_id=pid)["graph_stats"]["nodes"] == engine.store.read("symbols").count() > 0
     assert [r["state"] for r in engine.list_projects().collect()] == ["COMPLETED"]
     assert engine.verify_change(first["run_id"])["new_unresolved_count"] >= 0
-    assert engine.change_plan(pid, f"{pid}:service:grails-app/services/UserService.groovy").count() == 1
+    assert engine.change_plan(pid, f"{pid}:service:UserService").count() == 1
 
 
 def test_watch(spark, tmp_path):
