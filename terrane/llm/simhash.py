@@ -17,7 +17,7 @@ is one; other columns are kept out. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     grams = zip(*[words[i:] for i in range(shingle)], strict=False) if len(words) >= shingle else [words]
     total, n = np.zeros(64, np.int64), 0
     while True:
-        part = np.fromiter((digest(b" ".join(g), seed) for g, _ in zip(grams, range(1 << 16), strict=False)), ">u8") if not isinstance(grams, list) else np.array([digest(b" ".join(grams[0]), seed)], ">u8")
+        part = np.fromiter((digest(b" ".join(g), seed) for g in islice(grams, 1 << 16)), ">u8") if not isinstance(grams, list) else np.array([digest(b" ".join(grams[0]), seed)], ">u8")
         if not len(part):
             break
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)

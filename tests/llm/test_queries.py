@@ -90,6 +90,17 @@ def test_simhash(spark, folder):
     assert got == Counter(brute.near_classes(docs))
 
 
+@pytest.mark.parametrize("n", [(1 << 16) + 2, (1 << 16) + 3, 140_010])
+def test_simhash_counts_every_shingle_of_long_texts(n):
+    """Texts of one, just over one and over two batches of shingles; of ten texts some have a bit near a tie."""
+    from terrane.llm.simhash import fingerprint
+
+    for seed in range(10):
+        text = " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 1 << 40, n))
+        want = brute.fingerprint(text)
+        assert fingerprint(text) & (2**64 - 1) == want
+
+
 @pytest.mark.parametrize("bucket", [64, 2048])
 def test_simhash_large_buckets(spark, bucket):
     """Links among fingerprints that share most of their bits, with buckets that must be cut anew."""
