@@ -5,8 +5,9 @@ their presentation (tag, class, id, role). Spark counts, for each node of a host
 presentations of its children and the different contents below it. A node's importance is an entropy: of the
 presentations of an element (how differently its children are laid out), and of the contents of the blocks below it
 over the host's pages. A branch whose content hardly varies over a host is a template and goes. Elements whose name or
-attributes say what they are (navigation, advert, form, comments ...) go on any host, also one with a single page,
-and within `article` or `main` only these do.
+attributes say what they are (navigation, advert, form, comments ...) go on any host, also one with a single page.
+`article` and `main` are a prior: a branch within them goes only at half the importance, and where some of their text
+stays, what is outside them goes.
 
 A host may have a third of all pages: nodes are counted by (host, node) with partial sums, no host is gathered.
 
@@ -148,30 +149,30 @@ def importance(pages: DataFrame) -> DataFrame:
     return content.join(style, ["host", "node"]).select("host", "node", "pages", F.greatest("content", "style").alias("importance"))
 
 
-def extract(pages: DataFrame, least_pages: int = 8, low: float = 0.35, broadcast_nodes: int = 1_000_000) -> DataFrame:
-    """page_id, url, text, n_chars. A branch is low if at least `least_pages` pages of the host have it and its importance is under `low`."""
+def extract(pages: DataFrame, least_pages: int = 8, low: float = 0.35, low_main: float = 0.175, broadcast_nodes: int = 1_000_000) -> DataFrame:
+    """page_id, url, text, n_chars. A branch is low if at least `least_pages` pages of the host have it and its importance is under `low`, within article or main under `low_main`."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     sources = pages.select("page_id", "url", "html", host.alias("host"))
-    low_nodes = importance(sources).filter((F.col("pages") >= least_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("node").alias("low_nodes"))
+    low_nodes = importance(sources).filter((F.col("pages") >= least_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("node").alias("low_nodes"), F.collect_set(F.when(F.col("importance") < low_main, F.col("node"))).alias("low_main_nodes"))
     low_nodes = materialize(low_nodes, "style-trees")
-    # Low nodes of a host are paths of its templates; the join adds one array to each page. They are broadcast only
+    # Low nodes of a host are paths of its templates; the join adds two arrays to each page. They are broadcast only
     # where they are few; beyond that pages are shuffled by host (and a large host is split by the skew join).
-    few = low_nodes.agg(F.coalesce(F.sum(F.size("low_nodes") + 8), F.lit(0)).alias("n")).first()["n"] <= broadcast_nodes
+    few = low_nodes.agg(F.coalesce(F.sum(F.size("low_nodes") + F.size("low_main_nodes") + 8), F.lit(0)).alias("n")).first()["n"] <= broadcast_nodes
     joined = sources.join(F.broadcast(low_nodes) if few else low_nodes, "host", "left")
 
     @F.pandas_udf("string")
-    def main_text(htmls: pd.Series, lows: pd.Series) -> pd.Series:
+    def main_text(htmls: pd.Series, lows: pd.Series, low_mains: pd.Series) -> pd.Series:
         texts = []
-        for html, nodes in zip(htmls, lows, strict=True):
-            gone = set() if nodes is None else set(nodes)
+        for html, nodes, main_nodes in zip(htmls, lows, low_mains, strict=True):
+            gone = {False: set() if nodes is None else set(nodes), True: set() if main_nodes is None else set(main_nodes)}
             kept = []
             for path, bad, main, text in read(html):
-                if not bad and (main or not any(_key(path[:d]) in gone for d in range(1, len(path) + 1))):
+                if not bad and not (gone[main] and any(_key(path[:d]) in gone[main] for d in range(1, len(path) + 1))):
                     kept.append((main, text))
             if any(m for m, _ in kept):
                 kept = [x for x in kept if x[0]]
             texts.append(" ".join(t for _, t in kept))
         return pd.Series(texts, dtype=object)
 
-    out = joined.select("page_id", "url", main_text.asNondeterministic()("html", "low_nodes").alias("text"))
+    out = joined.select("page_id", "url", main_text.asNondeterministic()("html", "low_nodes", "low_main_nodes").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

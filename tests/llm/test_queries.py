@@ -233,6 +233,19 @@ def test_html_pages(spark, odd_dir, empty_dir):
     assert result(spark, empty_dir, "op7_html") == []
 
 
+def test_html_drops_templates_within_articles(spark):
+    """Boxes of unlisted classes in the article: the same on all pages, or one of two; text that differs stays."""
+    from terrane.llm.html import extract
+
+    box = "<div class='zq1'><p>Read all our offers</p></div>"
+    page = "<html><body><{1}><h1>Title {0}</h1>" + box + "<p>Text {0}.</p><div class='zq2'>Offer of part {2}</div><div class='zq3'>Own {0}</div></{1}></body></html>"
+    pages = [(100 * k + i, f"http://{tag}.example/{i}", page.format(i, tag, i // 80)) for k, tag in enumerate(("article", "main")) for i in range(90)]
+    pages += [(900 + i, f"http://few.example/{i}", page.format(i, "article", 0)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[100 * k + i] == f"Title {i} Text {i}. Own {i}" for k in range(2) for i in range(90))
+    assert got[901] == "Title 1 Read all our offers Text 1. Offer of part 0 Own 1", "too few pages to tell"
+
+
 def test_html_keeps_every_driver_page(spark):
     got = result(spark, "/root/testdata/sf0.01", "op7_html")
     pages = dict(rows(spark, "/root/testdata/sf0.01", "pages", "page_id", "url"))
