@@ -1,8 +1,8 @@
 """Main text of web pages by site style trees.
 
 Each page becomes a tree; pages of a host are merged into one style tree, whose nodes are paths of elements with
-their presentation (tag, class, id, role). Spark counts, for each node of a host, the pages and the different
-presentations of its children and the different contents below it. A node's importance is an entropy: of the
+their presentation (tag, class, id, role). Spark counts, for each node of a host, the different pages (copies, of the
+same blocks, are one page) and the different presentations of its children and the different contents below it. A node's importance is an entropy: of the
 presentations of an element (how differently its children are laid out), and of the contents of the blocks below it
 over the host's pages. A branch whose content hardly varies over a host is a template and goes. Elements whose name or
 attributes say what they are (navigation, advert, form, comments ...) go on any host, also one with a single page.
@@ -114,33 +114,38 @@ def _key(path: tuple[str, ...]) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(path)) - (1 << 63)
 
 
-SHAPE = "host string, node long, child string, content long, pages long"
+SHAPE = "host string, page long, node long, child long, content long"
+
+
+def _hash(parts: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\x1e".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def style_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each page and node: the presentation of its children and a hash of the text below it."""
+    """For each page and node: hashes of the page's blocks, of the presentations of the node's children and of the text below it."""
     for pdf in batches:
-        rows: dict[tuple, int] = {}
+        rows: set[tuple] = set()
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
             below: dict[tuple[str, ...], tuple[list[str], list[str]]] = {}
-            for path, _, _, text in read(html):
+            blocks = read(html)
+            page = _hash([x for path, _, _, text in blocks for x in ("\x1f".join(path), text)])
+            for path, _, _, text in blocks:
                 for depth in range(1, len(path) + 1):
                     children, texts = below.setdefault(path[:depth], ([], []))
                     if depth < len(path) and path[depth] not in children[-1:]:
                         children.append(path[depth])
                     texts.append(text)
             for path, (children, texts) in below.items():
-                row = (host, _key(path), " ".join(children)[:200], xxhash.xxh64_intdigest("\n".join(texts)) - (1 << 63))
-                rows[row] = rows.get(row, 0) + 1
-        yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["host", "node", "child", "content", "pages"])
+                rows.add((host, page, _key(path), _hash(children), _hash(texts)))
+        yield pd.DataFrame(list(rows), columns=["host", "page", "node", "child", "content"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, node, pages, importance: entropies to the base of the number of pages, from 0 (the same everywhere) to 1."""
-    nodes = pages.select("host", "html").mapInPandas(style_nodes, SHAPE)
+    """host, node, pages (different ones), importance: entropies to the base of the number of pages, from 0 (the same everywhere) to 1."""
+    nodes = materialize(pages.select("host", "html").mapInPandas(style_nodes, SHAPE).distinct(), "style-nodes")
 
     def entropy(by: str) -> DataFrame:
-        counts = nodes.groupBy("host", "node", by).agg(F.sum("pages").alias("n"))
+        counts = nodes.groupBy("host", "node", by).agg(F.count("*").alias("n"))
         return counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
 
     bits = F.when(F.col("pages") > 1, (F.log("pages") - F.col("weighted") / F.col("pages")) / F.log("pages")).otherwise(1.0)
@@ -150,7 +155,7 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, least_pages: int = 8, low: float = 0.35, low_main: float = 0.175, broadcast_nodes: int = 1_000_000) -> DataFrame:
-    """page_id, url, text, n_chars. A branch is low if at least `least_pages` pages of the host have it and its importance is under `low`, within article or main under `low_main`."""
+    """page_id, url, text, n_chars. A branch is low if at least `least_pages` different pages of the host have it and its importance is under `low`, within article or main under `low_main`."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     sources = pages.select("page_id", "url", "html", host.alias("host"))
     low_nodes = importance(sources).filter((F.col("pages") >= least_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("node").alias("low_nodes"), F.collect_set(F.when(F.col("importance") < low_main, F.col("node"))).alias("low_main_nodes"))

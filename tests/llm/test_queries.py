@@ -246,6 +246,26 @@ def test_html_drops_templates_within_articles(spark):
     assert got[901] == "Title 1 Read all our offers Text 1. Offer of part 0 Own 1", "too few pages to tell"
 
 
+def test_html_counts_copies_once(spark):
+    """Pages without article or main on hosts that are mostly or only copies of a page."""
+    from terrane.llm.html import extract
+
+    page = "<html><body><div class='zq1'>Read all our offers</div><div class='zq2'><p>Text {0}.</p></div></body></html>"
+    pages = [(i, f"http://copies.example/{i}", page.format(0)) for i in range(40)]
+    pages += [(100 + i, f"http://mostly.example/{i}", page.format(max(0, i - 190))) for i in range(200)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)).collect()}
+    assert all(got[i] == "Read all our offers Text 0." for i in range(40)), "a single page is no template"
+    assert all(got[100 + i] == f"Text {max(0, i - 190)}." for i in range(200))
+
+
+def test_html_layouts_that_differ_late(spark):
+    from terrane.llm.html import importance
+
+    pages = [("h", "<body>" + "".join(f"<div class='part{j}'>same {j}</div>" for j in range(40)) + f"<div class='own{i}'>same</div></body>") for i in range(20)]
+    got = importance(spark.createDataFrame(pages, "host string, html string").withColumn("html", F.concat(F.lit("<html>"), "html"))).collect()
+    assert sum(r["pages"] == 20 and r["importance"] == pytest.approx(1) for r in got) == 1, "the body, by its children's presentations alone"
+
+
 def test_html_keeps_every_driver_page(spark):
     got = result(spark, "/root/testdata/sf0.01", "op7_html")
     pages = dict(rows(spark, "/root/testdata/sf0.01", "pages", "page_id", "url"))
