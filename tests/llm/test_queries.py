@@ -337,3 +337,37 @@ def test_removed_spans(spark):
     items = spark.createDataFrame([(1, "One two THREE")], "item_id long, text string")
     got = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(decontaminate.find(docs, items)).select("row.doc_id", "text").collect()}
     assert got == {1: "before,  after", 2: None}
+
+
+def test_pipeline_near_dedup_with_planted_edits(spark):
+    """The stage's rows against all pairs: five-word shingles, Jaccard similarity 0.8."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    docs, words = [], [f"w{i}" for i in range(400)]
+    for k in range(40):
+        text = rng.choice(words, 200).tolist()
+        docs.append((10 * k, " ".join(text)))
+        for n, edits in enumerate((0, 1, 2, 4, 7)):
+            other = list(text)
+            for at in rng.choice(200, edits, replace=False):
+                other[at] = "edited"
+            docs.append((10 * k + n + 1, " ".join(other)))
+    docs += [(1000, ""), (1001, None), (1002, "two words"), (1003, "TWO  words"), (None, "two words")]
+    sets = [{tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in docs)]
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    named = [i for i in range(len(docs)) if docs[i][0] is not None]
+    for i in named:
+        for j in named[: named.index(i)]:
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = Counter(docs[i][0] for i in named if root(i) == i) + Counter([None])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == want
+    assert corpus_pipeline.near_dedup(spark, frame.filter("false"), "").collect() == []
