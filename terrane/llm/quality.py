@@ -36,7 +36,7 @@ WORDS = re.compile(r"\S+")
 def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
     """Structure of a text, each value scaled to about 0 to 1."""
     n, chars = max(1, len(words)), max(1, len(text))
-    letters = sum(map(str.isalpha, text)) if chars < 2000 else len(re.findall(r"[^\W\d_]", text))
+    letters = sum(map(str.isalpha, text))
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     lines = text.split("\n")
     odd = len(re.findall(r"[^\w\s.,;:'\"()-]", text))

@@ -305,6 +305,15 @@ def test_factorisation_machine_identity():
     assert margin(0.5, w, v, index, value, np.array([0]))[0][0] == pytest.approx(0.5 + w[index] @ value + pairs)
 
 
+def test_quality_counts_letters_alike_at_every_length():
+    from terrane.llm.quality import statistics
+
+    part = "x² ½ Ⅷ ab é "
+    short, long = (statistics(t, t.split(), Counter(t.split())) for t in (part * 10, part * 500))
+    assert short[5] == pytest.approx(sum(map(str.isalpha, part)) / len(part))
+    assert long[5] == pytest.approx(short[5]) and long[3] == pytest.approx(short[3])
+
+
 def test_repeats(spark, folder):
     docs = rows(spark, folder, "documents", "doc_id", "text")
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in result(spark, folder, "op9_repeats"))
