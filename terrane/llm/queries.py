@@ -32,8 +32,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3, keep=("doc_id",))
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.Mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3, shards=8).digest()
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

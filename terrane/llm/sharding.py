@@ -58,11 +58,11 @@ def assign(docs: DataFrame, shards: int = 8, weights: dict[int, float] | None =
     buckets = max(1, -(-docs.count() // rows_per_bucket))
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        descend(key, tree(shards), weights).alias("shard"), descend(key, tree(shards + 1), weights).alias("grown_shard"), *[F.col(c).alias(f"kept_{c}") for c in keep],
+        descend(key, tree(shards), weights).alias("shard"), descend(key, tree(shards + 1), weights).alias("grown_shard"), *[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep],
     )
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text_crc32", "size"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     out = rows.withColumn("nth", F.row_number().over(within) - 1).join(starts, ["shard", "bucket"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"), "grown_shard", *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"), "grown_shard", *[F.col(f"`kept_{c}`").alias(c) for c in keep])

@@ -128,6 +128,62 @@ def mix_targets(sizes: dict, most: int = 3) -> dict:
     return out
 
 
+def _spark_hash(*values) -> int:
+    """xxhash64 as Spark chains it over integers and strings; nulls change nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(4, "little") if isinstance(v, int) else v.encode(), h)
+    return h
+
+
+def _hypergeometric(total: int, marked: int, drawn: int, u: float) -> int:
+    """The smallest count whose cumulated probability is u."""
+    every, summed = math.comb(total, drawn), 0
+    for x in range(max(0, drawn - (total - marked)), min(drawn, marked) + 1):
+        summed += math.comb(marked, x) * math.comb(total - marked, drawn - x)
+        if summed >= u * every:
+            return x
+    return min(drawn, marked)
+
+
+def splitting_tree(quotas: dict, shards: int, seed: int = 6) -> dict:
+    """source -> quota in; source -> its part for each shard out."""
+    names = sorted(quotas, key=lambda s: (s is not None, s or ""))
+
+    def parts(low: int, high: int, held: dict) -> list[dict]:
+        if high - low == 1:
+            return [held]
+        half, pool = (high - low) // 2, sum(held.values())
+        seats, left = pool * half // (high - low), {}
+        for s in names:
+            u = ((_spark_hash(seed, low, high, s) >> 11) + 0.5) / (1 << 53)
+            left[s] = _hypergeometric(pool, held[s], seats, u)
+            pool, seats = pool - held[s], seats - left[s]
+        return parts(low, low + half, left) + parts(low + half, high, {s: held[s] - left[s] for s in names})
+
+    each = parts(0, shards, quotas)
+    return {s: tuple(p[s] for p in each) for s in names}
+
+
+def similar_classes(rows: list[tuple], least: float = 0.8, shingle: int = 5) -> list[int]:
+    """(doc_id, text) -> the number of each row's component, by all pairs."""
+    words = [SPACE.findall((t or "").translate(LOWER)) for _, t in rows]
+    sets = [{tuple(w[a : a + shingle]) for a in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root(i) != root(j) and min(len(a), len(b)) >= least * max(len(a), len(b)) and (a == b or len(a & b) >= least * len(a | b)):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(rows))]
+
+
 def repeats(rows: list[tuple], window: int = 13) -> list[tuple]:
     words = [SPACE.findall(t or "") for _, t in rows]
     first: dict = {}
