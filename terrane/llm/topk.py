@@ -1,20 +1,22 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A score is the sum of the inner products of `slices` slices of the dimensions, each a list of local scores.
-Vectors are packed into blocks of rows, and every block of queries meets every block of candidates once a phase.
+A score is the sum of the inner products of `slices` slices of the dimensions; a query's local scores in a slice are a
+list. Vectors are packed into blocks of rows, and every block of queries meets every block of candidates once a phase.
 
-1. Each block gathers the k best entries of each query's local list in each slice, resolved to whole scores.
-   The k-th best of them is a cutoff that no answer can be under.
+1. Each block gathers the k best entries of each query's local list in each slice; these few are summed exactly. The
+   k-th best of them over all blocks is a cutoff that no answer can be under.
 2. The cutoff goes back to the queries. A candidate that reaches it must reach cutoff / slices in one slice at least,
-   so each block collects the entries at or above that uniform threshold.
-3. What was collected is resolved exactly; scores at or above the cutoff are returned and ranked.
+   so each block collects the entries at or above that uniform threshold. A query does not look at a slice of a block
+   where the product of its norm and the block's largest norm stays under the threshold.
+3. The scores of what was collected are resolved exactly; those at or above the cutoff are returned and ranked.
 
 Cutoffs travel with the query blocks (their number grows with the queries, so no broadcast holds them).
 
 Defined results: rows whose vec_id or vector is null, or whose vector holds null or non-finite components, take no
 part; vectors of other lengths count as padded with zeros; candidate rows that repeat each count; query rows of one
 vec_id count as their smallest vector; candidates with the query's vec_id are its own; ties go to the smaller
-vec_id; scores are exact integers while they fit 63 bits. An empty table gives an empty result.
+vec_id; scores are exact integers, and one beyond 63 bits counts as the nearest long. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,14 +30,19 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import materialize
 
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
 
 def whole(vector: Column, scale: int = 256) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """The floors of the scaled components, as doubles (from 2^53 on a double is its own floor); what overflows is the largest double."""
+    scaled = lambda x: F.greatest(F.least(x.cast("double") * scale, F.lit(1.7e308)), F.lit(-1.7e308))
+    return F.transform(F.transform(vector, scaled), lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
 
 
 def usable(frame: DataFrame, vector: str) -> DataFrame:
-    """Rows with an id and a vector of finite components; those too large for a long are not numbers here."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 2.0**54))
+    """Rows with an id and a vector of finite components."""
+    infinite = float("inf")
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < infinite))
     return frame.filter(F.col("vec_id").isNotNull() & F.col(vector).isNotNull()).filter(fine)
 
 
@@ -43,24 +50,44 @@ def _packed(rows: DataFrame, block: str) -> DataFrame:
     return rows.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("rows"))
 
 
-def _matrix(rows, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(rows, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors, as longs where all fit, else as Python's integers."""
     ids = np.array([r["vec_id"] for r in rows], np.int64)
-    width = max([width, *(len(r["vector"]) for r in rows)])
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r["vector"])] = r["vector"]
+    given = [np.asarray(r["vector"]) for r in rows]
+    small = all(not len(v) or np.abs(v).max() < 2.0**62 for v in given)
+    out = np.zeros((len(rows), width), np.int64 if small else object)
+    for row, v in zip(out, given, strict=True):
+        row[: len(v)] = v.astype(np.int64) if small else [int(x) for x in v]
     return ids, out
 
 
+def _largest(a: np.ndarray) -> float:
+    return float(np.abs(a).max()) if a.size else 0.0
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a b', through doubles where they hold every sum exactly."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**52:
+    """a b', through doubles or longs where they hold every sum exactly."""
+    bound = _largest(a) * _largest(b) * max(1, a.shape[1])
+    if bound < 2.0**52:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return a.astype(np.int64) @ b.astype(np.int64).T if bound < 2.0**62 else a.astype(object) @ b.astype(object).T
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a and b, pair by pair, as longs."""
+    if _largest(a) * _largest(b) * max(1, a.shape[1]) < 2.0**62:
+        return (a.astype(np.int64) * b.astype(np.int64)).sum(1)
+    exact = (a.astype(object) * b.astype(object)).sum(1)
+    return np.array([min(max(int(x), LEAST), MOST) for x in exact], np.int64)
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt(np.square(a.astype(np.float64)).sum(1))
 
 
 def top_k(frame: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, block_rows: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score. Both inputs have vec_id and vector (array of long)."""
+    """query_id, rank, vec_id, score. Both inputs have vec_id and vector (array of long, or of doubles without fractions)."""
     wanted = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     counts = frame.count(), wanted.count()
     n_blocks, q_blocks = (max(1, -(-c // block_rows)) for c in counts)
@@ -72,25 +99,24 @@ def top_k(frame: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, blo
         sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         return blocks.join(sent.withColumnRenamed("rows", "asked"), "block").repartition("block", "part").select("rows", "asked").mapInPandas(phase, schema)
 
-    def scores(c, q):
-        width = max([len(r["vector"]) for r in c] + [len(r["vector"]) for r in q])
-        (ids, x), (asked, y) = _matrix(c, width), _matrix(q, width)
-        cuts = np.linspace(0, x.shape[1], slices + 1).astype(int)
-        local = [_product(y[:, a:b], x[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-        return ids, asked, local or [np.zeros((len(asked), len(ids)), np.int64)]
+    def vectors(c, q):
+        width = max([1] + [len(r["vector"]) for r in c] + [len(r["vector"]) for r in q])
+        cuts = np.unique(np.linspace(0, width, slices + 1).astype(int))
+        return *_matrix(c, width), *_matrix(q, width), [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for c, q in zip(pdf["rows"], pdf["asked"], strict=True):
-                ids, asked, local = scores(c, q)
-                total, own, seen = sum(local), asked[:, None] == ids[None, :], []
-                for part in local:
-                    part = np.where(own, np.iinfo(np.int64).min, part)
-                    seen.append(np.argpartition(-part, min(k, len(ids)) - 1, axis=1)[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(asked), 1)))
-                for i, row in enumerate(np.concatenate(seen, 1)):
-                    best = np.unique(row[~own[i, row]])
-                    top = np.sort(total[i, best])[::-1][:k]
-                    yield pd.DataFrame({"query_id": np.full(len(top), asked[i]), "score": top})
+                ids, x, asked, y, parts = vectors(c, q)
+                own, best = asked[:, None] == ids[None, :], set()
+                for part in parts:
+                    local = _product(y[:, part], x[:, part])
+                    local[own] = LEAST if local.dtype == np.int64 else -(10**700)
+                    at = np.argpartition(local, len(ids) - k, axis=1)[:, -k:] if len(ids) > k else np.tile(np.arange(len(ids)), (len(asked), 1))
+                    best |= {(i, j) for i, row in enumerate(at.tolist()) for j in row if not own[i, j]}
+                if best:
+                    i, j = np.array(sorted(best)).T
+                    yield pd.DataFrame({"query_id": asked[i], "score": _summed(y[i], x[j])})
 
     listed = meet(_packed(wanted, "part"), first, "query_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
@@ -102,17 +128,22 @@ def top_k(frame: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, blo
     def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for c, q in zip(pdf["rows"], pdf["asked"], strict=True):
-                ids, asked, local = scores(c, q)
-                cutoff = np.array([np.iinfo(np.int64).min if r["cutoff"] is None else int(r["cutoff"]) for r in q], np.int64)
-                uniform = cutoff // len(local)  # rounded down: a sum that reaches the cutoff has a part that reaches this
-                collected = local[0] >= uniform[:, None]
-                for part in local[1:]:
-                    collected |= part >= uniform[:, None]
+                ids, x, asked, y, parts = vectors(c, q)
+                cutoff = np.array([LEAST if r["cutoff"] is None else int(r["cutoff"]) for r in q], np.int64)
+                uniform = cutoff // len(parts)  # rounded down: a sum that reaches the cutoff has a part that reaches this
+                every = cutoff == LEAST
+                collected = np.tile(every[:, None], (1, len(ids)))
+                for part in parts:
+                    with np.errstate(invalid="ignore"):
+                        reach = _norms(y[:, part]) * _norms(x[:, part]).max() * (1 + 1e-9) + 1
+                    some = np.flatnonzero(~every & ~(reach < uniform))  # also where a norm overflows
+                    if len(some):
+                        collected[some] |= (_product(y[some, part], x[:, part]) >= uniform[some, None]).astype(bool)
                 i, j = np.nonzero(collected & (asked[:, None] != ids[None, :]))
-                score = sum(part[i, j] for part in local)
+                score = _summed(y[i], x[j])
                 held = score >= cutoff[i]
                 i, j, score = i[held], j[held], score[held]
-                order = np.lexsort((ids[j], -score, i))  # of a block, no more than k entries of a query can be answers
+                order = np.lexsort((ids[j], -np.maximum(score, LEAST + 1), i))  # of a block, no more than k entries of a query can be answers
                 i, j, score = i[order], j[order], score[order]
                 nth = np.arange(len(i)) - np.searchsorted(i, i)
                 yield pd.DataFrame({"query_id": asked[i], "vec_id": ids[j], "score": score})[nth < k]

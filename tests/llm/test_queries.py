@@ -161,6 +161,33 @@ def test_topk_threshold_over_many_blocks(spark):
     assert got == brute.nearest([(i, [x / 256 for x in v]) for i, v in vectors])
 
 
+def test_topk_of_large_components(spark):
+    """Components whose products pass 63 bits: no row is dropped, and what fits is exact."""
+    from terrane.llm.topk import top_k, usable, whole
+
+    values = [1e17, -3e16, 2.0**60, 1e38, 0.5, -1e38, 7e15, 1.25]
+    vectors = [(i, [values[(i * 3 + j) % 8] if (i + j) % 3 else 0.0 for j in range(5)]) for i in range(40)] + [(40, [0.0] * 5), (41, [1e308] * 5)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    rows_ = usable(frame, "embedding").select("vec_id", whole(F.col("embedding")).alias("vector"))
+    got = {tuple(r) for r in top_k(rows_, rows_.filter("vec_id % 20 = 0"), k=5, block_rows=11).select("query_id", "rank", "vec_id", "score").collect()}
+    ints = [(i, [int(np.floor(min(x * 256, 1.7e308))) for x in v]) for i, v in vectors]
+    want = set()
+    for q, v in ints:
+        if q % 20 == 0:
+            scored = [(-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(1 << 63)), (1 << 63) - 1), i) for i, w in ints if i != q]
+            want |= {(q, n + 1, i, -x) for n, (x, i) in enumerate(sorted(scored)[:5])}
+    assert got == want
+
+
+def test_topk_list_holds_k_other_rows(spark):
+    """One block, one slice: the query's own row takes no place in its list, so the cutoff is known."""
+    from terrane.llm.topk import top_k
+
+    frame = spark.createDataFrame([(i, [100 - i, 1]) for i in range(20)], "vec_id long, vector array<bigint>")
+    got = {tuple(r) for r in top_k(frame, frame.filter("vec_id = 0"), k=5, slices=1).collect()}
+    assert got == {(0, n + 1, n + 1, 100 * (99 - n) + 1) for n in range(5)}
+
+
 def test_sharding(spark, folder):
     docs = rows(spark, folder, "documents", "doc_id", "text")
     got = result(spark, folder, "op5_sharding")
