@@ -1,21 +1,27 @@
 """Repeated passages by De Bruijn compaction.
 
-Every window of `window` words is an edge of a De Bruijn graph. Windows that follow each other in a document and share
-their minimizer (the occurrence of their smallest hashed `seed`-gram) form one path, named by the hash of its words;
-equal windows always have equal minimizers at equal offsets, so the graph falls into buckets by minimizer.
-
-1. Buckets whose paths start in one document only hold nothing repeated and go (a join on the minimizer).
-2. Where a path as a whole also is in a document of smaller id, it is compact: all its windows are repeated.
-3. Where a bucket branches (several different paths), the smallest document's occurrence of each path is expanded to
-   windows at its source coordinates, and windows are compared one by one.
-4. Coordinates of both kinds are merged to spans of words, and these go from the documents.
-
-Documents are bucketed by id once; every later step moves coordinates to them and no text. A passage in very many
-documents is one row for each document and path, pre-aggregated before a shuffle.
+Every window of `window` words is an edge of a De Bruijn graph from its first to its last `window` - 1 words. Windows
+that follow each other in a document and share their minimizer (the occurrence of their smallest hashed `seed`-gram)
+form one path, named by the hash of its words; equal windows always have equal minimizers at equal offsets, so the
+graph falls into buckets by minimizer.
+
+1. Buckets of one row's paths only hold nothing repeated and go (a join on the minimizer).
+2. Where a path as a whole also is in a document of smaller id, it does not branch: all its windows are repeated, from
+   the source coordinates of the smallest document.
+3. Where a bucket branches (several different paths), its other paths are expanded to windows at their coordinates, and
+   windows are joined one by one.
+4. Paths that follow each other in a document and in their source too are compacted to one long span.
+5. The words of each span and those at its source coordinates are read again and compared by 128-bit digests; spans
+   whose 64-bit hashes had only collided are dropped. The others go from the documents.
+
+Rows are numbered and bucketed once (one file for a bucket, and no more than `most_buckets`); every later step moves
+coordinates to them and no text. A passage in very many documents is one row for each document and path, and what such
+rows are joined to is a table, so that adaptive execution splits a hot key's partition.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; a window repeated within
-one document, or in rows of the same doc_id, is no repeat; rows that repeat each get the same result; a null doc_id
-is smaller and larger than no other and keeps its words. An empty table gives an empty result.
+one document, or in rows of the same doc_id, is no repeat; each row is judged by its own text, also where rows repeat
+or share a doc_id; a null doc_id is smaller and larger than no other and keeps its words. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import materialize, shared_dir
@@ -110,54 +116,98 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, text, spans: the documents by their words' repeated spans (merged, end exclusive)."""
+def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_bytes: int = 16 << 20, most_buckets: int = 50_000) -> DataFrame:
+    """doc_id, text, marks: the rows by the starts (at) and numbers (n) of their repeated windows."""
     spark = docs.sparkSession
     name = f"repeats_{uuid.uuid4().hex}"
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(8, -(-volume // bucket_bytes))
-    (docs.select("doc_id", "text").write.bucketBy(buckets, "doc_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
+    buckets = min(most_buckets, max(8, -(-volume // bucket_bytes)))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).repartition(buckets, "row")
+    rows.write.bucketBy(buckets, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     held = spark.table(name)
+    named_rows = held.filter("doc_id is not null")
+
+    def seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = [paths(split_words(text), window, seed) for text in pdf["text"]]
+            found = [np.unique(p[2]) for p in made if p is not None]
+            if found:
+                yield pd.DataFrame({"least": _signed(np.concatenate(found))})
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             ids, parts = [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
                 made = paths(split_words(text), window, seed)
                 if made is not None:
-                    ids.append(np.full(len(made[0]), doc, np.int64))
+                    ids.append(np.tile(np.array([[doc], [row]], np.int64), len(made[0])))
                     parts.append(made)
             if ids:
-                yield pd.DataFrame({"doc": np.concatenate(ids), "at": np.concatenate([p[0] for p in parts]).astype(np.int32), "n": np.concatenate([p[1] for p in parts]).astype(np.int16), "least": _signed(np.concatenate([p[2] for p in parts])), "name": _signed(np.concatenate([p[3] for p in parts]))})
-
-    every = held.filter("doc_id is not null").mapInPandas(emit, "doc long, at int, n short, least long, name long")
-    shared = every.groupBy("least").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("least")
+                doc, row = np.concatenate(ids, 1)
+                at, n, least, hashed = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pd.DataFrame({"doc": doc, "row": row, "at": at.astype(np.int32), "n": n.astype(np.int16), "least": _signed(least), "name": _signed(hashed)})
+
+    # What a join reads beside rows of a key in every document is a table of its own, so that a hot key's partition can be split.
+    alone = named_rows.select("text").mapInPandas(seeds, "least long").groupBy("least").agg(F.count("*").alias("rows"))
+    shared = materialize(alone.filter("rows > 1").select("least"), "repeats-seeds")
+    every = named_rows.mapInPandas(emit, "doc long, row long, at int, n short, least long, name long")
     kept = materialize(every.join(shared, "least"), "repeats-paths")
-    named = kept.groupBy("least", "name").agg(F.min("doc").alias("source"))
-    branches = named.groupBy("least").agg(F.count("*").alias("branches"))
-    judged = kept.join(named.join(branches, "least"), ["least", "name"])
-    judged = materialize(judged.filter("source < doc or branches > 1").select("doc", "at", "n", "least", (F.col("source") < F.col("doc")).alias("whole")), "repeats-judged")
+    place = F.min(F.struct("doc", "row", "at")).alias("source")
+    sources = materialize(kept.groupBy("least", "name").agg(place), "repeats-sources")
+    branching = materialize(sources.groupBy("least").agg(F.count("*").alias("names")).filter("names > 1").select("least", F.lit(True).alias("branching")), "repeats-branches")
+    judged = kept.join(materialize(sources.join(branching, "least", "left"), "repeats-graph"), ["least", "name"])
+    judged = judged.withColumn("whole", F.col("source.doc") < F.col("doc")).filter("whole or branching")
+    judged = materialize(judged.select("doc", "row", "at", "n", "least", "source", "whole"), "repeats-judged")
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out: list[tuple[np.ndarray, ...]] = []
-            for doc, text, where in zip(pdf["doc_id"], pdf["text"], pdf["where"], strict=True):
-                h = _hashed(split_words(text))
-                hashes = _rolled(h, window)
+            for doc, row, text, where in zip(pdf["doc_id"], pdf["row"], pdf["text"], pdf["where"], strict=True):
+                hashes = _rolled(_hashed(split_words(text)), window)
                 for x in where:
                     at = np.arange(x["at"], x["at"] + x["n"])
-                    out.append((np.full(len(at), doc, np.int64), at, np.full(len(at), x["least"], np.int64), _signed(hashes[at])))
+                    same = lambda v: np.full(len(at), v, np.int64)  # noqa: B023, E731
+                    out.append((same(doc), same(row), at, same(x["least"]), _signed(hashes[at])))
             if out:
-                yield pd.DataFrame({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("doc", "at", "least", "name"))}).astype({"at": "int32"})
-
-    # `doc` and `doc_id` are one key; the documents keep their buckets and only coordinates are shuffled.
-    open_at = judged.filter("not whole").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "least")).alias("where")).withColumnRenamed("doc", "doc_id")
-    windows = materialize(held.join(open_at.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "where").mapInPandas(expand, "doc long, at int, least long, name long"), "repeats-windows")
-    source = windows.groupBy("least", "name").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).filter("source < last").select("least", "name", "source")
-    single = windows.join(source, ["least", "name"]).filter("source < doc").select("doc", "at", F.lit(1).cast("short").alias("n"))
-    marks = judged.filter("whole").select("doc", "at", "n").unionByName(single)
-    spans = marks.groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("marks")).withColumnRenamed("doc", "doc_id")
-    return held.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks")
+                yield pd.DataFrame({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("doc", "row", "at", "least", "name"))}).astype({"at": "int32"})
+
+    # Rows keep their buckets; only coordinates are shuffled to them.
+    open_at = judged.filter("not whole").groupBy("row").agg(F.collect_list(F.struct("at", "n", "least")).alias("where"))
+    windows = materialize(held.join(open_at.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "where").mapInPandas(expand, "doc long, row long, at int, least long, name long"), "repeats-windows")
+    twice = windows.groupBy("least", "name").agg(place, F.max("doc").alias("last")).filter("source.doc < last").drop("last")
+    single = windows.join(materialize(twice, "repeats-twice"), ["least", "name"]).filter("source.doc < doc")
+    marks = judged.filter("whole").select("row", "at", "n", "source").unionByName(single.select("row", "at", F.lit(1).cast("short").alias("n"), "source"))
+    spans = verified(held, materialize(compacted(marks), "repeats-spans"), window)
+    found = spans.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("marks"))
+    return held.join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "marks")
+
+
+def compacted(marks: DataFrame) -> DataFrame:
+    """row, at, n, source (of paths) -> row, at, n, s_row, s_at: paths that follow each other in a row and in their source are one."""
+    flat = marks.select("row", "at", F.col("n").cast("int").alias("n"), F.col("source.row").alias("s_row"), F.col("source.at").alias("s_at")).distinct()
+    line = Window.partitionBy("row", "s_row", F.col("at") - F.col("s_at")).orderBy("at")
+    begins = F.coalesce(F.lag(F.col("at") + F.col("n")).over(line) < F.col("at"), F.lit(True))
+    runs = flat.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(line))
+    runs = runs.groupBy("row", "s_row", (F.col("at") - F.col("s_at")).alias("shift"), "run").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"))
+    return runs.select("row", "at", "n", "s_row", (F.col("at") - F.col("shift")).alias("s_at"))
+
+
+def verified(held: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """The spans whose words are those at their source coordinates: both sides' words are read again and their 128-bit digests compared."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for row, text, where in zip(pdf["row"], pdf["text"], pdf["where"], strict=True):
+                words = split_words(text)
+                out += [(row, x["at"], x["n"], xxhash.xxh3_128_digest(b" ".join(words[x["at"] : x["at"] + x["n"] + window - 1]))) for x in where]
+            yield pd.DataFrame(out, columns=["row", "at", "n", "words"])
+
+    asked = spans.select("row", "at", "n").unionByName(spans.select(F.col("s_row").alias("row"), F.col("s_at").alias("at"), "n")).distinct()
+    asked = asked.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("where"))
+    said = materialize(held.join(asked.hint("shuffle_hash"), "row").select("row", "text", "where").mapInPandas(read, "row long, at int, n int, words binary"), "repeats-words")
+    of_source = said.select(F.col("row").alias("s_row"), F.col("at").alias("s_at"), "n", F.col("words").alias("s_words"))
+    return spans.join(said, ["row", "at", "n"]).join(of_source, ["s_row", "s_at", "n"]).filter("words = s_words").select("row", "at", "n")
 
 
 def covered(n: int, marks, window: int) -> np.ndarray:

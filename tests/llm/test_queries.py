@@ -370,6 +370,33 @@ def test_repeats(spark, folder):
     assert got == Counter(brute.repeats(docs))
 
 
+def test_repeats_of_one_id_and_of_many(spark):
+    """Rows of one doc_id with different texts, nulls, and a passage within every row, also across buckets."""
+    from terrane.llm.repeats import kept_words
+
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(50)]
+    passage = rng.choice(words, 40).tolist()
+    docs = []
+    for i in range(120):
+        own = rng.choice(words, int(rng.integers(0, 60))).tolist()
+        docs.append((None if i % 17 == 0 else i // 3, " ".join(own[:20] + passage[: int(rng.integers(10, 41))] + own[20:])))
+    got = kept_words(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter(brute.repeats(docs))
+
+
+def test_repeats_verify_words_at_source_coordinates(spark):
+    """Spans that only hashes call equal are dropped."""
+    from terrane.llm.repeats import compacted, verified
+
+    texts = [(0, "a b c d e f"), (1, "x a b c d e"), (2, "x a b q d e")]
+    held = spark.createDataFrame(texts, "row long, text string")
+    marks = [(1, 1, 1, (0, 0, 0)), (1, 2, 2, (0, 0, 1)), (2, 1, 1, (0, 0, 0)), (2, 2, 2, (0, 0, 1)), (2, 4, 1, (0, 0, 3))]
+    spans = compacted(spark.createDataFrame(marks, "row long, at int, n int, source struct<doc:long,row:long,at:int>"))
+    assert {tuple(r) for r in spans.collect()} == {(1, 1, 3, 0, 0), (2, 1, 4, 0, 0)}
+    assert [tuple(r) for r in verified(held, spans, 3).collect()] == [(1, 1, 3)]
+
+
 def test_decontaminate(spark, folder):
     docs, items = rows(spark, folder, "documents", "doc_id", "text"), rows(spark, folder, "benchmark", "item_id", "text")
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in result(spark, folder, "op10_decontaminate"))
