@@ -13,6 +13,7 @@ from terrane.functions.paths import in_scope
 from terrane.operators import graph, resolve, retrieval, templates
 from terrane.operators.diff import changed, diff_counts, snapshot_diff
 from terrane.operators.store import Store, new_run_id
+from terrane.settings import Settings
 from terrane.sources import code, code_graph, configs, inventory, views
 
 INDEX_VERSION = 2
@@ -28,20 +29,33 @@ def extract(files: DataFrame, staged: Callable[[str, DataFrame], DataFrame]) ->
     of = lambda *kinds: files.filter(F.col("artifact_type").isin(*kinds))
     gsp = views.parse_gsp(of("gsp_view", "gsp_layout", "gsp_template"))
     jsp = views.parse_jsp(of("jsp_view", "jsp_include"))
-    keys = configs.properties(of("properties_config")).select("project_id", "path", "key", "value").unionByName(configs.yaml_keys(files.filter("language = 'yaml'")).select("project_id", "path", "key", "value"))
+    scripts = of("grails_config", "grails_datasource").filter("language = 'groovy'")
+    keys = configs.properties(of("properties_config")).select("project_id", "path", "key", "value").withColumn("type", F.lit("str"))
+    keys = keys.unionByName(configs.yaml_keys(files.filter("language = 'yaml'"))).unionByName(configs.groovy_keys(scripts))
+    beans = staged("beans", configs.xml_beans(configs.parse_xml(of("xml_config"))))
     source = files.filter(F.col("language").isin("groovy", "java"))
     declared = staged("declarations", code_graph.described(code.declarations(source)))
     lines = code_graph.body_lines(declared)
     (uses, use_edges), (settings, setting_edges) = code_graph.used(lines, declared), code_graph.configured(source, declared)
     found = [
         views.view_symbols(gsp, F.col("artifact_type"), "gsp"), views.view_symbols(jsp, F.col("artifact_type"), "jsp"), configs.config_symbols(keys),
-        code_graph.code_symbols(declared), uses, settings, code_graph.bare_files(source, declared),
+        code_graph.code_symbols(declared), uses, settings, code_graph.bare_files(source, declared), configs.bean_symbols(beans),
     ]
-    edges = [views.gsp_edges(gsp), views.jsp_edges(jsp), code_graph.declared_edges(declared), code_graph.body_edges(lines), use_edges, setting_edges]
+    edges = [views.gsp_edges(gsp), views.jsp_edges(jsp), code_graph.declared_edges(declared), code_graph.body_edges(lines), use_edges, setting_edges, configs.bean_edges(beans)]
     return reduce(DataFrame.unionByName, [f.select(SYMBOL) for f in found]), reduce(DataFrame.unionByName, edges)
 
 
+def verified(edges: DataFrame, run_id: str) -> DataFrame:
+    """One row: edges of a run that are open (new_unresolved_count), those of them that render (missing_views), and those that are resolved (resolved_count)."""
+    own, open_ = F.col("last_run_id") == run_id, F.col("confidence") == "UNRESOLVED"
+    return edges.agg(F.count_if(own & open_).alias("new_unresolved_count"), F.count_if(own & open_ & (F.col("type") == "RENDERS")).alias("missing_views"), F.count_if(own & ~open_).alias("resolved_count"))
+
+
 class Engine:
+    @classmethod
+    def configured(cls, spark: SparkSession, settings: Settings) -> Engine:
+        return cls(spark, settings.store_root, settings.prefixes, settings.max_file_size_mb)
+
     def __init__(self, spark: SparkSession, root: str, allow: tuple[str, ...] = (), most_mb: int = 5) -> None:
         self.spark, self.store, self.allow, self.most_mb = spark, Store(spark, root), list(allow), most_mb
 
@@ -51,10 +65,14 @@ class Engine:
         if not inventory.allowed(path, self.allow):
             raise ValueError(f"{path} is not in an allowed folder")
         run_id, pid = new_run_id(), inventory.project_id(path)
-        version = version or inventory.detect_version(self.spark, path)
+        stage = (lambda name, df: df) if dry_run else (lambda name, df: self._staged(name, df, run_id))
+        listed = stage("listing", inventory.listing(self.spark, path))
+        version = version or inventory.detect_version(self.spark, path, listed)
         known = self.store.project(pid).first()
         force = force or bool(known and known["index_version"] < INDEX_VERSION)
-        files = inventory.scan(self.spark, path, version, scope, inventory.ignore_patterns(self.spark, path), self.most_mb, pid)
+        patterns = inventory.ignore_patterns(self.spark, path, listed)
+        # Contents are read once: what is hashed is what is indexed.
+        files = stage("files", inventory.scan(self.spark, path, version, scope, patterns, self.most_mb, pid, listed))
         diff = snapshot_diff(files, self.store.files(pid), scope, force)
         counts = diff_counts(diff).first().asDict()
         by_type = {r["artifact_type"]: r["count"] for r in files.groupBy("artifact_type").count().collect()}
@@ -72,7 +90,7 @@ class Engine:
                 self.store.log_run(run_id, pid, "FAILED", "FAILED", error=str(error)[:2000])
                 raise
             self.store.set_state(pid, "COMPLETED", last_indexed_at=F.current_timestamp(), last_run_id=F.lit(run_id), index_version=F.lit(INDEX_VERSION))
-            self.store.log_run(run_id, pid, "COMPLETED", "FINALIZING", counts)
+            self.store.log_run(run_id, pid, "COMPLETED", "FINALIZING", counts, self._warnings(run_id, files))
         return out | {"state": "DRY_RUN" if dry_run else "COMPLETED", "duration_ms": int((time.time() - began) * 1000)}
 
     def _merge(self, files: DataFrame, diff: DataFrame, pid: str, run_id: str, scope: str) -> None:
@@ -88,15 +106,27 @@ class Engine:
         old = self.store.read("edges")
         rest = old.join(paths, ["file_path", "project_id"], "left_anti").select(old.columns)
         new = self._staged("resolved", self._resolved(edges.withColumn("last_run_id", F.lit(run_id)).select(old.columns), all_symbols.filter(F.col("project_id") == pid)), run_id)
-        swept = graph.dangling_sweep(graph.upsert_edges(rest, new, all_symbols, run_id).select(old.columns), all_symbols).filter("action <> 'delete'")
+        swept = graph.dangling_sweep(graph.upsert_edges(rest, new.drop("warning_code"), all_symbols, run_id).select(old.columns), all_symbols).filter("action <> 'delete'")
         self.store.write("edges", swept.select(old.columns))
-        chunk = retrieval.chunks(all_symbols).withColumn("embedding", retrieval.embed(F.col("text")))
-        self.store.write("chunks", chunk)
+        # Only chunks of touched files are embedded; those of other files stay, those of deleted ones go.
+        fresh = all_symbols.join(paths, ["file_path", "project_id"], "left_semi")
+        chunk = retrieval.chunks(fresh).withColumn("embedding", retrieval.embed(F.col("text")))
+        stored = self.store.read("chunks")
+        self.store.write("chunks", stored.join(paths, ["file_path", "project_id"], "left_anti").select(stored.columns).unionByName(chunk.select(stored.columns)))
         registry = self.store.read("files")
         fresh = files.drop("content").withColumn("last_run_id", F.lit(run_id)).select(registry.columns)
         inside = (F.col("project_id") == pid) & in_scope(F.col("path"), scope)
         self.store.write("files", registry.filter(~inside).unionByName(fresh))
 
+    def _warnings(self, run_id: str, files: DataFrame) -> list[str]:
+        """Counts of what a run left open, as code:count; files that were not read by their status."""
+        left = self._staged_again("resolved", run_id).filter("warning_code is not null").groupBy(F.col("warning_code").alias("code")).count()
+        skipped = files.filter("parse_status <> 'pending'").groupBy(F.col("parse_status").alias("code")).count()
+        return sorted(f"{r['code']}:{r['count']}" for r in left.unionByName(skipped).collect())
+
+    def _staged_again(self, name: str, run_id: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store.root}/staging/{run_id}/{name}")
+
     def _staged(self, name: str, df: DataFrame, run_id: str) -> DataFrame:
         """A table of this run only, in the store's folder: what several later writes read is computed once."""
         path = f"{self.store.root}/staging/{run_id}/{name}"
@@ -115,9 +145,10 @@ class Engine:
             (("RENDERS",), lambda e: resolve.resolve_renders(e, symbols)),
             (("REDIRECTS_TO", "FORWARDS_TO", "CHAINS_TO", "LINKS_TO", "MAPS_TO"), lambda e: resolve.resolve_redirects(e, symbols, mappings)),
         ]
-        out = edges.filter(~F.col("type").isin(*[k for kinds, _ in passes for k in kinds]))
+        none = F.lit(None).cast("string").alias("warning_code")
+        out = edges.filter(~F.col("type").isin(*[k for kinds, _ in passes for k in kinds])).select("*", none)
         for kinds, resolver in passes:
-            out = out.unionByName(resolver(edges.filter(F.col("type").isin(*kinds))).select(edges.columns))
+            out = out.unionByName(resolver(edges.filter(F.col("type").isin(*kinds))).select(*edges.columns, "warning_code"))
         return out
 
     def rebuild(self, project_id: str, scope: str = "incremental") -> dict:
@@ -129,6 +160,16 @@ class Engine:
         symbols, edges = (self.store.read(t).filter(F.col("project_id") == project_id) for t in ("symbols", "edges"))
         return templates.run_template(template, symbols, edges, **({"pid": project_id} if template in ("find_symbol", "file_symbols", "missing_views") else {}), **arguments)
 
+    def query_edges(self, project_id: str, template: str, id: str) -> DataFrame:
+        """The edges that a template follows from a symbol, with type, confidence, file and line."""
+        return templates.followed(template, self.store.read("edges").filter(F.col("project_id") == project_id), id)
+
+    def settings(self, project_id: str) -> tuple[DataFrame, DataFrame]:
+        """Spring profiles and database settings (secrets redacted) of a project's configuration files."""
+        keys = self.store.read("symbols").filter((F.col("project_id") == project_id) & (F.col("kind") == "config_key"))
+        keys = keys.select("project_id", F.col("file_path").alias("path"), F.col("fqn").alias("key"), F.try_element_at("properties", F.lit("value")).alias("value"))
+        return configs.profiles(keys), configs.database(keys)
+
     def ask(self, project_id: str, question: str, max_depth: int = 3) -> dict:
         symbols, edges = (self.store.read(t).filter(F.col("project_id") == project_id) for t in ("symbols", "edges"))
         pack = retrieval.plan(question, symbols, edges, project_id, self.store.read("chunks"), max_depth)
@@ -156,9 +197,7 @@ class Engine:
 
     def verify_change(self, run_id: str) -> dict:
         pid = self.store.runs().filter(F.col("run_id") == run_id).first()["project_id"]
-        open_edges = self.store.read("edges").filter((F.col("project_id") == pid) & (F.col("confidence") == "UNRESOLVED"))
-        row = open_edges.agg(F.count_if(F.col("last_run_id") == run_id).alias("new"), F.count_if((F.col("last_run_id") == run_id) & (F.col("type") == "RENDERS")).alias("views")).first()
-        return {"run_id": run_id, "new_unresolved_count": row["new"], "missing_views": row["views"]}
+        return {"run_id": run_id} | verified(self.store.read("edges").filter(F.col("project_id") == pid), run_id).first().asDict()
 
     def change_plan(self, project_id: str, anchor: str, depth: int = 3) -> DataFrame:
         """What depends on a symbol, nearest first."""

@@ -69,6 +69,31 @@ KINDS = {
 }
 
 
+# What an artifact type is, by type.
+METADATA = {
+    "grails_controller": {"description": "Grails Controller", "convention": "*Controller.groovy", "actions": "public methods or closures"},
+    "grails_service": {"description": "Grails Service", "convention": "*Service.groovy", "transactional": "true"},
+    "grails_domain": {"description": "Grails Domain Class", "convention": "grails-app/domain/**/*.groovy", "orm": "GORM"},
+    "grails_taglib": {"description": "Grails Tag Library", "convention": "*TagLib.groovy", "namespace": "static namespace"},
+    "grails_job": {"description": "Grails Quartz Job", "convention": "*Job.groovy", "triggers": "static triggers or closure"},
+    "grails_interceptor": {"description": "Grails 3.x Interceptor", "convention": "*Interceptor.groovy", "only_if": "Grails 3.x"},
+    "grails_filters": {"description": "Grails 2.x Filters", "convention": "*Filters.groovy", "only_if": "Grails 2.x"},
+    "grails_urlmappings": {"description": "URL Mappings", "file": "UrlMappings.groovy"},
+    "grails_bootstrap": {"description": "Bootstrap Class", "file": "BootStrap.groovy", "methods": "init,destroy"},
+    "grails_buildconfig": {"description": "Build Configuration", "file": "BuildConfig.groovy", "only_if": "Grails 2.x"},
+    "grails_spring_dsl": {"description": "Spring Bean DSL", "file": "resources.groovy or spring/resources.groovy"},
+    "grails_config": {"description": "Application Configuration", "files": "Config.groovy,application.groovy,application.yml"},
+}
+
+
+def metadata(artifact_type: Column) -> Column:
+    """map<string,string> of what is known of an artifact type; empty for others."""
+    chain = F.when(F.lit(False), F.create_map().cast("map<string,string>"))
+    for kind, said in METADATA.items():
+        chain = chain.when(artifact_type == kind, F.create_map(*[F.lit(x) for pair in said.items() for x in pair]))
+    return chain.otherwise(F.create_map().cast("map<string,string>"))
+
+
 def normal(path: Column) -> Column:
     return F.lower(F.translate(path, "\\", "/"))
 
@@ -134,14 +159,14 @@ def ignored_by(path: Column, patterns: list[str]) -> Column:
 
 
 def in_scope(path: Column, scope: str) -> Column:
-    """full, incremental, file:PATH, files:A,B or module:PREFIX."""
+    """full, incremental, file:PATH, files:A,B (or separated by NUL, where names may hold commas) or module:PREFIX."""
     kind, _, value = scope.partition(":")
     if scope in ("full", "incremental"):
         return F.lit(True)
     if kind == "file" and value:
         return path == value
     if kind == "files" and value:
-        return path.isin(value.split(","))
+        return path.isin(value.split("\0" if "\0" in value else ","))
     if kind == "module" and value:
         return path.startswith(value)
     raise ValueError(f"unknown scope {scope!r}; known: full, incremental, file:, files:, module:")

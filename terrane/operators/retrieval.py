@@ -22,18 +22,21 @@ INTENT_TEMPLATES = {
     "Relation": ["injects", "renders_view", "domain_relations", "controller_flow"],
     "Discovery": ["find_symbol"],
 }
-# Most templates, nodes, edges and chunks of a context pack; characters of a view's chunk.
+# Most templates, nodes, edges and chunks of a context pack; characters of a chunk of a view.
 MOST_TEMPLATES, MOST_NODES, MOST_EDGES, MOST_CHUNKS, VIEW_CHARS = 5, 50, 200, 50, 2000
 
 
 def chunks(symbols: DataFrame, static_text: str = "static_text") -> DataFrame:
-    """chunk_id, symbol_id, chunk_type, text and the symbol's place: a docstring chunk and, for views, one of their text."""
+    """chunk_id, symbol_id, chunk_type, text and the symbol's place: a docstring chunk and, for views, consecutive ones of their whole text."""
     text = F.try_element_at("properties", F.lit(static_text))
     both = F.array(
         F.when(F.trim("docstring") != "", F.struct(F.lit("docstring").alias("chunk_type"), F.col("docstring").alias("text"))),
-        F.when(F.col("kind").startswith("gsp_") & (text != ""), F.struct(F.lit("gsp_text").alias("chunk_type"), F.left(text, F.lit(VIEW_CHARS)).alias("text"))),
     )
-    out = symbols.select(F.col("id").alias("symbol_id"), "project_id", "kind", "file_path", "line_start", F.posexplode(F.filter(both, lambda c: c.isNotNull())).alias("nth", "c"))
+    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / VIEW_CHARS).cast("int"))
+    parts = F.transform(starts, lambda i: F.struct(F.lit("gsp_text").alias("chunk_type"), F.substring(text, i * VIEW_CHARS + 1, F.lit(VIEW_CHARS)).alias("text")))
+    views = F.when(F.col("kind").startswith("gsp_") & (text != ""), parts).otherwise(F.expr("cast(array() as array<struct<chunk_type:string,text:string>>)"))
+    every = F.concat(F.filter(both, lambda c: c.isNotNull()), views)
+    out = symbols.select(F.col("id").alias("symbol_id"), "project_id", "kind", "file_path", "line_start", F.posexplode(every).alias("nth", "c"))
     return out.select(F.concat_ws("_", "symbol_id", "nth").alias("chunk_id"), "symbol_id", "c.chunk_type", "c.text", "project_id", "kind", "file_path", "line_start")
 
 
@@ -94,8 +97,8 @@ def plan(question: str, symbols: DataFrame, edges: DataFrame, project_id: str, v
     if anchor and row["intent"] in ("Impact", "Trace"):
         reached = traverse(edges, spark.createDataFrame([(anchor["id"],)], "id string"), depth=max_depth, reverse=row["intent"] == "Impact")
         found.append(symbols.join(reached.select("id"), "id", "left_semi").select(symbols.columns).withColumn("_order", F.lit(len(templates))))
-    nodes = found[0]
-    for other in found[1:]:
+    nodes = symbols.filter("false").withColumn("_order", F.lit(0))  # a question about no known symbol finds nothing
+    for other in found:
         nodes = nodes.unionByName(other)
     first = Window.partitionBy("id").orderBy("_order")
     nodes = nodes.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").orderBy("_order", "id").limit(MOST_NODES).drop("_nth", "_order")

@@ -42,6 +42,16 @@ def missing_views(symbols: DataFrame, edges: DataFrame, pid: str) -> DataFrame:
     return edges.filter((F.col("project_id") == pid) & (F.col("type") == "RENDERS") & (F.col("confidence") == "UNRESOLVED"))
 
 
+def followed(name: str, edges: DataFrame, id: str) -> DataFrame:
+    """The edges that a one-hop template follows from an id, both ends included."""
+    if name == "domain_relations":
+        return edges.filter((F.col("type") == "HAS_RELATION") & ((F.col("source_id") == id) | (F.col("target_id") == id)))
+    how = TEMPLATES[name]
+    if not isinstance(how, partial):
+        raise ValueError(f"{name} follows no single kind of edge")
+    return edges.filter(F.col("type").isin(*how.keywords["types"]) & (F.col(how.keywords.get("at", "source_id")) == id))
+
+
 TEMPLATES: dict[str, Callable[..., DataFrame]] = {
     "find_symbol": find_symbol,
     "callers_of": partial(_hop, types=("CALLS",), at="target_id", limit=50),

@@ -5,7 +5,7 @@ declarations, in Arrow batches and in time linear in the file. All that is read
 Catalyst's work (see code_graph).
 
 Defined results: a null or empty text has no rows; text without a type has none; unbalanced brackets end with the file;
-of nested types only the outermost is read; constants of an enum are not fields.
+of nested types only the outermost is read, as top-level types are what is indexed; constants of an enum are not fields.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 CARRIED = "project_id string, path string, artifact_type string, language string, content_hash string"
 DECLARATIONS = (
     f"{CARRIED}, package string, imports array<string>, what string, keyword string, owner string, name string, type string, param_names array<string>, param_types array<string>, "
-    "modifiers array<string>, annotations array<string>, doc string, line long, end_line long, extends array<string>, implements array<string>, value string, body string, body_line long"
+    "modifiers array<string>, annotations array<string>, doc string, line long, end_line long, extends array<string>, implements array<string>, value string, body string, "
+    "said array<struct<at:long,said:string>>"
 )
 
 QUOTED = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
@@ -70,6 +71,20 @@ class Scan:
         stripped = [row.strip().lstrip("*").strip() for row in self.docs[k][1][3:-2].split("\n")]
         return "\n".join(row for row in stripped if row)
 
+    def statements(self, lo: int, hi: int) -> list[dict]:
+        """The non-empty lines of a body with their numbers; a line that ends within round or square brackets goes on with the next."""
+        out, open_, begin = [], [], lo
+        for m in re.compile(r"[(){}\[\]\n]").finditer(self.mask, lo, hi):
+            if m.group() in "({[":
+                open_.append(m.group())
+            elif m.group() != "\n":
+                open_[-1:] = []
+            elif not open_ or open_[-1] == "{":
+                out.append((begin, m.start()))
+                begin = m.end()
+        out.append((begin, hi))
+        return [{"at": self.line(a + len(text) - len(text.lstrip())), "said": text.replace("\n", " ")} for a, b in out if (text := self.code[a:b]).strip()]
+
     def finished(self, begin: int, at: int) -> bool:
         """Whether a line's end also ends a Groovy declaration."""
         head = ANNOTATION.sub("", self.mask[begin:at]).strip()
@@ -141,7 +156,7 @@ class Scan:
             kind = GENERIC.sub("", named.group(1)).strip() if named.group(1).strip().startswith("<") else named.group(1).strip()
             inside = (head_end + 1, end) if end > head_end else (end, end)
             what = "constructor" if named.group(2) == of and not kind else "method"
-            return row | {"what": what, "name": named.group(2), "type": kind, "param_names": names, "param_types": types, "body": self.code[slice(*inside)], "body_line": self.line(inside[0])}
+            return row | {"what": what, "name": named.group(2), "type": kind, "param_names": names, "param_types": types, "body": self.code[slice(*inside)], "said": self.statements(*inside)}
         both = left if sign < 0 else left[:sign]
         typed = re.match(r"\s*([\w.]+(?:\s*<.*>)?(?:\s*\[\s*\])*)\s+(\w.*)", both, re.S)
         words = re.findall(r"\w+", typed.group(2).split(",")[-1] if typed else both)
@@ -149,7 +164,7 @@ class Scan:
             return None
         value = self.code[begin + sign + 1 : end + (end > head_end)].strip() if sign >= 0 else ""
         closure = value.startswith("{")
-        body = {"body": self.code[head_end + 1 : end], "body_line": self.line(head_end + 1)} if closure else {}
+        body = {"body": self.code[head_end + 1 : end], "said": self.statements(head_end + 1, end)} if closure else {}
         return row | {"what": "field", "name": words[0], "type": re.sub(r"\s+", "", typed.group(1)) if typed else "", "value": value} | body
 
 

@@ -1,7 +1,7 @@
 """Symbols and edges of Java and Groovy source: explodes and column expressions over declarations and their lines.
 
-A body is read line by line (`posexplode`), so every edge has its own line; what a line holds is gathered in one array
-and inlined once. Calls that stretch over lines are read from their first line.
+A body is read statement by statement, so every edge has its own line; what a statement holds is gathered in one array
+and inlined once. A statement that stretches over lines within brackets has its first line's number.
 """
 
 from __future__ import annotations
@@ -61,7 +61,8 @@ def described(declared: DataFrame) -> DataFrame:
         .when(callable_ & (c("artifact_type") == "grails_taglib"), "custom_tag").when(c("what") == "method", "method").otherwise(c("what"))
     )
     statics = declared.filter((c("what") == "field") & F.array_contains("modifiers", "static")).groupBy("project_id", "path", "owner").agg(F.collect_list(F.struct("name", "value")).alias("statics"))
-    whole = declared.join(statics, ["project_id", "path", "owner"], "left").withColumn("role", role).withColumn("type_tag", tag)
+    methods = declared.filter((c("what") == "method") | closure).groupBy("project_id", "path", "owner").agg(F.collect_set("name").alias("methods"))
+    whole = declared.join(statics, ["project_id", "path", "owner"], "left").join(methods, ["project_id", "path", "owner"], "left").withColumn("role", role).withColumn("type_tag", tag)
     space = F.coalesce(_got(_static("namespace"), r"[\"'](\w+)[\"']"), F.lit("g"))
     short = c("artifact_type").isin("grails_controller", "grails_service") | (c("what") == "field")
     signature = F.concat(c("name"), F.lit("("), F.concat_ws(",", "param_types"), F.lit(")"))
@@ -103,6 +104,7 @@ def code_symbols(d: DataFrame) -> DataFrame:
         "allowed_methods": F.when(grails("grails_controller"), _static("allowedMethods")), "table_name": F.when(grails("grails_domain"), _got(_static("mapping"), r"\btable\s*:?\s*\(?[\"'](\w+)")),
         "constraints": F.when(grails("grails_domain"), _static("constraints")), "has_many": F.when(grails("grails_domain"), _static("hasMany")), "belongs_to": F.when(grails("grails_domain"), _static("belongsTo")),
         "has_one": F.when(grails("grails_domain"), _static("hasOne")), "triggers": F.when(grails("grails_job"), _static("triggers")), "namespace": F.when(c("artifact_type") == "grails_taglib", c("namespace")),
+        "has_init": F.when(grails("grails_bootstrap"), yes(F.array_contains("methods", "init"))), "has_destroy": F.when(grails("grails_bootstrap"), yes(F.array_contains("methods", "destroy"))),
     }
     held = F.map_filter(F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
     named = d.select("id", c("role").alias("kind"), "name", "fqn", c("path").alias("file_path"), c("line").alias("line_start"), c("end_line").alias("line_end"), "language", "project_id", c("doc").alias("docstring"), c("content_hash").alias("source_hash"), held.alias("properties"))
@@ -153,9 +155,9 @@ def declared_edges(d: DataFrame) -> DataFrame:
 
 
 def body_lines(d: DataFrame) -> DataFrame:
-    """The non-empty lines of bodies: at, text and bare (text without strings)."""
-    rows = d.filter(c("body").isNotNull()).select("*", F.posexplode(F.split("body", "\n")).alias("nth", "said")).filter(F.trim("said") != "")
-    return rows.withColumn("at", c("body_line") + c("nth")).withColumn("bare", F.regexp_replace("said", r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'", "''")).drop("body")
+    """The statements of bodies, line by line: at, said and bare (said without strings)."""
+    rows = d.filter(c("body").isNotNull()).withColumn("s", F.explode("said")).withColumns({"at": c("s.at"), "said": c("s.said")}).drop("s")
+    return rows.withColumn("bare", F.regexp_replace("said", r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'", "''")).drop("body")
 
 
 def body_edges(lines: DataFrame) -> DataFrame:

@@ -1,23 +1,25 @@
-"""Configuration files: .properties natively, YAML by a small Arrow function; keys, secrets, profiles, databases."""
+"""Configuration files: .properties natively; YAML, Groovy scripts and XML by small Arrow functions; keys, secrets, profiles, databases, beans."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import is_secret, redacted
+from terrane.sources.code import Scan
 
 # Keys of a database setting, the first that is present counts.
 DATABASE_KEYS = {
-    "url": ["spring.datasource.url", "datasource.url", "dataSource.url", "jdbc.url", "db.url"],
-    "driver": ["spring.datasource.driver-class-name", "datasource.driver", "dataSource.driverClassName", "jdbc.driver", "db.driver"],
-    "username": ["spring.datasource.username", "datasource.username", "dataSource.username", "jdbc.username", "db.username"],
-    "password": ["spring.datasource.password", "datasource.password", "dataSource.password", "jdbc.password", "db.password"],
-    "dialect": ["spring.jpa.database-platform", "hibernate.dialect", "dataSource.dialect"],
+    "url": ["dataSource.url", "dataSource.dbcp.url", "spring.datasource.url", "jdbc.url", "database.url", "hibernate.connection.url"],
+    "driver": ["dataSource.driverClassName", "dataSource.driver", "spring.datasource.driver-class-name", "jdbc.driver"],
+    "username": ["dataSource.username", "dataSource.user", "spring.datasource.username", "jdbc.user"],
+    "password": ["dataSource.password", "spring.datasource.password", "jdbc.password"],
+    "dialect": ["hibernate.dialect", "dataSource.dialect"],
 }
 
 
@@ -100,18 +102,151 @@ def database(keys: DataFrame) -> DataFrame:
 
 
 def config_symbols(keys: DataFrame) -> DataFrame:
-    """config_key symbols with redacted values."""
-    shown = F.create_map(F.lit("value"), redacted(F.col("key"), F.col("value")), F.lit("is_secret"), is_secret(F.col("key")).cast("string"))
-    language = F.when(F.col("path").rlike(r"\.ya?ml$"), "yaml").otherwise("properties")
+    """config_key symbols, one for each file and key, with redacted values; `type` is the value's type where the reader knows it."""
+    kind = F.col("type") if "type" in keys.columns else F.lit("str")
+    shown = F.create_map(
+        F.lit("value"), redacted(F.col("key"), F.col("value")), F.lit("is_redacted"), is_secret(F.col("key")).cast("string"),
+        F.lit("original_type"), kind,
+    )
+    language = F.when(F.col("path").rlike(r"\.ya?ml$"), "yaml").when(F.col("path").rlike(r"\.groovy$"), "groovy").otherwise("properties")
+    one = F.lit(1).cast("long")
     return keys.select(
-        F.concat_ws(":", "project_id", F.lit("config_key"), "key").alias("id"), F.lit("config_key").alias("kind"), F.substring_index("key", ".", -1).alias("name"), F.col("key").alias("fqn"), F.col("path").alias("file_path"),
-        F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"), language.alias("language"), "project_id", F.lit("").alias("docstring"), F.lit("").alias("source_hash"), shown.alias("properties"),
+        F.concat_ws(":", "project_id", F.lit("config_key"), F.concat_ws("#", "path", "key")).alias("id"), F.lit("config_key").alias("kind"),
+        F.substring_index("key", ".", -1).alias("name"), F.col("key").alias("fqn"), F.col("path").alias("file_path"), one.alias("line_start"), one.alias("line_end"),
+        language.alias("language"), "project_id", F.lit("").alias("docstring"), F.lit("").alias("source_hash"), shown.alias("properties"),
+    )
+
+
+def groovy_entries(text: str | None, environment: str | None = None) -> Iterator[tuple[str, str, str]]:
+    """(dotted key, value, type) of a configuration script: nested blocks and assignments. Of `environments`, the named one's entries only."""
+    scan = Scan(text or "", soft=True)
+
+    def within(lo: int, hi: int, prefix: str) -> Iterator[tuple[str, str, str]]:
+        for begin, head_end, end in scan.pieces(lo, hi):
+            head = scan.mask[begin:head_end]
+            sign = head.find("=")
+            if sign > 0 and re.fullmatch(r"\s*[\w.'\"]+\s*", head[:sign]):
+                value = scan.code[begin + sign + 1 : end + (end > head_end)].strip().rstrip(";").strip()
+                yield (f"{prefix}{scan.code[begin : begin + sign].strip().strip(chr(34) + chr(39))}", *groovy_value(value))
+            elif end > head_end and (name := re.fullmatch(r"\s*([\w.'\"]+)\s*(?:=\s*)?", scan.code[begin:head_end])):
+                inside = name.group(1).strip("\"'")
+                if inside == "environments" and not prefix:
+                    for b, h, e in scan.pieces(head_end + 1, end):
+                        if e > h and scan.code[b:h].strip() == environment:
+                            yield from within(h + 1, e, "")
+                else:
+                    yield from within(head_end + 1, end, f"{prefix}{inside}.")
+
+    yield from within(0, len(scan.mask), "")
+
+
+def groovy_value(value: str) -> tuple[str, str]:
+    if re.fullmatch(r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'", value, re.S):
+        return value[1:-1], "str"
+    if re.fullmatch(r"-?\d+", value):
+        return value, "int"
+    return value, "bool" if value in ("true", "false") else "list" if value.startswith("[") else "expression"
+
+
+def groovy_keys(files: DataFrame, text: str = "text", environment: str | None = None) -> DataFrame:
+    """project_id, path, key, value, type of Groovy configuration scripts; the last assignment of a key counts."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for project, path, source in zip(pdf["project_id"], pdf["path"], pdf[text], strict=True):
+                rows += [(project, path, k, *v) for k, v in {k: (v, t) for k, v, t in groovy_entries(source, environment)}.items()]
+            yield pd.DataFrame(rows, columns=["project_id", "path", "key", "value", "type"])
+
+    return files.select("project_id", "path", text).mapInPandas(parse, "project_id string, path string, key string, value string, type string")
+
+
+XML = (
+    "project_id string, path string, root_tag string, namespaces map<string,string>, elements_count long, error string, "
+    "beans array<struct<type:string,id:string,name:string,class:string,parent:string,abstract:boolean,singleton:boolean,lazy_init:boolean,init_method:string,destroy_method:string,scope:string,alias:string,"
+    "properties:array<struct<name:string,ref:string,value:string>>,constructor_args:array<struct<name:string,ref:string,value:string,index:string,type:string>>>>"
+)
+
+
+def _bean(element) -> dict:
+    """A bean or alias element as a row; attributes that are absent are empty."""
+    of = lambda e, *names: {n.replace("-", "_"): e.get(n, "") for n in names}
+    inner = lambda tag, *names: [of(e, *names) for e in element.iter() if e.tag.rsplit("}", 1)[-1] == tag]
+    yes = lambda name, default: element.get(name, default).lower() == "true"
+    return of(element, "id", "name", "class", "init-method", "destroy-method", "alias") | {
+        "type": element.tag.rsplit("}", 1)[-1], "parent": element.get("parent-bean", "") or element.get("parent", ""), "scope": element.get("scope", "singleton"),
+        "abstract": yes("abstract", "false"), "singleton": yes("singleton", "true"), "lazy_init": yes("lazy-init", "false"),
+        "properties": inner("property", "name", "ref", "value"), "constructor_args": inner("constructor-arg", "name", "ref", "value", "index", "type"),
+    }
+
+
+def parse_xml(files: DataFrame, text: str = "text") -> DataFrame:
+    """XML: root tag, namespaces ('default' is the one without prefix), elements, beans and aliases in the order they end; of what is not well-formed, what was read and the error."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for project, path, source in zip(pdf["project_id"], pdf["path"], pdf[text], strict=True):
+                row = {"project_id": project, "path": path, "root_tag": None, "namespaces": {}, "elements_count": 0, "error": None, "beans": []}
+                reader = ElementTree.XMLPullParser(("start", "end", "start-ns"))
+                try:
+                    reader.feed((source or "").strip())
+                    reader.close()
+                except ElementTree.ParseError as error:
+                    row["error"] = str(error)
+                try:
+                    for event, got in reader.read_events():
+                        if event == "start-ns":
+                            row["namespaces"].setdefault(got[0] or "default", got[1])
+                            continue
+                        row["elements_count"] += event == "end"
+                        row["root_tag"] = row["root_tag"] or got.tag
+                        if event == "end" and got.tag.rsplit("}", 1)[-1] in ("bean", "alias"):
+                            row["beans"].append(_bean(got))
+                except ElementTree.ParseError as error:
+                    row["error"] = str(error)
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("project_id", "path", "root_tag", "namespaces", "elements_count", "error", "beans")])
+
+    return files.select("project_id", "path", text).mapInPandas(parse, XML)
+
+
+def xml_beans(parsed: DataFrame) -> DataFrame:
+    """One row for each bean or alias of parsed files."""
+    return parsed.select("project_id", "path", F.posexplode("beans").alias("nth", "b")).select("project_id", "path", "nth", "b.*")
+
+
+def xpath_lookup(files: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """project_id, path, found: the texts or attribute values of an XPath; files that are not well-formed have none. Prefixes are part of the names."""
+    fine = parse_xml(files, text).filter("error is null").select("project_id", "path")
+    return files.join(fine, ["project_id", "path"], "left_semi").select("project_id", "path", F.expr(f"xpath({text}, {_quoted(path)})").alias("found"))
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bean_symbols(beans: DataFrame) -> DataFrame:
+    """bean symbols of XML files, by id or else name; aliases are beans of their alias."""
+    rows = _named_beans(beans)
+    one = F.lit(1).cast("long")
+    said = F.create_map(F.lit("bean_name"), F.col("bean"), F.lit("class_name"), F.col("class"), F.lit("scope"), F.col("scope"), F.lit("properties"), F.to_json("properties"), F.lit("constructor_args"), F.to_json("constructor_args"))
+    return rows.select(
+        F.concat_ws(":", "project_id", F.lit("bean"), "bean").alias("id"), F.lit("bean").alias("kind"), F.col("bean").alias("name"), F.coalesce(F.nullif("class", F.lit("")), "bean").alias("fqn"), F.col("path").alias("file_path"),
+        one.alias("line_start"), one.alias("line_end"), F.lit("xml").alias("language"), "project_id", F.lit("").alias("docstring"), F.lit("").alias("source_hash"), said.alias("properties"),
+    )
+
+
+def bean_edges(beans: DataFrame) -> DataFrame:
+    """PROVIDES edges from beans to their classes."""
+    rows = _named_beans(beans).filter("class <> ''")
+    return rows.select(
+        F.concat_ws(":", "project_id", F.lit("bean"), "bean").alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.concat(F.lit("class:"), "class").alias("target_hint"), F.lit("PROVIDES").alias("type"),
+        F.col("path").alias("file_path"), F.lit(1).cast("long").alias("line"), F.lit("EXACT").alias("confidence"), F.lit("xml_beans").alias("extractor"), "project_id",
     )
 
 
-def xml_beans(files: DataFrame, text: str = "text") -> DataFrame:
-    """project_id, path, bean, class, properties: the beans of well-formed Spring XML files (null results of others are dropped)."""
-    safe = files.filter(F.col(text).rlike(r"(?s)<beans\b.*</beans>\s*$"))
-    tags = F.regexp_extract_all(text, F.lit(r"(?s)<bean\b[^>]*>"), F.lit(0))
-    at = lambda name: F.regexp_extract("tag", rf"(?s)\b{name}\s*=\s*\"([^\"]*)\"", 1)
-    return safe.select("project_id", "path", F.explode(tags).alias("tag")).select("project_id", "path", at("id").alias("bean"), at("class").alias("class")).filter("bean <> ''")
+def _named_beans(beans: DataFrame) -> DataFrame:
+    name = F.coalesce(F.nullif(F.when(F.col("type") == "alias", F.col("alias")).otherwise(F.col("id")), F.lit("")), F.nullif("name", F.lit("")))
+    rows = beans.withColumn("bean", name).filter("bean is not null")
+    return rows.groupBy("project_id", "bean").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("project_id", "bean")]), F.struct("path", "nth")).alias("b")).select("project_id", "bean", "b.*")

@@ -1,4 +1,8 @@
-"""File inventories: a recursive scan with ignore rules, scope, size gate, hash and classification."""
+"""File inventories: a listing in tasks, ignore rules, scope and size gate on names, then one read of what is left.
+
+The root's entries are listed on the driver; tasks list what is below them, hidden and empty files too, and do not enter
+folders that are never scanned. Contents are read in tasks after the filters.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.functions.paths import classify, ignored, ignored_by, in_scope, parse_status
+from terrane.functions.paths import IGNORED_DIRS, classify, ignored, ignored_by, in_scope, parse_status
+
+LISTED = "path string, relative string, size long, mtime timestamp"
 
 
 def project_id(root: str) -> str:
@@ -24,74 +30,97 @@ def allowed(root: str, prefixes: list[str]) -> bool:
     return not prefixes or any(path == PurePosixPath(p) or PurePosixPath(p) in path.parents for p in prefixes)
 
 
-def _hidden(spark: SparkSession, root: str) -> list[tuple]:
-    """path, length, modification time of files whose name begins with _ or ., which Spark's file sources leave out.
+def _system(path: str):
+    from pyarrow import fs
 
-    Only such names are listed here, a glob for each depth; files below hidden folders are not looked for.
-    """
-    api = spark._jvm.org.apache.hadoop.fs
-    fs, found, below = api.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()), [], ""
-    while True:
-        for s in fs.globStatus(api.Path(f"{root.rstrip('/')}{below}/{{_,.}}*")) or []:
-            if s.isFile():
-                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
-        below += "/*"
-        if not any(s.isDirectory() for s in fs.globStatus(api.Path(root.rstrip("/") + below)) or []):
-            return found
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def _entries(system, folder: str) -> list:
     from pyarrow import fs
 
-    for pdf in batches:
-        contents = []
-        for path, length, most in zip(pdf["path"], pdf["length"], pdf["most"], strict=True):
-            system, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-            contents.append(system.open_input_stream(place).read() if length <= most else None)
-        yield pdf.drop(columns="most").assign(content=contents)
+    found = system.get_file_info(fs.FileSelector(folder))
+    return [x for x in found if x.type != fs.FileType.Directory or x.base_name not in IGNORED_DIRS]
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, relative, size, mtime of every file below a root; folders named in IGNORED_DIRS are not entered."""
+    system, base = _system(root.rstrip("/"))
+    first = [(x.path,) for x in _entries(system, base)]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        here, _ = _system(root.rstrip("/"))
+        for pdf in batches:
+            rows, open_ = [], here.get_file_info(pdf["path"].tolist()) if len(pdf) else []
+            while open_:
+                x = open_.pop()
+                if x.type == fs.FileType.Directory:
+                    open_ += _entries(here, x.path)
+                elif x.type == fs.FileType.File:
+                    rows.append((x.path, x.path[len(base) :].lstrip("/"), x.size, x.mtime))
+            yield pd.DataFrame(rows, columns=["path", "relative", "size", "mtime"])
+
+    return spark.createDataFrame(first, "path string").repartition(max(1, len(first))).mapInPandas(walk, LISTED)
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """files with content; null, and readable false, where a file cannot be read."""
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = _system(root.rstrip("/"))
+        for pdf in batches:
+            said = []
+            for path in pdf["path"]:
+                try:
+                    with system.open_input_stream(path) as stream:
+                        said.append(stream.read())
+                except OSError:
+                    said.append(None)
+            yield pdf.assign(content=pd.Series(said, dtype=object, index=pdf.index), readable=[x is not None for x in said])
 
-def _files(spark: SparkSession, root: str, most_mb: int = 5) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    hidden = spark.createDataFrame(_hidden(spark, root), "path string, length long, ms long").select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", F.lit(most_mb << 20).alias("most"))
-    found = found.unionByName(hidden.mapInPandas(_read, "path string, modificationTime timestamp, length long, content binary"))
-    marker = root.split(":", 1)[-1].rstrip("/") + "/"
-    return found.withColumn("relative", F.substring(F.col("path"), F.instr("path", marker) + len(marker), F.lit(1 << 30)))
+    return files.mapInPandas(read, f"{LISTED}, content binary, readable boolean")
 
 
-def detect_version(spark: SparkSession, root: str) -> str:
+def detect_version(spark: SparkSession, root: str, files: DataFrame | None = None) -> str:
     """2.x or 3.x by application.properties, else build.gradle, else BuildConfig.groovy; else unknown."""
     names = ["application.properties", "build.gradle", "grails-app/conf/BuildConfig.groovy"]
-    files = _files(spark, root).filter(F.col("relative").isin(names))
+    files = contents((listing(spark, root) if files is None else files).filter(F.col("relative").isin(names)), root)
     number = F.regexp_extract(F.col("content").cast("string"), r"(?m)^\s*app\.grails\.version\s*[=:]\s*([23])\.", 1)
-    row = files.agg(F.max(F.when(F.col("relative") == names[0], number)).alias("n"), *[F.max((F.col("relative") == x).cast("int")).alias(a) for x, a in ((names[1], "gradle"), (names[2], "config"))]).first()
+    has = [F.max((F.col("relative") == x).cast("int")).alias(a) for x, a in ((names[1], "gradle"), (names[2], "config"))]
+    row = files.agg(F.max(F.when(F.col("relative") == names[0], number)).alias("n"), *has).first()
     if row["n"]:
         return f"{row['n']}.x"
     return "3.x" if row["gradle"] else "2.x" if row["config"] else "unknown"
 
 
-def scan(spark: SparkSession, root: str, version: str, scope: str = "full", patterns: tuple[str, ...] = (), most_mb: int = 5, project: str | None = None) -> DataFrame:
-    """project_id, path, size, mtime, content_hash, language, artifact_type, parse_status, content (null for oversize files).
+def scan(
+    spark: SparkSession, root: str, version: str, scope: str = "full", patterns: tuple[str, ...] = (), most_mb: int = 5, project: str | None = None, files: DataFrame | None = None
+) -> DataFrame:
+    """project_id, path, size, mtime, content_hash, language, artifact_type, parse_status, content (null for oversize and unreadable files).
 
-    Spark's file sources leave empty files out, so an empty file is in no inventory. Contents over the size limit are never read: the limit is a filter on length that the source applies first.
+    Rules, scope and size are applied to the listing; contents of other files are never read.
     """
-    files = _files(spark, root, most_mb)
-    kept = ~ignored(F.col("relative"), F.lit(version)) & ~ignored_by(F.col("relative"), list(patterns)) & in_scope(F.col("relative"), scope)
-    columns = [F.lit(project or project_id(root)).alias("project_id"), F.col("relative").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
-    small = files.filter(F.col("length") <= most_mb << 20).filter(kept).select(*columns, F.sha2("content", 256).alias("content_hash"), "content")
-    large = files.filter(F.col("length") > most_mb << 20).filter(kept).select(*columns, F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("binary").alias("content"))
-    named = classify(F.col("path"), F.lit(version))
-    out = small.unionByName(large).withColumn("_c", named)
-    return out.select("project_id", "path", "size", "mtime", "content_hash", "_c.language", "_c.artifact_type", parse_status(F.col("size"), F.lit(True), most_mb).alias("parse_status"), "content")
+    path = F.col("relative")
+    kept = (listing(spark, root) if files is None else files).filter(~ignored(path, F.lit(version)) & ~ignored_by(path, list(patterns)) & in_scope(path, scope))
+    small = contents(kept.filter(F.col("size") <= most_mb << 20), root)
+    large = kept.filter(F.col("size") > most_mb << 20).withColumns({"content": F.lit(None).cast("binary"), "readable": F.lit(True)})
+    out = small.unionByName(large).withColumn("_c", classify(path, F.lit(version)))
+    return out.select(
+        F.lit(project or project_id(root)).alias("project_id"), path.alias("path"), "size", "mtime", F.sha2("content", 256).alias("content_hash"),
+        "_c.language", "_c.artifact_type", parse_status(F.col("size"), F.col("readable"), most_mb).alias("parse_status"), "content",
+    )
 
 
-def ignore_patterns(spark: SparkSession, root: str) -> tuple[str, ...]:
-    """Lines of the root's ignore files (two small files, read by Spark)."""
-    files = _files(spark, root).filter(F.col("relative").isin(".gitignore", ".mcpignore")).orderBy("relative")
-    return tuple(line for r in files.select(F.col("content").cast("string").alias("text")).collect() for line in (r["text"] or "").splitlines())
+def ignore_patterns(spark: SparkSession, root: str, files: DataFrame | None = None) -> tuple[str, ...]:
+    """Lines of the root's two ignore files."""
+    files = (listing(spark, root) if files is None else files).filter(F.col("relative").isin(".gitignore", ".mcpignore"))
+    rows = contents(files, root).orderBy("relative").select(F.col("content").cast("string").alias("text")).collect()
+    return tuple(line for r in rows for line in (r["text"] or "").splitlines())
 
 
 def git_scope(root: str, revisions: str) -> str:
-    """files:A,B of the paths that changed in a range of revisions."""
-    out = subprocess.run(["git", "-C", root, "diff", "--name-only", revisions], capture_output=True, text=True, check=True)
-    return "files:" + ",".join(out.stdout.split())
+    """files:A\\0B of the paths that changed in a range of revisions."""
+    out = subprocess.run(["git", "-C", root, "diff", "--name-only", "-z", revisions], capture_output=True, text=True, check=True)
+    return "files:" + out.stdout.rstrip("\0")

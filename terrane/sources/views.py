@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from terrane.functions.text import line_of
 
-# Most characters of a page's static text, and of its copy in the properties.
-STATIC_CHARS, PROPERTY_CHARS = 5000, 500
-
 
 def attribute(tag: Column, name: str) -> Column:
     found = F.regexp_extract(tag, rf"(?s)(?<![\w:-]){name}\s*=\s*[\"']([^\"']*)[\"']", 1)
@@ -27,9 +24,9 @@ def tags(text: Column, prefixes: str = "g|f") -> Column:
 
 
 def static_text(text: Column) -> Column:
-    """What is left without scripts, code, expressions and tags, white space squeezed."""
+    """What is left of the whole page without scripts, code, expressions and tags, white space squeezed."""
     bare = F.regexp_replace(text, r"(?s)<%.*?%>|<(script|style)\b.*?</\1>|\$\{[^}]*\}|<!--.*?-->|<[^>]*>", " ")
-    return F.left(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit(STATIC_CHARS))
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def model_variables(text: Column) -> Column:
@@ -71,7 +68,7 @@ def parse_jsp(files: DataFrame, text: str = "text") -> DataFrame:
 def view_symbols(parsed: DataFrame, kind: Column, tag: str) -> DataFrame:
     """One symbol for each page."""
     name = F.substring_index("path", "/", -1)
-    shown = F.create_map(F.lit("static_text"), F.left("static_text", F.lit(PROPERTY_CHARS)), F.lit("el"), F.to_json("el"))
+    shown = F.create_map(F.lit("static_text"), F.col("static_text"), F.lit("el"), F.to_json("el"))
     return parsed.select(
         F.concat_ws(":", "project_id", F.lit(tag), "path").alias("id"), kind.alias("kind"), name.alias("name"), F.col("path").alias("fqn"), F.col("path").alias("file_path"), F.lit(1).cast("long").alias("line_start"),
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line_end"), F.lit(tag).alias("language"), "project_id", F.lit("").alias("docstring"), F.col("content_hash").alias("source_hash"), shown.alias("properties"),
