@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +9,15 @@ from terrane.functions import paths, text
 from terrane.operators import diff, graph, resolve, retrieval, templates
 from terrane.operators.store import latest
 from terrane.plans.bindings import PROJECT, edges, oracle_prelude, symbols
+from terrane.plans.registry import ORACLE, QUERIES, query, table
 from terrane.sources import configs, views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 NODE = ["id", "kind", "name"]
 KG = oracle_prelude()
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict:
+    """Those of this module and of the modules imported at its end."""
     return dict(QUERIES)
 
 
@@ -37,15 +25,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- inventory: documents now against an earlier snapshot (ids that end in 0 were not there, every seventh differs, some are gone)
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = _table(spark, sf_dir, "documents").select(F.lit(PROJECT).alias("project_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "doc_id", F.sha2("text", 256).alias("content_hash"))
+    docs = table(spark, sf_dir, "documents").select(F.lit(PROJECT).alias("project_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "doc_id", F.sha2("text", 256).alias("content_hash"))
     then = docs.filter("doc_id % 10 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
     gone = docs.filter("doc_id % 50 = 1").withColumn("path", F.concat("path", F.lit(".old")))
     return docs, then.unionByName(gone)
@@ -88,23 +72,30 @@ PATHS = [
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(p) for p in PATHS])
     path = F.replace(F.element_at(kinds, (F.col("event_id") % len(PATHS) + 1).cast("int")), F.lit("{}"), F.concat(F.col("event_type"), F.col("user_id").cast("string")))
-    return _table(spark, sf_dir, "events").select("event_id", path.alias("path"), F.when(F.col("user_id") % 3 == 0, "2.x").when(F.col("user_id") % 3 == 1, "3.x").otherwise("unknown").alias("version"))
+    return table(spark, sf_dir, "events").select("event_id", path.alias("path"), F.when(F.col("user_id") % 3 == 0, "2.x").when(F.col("user_id") % 3 == 1, "3.x").otherwise("unknown").alias("version"))
 
 
 PATHS_SQL = "paths AS (SELECT event_id, replace([" + ", ".join(f"'{p}'" for p in PATHS) + f"][CAST(event_id % {len(PATHS)} + 1 AS INTEGER)], '{{}}', concat(event_type, user_id)) AS path, CASE user_id % 3 WHEN 0 THEN '2.x' WHEN 1 THEN '3.x' ELSE 'unknown' END AS version FROM events)"
 
 
-def _rule_sql(prefix: str, pattern: str | None, kind: str, own: str | None) -> str:
-    parts = [f"version = '{own}'"] if own else []
-    if pattern is None:
-        parts.append(f"lower(path) = '{prefix}'")
-    else:
-        like = pattern.replace("_", r"\_").replace("*", "%")
-        parts += [f"starts_with(lower(path), '{prefix}')", f"regexp_extract(lower(path), '[^/]*$') LIKE '{like}' ESCAPE '\\'"]
-    return f"WHEN {' AND '.join(parts)} THEN '{kind}'"
-
-
-CLASSIFY_SQL = "CASE " + " ".join([_rule_sql(p, q, k, None) for p, q, k, _ in paths.COMMON_RULES] + [_rule_sql(p, q, k, v) for v, rules in paths.VERSION_RULES.items() for p, q, k, _ in rules]) + " ELSE 'unknown' END"
+#: The rules that PATHS can meet, written out by hand: common ones first, then those of the version.
+CLASSIFY_SQL = """CASE
+    WHEN regexp_matches(lower(path), '(^|/)[.]gitignore$') THEN 'gitignore'
+    WHEN regexp_matches(lower(path), '^grails-app/controllers/(.*/)?[^/]*controller[.]groovy$') THEN 'grails_controller'
+    WHEN regexp_matches(lower(path), '^grails-app/services/(.*/)?[^/]*service[.]groovy$') THEN 'grails_service'
+    WHEN regexp_matches(lower(path), '^grails-app/domain/(.*/)?[^/]*[.]groovy$') THEN 'grails_domain'
+    WHEN lower(path) = 'grails-app/conf/urlmappings.groovy' THEN 'grails_urlmappings'
+    WHEN regexp_matches(lower(path), '^grails-app/views/layouts/(.*/)?[^/]*[.]gsp$') THEN 'gsp_layout'
+    WHEN regexp_matches(lower(path), '^grails-app/views/(.*/)?_[^/]*[.]gsp$') THEN 'gsp_template'
+    WHEN regexp_matches(lower(path), '^grails-app/views/(.*/)?[^/]*[.]gsp$') THEN 'gsp_view'
+    WHEN lower(path) LIKE '%.jspf' THEN 'jsp_include'
+    WHEN lower(path) LIKE '%.java' THEN 'plain_java'
+    WHEN lower(path) LIKE '%.xml' THEN 'xml_config'
+    WHEN lower(path) LIKE '%.properties' THEN 'properties_config'
+    WHEN version = '2.x' AND lower(path) = 'grails-app/conf/config.groovy' THEN 'grails_config'
+    WHEN version = '3.x' AND lower(path) LIKE '%.yml' THEN 'yaml_config'
+    WHEN version IN ('2.x', '3.x') AND lower(path) LIKE '%.groovy' THEN 'plain_groovy'
+    ELSE 'unknown' END"""
 
 
 @query(f"WITH {PATHS_SQL} SELECT event_id, {CLASSIFY_SQL} AS artifact_type FROM paths")
@@ -125,7 +116,7 @@ def ignore_filter(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN n_chars * 1024 > 5 * 1048576 THEN 'skipped_size' ELSE 'pending' END AS parse_status FROM documents")
 def size_gate(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", paths.parse_status(F.col("n_chars") * 1024, F.lit(True)).alias("parse_status"))
+    return table(spark, sf_dir, "documents").select("doc_id", paths.parse_status(F.col("n_chars") * 1024, F.lit(True)).alias("parse_status"))
 
 
 # --- graph templates
@@ -144,8 +135,7 @@ def _ends(at: str, id: str, *types: str) -> str:
     return f"id IN (SELECT {other} FROM edges WHERE {at} = '{id}' AND type IN ({', '.join(repr(t) for t in types)})) ORDER BY id"
 
 
-_template("find_symbol", f"project_id = '{PROJECT}' AND (contains(fqn, '#00000001') OR name = 'ASIA') ORDER BY id LIMIT 20", pid=PROJECT, q="#00000001")
-ORACLE["symbol_find"] = ORACLE["symbol_find"].replace("'ASIA'", "'#00000001'")
+_template("find_symbol", f"project_id = '{PROJECT}' AND (contains(fqn, '#00000001') OR name = '#00000001') ORDER BY id LIMIT 20", pid=PROJECT, q="#00000001")
 _template("callers_of", _ends("target_id", "customer:7", "CALLS") + " LIMIT 50", id="customer:7")
 _template("callees_of", _ends("source_id", "order:11", "CALLS") + " LIMIT 50", id="order:11")
 _template("file_symbols", f"project_id = '{PROJECT}' AND file_path = 'nation'", pid=PROJECT, fp="nation")
@@ -206,14 +196,14 @@ def dangling_sweep(spark, sf_dir):
 def hint_map(spark, sf_dir):
     """Hints `customer:...|prio:...|flag|uri:a:b`: a part without a key counts for nothing, values keep later colons."""
     hints = F.concat_ws("|", F.lit("prio:none"), F.concat(F.lit("customer:Customer#"), F.col("o_custkey")), F.concat(F.lit("prio:"), F.col("o_orderpriority")), F.lit("flag"), F.when(F.col("o_orderkey") % 2 == 0, "uri:a:b"))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", *[text.hint(hints, k).alias(k) for k in ("customer", "prio", "uri")])
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[text.hint(hints, k).alias(k) for k in ("customer", "prio", "uri")])
 
 
 def _hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge for each order and supplier: by full name, by simple name, by a part's ambiguous name, or none."""
     kind = F.col("l_orderkey") % 4
     wanted = F.when(kind == 0, F.concat(F.lit("type:supplier."), F.col("s_name"))).when(kind == 1, F.concat(F.lit("type:"), F.col("s_name"))).when(kind == 2, F.concat(F.lit("type:"), F.col("p_name"))).otherwise("other:x")
-    rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.concat(F.lit("order:"), "l_orderkey").alias("source_id"), F.lit(None).cast("string").alias("target_id"), wanted.alias("target_hint"), F.lit("USES_TYPE").alias("type"), F.lit("orders").alias("file_path"), F.lit(None).cast("string").alias("confidence"))
 
 
@@ -232,8 +222,8 @@ def resolve_tiers(spark, sf_dir):
     FROM e LEFT JOIN v a ON a.path = concat('grails-app/views/', controller, '/', view, '.gsp') LEFT JOIN v b ON b.path = concat('grails-app/views/', view, '.gsp') LEFT JOIN v s ON s.short = view
 """)
 def render_candidates(spark, sf_dir):
-    pages = _table(spark, sf_dir, "nation").select(F.concat(F.lit("view:"), "n_nationkey").alias("id"), F.concat(F.lit("grails-app/views/"), F.when(F.col("n_nationkey") % 2 == 0, "building/").otherwise(""), F.lit("n"), "n_nationkey", F.lit(".gsp")).alias("file_path"), F.lit("gsp_view").alias("kind"))
-    wanted = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("view:n"), "c_nationkey", F.lit("|controller:"), "c_mktsegment").alias("target_hint"), F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("string").alias("confidence"))
+    pages = table(spark, sf_dir, "nation").select(F.concat(F.lit("view:"), "n_nationkey").alias("id"), F.concat(F.lit("grails-app/views/"), F.when(F.col("n_nationkey") % 2 == 0, "building/").otherwise(""), F.lit("n"), "n_nationkey", F.lit(".gsp")).alias("file_path"), F.lit("gsp_view").alias("kind"))
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("view:n"), "c_nationkey", F.lit("|controller:"), "c_mktsegment").alias("target_hint"), F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("string").alias("confidence"))
     return resolve.resolve_renders(wanted, pages).select("c_custkey", "target_id", "confidence")
 
 
@@ -242,26 +232,26 @@ def render_candidates(spark, sf_dir):
 
 @query("SELECT event_id, concat(CASE WHEN event_id % 5 = 0 THEN 'Api_Token_' ELSE 'value_' END, 'k') AS key, CASE WHEN event_id % 5 = 0 THEN '[REDACTED]' ELSE json_extract_string(props, '$.k') END AS value FROM events")
 def flatten_redact_config(spark, sf_dir):
-    keys = configs.json_keys(_table(spark, sf_dir, "events"), "props", "event_id")
+    keys = configs.json_keys(table(spark, sf_dir, "events"), "props", "event_id")
     named = keys.withColumn("key", F.concat(F.when(F.col("event_id") % 5 == 0, "Api_Token_").otherwise("value_"), "key"))
     return named.select("event_id", "key", text.redacted(F.col("key"), F.col("value")).alias("value"))
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
 def html_links(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
 @query("SELECT page_id, CASE WHEN instr(html, '<article>') = 0 THEN 1 ELSE CAST(length(left(html, instr(html, '<article>') - 1)) - length(replace(left(html, instr(html, '<article>') - 1), chr(10), '')) + 1 AS BIGINT) END AS line FROM pages")
 def line_number(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", text.line_of(F.col("html"), F.lit("<article>")).alias("line"))
+    return table(spark, sf_dir, "pages").select("page_id", text.line_of(F.col("html"), F.lit("<article>")).alias("line"))
 
 
-@query("SELECT doc_id, left(text, 2000) AS chunk FROM documents WHERE text <> ''")
+@query("SELECT doc_id, i AS nth, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS chunk FROM (SELECT doc_id, text, CAST(unnest(generate_series(0, (length(text) - 1) // 2000)) AS INTEGER) AS i FROM documents WHERE text <> '')")
 def chunk_docs(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("p").alias("project_id"), F.lit("gsp_view").alias("kind"), F.lit("f").alias("file_path"), F.lit(1).alias("line_start"), F.lit("").alias("docstring"), F.create_map(F.lit("static_text"), F.col("text")).alias("properties"))
-    return retrieval.chunks(rows).select(F.col("symbol_id").cast("long").alias("doc_id"), F.col("text").alias("chunk"))
+    return retrieval.chunks(rows).select(F.col("symbol_id").cast("long").alias("doc_id"), F.substring_index("chunk_id", "_", -1).cast("int").alias("nth"), F.col("text").alias("chunk"))
 
 
 # --- retrieval
@@ -278,28 +268,35 @@ def _distance_sql(where: str) -> str:
 
 @query(_distance_sql("true"))
 def vector_topk(spark, sf_dir):
-    return retrieval.search(_table(spark, sf_dir, "embeddings"), _probe(), 10, id="vec_id").select("vec_id", F.round("distance", 5).alias("distance"))
+    return retrieval.search(table(spark, sf_dir, "embeddings"), _probe(), 10, id="vec_id").select("vec_id", F.round("distance", 5).alias("distance"))
 
 
 @query(_distance_sql("label = 3"))
 def filtered_topk(spark, sf_dir):
-    return retrieval.search(_table(spark, sf_dir, "embeddings"), _probe(), 10, F.col("label") == 3, "vec_id").select("vec_id", F.round("distance", 5).alias("distance"))
+    return retrieval.search(table(spark, sf_dir, "embeddings"), _probe(), 10, F.col("label") == 3, "vec_id").select("vec_id", F.round("distance", 5).alias("distance"))
 
 
-INTENT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{'|'.join(p)}') THEN '{i}'" for i, p in text.INTENTS.items()) + " ELSE 'Logic' END"
+#: The intents' patterns in their order, written out by hand.
+INTENT_SQL = """CASE
+    WHEN regexp_matches(lower(q), 'where is|which file|find the|where does|location of|file for') THEN 'Location'
+    WHEN regexp_matches(lower(q), 'what calls|who uses|what breaks if|callers of|impact of changing|dependents of') THEN 'Impact'
+    WHEN regexp_matches(lower(q), 'trace|follow|from request to|end to end|flow of|request flow|execution path') THEN 'Trace'
+    WHEN regexp_matches(lower(q), 'what injects|what renders|what does .* use|depends on|relationship between|connected to') THEN 'Relation'
+    WHEN regexp_matches(lower(q), 'list all|show all|what controllers|what services|what domains|how many|enumerate') THEN 'Discovery'
+    ELSE 'Logic' END"""
 OPENINGS = ["Where is ", "What calls ", "Trace the flow of ", "what does the page use ", "List all ", "How does it ", ""]
 
 
 @query("WITH t AS (SELECT conv_id, turn, concat([" + ", ".join(f"'{o}'" for o in OPENINGS) + f"][CAST(conv_id % {len(OPENINGS)} + 1 AS INTEGER)], text) AS q FROM conversations WHERE role = 'user') SELECT conv_id, turn, {INTENT_SQL} AS intent FROM t")
 def route_questions(spark, sf_dir):
     asked = F.concat(F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), (F.col("conv_id") % len(OPENINGS) + 1).cast("int")), F.col("text"))
-    return retrieval.routed(_table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("text", asked)).select("conv_id", "turn", "intent")
+    return retrieval.routed(table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("text", asked)).select("conv_id", "turn", "intent")
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+(?:[A-Z][a-z]+)*')) AS INTEGER) AS symbols, CAST(len(regexp_extract_all(text, '/[A-Za-z0-9_/.-]+/')) AS INTEGER) AS paths FROM documents")
 def extract_entities(spark, sf_dir):
     e = text.entities(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(e["symbol_names"]).alias("symbols"), F.size(e["file_paths"]).alias("paths"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(e["symbol_names"]).alias("symbols"), F.size(e["file_paths"]).alias("paths"))
 
 
 @query(f"{KG}, hit AS (SELECT source_id AS id, 0 AS ord FROM edges WHERE type = 'CALLS' AND target_id = 'customer:7' UNION ALL SELECT source_id, 1 FROM edges WHERE type = 'INJECTS' AND target_id = 'nation:2'), best AS (SELECT id, min(ord) AS ord FROM hit GROUP BY id) SELECT id, kind, CAST(ord AS INTEGER) AS template FROM symbols JOIN best USING (id) ORDER BY ord, id LIMIT 50")
@@ -315,15 +312,19 @@ def context_pack(spark, sf_dir):
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def run_log_latest(spark, sf_dir):
-    log = _table(spark, sf_dir, "events").withColumn("order", F.struct("ts", "event_id"))
+    log = table(spark, sf_dir, "events").withColumn("order", F.struct("ts", "event_id"))
     return latest(log, ["user_id"], "order").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT user_id, max(ts) AS last_indexed_at FROM events GROUP BY user_id ORDER BY 2 DESC, 1")
 def list_projects(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_indexed_at")).orderBy(F.col("last_indexed_at").desc(), "user_id")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_indexed_at")).orderBy(F.col("last_indexed_at").desc(), "user_id")
 
 
-@query(rf"SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 5000) AS static_text FROM pages")
+@query(rf"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS static_text FROM pages")
 def static_text(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", views.static_text(F.col("html")).alias("static_text"))
+    return table(spark, sf_dir, "pages").select("page_id", views.static_text(F.col("html")).alias("static_text"))
+
+
+# Their queries register themselves.
+from terrane.plans import extraction, serving  # noqa: E402, F401

@@ -57,10 +57,10 @@ def parse_jsp(files: DataFrame, text: str = "text") -> DataFrame:
     """files with actions, directives, includes, forwards, taglibs, scriptlets, expressions, el, static_text."""
     t = F.col(text)
     page = lambda what: F.transform(_all(t, rf"(?s)<jsp:{what}\b[^>]*>"), lambda x: F.struct(attribute(x, "page").alias("target"), line_of(t, x).alias("line")))
-    directive = lambda what, key: F.transform(_all(t, rf"(?s)<%@\s*{what}\b.*?%>"), lambda x: F.struct(attribute(x, key).alias("target"), line_of(t, x).alias("line")))
+    directive = lambda what, key: F.transform(_all(t, rf"(?s)<%@\s*{what}\b.*?%>"), lambda x: F.struct(attribute(x, key).alias("target"), line_of(t, x).alias("line"), F.coalesce(attribute(x, "prefix"), F.lit("")).alias("prefix")))
     kept = lambda rows: F.filter(rows, lambda x: x["target"].isNotNull())
     return files.withColumns({
-        "actions": tags(t, "jsp"), "directives": _all(t, r"(?s)<%@\s*(\w+)", 1), "includes": kept(F.concat(page("include"), directive("include", "file"))), "forwards": kept(page("forward")),
+        "actions": tags(t, "jsp"), "directives": _all(t, r"(?s)<%@\s*(\w+)", 1), "includes": kept(F.concat(page("include"), F.transform(directive("include", "file"), lambda x: F.struct(x["target"].alias("target"), x["line"].alias("line"))))), "forwards": kept(page("forward")),
         "taglibs": kept(directive("taglib", "uri")), "scriptlets": _all(t, r"(?s)<%(?![@=!-])(.*?)%>", 1), "expressions": _all(t, r"(?s)<%=(.*?)%>", 1), "el": _all(t, r"\$\{([^}]*)\}", 1), "static_text": static_text(t),
     })
 
@@ -96,6 +96,6 @@ def gsp_edges(parsed: DataFrame) -> DataFrame:
 
 def jsp_edges(parsed: DataFrame) -> DataFrame:
     hinted = lambda key: F.concat(F.lit(f"{key}:"), F.col("x.target"))
-    out = _edges(parsed, "jsp", F.col("includes"), "JSP_INCLUDES", hinted("page"))
-    out = out.unionByName(_edges(parsed, "jsp", F.col("forwards"), "JSP_FORWARDS", hinted("page")))
-    return out.unionByName(_edges(parsed, "jsp", F.col("taglibs"), "USES_TAGLIB", hinted("uri")))
+    out = _edges(parsed, "jsp", F.col("includes"), "JSP_INCLUDES", hinted("include"))
+    out = out.unionByName(_edges(parsed, "jsp", F.col("forwards"), "JSP_FORWARDS", hinted("forward")))
+    return out.unionByName(_edges(parsed, "jsp", F.col("taglibs"), "USES_TAGLIB", F.concat_ws(":", F.lit("taglib"), "x.prefix", "x.target")))
