@@ -1,15 +1,18 @@
 """Main text of web pages by site style trees.
 
 Each page becomes a tree; pages of a host are merged into one style tree, whose nodes are paths of elements with
-their presentation (tag, class, id, role). Spark counts, for each node of a host, the different pages (copies, of the
-same blocks, are one page) and the different presentations of its children and the different contents below it. A node's importance is an entropy: of the
-presentations of an element (how differently its children are laid out), and of the contents of the blocks below it
-over the host's pages. A branch whose content hardly varies over a host is a template and goes. Elements whose name or
-attributes say what they are (navigation, advert, form, comments ...) go on any host, also one with a single page.
-`article` and `main` are a prior: a branch within them goes only at half the importance, and where some of their text
-stays, what is outside them goes.
-
-A host may have a third of all pages: nodes are counted by (host, node) with partial sums, no host is gathered.
+their presentation (tag, class, id). Spark counts, for each node of a host, the different pages (copies, of the same
+blocks, are one page), the different presentations of its children and the different contents below it. A node's
+importance is an entropy: of the presentations of an element (how differently its children are laid out), and of the
+contents of the blocks below it over the host's pages. A branch whose content hardly varies over a host is a template
+and goes. What the tree cannot tell, a reader's comment that differs on every page or a host with a single page, is told
+by fixed values: elements of some tags, hidden ones, and those with a boilerplate word among their class, id or role go
+on any host, inline ones too; but no word removes `html`, `body` or an element around the page's first article or main.
+`article` and `main` are a prior: a branch within them goes only at half the importance, and where their text is at
+least `main_share` of all that stays, what is outside them goes.
+
+A host may have a third of all pages: nodes are counted by (host, node) with partial sums, no host is gathered, and of
+the nodes that go only the topmost ones travel to the host's pages.
 
 Defined results: null or empty html, and pages without main text, give an empty text; broken html is read as far
 as it goes, open elements end with the page; an unreadable url is a host of its own ('' for null); repeated rows are
@@ -30,33 +33,55 @@ from pyspark.sql import functions as F
 from terrane.llm.common import materialize
 
 # Elements without an end tag; elements that never hold main text; elements that end a block;
-# elements that an open p does not survive; words of class, id or role that name boilerplate.
+# elements that an open p does not survive; words of class, id or role that name boilerplate; words before one of them
+# that say that an element only has it.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = {"head", "title", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "object", "menu", "dialog"}
 BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "dd", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "header", "hgroup", "details", "summary"} | NEVER
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILERPLATE = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "contentinfo", "search"}
+HAVING = {"has", "have", "with", "without", "no", "is", "layout"}
+
+
+class _Element:
+    """An open element: its presentation, whether a word names it boilerplate, and whether it surrounds the page's first article or main."""
+
+    __slots__ = ("around", "hard", "main", "named", "shown", "tag")
+
+    def __init__(self, tag: str, shown: str, hard: bool, named: bool) -> None:
+        self.tag, self.shown, self.hard, self.named, self.main, self.around = tag, shown, hard, named, tag in ("article", "main"), False
+
+
+def _names_boilerplate(value: str) -> bool:
+    """Whether a class, id or role has a boilerplate word that no word like `has` stands before."""
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[^a-z]+", token) if w]
+        if any(w in BOILERPLATE and not (i and words[0] in HAVING) for i, w in enumerate(words)):
+            return True
+    return False
 
 
 class _Reader(HTMLParser):
-    """Blocks of a page: (path of presentations, text), with path elements `tag.class#id`."""
+    """Blocks of a page: (open elements, text), with presentations `tag.class#id`."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []
-        self.blocks: list[tuple[tuple[str, ...], bool, bool, str]] = []
+        self.stack: list[_Element] = []
+        self.blocks: list[tuple[tuple[_Element, ...], str]] = []
         self.parts: list[str] = []
+        self.found_main = False
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            self.blocks.append((tuple(s[1] for s in self.stack if s[0] in BLOCKS), any(s[2] for s in self.stack), any(s[3] for s in self.stack), text))
+            self.blocks.append((tuple(self.stack), text))
 
     def _pop(self, upto: int) -> None:
         while len(self.stack) > upto:
-            if self.stack[-1][0] in BLOCKS:
+            last = self.stack[-1]
+            if last.tag in BLOCKS or last.named or last.hard:
                 self._flush()
             self.stack.pop()
 
@@ -67,33 +92,38 @@ class _Reader(HTMLParser):
             return
         if tag in ENDS_P:
             for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "p":
+                if self.stack[i].tag == "p":
                     self._pop(i)
                     break
-                if self.stack[i][0] in BLOCKS - {"p"}:
+                if self.stack[i].tag in BLOCKS - {"p"}:
                     break
         elif tag in SAME:
             for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in SAME[tag]:
+                if self.stack[i].tag in SAME[tag]:
                     self._pop(i)
                     break
-                if self.stack[i][0] in {"ul", "ol", "dl", "table"}:
+                if self.stack[i].tag in {"ul", "ol", "dl", "table"}:
                     break
-        if tag in BLOCKS:
-            self._flush()
         known = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
-        named = {w for v in known.values() for w in re.split(r"[^a-z]+", v.lower())}
-        within = bool(self.stack and any(s[0] in ("article", "main") for s in self.stack))
-        bad = tag in NEVER or bool(named & BOILERPLATE) or (tag == "header" and not within) or any(k == "hidden" for k, _ in attrs)
+        within = any(e.main for e in self.stack)
+        unseen = any(k == "hidden" or k == "style" and re.search(r"display\s*:\s*none", v or "") for k, v in attrs)
+        hard = tag in NEVER or (tag == "header" and not within) or unseen
+        named = tag not in ("html", "body") and any(map(_names_boilerplate, known.values()))
+        if tag in BLOCKS or hard or named:
+            self._flush()
         shown = tag + "".join(f".{c}" for c in sorted(known.get("class", "").split())) + (f"#{known['id']}" if known.get("id") and not re.search(r"\d", known["id"]) else "")
-        self.stack.append((tag, shown, bad, tag in ("article", "main")))
+        self.stack.append(_Element(tag, shown, hard, named))
+        if self.stack[-1].main and not self.found_main and not named:
+            self.found_main = True
+            for e in self.stack[:-1]:
+                e.around = True
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 self._pop(i)
                 return
-            if self.stack[i][0] in ("article", "body", "td") and tag not in ("article", "body", "html", "table", "tr", "main", "section", "div"):
+            if self.stack[i].tag in ("article", "body", "td") and tag not in ("article", "body", "html", "table", "tr", "main", "section", "div"):
                 return
 
     def handle_data(self, data: str) -> None:
@@ -107,14 +137,17 @@ def read(html: str | None) -> list[tuple[tuple[str, ...], bool, bool, str]]:
     reader.close()
     reader._pop(0)
     reader._flush()
-    return reader.blocks
+    return [
+        (tuple(e.shown for e in open_ if e.tag in BLOCKS), any(e.hard or e.named and not e.around for e in open_), any(e.main for e in open_), text)
+        for open_, text in reader.blocks
+    ]
 
 
 def _key(path: tuple[str, ...]) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(path)) - (1 << 63)
 
 
-SHAPE = "host string, page long, node long, child long, content long"
+SHAPE = "host string, page long, parent long, node long, child long, content long"
 
 
 def _hash(parts: list[str]) -> int:
@@ -136,48 +169,59 @@ def style_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         children.append(path[depth])
                     texts.append(text)
             for path, (children, texts) in below.items():
-                rows.add((host, page, _key(path), _hash(children), _hash(texts)))
-        yield pd.DataFrame(list(rows), columns=["host", "page", "node", "child", "content"])
+                rows.add((host, page, _key(path[:-1]), _key(path), _hash(children), _hash(texts)))
+        yield pd.DataFrame(list(rows), columns=["host", "page", "parent", "node", "child", "content"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, node, pages (different ones), importance: entropies to the base of the number of pages, from 0 (the same everywhere) to 1."""
+    """host, node, parent, pages (different ones), importance: entropies to the base of the number of pages, from 0 (the same everywhere) to 1."""
     nodes = materialize(pages.select("host", "html").mapInPandas(style_nodes, SHAPE).distinct(), "style-nodes")
 
     def entropy(by: str) -> DataFrame:
-        counts = nodes.groupBy("host", "node", by).agg(F.count("*").alias("n"))
-        return counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
+        counts = nodes.groupBy("host", "parent", "node", by).agg(F.count("*").alias("n"))
+        return counts.groupBy("host", "parent", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
 
     bits = F.when(F.col("pages") > 1, (F.log("pages") - F.col("weighted") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-    content = entropy("content").select("host", "node", "pages", bits.alias("content"))
+    content = entropy("content").select("host", "node", "parent", "pages", bits.alias("content"))
     style = entropy("child").select("host", "node", bits.alias("style"))
-    return content.join(style, ["host", "node"]).select("host", "node", "pages", F.greatest("content", "style").alias("importance"))
+    return content.join(style, ["host", "node"]).select("host", "node", "parent", "pages", F.greatest("content", "style").alias("importance"))
+
+
+def topmost(low: DataFrame) -> DataFrame:
+    """Nodes (host, node, parent) whose parent is not among them: what is below goes with it."""
+    above = low.select("host", F.col("node").alias("parent"))
+    return low.join(above, ["host", "parent"], "left_anti").select("host", "node")
 
 
-def extract(pages: DataFrame, least_pages: int = 8, low: float = 0.35, low_main: float = 0.175, broadcast_nodes: int = 1_000_000) -> DataFrame:
+def main_text(html: str | None, gone: set[int], gone_main: set[int], main_share: float) -> str:
+    """The text of a page without the branches of `gone`, within article or main of `gone_main`."""
+    kept = []
+    for path, bad, main, text in read(html):
+        low = gone_main if main else gone
+        if not bad and not (low and any(_key(path[:d]) in low for d in range(1, len(path) + 1))):
+            kept.append((main, text))
+    if sum(len(t) for m, t in kept if m) >= main_share * sum(len(t) for _, t in kept):
+        kept = [x for x in kept if x[0]] or kept
+    return " ".join(t for _, t in kept)
+
+
+def extract(pages: DataFrame, least_pages: int = 8, low: float = 0.35, low_main: float = 0.175, main_share: float = 0.2, broadcast_nodes: int = 1_000_000) -> DataFrame:
     """page_id, url, text, n_chars. A branch is low if at least `least_pages` different pages of the host have it and its importance is under `low`, within article or main under `low_main`."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     sources = pages.select("page_id", "url", "html", host.alias("host"))
-    low_nodes = importance(sources).filter((F.col("pages") >= least_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("node").alias("low_nodes"), F.collect_set(F.when(F.col("importance") < low_main, F.col("node"))).alias("low_main_nodes"))
-    low_nodes = materialize(low_nodes, "style-trees")
-    # Low nodes of a host are paths of its templates; the join adds two arrays to each page. They are broadcast only
+    judged = materialize(importance(sources).filter((F.col("pages") >= least_pages) & (F.col("importance") < low)), "style-low")
+    every = topmost(judged).withColumn("main", F.lit(False)).unionByName(topmost(judged.filter(F.col("importance") < low_main)).withColumn("main", F.lit(True)))
+    of = lambda main: F.collect_set(F.when(F.col("main") == main, F.col("node")))
+    low_nodes = materialize(every.groupBy("host").agg(of(False).alias("low_nodes"), of(True).alias("low_main_nodes")), "style-trees")
+    # Low nodes of a host are the tops of its templates; the join adds two arrays to each page. They are broadcast only
     # where they are few; beyond that pages are shuffled by host (and a large host is split by the skew join).
     few = low_nodes.agg(F.coalesce(F.sum(F.size("low_nodes") + F.size("low_main_nodes") + 8), F.lit(0)).alias("n")).first()["n"] <= broadcast_nodes
     joined = sources.join(F.broadcast(low_nodes) if few else low_nodes, "host", "left")
 
     @F.pandas_udf("string")
-    def main_text(htmls: pd.Series, lows: pd.Series, low_mains: pd.Series) -> pd.Series:
-        texts = []
-        for html, nodes, main_nodes in zip(htmls, lows, low_mains, strict=True):
-            gone = {False: set() if nodes is None else set(nodes), True: set() if main_nodes is None else set(main_nodes)}
-            kept = []
-            for path, bad, main, text in read(html):
-                if not bad and not (gone[main] and any(_key(path[:d]) in gone[main] for d in range(1, len(path) + 1))):
-                    kept.append((main, text))
-            if any(m for m, _ in kept):
-                kept = [x for x in kept if x[0]]
-            texts.append(" ".join(t for _, t in kept))
-        return pd.Series(texts, dtype=object)
-
-    out = joined.select("page_id", "url", main_text.asNondeterministic()("html", "low_nodes", "low_main_nodes").alias("text"))
+    def texts(htmls: pd.Series, lows: pd.Series, low_mains: pd.Series) -> pd.Series:
+        each = zip(htmls, lows, low_mains, strict=True)
+        return pd.Series([main_text(h, set() if a is None else set(a), set() if b is None else set(b), main_share) for h, a, b in each], dtype=object)
+
+    out = joined.select("page_id", "url", texts.asNondeterministic()("html", "low_nodes", "low_main_nodes").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -184,6 +184,41 @@ def similar_classes(rows: list[tuple], least: float = 0.8, shingle: int = 5) ->
     return [root(i) for i in range(len(rows))]
 
 
+def page_texts(pages: list[tuple], read, least_pages: int = 8, low: float = 0.35, low_main: float = 0.175, main_share: float = 0.2) -> list[str]:
+    """(url, html) -> text: style trees as dictionaries of each host's different pages; `read` gives a page's blocks."""
+    hosts, trees = [], defaultdict(lambda: defaultdict(dict))
+    for url, html in pages:
+        found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url or "")
+        hosts.append(found[1].lower() if found else "")
+        blocks = read(html)
+        page = tuple((path, text) for path, _, _, text in blocks)
+        for path, _, _, _ in blocks:
+            for d in range(1, len(path) + 1):
+                below = [(p, t) for p, t in page if p[:d] == path[:d]]
+                children = []
+                for p, _ in below:
+                    if len(p) > d and children[-1:] != [p[d]]:
+                        children.append(p[d])
+                trees[hosts[-1]][path[:d]][page] = (tuple(children), tuple(t for _, t in below))
+    importance: dict = {}
+    for host, nodes in trees.items():
+        for path, seen in nodes.items():
+            n = len(seen)
+            entropy = lambda k: -sum(c / n * math.log(c / n) for c in Counter(x[k] for x in seen.values()).values()) / math.log(n) if n > 1 else 1.0  # noqa: B023, E731
+            importance[host, path] = (n, max(entropy(0), entropy(1)))
+    out = []
+    for host, (_, html) in zip(hosts, pages, strict=True):
+        kept = []
+        for path, bad, main, text in read(html):
+            tops = [importance[host, path[:d]] for d in range(1, len(path) + 1)]
+            if not bad and not any(n >= least_pages and i < (low_main if main else low) - 1e-12 for n, i in tops):
+                kept.append((main, text))
+        if sum(len(t) for m, t in kept if m) >= main_share * sum(len(t) for _, t in kept):
+            kept = [x for x in kept if x[0]] or kept
+        out.append(" ".join(t for _, t in kept))
+    return out
+
+
 def repeats(rows: list[tuple], window: int = 13) -> list[tuple]:
     words = [SPACE.findall(t or "") for _, t in rows]
     first: dict = {}

@@ -283,6 +283,34 @@ def test_html_pages(spark, odd_dir, empty_dir):
     assert result(spark, empty_dir, "op7_html") == []
 
 
+def test_html_against_plain_style_trees(spark, folder):
+    from terrane.llm.html import read
+
+    pages = [r for r in rows(spark, folder, "pages", "page_id", "url", "html") if len(r[2] or "") < 10_000 or folder.startswith("/root")]
+    want = Counter((i, u, t) for (i, u, _), t in zip(pages, brute.page_texts([p[1:] for p in pages], read), strict=True))
+    from terrane.llm.html import extract
+
+    got = extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect() if pages else []
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in got) == want
+
+
+def test_html_wrappers_inline_adverts_and_small_articles(spark):
+    """Class words on wrappers empty no page; flagged inline elements go; a teaser in an article does not hide the page."""
+    from terrane.llm.html import extract
+
+    long = "A long story that goes on and on without any article element around it. " * 5
+    pages = {
+        1: ("<body class='has-sidebar'><div class='layout-sidebar'><article><p>Story one.</p></article></div><div class='sidebar'>Side</div></body>", "Story one."),
+        2: ("<body><div class='widget-area sidebar'><main><p>real <span class='advert'>BUY NOW</span> text <a class='share' href='#'>share</a> end</p></main></div></body>", "real text end"),
+        3: (f"<body><article>Teaser</article><div><p>{long}</p></div></body>", f"Teaser {long.strip()}"),
+        4: ("<body><article><p>Story.</p></article><div class='comments'><article><p>I disagree</p></article></div></body>", "Story."),
+        5: ("<body><p>one <b hidden>no</b> two<span style='display:none'>no</span></p><header>Top</header></body>", "one two"),
+        6: ("<body><article><header><h1>Title</h1></header><p>Own words</p></article></body>", "Title Own words"),
+    }
+    frame = spark.createDataFrame([(i, f"http://host{i}.example/", h) for i, (h, _) in pages.items()], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract(frame).collect()} == {i: t for i, (_, t) in pages.items()}
+
+
 def test_html_drops_templates_within_articles(spark):
     """Boxes of unlisted classes in the article: the same on all pages, or one of two; text that differs stays."""
     from terrane.llm.html import extract
