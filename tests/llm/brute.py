@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -184,6 +185,54 @@ def similar_classes(rows: list[tuple], least: float = 0.8, shingle: int = 5) ->
     return [root(i) for i in range(len(rows))]
 
 
+def seating(counts: dict, words: int, theta: float = 1.0, d: float = 0.5, unknown: float = 0.5, sweeps: int = 30) -> tuple[list[int], list[int]]:
+    """(context, word) -> count in; the number of tables of all contexts and of the parent after each sweep of single customers out."""
+    rng, base = random.Random(5), (1 - unknown) / words
+    child: dict = {k: [c] for k, c in counts.items()}
+    of_context = Counter(u for u, _ in counts)
+    parent = {w: [n] for w, n in Counter(w for _, w in counts).items()}
+    total, all_parents = len(counts), len(parent)
+    customers = total
+
+    def leave(tables):
+        x = rng.randrange(sum(tables))
+        for i, n in enumerate(tables):
+            if x < n:
+                tables[i] -= 1
+                if not tables[i]:
+                    del tables[i]
+                    return True
+                return False
+            x -= n
+
+    def come(tables, new):
+        x = rng.random() * (sum(tables) - d * len(tables) + new)
+        for i, n in enumerate(tables):
+            x -= n - d
+            if x < 0:
+                tables[i] += 1
+                return False
+        tables.append(1)
+        return True
+
+    out, above = [], []
+    for _ in range(sweeps):
+        for (u, w), tables in child.items():
+            for _ in range(sum(tables)):
+                if leave(tables):
+                    of_context[u] -= 1
+                    total, customers = total - 1, customers - 1
+                    all_parents -= leave(parent[w])
+                p0 = (sum(parent[w]) - d * len(parent[w]) + (theta + d * all_parents) * base) / (theta + customers)
+                if come(tables, (theta + d * of_context[u]) * p0):
+                    of_context[u] += 1
+                    total, customers = total + 1, customers + 1
+                    all_parents += come(parent[w], (theta + d * all_parents) * base)
+        out.append(total)
+        above.append(all_parents)
+    return out, above
+
+
 def page_texts(pages: list[tuple], read, least_pages: int = 8, low: float = 0.35, low_main: float = 0.175, main_share: float = 0.2) -> list[str]:
     """(url, html) -> text: style trees as dictionaries of each host's different pages; `read` gives a page's blocks."""
     hosts, trees = [], defaultdict(lambda: defaultdict(dict))

@@ -49,7 +49,7 @@ def test_pitman_yor(spark, folder):
     got = defaultdict(list)
     for r in result(spark, folder, "op2_pitman_yor"):
         got[r["doc_id"]].append((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]))
-        assert np.isfinite(r["score"]) and r["score"] < 0
+        assert np.isfinite(r["score"]) and r["score"] < 0 and r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"]))
     assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
     for k, v in want.items():
         for a, b in zip(sorted(v), sorted(got[k]), strict=True):
@@ -63,25 +63,55 @@ def test_pitman_yor_beats_add_one(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def seated(texts, contexts=1024, sweeps=6):
+    """A partition of all words after some sweeps, with the law and the totals after each."""
+    from terrane.llm.pitman_yor import Chunk, Partition, gathered
+
+    asked = dict(Chunk(texts, 1, contexts).requests(np.ones(len(texts), bool)))
+    p = Partition(0, gathered([asked[0]], contexts), contexts)
+    bins = lambda x: np.bincount(p.context, x, contexts)
+    law = {"theta0": 1.0, "theta1": 1.0, "d0": 0.5, "d1": 0.5, "c": bins(p.counts), "unknown": 0.5, "known": 0.5 / len(p.words)}
+    told = lambda: law | {"t": bins(p.tables), "T0": float(p.parent_tables.sum()), "C0": float(p.tables.sum())}
+    laws = [told()]
+    for k in range(1, sweeps + 1):
+        p.sweep(laws[-1], k)
+        laws.append(told())
+    return p, laws
+
+
 def test_pitman_yor_probabilities_sum_to_one():
-    from terrane.llm.pitman_yor import CONTEXTS, END, Chunk, Partition, gathered, unpack
-
-    texts = ["a b a b c", "a b c", "b b b a"]
-    asked = dict(Chunk(texts, 1).requests(np.array([True, True, True])))
-    p = Partition(0, gathered([asked[0]]))
-    words, n = len(p.words), len(p.counts)
-    c, t = np.bincount(p.context, p.counts, CONTEXTS), np.bincount(p.context, p.tables, CONTEXTS)
-    law = {"theta0": 1.0, "theta1": 1.0, "d0": 0.5, "d1": 0.5, "c": c, "t": t, "T0": float(words), "C0": float(t.sum()), "unknown": 0.5, "known": 0.5 / words}
-    p.sweep(law, 1)
-    law = law | {"t": np.bincount(p.context, p.tables, CONTEXTS), "T0": float(p.parent_tables.sum()), "C0": float(p.tables.sum())}
-    state = [(law, p.tables, p.parent(law))]
-    unseen = np.uint64(12345)
-    every = np.sort(np.append(p.words, unseen))
+    from terrane.llm.pitman_yor import END
+
+    p, laws = seated(["a b a b c", "a b c", "b b b a"])
+    state = [(laws[-1], p.tables, p.parent(laws[-1]))]
+    every = np.sort(np.append(p.words, np.uint64(12345)))
     for context in sorted(set(p.context.tolist())):
-        ask = b"".join([np.array([len(every), len(every)], np.int64).tobytes(), every.tobytes(), np.ones(len(every), np.uint16).tobytes(), np.full(len(every), context, np.uint16).tobytes()])
+        ask = b"".join([np.array([len(every), len(every)], np.int64).tobytes(), every.tobytes(), np.ones(len(every), np.uint32).tobytes(), np.full(len(every), context, np.uint32).tobytes()])
         reply = p.answer(ask, state)
         assert np.power(10.0, np.frombuffer(reply, np.float32, len(every), 16 + 8 * len(every)).astype(float)).sum() == pytest.approx(1, abs=1e-5)
-    assert END in p.words and n == len(unpack(gathered([asked[0]]))[3])
+    assert END in p.words
+
+
+def test_pitman_yor_seating_converges_to_the_sequential_sampler():
+    """Tables of the parallel sweeps against those of a plain sampler that moves one customer at a time; both have settled."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.4, 30), 60)) for _ in range(60)]
+    p, laws = seated(texts, sweeps=30)
+    counts = defaultdict(int)
+    for u, w, c in zip(p.context.tolist(), p.word.tolist(), p.counts.tolist(), strict=True):
+        counts[u, w] += c
+    tables, parents = brute.seating(counts, len(p.words), sweeps=120)
+    own = np.array([law["C0"] for law in laws[10:]])
+    assert own.mean() == pytest.approx(np.mean(tables[50:]), rel=0.03)
+    assert np.mean([law["T0"] for law in laws[10:]]) == pytest.approx(np.mean(parents[50:]), rel=0.06)
+    assert abs(own[:10].mean() - own[10:].mean()) < 0.02 * own.mean(), "no drift"
+    assert abs(laws[2]["C0"] - own.mean()) < 0.06 * own.mean(), "near after the burn-in"
+
+
+def test_pitman_yor_contexts_grow_with_the_text():
+    from terrane.llm.pitman_yor import n_contexts
+
+    assert [n_contexts(v << 20, 1 << 16, 1 << 20) for v in (1, 100, 1000, 50_000, 10**9)] == [1024, 2048, 16384, 1 << 20, 1 << 20]
 
 
 def test_simhash(spark, folder):
