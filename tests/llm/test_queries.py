@@ -86,7 +86,7 @@ def test_pitman_yor_probabilities_sum_to_one():
     state = [(laws[-1], p.tables, p.parent(laws[-1]))]
     every = np.sort(np.append(p.words, np.uint64(12345)))
     for context in sorted(set(p.context.tolist())):
-        ask = b"".join([np.array([len(every), len(every)], np.int64).tobytes(), every.tobytes(), np.ones(len(every), np.uint32).tobytes(), np.full(len(every), context, np.uint32).tobytes()])
+        ask = b"".join([np.array([len(every), len(every)], np.int64).tobytes(), every.tobytes(), np.ones(len(every), np.uint32).tobytes(), np.full(len(every), context, np.uint16).tobytes()])
         reply = p.answer(ask, state)
         assert np.power(10.0, np.frombuffer(reply, np.float32, len(every), 16 + 8 * len(every)).astype(float)).sum() == pytest.approx(1, abs=1e-5)
     assert END in p.words
@@ -111,7 +111,19 @@ def test_pitman_yor_seating_converges_to_the_sequential_sampler():
 def test_pitman_yor_contexts_grow_with_the_text():
     from terrane.llm.pitman_yor import n_contexts
 
-    assert [n_contexts(v << 20, 1 << 16, 1 << 20) for v in (1, 100, 1000, 50_000, 10**9)] == [1024, 2048, 16384, 1 << 20, 1 << 20]
+    assert [n_contexts(v << 20, 1 << 18, 1 << 20) for v in (1, 1000, 50_000, 10**9)] == [1024, 4096, 1 << 18, 1 << 20]
+
+
+@pytest.mark.parametrize("contexts", [1 << 16, 1 << 17])
+def test_pitman_yor_messages(contexts):
+    """Requests and gathered counts hold what they were made of, with short and long numbers of contexts."""
+    from terrane.llm.pitman_yor import Chunk, gathered, unpack, without_counts
+
+    texts = ["a b a b c", "a b c", "b b b a"]
+    (_, data), = Chunk(texts, 1, contexts).requests(np.array([True, False, True]))
+    asked, told = unpack(data, contexts), unpack(gathered([data, data], contexts), contexts)
+    assert asked[3].sum() == 11 and told[3].sum() == 22 and (unpack(without_counts(data), contexts)[3] == 0).all()
+    assert all((x == y).all() for x, y in zip(asked[:3], unpack(without_counts(data), contexts)[:3], strict=True))
 
 
 def test_simhash(spark, folder):
