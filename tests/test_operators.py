@@ -215,3 +215,73 @@ def test_vectors_and_chunks(spark):
     assert vectors.shape == (2, 384) and abs((vectors**2).sum(1) - 1).max() < 1e-5
     rows = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0])], "chunk_id string, embedding array<double>")
     assert [r["chunk_id"] for r in retrieval.search(rows, [0.0, 1.0], 2).collect()] == ["a", "c"]
+
+
+def test_inventory_lists_hidden_empty_and_unreadable_files(spark, tmp_path):
+    from terrane.sources import inventory
+
+    root = tmp_path / "project"
+    files = {".gitignore": "*.tmp\n", ".ci/build.yml": "a: 1\n", "_x/_y.txt": "under", "empty.txt": "", "a b.java": "class A {}", "node_modules/x/y.js": "no", "z.tmp": "no", "big.txt": "x" * (2 << 20), "build.gradle": "x"}
+    for name, content in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    listed = inventory.listing(spark, str(root))
+    assert {r["relative"] for r in listed.collect()} == set(files) - {"node_modules/x/y.js"}
+    assert inventory.detect_version(spark, str(root), listed) == "3.x"
+    patterns = inventory.ignore_patterns(spark, str(root), listed)
+    gone = listed.unionByName(listed.filter("relative = 'empty.txt'").withColumns({"path": F.concat("path", F.lit(".gone")), "relative": F.lit("gone.txt")}))
+    got = {r["path"]: r for r in inventory.scan(spark, str(root), "3.x", "full", patterns, 1, "p", gone).collect()}
+    assert set(got) == {".gitignore", ".ci/build.yml", "_x/_y.txt", "empty.txt", "a b.java", "big.txt", "build.gradle", "gone.txt"}
+    status = {p: r["parse_status"] for p, r in got.items()}
+    assert status["big.txt"] == "skipped_size" and status["gone.txt"] == "error_read" and status["empty.txt"] == "pending"
+    assert got["big.txt"]["content"] is None and got["empty.txt"]["content_hash"] is not None and got["gone.txt"]["content_hash"] is None
+    assert column(spark, lambda v: paths.in_scope(v, "files:a,b\0c"), "a,b", "c", "a") == [True, True, False]
+
+
+def test_groovy_configuration(spark):
+    source = "a.b = 'x'\nlist = [1, 2]\nblock {\n  inner { n = 3 }\n  flag = true\n}\n// c = 1\nenvironments {\n  prod { a.b = 'y' }\n}\na.d = \"q\""
+    files = spark.createDataFrame([("p", "Config.groovy", source), ("p", "odd", "}}} = {"), ("p", "none", None)], "project_id string, path string, text string")
+    got = {r["key"]: (r["value"], r["type"]) for r in configs.groovy_keys(files).filter("path = 'Config.groovy'").collect()}
+    assert got == {"a.b": ("x", "str"), "list": ("[1, 2]", "list"), "block.inner.n": ("3", "int"), "block.flag": ("true", "bool"), "a.d": ("q", "str")}
+    assert {r["key"]: r["value"] for r in configs.groovy_keys(files, environment="prod").collect()}["a.b"] == "y"
+    assert [r["value"] for r in configs.config_symbols(configs.groovy_keys(files)).filter("name = 'n'").select(F.col("properties")["value"].alias("value")).collect()] == ["3"]
+
+
+def test_database_names_in_their_order(spark):
+    rows = [("p", "f", "dataSource.dbcp.url", "A"), ("p", "f", "spring.datasource.url", "B"), ("p", "g", "dataSource.url", "C"), ("p", "g", "dataSource.dbcp.url", "A"), ("p", "h", "jdbc.user", "me")]
+    got = {r["path"]: (r["url"], r["username"]) for r in configs.database(spark.createDataFrame(rows, "project_id string, path string, key string, value string")).collect()}
+    assert got == {"f": ("A", None), "g": ("C", None), "h": (None, "me")}
+
+
+def test_xml_that_breaks_off(spark):
+    rows = [("p", "ok", "<beans><bean id='a' class='X'/></beans>"), ("p", "cut", "<beans><bean id='b' class='Y'/><bean id="), ("p", "empty", ""), ("p", "null", None)]
+    files = spark.createDataFrame(rows, "project_id string, path string, text string")
+    got = {r["path"]: (r["root_tag"], len(r["beans"]), r["error"] is None) for r in configs.parse_xml(files).collect()}
+    assert got["ok"] == ("beans", 1, True) and got["cut"] == ("beans", 1, False) and got["empty"][:2] == (None, 0) and got["null"][:2] == (None, 0)
+    assert {r["path"]: r["found"] for r in configs.xpath_lookup(files, "//bean/@id").collect()} == {"ok": ["a"]}
+
+
+def test_questions_about_nothing_and_followed_edges(spark):
+    symbols = _symbols(spark)
+    edges = spark.createDataFrame([("m1", "m2", "", "CALLS", "s", 1, "EXACT"), ("m3", "m1", "", "CALLS", "s", 2, "LIKELY")], EDGES).withColumn("project_id", F.lit("p"))
+    for question in ("What calls UserService?", "Trace the flow of UserService"):
+        assert retrieval.plan(question, symbols, edges, "p")["nodes"].collect() == []
+    assert [r["line"] for r in templates.followed("callers_of", edges, "m1").collect()] == [2]
+    with pytest.raises(ValueError, match="no single kind"):
+        templates.followed("controller_flow", edges, "m1")
+
+
+def test_settings(monkeypatch):
+    from terrane.settings import Settings
+
+    monkeypatch.setenv("TERRANE_MAX_FILE_SIZE_MB", "7")
+    monkeypatch.setenv("TERRANE_ALLOWED_PATHS", "/a:/b")
+    got = Settings.from_environment()
+    assert got.max_file_size_mb == 7 and got.prefixes == ("/a", "/b") and got.max_traversal_depth == 5
+
+
+def test_chunks_hold_whole_texts(spark):
+    text_ = "0123456789" * 450
+    rows = spark.createDataFrame([("v", "p", "gsp_view", "f", 1, " doc ", {"static_text": text_}), ("w", "p", "class", "f", 1, "", {"static_text": "x"})], "id string, project_id string, kind string, file_path string, line_start int, docstring string, properties map<string,string>")
+    got = retrieval.chunks(rows).orderBy("chunk_id").collect()
+    assert [r["chunk_id"] for r in got] == ["v_0", "v_1", "v_2", "v_3"] and "".join(r["text"] for r in got[1:]) == text_
