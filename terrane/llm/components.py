@@ -17,9 +17,9 @@ def _mirrored(edges: DataFrame) -> DataFrame:
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of a node are linked to its smallest neighbour."""
+    """Larger neighbours of a node are linked to its smallest neighbour. The minima are a table of their own, so that the join of a hub's many neighbours can be split."""
     both = _mirrored(edges)
-    joined = both.join(_minimum(both), F.col("u") == F.col("at"))
+    joined = both.join(materialize(_minimum(both), "minima"), F.col("u") == F.col("at"))
     return joined.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
 
 
