@@ -73,12 +73,17 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T if bound < 2.0**62 else a.astype(object) @ b.astype(object).T
 
 
-def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of a and b, pair by pair, as longs."""
-    if _largest(a) * _largest(b) * max(1, a.shape[1]) < 2.0**62:
-        return (a.astype(np.int64) * b.astype(np.int64)).sum(1)
-    exact = (a.astype(object) * b.astype(object)).sum(1)
-    return np.array([min(max(int(x), LEAST), MOST) for x in exact], np.int64)
+def _summed(y: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, pairs: int = 1 << 16) -> np.ndarray:
+    """Inner products of the rows i of y and j of x, pair by pair, as longs; some pairs at a time."""
+    fits, out = _largest(y) * _largest(x) * max(1, y.shape[1]) < 2.0**62, np.empty(len(i), np.int64)
+    for at in range(0, len(i), pairs):
+        a, b = y[i[at : at + pairs]], x[j[at : at + pairs]]
+        if fits:
+            out[at : at + pairs] = np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+        else:
+            exact = (a.astype(object) * b.astype(object)).sum(1)
+            out[at : at + pairs] = [min(max(int(v), LEAST), MOST) for v in exact]
+    return out
 
 
 def _norms(a: np.ndarray) -> np.ndarray:
@@ -116,7 +121,7 @@ def top_k(frame: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, blo
                     best |= {(i, j) for i, row in enumerate(at.tolist()) for j in row if not own[i, j]}
                 if best:
                     i, j = np.array(sorted(best)).T
-                    yield pd.DataFrame({"query_id": asked[i], "score": _summed(y[i], x[j])})
+                    yield pd.DataFrame({"query_id": asked[i], "score": _summed(y, x, i, j)})
 
     listed = meet(_packed(wanted, "part"), first, "query_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
@@ -140,7 +145,7 @@ def top_k(frame: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, blo
                     if len(some):
                         collected[some] |= (_product(y[some, part], x[:, part]) >= uniform[some, None]).astype(bool)
                 i, j = np.nonzero(collected & (asked[:, None] != ids[None, :]))
-                score = _summed(y[i], x[j])
+                score = _summed(y, x, i, j)
                 held = score >= cutoff[i]
                 i, j, score = i[held], j[held], score[held]
                 order = np.lexsort((ids[j], -np.maximum(score, LEAST + 1), i))  # of a block, no more than k entries of a query can be answers
