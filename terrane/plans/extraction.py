@@ -116,7 +116,8 @@ YAML = "spring:\n  profiles: dev{m}, test\n  config:\n    activate:\n      on-pr
 
 def written(spark: SparkSession, sf_dir: str, name: str, key: str, template: str, path: str, kind: str, language: str, divisor: int = 7, **columns: str) -> DataFrame:
     """A file for each row of a table: {k} is its key, {m} and {a} the key modulo the divisor, other braces are columns."""
-    rows = table(spark, sf_dir, name).select(F.col(key).alias("k"), (F.col(key) % divisor).alias("m"), (F.col(key) % divisor).alias("a"), *[F.col(v).alias(c) for c, v in columns.items()])
+    # The driver's tables are single files: their rows are dealt out before they become source text.
+    rows = table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism).select(F.col(key).alias("k"), (F.col(key) % divisor).alias("m"), (F.col(key) % divisor).alias("a"), *[F.col(v).alias(c) for c, v in columns.items()])
 
     def filled(text: str) -> Column:
         out = F.lit(text)

@@ -175,9 +175,11 @@ def declarations(files: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for file in pdf.itertuples(index=False):
-                about = {c: getattr(file, c) for c in carried}
-                rows = [about | row for row in Scan(file.text or "", file.language == "groovy").types()]
+            for at in range(0, len(pdf), 256):
+                rows = []
+                for file in pdf.iloc[at : at + 256].itertuples(index=False):
+                    about = {c: getattr(file, c) for c in carried}
+                    rows += [about | row for row in Scan(file.text or "", file.language == "groovy").types()]
                 yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
     return files.select(*carried, "text").mapInPandas(scan, DECLARATIONS)
