@@ -108,6 +108,14 @@ def test_pitman_yor_seating_converges_to_the_sequential_sampler():
     assert abs(laws[2]["C0"] - own.mean()) < 0.06 * own.mean(), "near after the burn-in"
 
 
+def test_pitman_yor_slices_of_frequent_words_change_nothing(spark):
+    from terrane.llm.pitman_yor import score
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole, cut = (sorted(map(str, score(docs, chunk_bytes=4000, part_bytes=40_000, slice_bytes=n).collect())) for n in (1 << 30, 3000))
+    assert cut == whole and len(whole) == docs.count()
+
+
 def test_pitman_yor_contexts_grow_with_the_text():
     from terrane.llm.pitman_yor import n_contexts
 
