@@ -100,23 +100,22 @@ class Engine:
         text = files.join(touched, key, "left_semi").withColumn("text", F.col("content").cast("string")).drop("content")
         symbols, edges = (self._staged(name, df, run_id) for name, df in zip(("symbols", "edges"), extract(self._staged("text", text, run_id), lambda name, df: self._staged(name, df, run_id)), strict=True))
         paths = touched.unionByName(gone).select(F.col("path").alias("file_path"), "project_id").distinct()
-        held = self.store.read("symbols")
+        held = self.store.read("symbols", pid)
         kept = held.join(paths, ["file_path", "project_id"], "left_anti").select(held.columns)
-        all_symbols = self.store.write("symbols", graph.upsert_nodes(kept, symbols.withColumn("last_run_id", F.lit(run_id)).select(held.columns), run_id))
-        old = self.store.read("edges")
+        all_symbols = self.store.write("symbols", graph.upsert_nodes(kept, symbols.withColumn("last_run_id", F.lit(run_id)).select(held.columns), run_id), pid)
+        old = self.store.read("edges", pid)
         rest = old.join(paths, ["file_path", "project_id"], "left_anti").select(old.columns)
-        new = self._staged("resolved", self._resolved(edges.withColumn("last_run_id", F.lit(run_id)).select(old.columns), all_symbols.filter(F.col("project_id") == pid)), run_id)
+        new = self._staged("resolved", self._resolved(edges.withColumn("last_run_id", F.lit(run_id)).select(old.columns), all_symbols), run_id)
         swept = graph.dangling_sweep(graph.upsert_edges(rest, new.drop("warning_code"), all_symbols, run_id).select(old.columns), all_symbols).filter("action <> 'delete'")
-        self.store.write("edges", swept.select(old.columns))
+        self.store.write("edges", swept.select(old.columns), pid)
         # Only chunks of touched files are embedded; those of other files stay, those of deleted ones go.
         fresh = all_symbols.join(paths, ["file_path", "project_id"], "left_semi")
         chunk = retrieval.chunks(fresh).withColumn("embedding", retrieval.embed(F.col("text")))
-        stored = self.store.read("chunks")
-        self.store.write("chunks", stored.join(paths, ["file_path", "project_id"], "left_anti").select(stored.columns).unionByName(chunk.select(stored.columns)))
-        registry = self.store.read("files")
+        stored = self.store.read("chunks", pid)
+        self.store.write("chunks", stored.join(paths, ["file_path", "project_id"], "left_anti").select(stored.columns).unionByName(chunk.select(stored.columns)), pid)
+        registry = self.store.read("files", pid)
         fresh = files.drop("content").withColumn("last_run_id", F.lit(run_id)).select(registry.columns)
-        inside = (F.col("project_id") == pid) & in_scope(F.col("path"), scope)
-        self.store.write("files", registry.filter(~inside).unionByName(fresh))
+        self.store.write("files", registry.filter(~in_scope(F.col("path"), scope)).unionByName(fresh), pid)
 
     def _warnings(self, run_id: str, files: DataFrame) -> list[str]:
         """Counts of what a run left open, as code:count; files that were not read by their status."""
@@ -157,22 +156,22 @@ class Engine:
         return self.index(root, inventory.git_scope(root, scope[4:]) if scope.startswith("git:") else scope, force=scope == "full")
 
     def query(self, project_id: str, template: str, **arguments) -> DataFrame:
-        symbols, edges = (self.store.read(t).filter(F.col("project_id") == project_id) for t in ("symbols", "edges"))
+        symbols, edges = (self.store.read(t, project_id) for t in ("symbols", "edges"))
         return templates.run_template(template, symbols, edges, **({"pid": project_id} if template in ("find_symbol", "file_symbols", "missing_views") else {}), **arguments)
 
     def query_edges(self, project_id: str, template: str, id: str) -> DataFrame:
         """The edges that a template follows from a symbol, with type, confidence, file and line."""
-        return templates.followed(template, self.store.read("edges").filter(F.col("project_id") == project_id), id)
+        return templates.followed(template, self.store.read("edges", project_id), id)
 
     def settings(self, project_id: str) -> tuple[DataFrame, DataFrame]:
         """Spring profiles and database settings (secrets redacted) of a project's configuration files."""
-        keys = self.store.read("symbols").filter((F.col("project_id") == project_id) & (F.col("kind") == "config_key"))
+        keys = self.store.read("symbols", project_id).filter("kind = 'config_key'")
         keys = keys.select("project_id", F.col("file_path").alias("path"), F.col("fqn").alias("key"), F.try_element_at("properties", F.lit("value")).alias("value"))
         return configs.profiles(keys), configs.database(keys)
 
     def ask(self, project_id: str, question: str, max_depth: int = 3) -> dict:
-        symbols, edges = (self.store.read(t).filter(F.col("project_id") == project_id) for t in ("symbols", "edges"))
-        pack = retrieval.plan(question, symbols, edges, project_id, self.store.read("chunks"), max_depth)
+        symbols, edges = (self.store.read(t, project_id) for t in ("symbols", "edges"))
+        pack = retrieval.plan(question, symbols, edges, project_id, self.store.read("chunks", project_id), max_depth)
         nodes, near, texts = (pack[k].collect() for k in ("nodes", "edges", "chunks"))  # each bounded by the pack's caps
         answer = f"{pack['intent']}: {len(nodes)} symbols, {len(near)} relations, {len(texts)} texts. " + ", ".join(f"{n['kind']}:{n['name']}" for n in nodes[:10]) + ". " + ", ".join(sorted({e["type"] for e in near})[:10])
         return {"answer": answer, "intent": pack["intent"], "templates": pack["templates"], "nodes": [n.asDict() for n in nodes], "edges": [e.asDict() for e in near], "chunks": [{**c.asDict(), "text": c["text"][:200]} for c in texts]}
@@ -181,7 +180,7 @@ class Engine:
         run = self.store.runs().filter(F.col("run_id") == run_id).first() if run_id else None
         pid = run["project_id"] if run else project_id
         project = self.store.project(pid).first()
-        count = lambda t: self.store.read(t).filter(F.col("project_id") == pid).count()
+        count = lambda t: self.store.read(t, pid).count()
         return {"project": project and project.asDict(), "run": run and run.asDict(), "graph_stats": {"nodes": count("symbols"), "edges": count("edges")}}
 
     def list_projects(self) -> DataFrame:
@@ -189,18 +188,17 @@ class Engine:
 
     def invalidate(self, project_id: str, scope: str = "full") -> dict:
         """Forgets the hashes in scope, so that the next index sees those files as modified."""
-        files = self.store.read("files")
-        inside = (F.col("project_id") == project_id) & in_scope(F.col("path"), scope)
+        files, inside = self.store.files(project_id), in_scope(F.col("path"), scope)
         count = files.filter(inside).count()
-        self.store.write("files", files.withColumn("content_hash", F.when(inside, F.lit("")).otherwise(F.col("content_hash"))))
+        self.store.write("files", files.withColumn("content_hash", F.when(inside, F.lit("")).otherwise(F.col("content_hash"))), project_id)
         return {"invalidated_files": count, "next_index_mode": "full" if scope == "full" else "incremental"}
 
     def verify_change(self, run_id: str) -> dict:
         pid = self.store.runs().filter(F.col("run_id") == run_id).first()["project_id"]
-        return {"run_id": run_id} | verified(self.store.read("edges").filter(F.col("project_id") == pid), run_id).first().asDict()
+        return {"run_id": run_id} | verified(self.store.read("edges", pid), run_id).first().asDict()
 
     def change_plan(self, project_id: str, anchor: str, depth: int = 3) -> DataFrame:
         """What depends on a symbol, nearest first."""
-        symbols, edges = (self.store.read(t).filter(F.col("project_id") == project_id) for t in ("symbols", "edges"))
+        symbols, edges = (self.store.read(t, project_id) for t in ("symbols", "edges"))
         reached = templates.traverse(edges, self.spark.createDataFrame([(anchor,)], "id string"), depth=depth, reverse=True)
         return symbols.join(reached, "id").orderBy("depth", "file_path", "line_start", "id").select("id", "kind", "name", "file_path", "line_start", "depth")

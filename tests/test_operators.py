@@ -194,6 +194,35 @@ def test_engine(spark, tmp_path):
     assert engine.change_plan(pid, f"{pid}:service:UserService").count() == 1
 
 
+def test_store_keeps_what_several_writers_wrote(spark, tmp_path):
+    from terrane.operators.store import Conflict, Store
+
+    one, two = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    shape = "run_id string, project_id string, state string, stage string, counts map<string,bigint>, warnings array<string>, error string, updated_at timestamp"
+    rows = lambda *pairs: spark.createDataFrame([(r, p, "", "", {}, [], None, None) for r, p in pairs], shape)
+    held = lambda *projects: sorted((r["run_id"], r["project_id"]) for r in two.read("runs", *projects).collect())
+    one.write("runs", rows(("a", "p"), ("b", "q/=é"), ("c", None)))
+    base = one.manifest("runs")
+    two.write("runs", rows(("d", "q/=é")), "q/=é")
+    one.write("runs", rows(("e", "p")), "p", base=base)  # another project than the other writer's
+    assert held("p", "q/=é") == [("d", "q/=é"), ("e", "p")] and one.read("runs").count() == 3
+    with pytest.raises(Conflict):
+        one.write("runs", rows(("f", "q/=é")), "q/=é", base=base)
+    with pytest.raises(ValueError):
+        one.write("runs", rows(("f", "p")), "q/=é")
+    one.MOST_FOLDERS = 2
+    for name in "ghi":
+        one.append("runs", rows((name, "r")), "r")
+    assert held("r") == [("g", "r"), ("h", "r"), ("i", "r")] and sorted(map(len, one.manifest("runs").values())) == [1, 1, 1, 1]
+    newest = int(one._versions("runs")[-1][1:-5])
+    (tmp_path / f"store/runs/versions/v{newest + 1:012d}.json").write_text('{"half')  # a writer that ended early
+    before = held("p", "q/=é", "r")
+    two.write("runs", rows(), "p")
+    assert one.read("runs").count() == 5 and not held("p")
+    assert len(before) == 5 and one.vacuum("runs", keep=1) > 0 and len(one._versions("runs")) == 1
+    assert one.vacuum("runs", keep=1, older_than_s=-60) > 0 and held("q/=é", "r") == before[:1] + before[2:]
+
+
 def test_watch(spark, tmp_path):
     from terrane.operators.store import Store
     from terrane.streaming.watch import FILES as SHAPE
