@@ -157,7 +157,7 @@ def discover(edges: DataFrame, rounds: int, least: int, confident: float) -> Dat
 
 
 def extract(docs: DataFrame, rounds: int = 2, least: int = 5, confident: float = 0.8) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256, spans (base and discovered), n_found (discovered)."""
+    """doc_id, the number of base spans of each kind, base_sha256, spans (base and discovered), n_found (discovered), n_spans (all)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     per_doc = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).select("doc_id", "text_key", base_spans(F.col("text")).alias("base"), F.col("text").alias("rest"))
     for k, kind in enumerate(KINDS):
@@ -192,4 +192,4 @@ def extract(docs: DataFrame, rounds: int = 2, least: int = 5, confident: float =
     of_kind = lambda k: lambda b: b["k"] == k
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     every = F.array_sort(F.concat(plain, "added"))
-    return out.select("doc_id", *counts, F.sha2(joined(plain), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("added").cast("long").alias("n_found"))
+    return out.select("doc_id", *counts, F.sha2(joined(plain), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("added").cast("long").alias("n_found"), F.size(every).cast("long").alias("n_spans"))

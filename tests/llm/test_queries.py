@@ -31,7 +31,7 @@ def test_pii(spark, folder):
         base[i] |= {f"{brute.KINDS[k]}:{a}:{b}" for a, k, b in brute.personal(t)}
     for r in got:
         spans = r["spans"].split(",") if r["spans"] else []
-        assert len(spans) == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_found"]
+        assert len(spans) == r["n_spans"] == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_found"]
         assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), brute.KINDS.index(s.split(":")[0])))
 
 
