@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, html, mixing, pii, pitman_yor, quality, repeats, sharding, simhash, topk
+from terrane.llm import collocations, decontaminate, html, lexical, licenses, mixing, pii, pitman_yor, quality, repeats, sharding, simhash, topk
 from terrane.llm.common import table
 
 
@@ -54,13 +54,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_pitman_yor, op3_simhash, op4_topk, op5_sharding, op6_mixing, op7_html, op8_quality, op9_repeats, op10_decontaminate, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_pitman_yor, op3_simhash, op4_topk, op5_sharding, op6_mixing, op7_html, op8_quality, op9_repeats, op10_decontaminate, op11_lexical, op12_licenses, op13_collocations, pipeline)}
 
 #: Only what DuckDB can express over whole tables; the others are tested against brute force in tests/llm.
 ORACLE_SQL = {
@@ -92,4 +104,54 @@ ORACLE_SQL = {
         )
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
     """,
+    "op11_lexical": r"""
+        WITH t AS (
+            SELECT d.rowid AS row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents) d
+        ), f AS (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        n AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY row),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, docs),
+        q AS (
+            SELECT item, item_id, term, count(*) AS times FROM (
+                SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)
+            ) GROUP BY ALL
+        ), scored AS (
+            SELECT item, item_id, row, f.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM q JOIN f USING (term) JOIN w USING (term) JOIN n USING (row), s GROUP BY ALL
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+        ), w AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p
+        ), g AS (
+            SELECT lang, k, unnest(list_transform(generate_series(1, len(words) - k + 1), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+            FROM w, (SELECT unnest(generate_series(1, 5)) AS k) WHERE len(words) >= k
+        ), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2),
+        cut AS (
+            SELECT c.*, i, array_to_string(words[1:i], ' ') AS head, array_to_string(words[i + 1:], ' ') AS tail
+            FROM c, (SELECT unnest(generate_series(1, 4)) AS i) WHERE i < size
+        ), s AS (
+            SELECT cut.lang, size, cut.phrase, a, i, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail JOIN n ON n.lang = cut.lang
+        ), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+        sub AS (
+            SELECT lang, inner_phrase, max(a) AS most FROM (
+                SELECT c.lang, a, unnest(list_transform(generate_series(1, size - m + 1), lambda i: array_to_string(words[i:i + m - 1], ' '))) AS inner_phrase
+                FROM c, (SELECT unnest(generate_series(2, 4)) AS m) WHERE m < size
+            ) GROUP BY ALL
+        ), kept AS (
+            SELECT best.* FROM best LEFT JOIN sub ON sub.lang = best.lang AND inner_phrase = phrase WHERE most IS NULL OR most < a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+        FROM kept QUALIFY rank <= 2000
+    """,
 }

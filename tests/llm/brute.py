@@ -307,3 +307,77 @@ def contaminated(rows: list[tuple], items: list[tuple], window: int = 10) -> lis
                     found |= of[p]
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs: list[tuple], items: list[tuple], k: int = 10) -> list[tuple]:
+    """(item_id, rank, doc_id, score) by scoring every document for every item."""
+    counted = [(i, Counter(TERM.findall((t or "").translate(LOWER)))) for i, t in docs]
+    counted = [(i, c, c.total()) for i, c in counted if c]
+    n_docs, total = len(counted), sum(n for _, _, n in counted)
+    df = Counter(t for _, c, _ in counted for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for t, d in df.items()}
+    out = []
+    for item, text in items:
+        asked = Counter(TERM.findall((text or "").translate(LOWER)))
+        scored = []
+        for i, c, n in counted:
+            m = 25 + 75 * n * n_docs // total
+            score = sum(times * weight[t] * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t, times in asked.items() if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        out += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
+    return out
+
+
+LICENCE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def licences(texts: list, templates, phrases, most: int = 8, slack: int = 4, share: float = 0.7) -> list[tuple]:
+    """Of each text n_words, n_base, first_word, last_word, base_labels, labels, score: every template is tried at every place."""
+    read = [LICENCE_WORD.findall((t or "").translate(LOWER)) for t in texts]
+    df = Counter(w for words in read for w in set(words))
+    out = []
+    for words in read:
+        base = [(i, label) for i in range(len(words)) for phrase, label in phrases if words[i : i + len(phrase.split())] == phrase.split()]
+        found = []
+        for t in templates:
+            own = t.text.split()
+            rare = sorted(set(own), key=lambda w: (df[w], w))
+            rare = rare[: max(3, min(most, len(rare) // 2))]
+            if len(set(words) & set(rare)) == 0:
+                continue
+            for at in range(-len(own), len(words)):
+                agree = sum(own[p] in rare and 0 <= at + p < len(words) and words[at + p] == own[p] for p in range(len(own)))
+                near = words[max(0, at - slack) : max(0, at + len(own) + slack)]
+                if agree >= max(2, len(rare) // 2) and all(f" {k} " in f" {' '.join(near)} " for k in t.keys):
+                    part = len(set(own) & set(near)) / len(set(own))
+                    found += [(t.label, part)] * (part >= share)
+        labels = {label for _, label in base}
+        places = [i for i, _ in base]
+        score = 1.0 if base else max((p for _, p in found), default=0.0)
+        out.append((len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {f for f, _ in found})), score))
+    return out
+
+
+def collocations(docs: list[tuple], longest: int = 5, least: int = 100, top: int = 2000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) from the counts of all phrases."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in docs:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(words)
+            counts[lang or "und"].update(tuple(words[i : i + m]) for m in range(1, longest + 1) for i in range(len(words) - m + 1))
+    out = []
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        hidden = {q[i : i + m] for q, b in candidates.items() for m in range(2, len(q)) for i in range(len(q) - m + 1) if b >= candidates[q[i : i + m]]}
+        rows = []
+        for p, a in candidates.items():
+            if p not in hidden:
+                score, k = min((1000 * a * totals[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, rank, p.decode(), -a, left, right, totals[lang], -s) for rank, (s, a, p, left, right) in enumerate(sorted(rows)[:top], 1)]
+    return out
