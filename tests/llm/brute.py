@@ -8,9 +8,12 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 
 import xxhash
 
+from terrane.llm import html as html_operator
+
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -233,39 +236,173 @@ def seating(counts: dict, words: int, theta: float = 1.0, d: float = 0.5, unknow
     return out, above
 
 
-def page_texts(pages: list[tuple], read, least_pages: int = 8, low: float = 0.35, low_main: float = 0.175, main_share: float = 0.2) -> list[str]:
-    """(url, html) -> text: style trees as dictionaries of each host's different pages; `read` gives a page's blocks."""
+MARKUP = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</[A-Za-z][^>]*(?:>|$)|<[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)", re.S)
+
+
+class Page(dict):
+    """An element read without the operator's reader: tag, attributes, parent, items (elements and texts)."""
+
+    def chain(self) -> list:
+        return (self["parent"].chain() if self["parent"] is not None else []) + [self]
+
+
+def plain_tree(html: str) -> Page:
+    """A tree of tags, texts joined and split again only by what the page's blocks are."""
+    new = lambda tag, attrs, parent: Page(tag=tag, attrs=attrs, parent=parent, items=[])
+    root = at = new("", {}, None)
+    place = 0
+    while place < len(html):
+        m = MARKUP.search(html, place)
+        at["items"].append(unescape(html[place : m.start() if m else len(html)]))
+        if not m:
+            break
+        place, whole = m.end(), m[0]
+        if whole.startswith("<!") or whole.startswith("<?") or not whole.endswith(">"):
+            continue
+        name = re.match(r"</?([^\s/>]+)", whole)[1].lower()
+        if whole.startswith("</"):
+            ups = at.chain()[1:]
+            while ups and ups[-1]["tag"] != name:
+                if ups[-1]["tag"] in ("article", "body", "td") and name not in ("article", "body", "html", "table", "tr", "main", "section", "div"):
+                    ups = []
+                    break
+                ups.pop()
+            at = ups[-1]["parent"] if ups else at
+            continue
+        attrs = {k.lower(): unescape(a or b or c or "") for k, a, b, c in re.findall(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", whole[1 + len(name) : -1])}
+        if name in html_operator.VOID:
+            at["items"].append(new(name, attrs, at))
+            continue
+        stops = html_operator.BLOCKS if name in html_operator.ENDS_P else {"ul", "ol", "dl", "table"}
+        ends = {"p"} if name in html_operator.ENDS_P else html_operator.SAME.get(name, set())
+        for e in reversed(at.chain()[1:]):
+            if e["tag"] in ends:
+                at = e["parent"]
+                break
+            if e["tag"] in stops:
+                break
+        child = new(name, attrs, at)
+        at["items"].append(child)
+        at = child
+        if name in ("script", "style"):
+            close = re.compile(f"</{name}", re.I).search(html, place)
+            place = close.start() if close else len(html)
+    return root
+
+
+def page_texts(pages: list[tuple], least_pages: int = 8, threshold: float = 0.35, main_share: float = 0.2) -> list[str]:
+    """(url, html) -> text: style trees as dictionaries of each host's different pages."""
+    op = html_operator
+    has = lambda e, words: any(
+        any(w in words and not (i and parts[0] in op.HAVING) for i, w in enumerate(parts))
+        for k in ("class", "id", "role") for t in e["attrs"].get(k, "").lower().split() if (parts := [w for w in re.split("[^a-z]+", t) if w])
+    )
+    shown = lambda e: e["tag"] + "".join("." + c for c in sorted(e["attrs"].get("class", "").split())) + (f"#{e['attrs']['id']}" if e["attrs"].get("id") and not re.search(r"\d", e["attrs"]["id"]) else "")
+    block = lambda e: e["tag"] in op.BLOCKS
+
+    def elements(e):
+        yield e
+        for x in e["items"]:
+            if isinstance(x, Page):
+                yield from elements(x)
+
+    def judge(root):
+        """What each element is: main or in it, hard, named; the first article counts whatever its name."""
+        first = next((e for e in elements(root) if e["tag"] in ("article", "main")), None)
+        for e in elements(root):
+            up = e["parent"] or {"in_main": False, "among": False}
+            named = e["tag"] not in ("html", "body", "")
+            e["strong"], e["weak"] = named and has(e, op.STRONG), named and has(e, op.WEAK)
+            among = up["among"] or e["strong"]
+            e["main"] = e["tag"] in ("article", "main") and (e is first or not among)
+            e["among"], e["in_main"], e["around"] = among and not e["main"], up["in_main"] or e["main"], False
+            style = e["attrs"].get("style", "")
+            e["hard"] = e["tag"] in op.NEVER or (e["tag"] == "header" and not up["in_main"]) or "hidden" in e["attrs"] or bool(re.search(r"display\s*:\s*none", style))
+        for e in elements(root):
+            if e["main"]:
+                for x in e.chain()[:-1]:
+                    x["around"] = True
+        for e in elements(root):
+            e["out"] = e["hard"] and not (e["around"] and e["tag"] == "form") or bool(e["parent"] and e["parent"]["out"])
+
+    def own_part(e):
+        return block(e) or e["hard"] or e["strong"] or e["weak"] and (e["tag"] == "a" or not e["in_main"])
+
+    def blocks(e, out, parts):
+        for x in e["items"]:
+            if isinstance(x, str):
+                parts.append(x)
+                continue
+            if own_part(x):
+                flush(e, out, parts)
+            if x["tag"] not in op.VOID:
+                blocks(x, out, parts)
+                if own_part(x):
+                    flush(x, out, parts)
+        return out
+
+    def flush(e, out, parts):
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        if text:
+            out.append((e, text))
+
+    read = []
+    for _, html in pages:
+        root = plain_tree(html or "")
+        judge(root)
+        out, parts = [], []
+        blocks(root, out, parts)
+        flush(root, out, parts)
+        for e in elements(root):
+            e["below"] = []
+        for e, t in out:
+            for x in e.chain():
+                x["below"].append((e, t))
+        read.append((root, out))
+
+    path = lambda e: tuple(shown(x) for x in e.chain() if block(x))
+    under = lambda e: tuple((tuple(shown(x) for x in b.chain()[len(e.chain()) :]), t) for b, t in e["below"])
     hosts, trees = [], defaultdict(lambda: defaultdict(dict))
-    for url, html in pages:
+    for (url, _), (root, _) in zip(pages, read, strict=True):
         found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url or "")
         hosts.append(found[1].lower() if found else "")
-        blocks = read(html)
-        page = tuple((path, text) for path, _, _, text in blocks)
-        for path, _, _, _ in blocks:
-            for d in range(1, len(path) + 1):
-                below = [(p, t) for p, t in page if p[:d] == path[:d]]
-                children = []
-                for p, _ in below:
-                    if len(p) > d and children[-1:] != [p[d]]:
-                        children.append(p[d])
-                trees[hosts[-1]][path[:d]][page] = (tuple(children), tuple(t for _, t in below))
+        page, seen = under(root), {}
+        for e in elements(root):
+            if block(e) and e["below"]:
+                laid = []
+                for b, _ in e["below"]:
+                    inner = [x for x in b.chain()[len(e.chain()) :] if block(x)]
+                    if inner and laid[-1:] != [shown(inner[0])]:
+                        laid.append(shown(inner[0]))
+                children, contents = seen.setdefault(path(e), ([], []))
+                children.append(tuple(laid))
+                contents.append(under(e))
+        for p, (children, contents) in seen.items():
+            trees[hosts[-1]][p][page] = (tuple(children), tuple(contents))
     importance: dict = {}
     for host, nodes in trees.items():
-        for path, seen in nodes.items():
-            n = len(seen)
-            entropy = lambda k: -sum(c / n * math.log(c / n) for c in Counter(x[k] for x in seen.values()).values()) / math.log(n) if n > 1 else 1.0  # noqa: B023, E731
-            importance[host, path] = (n, max(entropy(0), entropy(1)))
-    out = []
-    for host, (_, html) in zip(hosts, pages, strict=True):
-        kept = []
-        for path, bad, main, text in read(html):
-            tops = [importance[host, path[:d]] for d in range(1, len(path) + 1)]
-            if not bad and not any(n >= least_pages and i < (low_main if main else low) - 1e-12 for n, i in tops):
-                kept.append((main, text))
+        for p, held in nodes.items():
+            n = len(held)
+            entropy = lambda k: -sum(c / n * math.log(c / n) for c in Counter(x[k] for x in held.values()).values()) / math.log(n) if n > 1 else 1.0  # noqa: B023, E731
+            importance[host, p] = max(entropy(0), entropy(1)) if n >= least_pages else 1.0
+    texts = []
+    for host, (root, out) in zip(hosts, read, strict=True):
+        half = sum(len(t) for e, t in out if not e["out"]) / 2
+        for e in elements(root):
+            prior = 2 if e["in_main"] else 1
+            if not (e["main"] or e["around"]):
+                if e["strong"] or e["weak"] and e["tag"] == "a" or e["weak"] and not block(e) and not e["in_main"]:
+                    prior /= 6
+                elif e["weak"] and block(e) and (e["in_main"] or sum(len(t) for _, t in e["below"]) < half):
+                    prior /= 3
+            score = prior * (importance.get((host, path(e)), 1.0) if block(e) else 1.0)
+            e["gone"] = e["out"] or score < threshold - 1e-12 or bool(e["parent"] and e["parent"]["gone"])
+        kept = [(e["in_main"], t) for e, t in out if not e["gone"]]
         if sum(len(t) for m, t in kept if m) >= main_share * sum(len(t) for _, t in kept):
             kept = [x for x in kept if x[0]] or kept
-        out.append(" ".join(t for _, t in kept))
-    return out
+        texts.append(" ".join(t for _, t in kept))
+    return texts
 
 
 def repeats(rows: list[tuple], window: int = 13) -> list[tuple]:

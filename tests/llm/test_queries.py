@@ -334,16 +334,72 @@ def test_html_pages(spark, odd_dir, empty_dir):
 
 
 def test_html_against_plain_style_trees(spark, folder):
-    from terrane.llm.html import read
-
-    pages = [r for r in rows(spark, folder, "pages", "page_id", "url", "html") if len(r[2] or "") < 10_000 or folder.startswith("/root")]
-    want = Counter((i, u, t) for (i, u, _), t in zip(pages, brute.page_texts([p[1:] for p in pages], read), strict=True))
+    """Another reader and plain style trees, also on pages of odd classes, unfinished tags and nested readers' comments."""
     from terrane.llm.html import extract
 
+    pages = [r for r in rows(spark, folder, "pages", "page_id", "url", "html") if len(r[2] or "") < 10_000 or folder.startswith("/root")]
+    if pages:
+        rng = np.random.default_rng(11)
+        names = ["", "x", "share-price", "search", "comments", "ad box", "widget", "has-sidebar", "related", "zq7", "notice"]
+        tags = ["div", "p", "section", "article", "main", "span", "a", "ul", "li", "form", "aside", "header", "b"]
+
+        def made(depth: int) -> str:
+            if depth == 0 or rng.random() < 0.2:
+                return f" word{rng.integers(0, 6)} &amp; more{rng.integers(0, 3)} "
+            tag, name = tags[rng.integers(0, len(tags))], names[rng.integers(0, len(names))]
+            return f"<{tag} class='{name}'>" + "".join(made(depth - 1) for _ in range(rng.integers(1, 4))) + f"</{tag}>"
+
+        pages += [(5000 + i, f"http://made{i % 3}.example/{i}", "<html><body>" + "".join(made(4) for _ in range(3)) + ["</body></html>", "<b", "<!-- never ends <p>x</p>", ""][i % 4]) for i in range(90)]
+    want = Counter((i, u, t) for (i, u, _), t in zip(pages, brute.page_texts([p[1:] for p in pages]), strict=True))
     got = extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect() if pages else []
     assert Counter((r["page_id"], r["url"], r["text"]) for r in got) == want
 
 
+WORDS_OF_CONTENT = ["post widget", "search", "related", "share", "notice", "reply", "menu", "comments-open", "ad-free", "sidebar-right", "banner", "newsletter", "social", "subscribe", "nav", "footer", "popup", "promo", "pagination", "cookie"]
+
+
+def test_html_class_words_are_no_bypass(spark):
+    """No word empties an article, a main or what is around one; within them, what differs stays under a word of content."""
+    from terrane.llm.html import extract
+
+    pages = []
+    for k, word in enumerate(WORDS_OF_CONTENT):
+        for i in range(12):
+            pages += [(1000 * k + i, f"http://a{k}.example/{i}", f"<body><nav>Top</nav><div class='{word}'><article class='{word}'><h1>Title {i}</h1><p>Story {i}.</p></article></div></body>")]
+            pages += [(1000 * k + 100 + i, f"http://m{k}.example/{i}", f"<body><main class='{word}'><p>Story {i}.</p></main><footer>End</footer></body>")]
+    for i in range(12):
+        pages += [(90_000 + i, f"http://in.example/{i}", f"<article><p>Story {i}.</p><p class='share-price'>rose {i}%</p><p class='search'>found {i}</p><div class='related'>More for you</div><div class='comments'><article class='comment'><p>I say {i}</p></article></div></article>")]
+        pages += [(91_000 + i, f"http://form.example/{i}", f"<body><form><div class='search'><p>No article, whole text {i}</p></div></form><form>Your name</form></body>".replace("<form><div", "<div").replace("</div></form>", "</div>"))]
+        pages += [(92_000 + i, f"http://around.example/{i}", f"<body><form><article><p>Story {i}.</p></article></form><form>Your name</form></body>")]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(len(WORDS_OF_CONTENT)):
+        assert all(got[1000 * k + i] == f"Title {i} Story {i}." and got[1000 * k + 100 + i] == f"Story {i}." for i in range(12)), WORDS_OF_CONTENT[k]
+    assert all(got[90_000 + i] == f"Story {i}. rose {i}% found {i}" for i in range(12))
+    assert all(got[91_000 + i] == f"No article, whole text {i}" and got[92_000 + i] == f"Story {i}." for i in range(12))
+
+
+def test_html_unfinished_ends():
+    from terrane.llm.html import main_text
+
+    ends = {"<p>cut <b": "cut", "<!-- open comment <p>secret": "", "<p>a</p><!-- open <p>b</p>": "a", "<p>x < y &amp": "x < y &", "<p>one</p><script>var p = '<p>no</p>'": "one", "<p>one <a href='x": "one", "<p>1 <": "1 <", "<p>so</p": "so", "a <?php echo": "a", "&lt;b&gt; is &copy": "<b> is ©"}
+    assert {h: main_text(h, [], 0.35, 0.2) for h in ends} == ends
+
+
+def test_html_reads_deep_pages_in_linear_time():
+    import time
+
+    from terrane.llm.html import read
+
+    def seconds(depth: int) -> float:
+        page = "<div>" * depth + "<p>short</p>" * 400
+        began = time.process_time()
+        assert len(read(page).blocks) == 400
+        return time.process_time() - began
+
+    seconds(100)
+    assert min(seconds(6000) for _ in range(3)) < 0.5, "hashes of all prefixes took seconds at 1,500"
+
+
 def test_html_wrappers_inline_adverts_and_small_articles(spark):
     """Class words on wrappers empty no page; flagged inline elements go; a teaser in an article does not hide the page."""
     from terrane.llm.html import extract
