@@ -1,11 +1,13 @@
 """Collocations by suffix sorting with one stack.
 
 Texts are cut into pieces at punctuation and line ends. Every word of a piece starts a suffix, truncated at `longest`
-words; tasks count equal suffixes before they are shuffled. The shuffle is by ranges of (language, first word, words
-after it), so that a frequent first word is spread over as many tasks as it needs. Each task reads its suffixes in
-reverse order and counts all their prefixes with one stack: a prefix's count is complete when a suffix comes that does
-not start with it. Only the prefixes of a task's first and last suffix can go on in another task; those are given out
-whatever their count, and sums over tasks make them whole. Counts of a phrase's parts are joined afterwards.
+words; tasks count equal suffixes before they are shuffled by language and first word. Suffixes of a frequent first word
+are dealt out by the words after it too: by the shortest beginning that is not frequent, so that no task gets more than a
+small share of all. Each task reads its suffixes in reverse order and counts all their prefixes with one stack: a count
+is complete when a suffix comes that does not start with the prefix. Only the frequent beginnings go on in other tasks;
+they are given out whatever their count, and sums over tasks make them whole. Counts of a phrase's parts are joined
+afterwards. Which beginnings are frequent is taken from a sample of the texts; it decides where suffixes go, not what is
+counted.
 
 Defined results: a null text is an empty one; a null language is `und`, as is the language of that name; repeated rows
 count as often as they stand there; phrases do not span pieces; columns other than text and lang are not read; an empty
@@ -15,8 +17,10 @@ enough for counts up to 10^15.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,63 +31,77 @@ from terrane.llm.common import materialize
 #: Lower case for A-Z, a line end for what ends a piece, a space for a tab.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 #: Suffixes that a task counts before it gives them out.
-HELD = 300_000
+HELD = 400_000
+COUNTED = "lang string, suffix string, n long"
 
 
-def truncated_suffixes(text: bytes, longest: int) -> Iterator[bytes]:
+def truncated_suffixes(text: bytes, longest: int) -> list[bytes]:
     """The suffixes of a text's pieces, at most `longest` words each; a space ends every word."""
+    out = []
     for piece in text.translate(FOLD).split(b"\n"):
         words = piece.split()
-        for i in range(len(words)):
-            yield b" ".join([*words[i : i + longest], b""])
-
-
-def prefix_counts(rows: Iterator[tuple[str, str, int]], least: int) -> Iterator[tuple[str, str, int]]:
-    """(lang, suffix, count) with equal prefixes side by side -> (lang, prefix, count): whole counts of at least `least`, and all that may go on beside these rows."""
-    stack: list[list] = []  # [prefix, count], each the beginning of the next
-    at = opening = None
-    edge: set[str] = set()
-
-    def popped() -> Iterator[tuple[str, str, int]]:
-        prefix, n = stack.pop()
-        if stack:
-            stack[-1][1] += n
-        if n >= least or (at == opening and prefix in edge):
-            yield at, prefix, n
+        if words:
+            line = b" ".join([*words, b""])
+            ends = list(accumulate(map(len, words), lambda a, n: a + n + 1, initial=0))
+            last = len(words)
+            out += [line[ends[i] : ends[i + longest if i + longest < last else last]] for i in range(last)]
+    return out
+
+
+def slot(lang: str, suffix: bytes, frequent: dict[str, frozenset[bytes]]) -> int:
+    """A hash of the shortest beginning, of whole words, that is not frequent."""
+    known, end = frequent.get(lang, ()), suffix.index(b" ") + 1
+    while end < len(suffix) and suffix[:end] in known:
+        end = suffix.index(b" ", end) + 1
+    return zlib.crc32(suffix[:end], zlib.crc32(lang.encode("utf-8", "surrogatepass"))) & 0x7FFFFFFF
+
+
+def prefix_counts(rows: Iterator[tuple[str, str, int]], least: int, frequent: dict[str, frozenset[str]]) -> Iterator[tuple[str, str, int]]:
+    """(lang, suffix, count), equal prefixes side by side -> (lang, prefix, count) of all that occur at least `least` times, and of the frequent beginnings."""
+    at, open_, counts, known = None, [], [], frozenset()  # the words of the last suffix, and the count of each of its prefixes
+
+    def closed(common: int) -> list[tuple[str, str, int]]:
+        out = []
+        for k in range(len(counts), common, -1):
+            n = counts.pop()
+            if counts:
+                counts[-1] += n
+            if n >= least or known and " ".join(open_[:k]) in known:
+                out.append((at, " ".join(open_[:k]), n))
+        return out
 
     for lang, suffix, n in rows:
+        words, common = suffix.split(" ")[:-1], 0
         if lang != at:
-            while stack:
-                yield from popped()
-            at = lang
-        while stack and not suffix.startswith(stack[-1][0]):
-            yield from popped()
-        end = len(stack[-1][0]) if stack else 0
-        while end < len(suffix):
-            end = suffix.index(" ", end) + 1
-            stack.append([suffix[:end], 0])
-        stack[-1][1] += n
-        if opening is None:
-            opening, edge = lang, {prefix for prefix, _ in stack}
-    while stack:  # the prefixes of the last suffix
-        prefix, n = stack.pop()
-        if stack:
-            stack[-1][1] += n
-        yield at, prefix, n
-
-
-def suffixes(docs: DataFrame, longest: int) -> DataFrame:
-    """lang, suffix, n: truncated suffixes, counted within tasks."""
+            yield from closed(0)
+            at, known = lang, frequent.get(lang, frozenset())
+        else:
+            for a, b in zip(words, open_):  # noqa: B905 (one may be longer)
+                if a != b:
+                    break
+                common += 1
+        if common < len(counts):
+            yield from closed(common)
+        counts.extend([0] * (len(words) - common))
+        counts[-1] += n
+        open_ = words
+    yield from closed(0)
+
+
+def suffixes(docs: DataFrame, longest: int, frequent: dict[str, frozenset[bytes]] | None) -> DataFrame:
+    """lang, suffix, n: truncated suffixes, counted within tasks; with `frequent` given, also the slot to shuffle them by."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
         def told() -> pa.RecordBatch:
             langs = [lang for lang, c in held.items() for _ in range(len(c))]
-            counts = [n for c in held.values() for n in c.values()]
-            names = pa.array([s for c in held.values() for s in c], pa.binary()).cast(pa.string())
+            names = [s for c in held.values() for s in c]
+            columns = {"lang": pa.array(langs, pa.string()), "suffix": pa.array(names, pa.binary()).cast(pa.string()), "n": pa.array([n for c in held.values() for n in c.values()], pa.int64())}
+            if frequent is not None:
+                columns["slot"] = pa.array([slot(lang, s, frequent) for lang, s in zip(langs, names, strict=True)], pa.int32())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), names, pa.array(counts, pa.int64())], ["lang", "suffix", "n"])
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -93,26 +111,55 @@ def suffixes(docs: DataFrame, longest: int) -> DataFrame:
         yield told()
 
     texts = docs.filter(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(count, "lang string, suffix string, n long")
+    return texts.mapInArrow(count, COUNTED + (", slot int" if frequent is not None else ""))
+
 
+def frequent_beginnings(docs: DataFrame, longest: int, share: float, sample_bytes: int) -> tuple[int, dict[str, frozenset[bytes]]]:
+    """The bytes of all texts, and by language the beginnings that more than a share of a sample's suffixes have: at most longest / share of them."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    sampled = suffixes(docs.filter(F.rand(13) < sample_bytes / max(1, total)), longest, None)
+    words = F.split(F.rtrim("suffix"), " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    counted = materialize(sampled.select("lang", "n", F.explode(begins).alias("begin")).groupBy("lang", "begin").agg(F.sum("n").alias("n")), "collocations-sample")
+    one = F.size(F.split("begin", " ")) == 1
+    suffixes_seen = counted.filter(one).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found: dict[str, set[bytes]] = {}
+    for r in counted.filter(F.col("n") > share * suffixes_seen).collect():
+        found.setdefault(r["lang"], set()).add(r["begin"].encode() + b" ")
+    return total, {lang: frozenset(s) for lang, s in found.items()}
 
-def frequent_phrases(counted: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, f: all phrases that occur at least `least` times, from counted suffixes."""
+
+def frequent_phrases(counted: DataFrame, least: int, partitions: int, frequent: dict[str, frozenset[bytes]]) -> DataFrame:
+    """lang, phrase, f: all phrases that occur at least `least` times, from counted suffixes; and all words' number as phrase ''."""
+    known = {lang: frozenset(s.decode().rstrip(" ") for s in begins) for lang, begins in frequent.items()}
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        totals: Counter = Counter()
+
+        def rows() -> Iterator[tuple[str, str, int]]:
+            for batch in batches:
+                langs, names, counts = (batch.column(i).to_pylist() for i in range(3))
+                for lang, n in zip(langs, counts, strict=True):
+                    totals[lang] += n
+                yield from zip(langs, names, counts, strict=True)
+
+        def told(out: list[tuple[str, str, int]]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
+
         out: list[tuple[str, str, int]] = []
-        for found in prefix_counts(rows, least):
+        for found in prefix_counts(rows(), least, known):
             out.append(found)
             if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "phrase", "f"])
+                yield told(out)
                 out = []
+        out += [(lang, "", n) for lang, n in totals.items()]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "phrase", "f"])
+            yield told(out)
 
     keys = [F.col("lang").desc(), F.col("suffix").desc()]
-    swept = counted.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(sweep, "lang string, phrase string, f long")
-    return swept.groupBy("lang", F.rtrim("phrase").alias("phrase")).agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    swept = counted.repartition(partitions, "slot").drop("slot").sortWithinPartitions(*keys).mapInArrow(sweep, "lang string, phrase string, f long")
+    return swept.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
 def _scores(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -140,15 +187,17 @@ def _within_longer(candidates: DataFrame) -> DataFrame:
     return candidates.filter(size >= 3).select("lang", F.explode(inner).alias("inner"), "a").groupBy("lang", "inner").agg(F.max("a").alias("most"))
 
 
-def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, buckets: int = 64) -> DataFrame:
+def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, buckets: int = 64, share: float = 0.001, sample_bytes: int = 16 << 20, partition_bytes: int = 16 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `longest` words that occur at least `least` times.
 
-    A phrase goes where a longer one holds it and is as frequent. Ranks are dealt in two steps, so that no task
+    `share` of all suffixes is the most that one beginning may send to one task, `partition_bytes` of text are meant for
+    one task; a sample of `sample_bytes` tells the frequent beginnings. A phrase goes where a longer one holds it and is as frequent. Ranks are dealt in two steps, so that no task
     sorts all phrases of a language.
     """
-    counted = materialize(suffixes(docs, longest), "collocations-suffixes", "zstd")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = materialize(frequent_phrases(counted, least), "collocations-phrases")
+    total, frequent = frequent_beginnings(docs, longest, share, sample_bytes)
+    partitions = max(docs.sparkSession.sparkContext.defaultParallelism, total // partition_bytes + 1)
+    swept = materialize(frequent_phrases(suffixes(docs, longest, frequent), least, partitions, frequent), "collocations-phrases")
+    totals, phrases = swept.filter("phrase = ''").select("lang", F.col("f").alias("n")), swept.filter("phrase <> ''")
     scored = _scores(phrases, totals)
     longer = _within_longer(scored).select(F.col("lang").alias("longer_lang"), "inner", "most")
     kept = scored.join(longer, (F.col("lang") == F.col("longer_lang")) & (F.col("phrase") == F.col("inner")), "left").filter(F.coalesce(F.col("most") < F.col("a"), F.lit(True)))
