@@ -223,6 +223,56 @@ def test_store_keeps_what_several_writers_wrote(spark, tmp_path):
     assert one.vacuum("runs", keep=1, older_than_s=-60) > 0 and held("q/=é", "r") == before[:1] + before[2:]
 
 
+def _log_rows(spark, *pairs):
+    shape = "run_id string, project_id string, state string, stage string, counts map<string,bigint>, warnings array<string>, error string, updated_at timestamp"
+    return spark.createDataFrame([(r, p, "", "", {}, [], None, None) for r, p in pairs], shape)
+
+
+@pytest.mark.parametrize("step", ["_versions", "_entries", "_newest", "_add", "_publish", "_frame"])
+@pytest.mark.parametrize("before", [True, False])
+def test_store_with_another_writer_within_each_step(spark, tmp_path, step, before):
+    """Whatever step of a write another one falls into, both are there afterwards."""
+    from terrane.operators.store import Store
+
+    one, two = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    one.write("runs", _log_rows(spark, ("0", "a")), "a")
+    plain, left = getattr(one, step), ["b", "c"]
+
+    def interleaved(*arguments):
+        if before and left:
+            other = left.pop()
+            two.write("runs", _log_rows(spark, ("2", other)), other)
+        out = plain(*arguments)
+        if not before and left:
+            other = left.pop()
+            two.write("runs", _log_rows(spark, ("2", other)), other)
+        return out
+
+    setattr(one, step, interleaved)
+    one.write("runs", _log_rows(spark, ("1", "a")), "a")
+    one.append("runs", _log_rows(spark, ("3", "a")), "a")
+    assert sorted((r["run_id"], r["project_id"]) for r in two.read("runs").collect()) == sorted([("1", "a"), ("3", "a")] + [("2", p) for p in "bc" if p not in left])
+    assert len(left) < 2, "the step was taken"
+    assert not [p for p in (tmp_path / "store/runs/versions").iterdir() if p.name.startswith(".v") and not p.name.endswith(".crc")], "private names are gone"
+
+
+def test_store_under_eight_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from terrane.operators.store import Store
+
+    def work(k):
+        store = Store(spark, str(tmp_path / "store"))
+        for turn in range(3):
+            store.write("runs", _log_rows(spark, (f"w{turn}", f"own{k}")), f"own{k}")
+            store.append("runs", _log_rows(spark, (f"{k}-{turn}", "shared")), "shared")
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(work, range(8)))
+    got = sorted((r["run_id"], r["project_id"]) for r in Store(spark, str(tmp_path / "store")).read("runs").collect())
+    assert got == sorted([("w2", f"own{k}") for k in range(8)] + [(f"{k}-{t}", "shared") for k in range(8) for t in range(3)])
+
+
 def test_watch(spark, tmp_path):
     from terrane.operators.store import Store
     from terrane.streaming.watch import FILES as SHAPE
