@@ -1,13 +1,15 @@
 """Collocations by suffix sorting with one stack.
 
 Texts are cut into pieces at punctuation and line ends. Every word of a piece starts a suffix, truncated at `longest`
-words; tasks count equal suffixes before they are shuffled by language and first word. Suffixes of a frequent first word
-are dealt out by the words after it too: by the shortest beginning that is not frequent, so that no task gets more than a
-small share of all. Each task reads its suffixes in reverse order and counts all their prefixes with one stack: a count
-is complete when a suffix comes that does not start with the prefix. Only the frequent beginnings go on in other tasks;
-they are given out whatever their count, and sums over tasks make them whole. Counts of a phrase's parts are joined
-afterwards. Which beginnings are frequent is taken from a sample of the texts; it decides where suffixes go, not what is
-counted.
+words. Tasks count equal suffixes and pack them, sorted, into one row for each part of the shuffle, so that few and
+well-compressing rows travel. The shuffle is by language and first word; suffixes of a frequent first word are dealt out
+by the words after it too: by the shortest beginning that is not frequent, so that no task gets more than a small share
+of all. Each task sorts its suffixes in reverse order and counts all their prefixes with one stack: a count is complete
+when a suffix comes that does not start with the prefix. Only the frequent beginnings go on in other tasks; they are
+given out whatever their count, and sums over tasks make them whole. Counts of a phrase's parts are joined afterwards.
+Which beginnings are frequent is taken from a sample of the texts; it decides where suffixes go, not what is counted.
+
+A task holds about the suffixes of `partition_bytes` of text, so the number of parts grows with the texts.
 
 Defined results: a null text is an empty one; a null language is `und`, as is the language of that name; repeated rows
 count as often as they stand there; phrases do not span pieces; columns other than text and lang are not read; an empty
@@ -22,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +35,6 @@ from terrane.llm.common import materialize
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 #: Suffixes that a task counts before it gives them out.
 HELD = 400_000
-COUNTED = "lang string, suffix string, n long"
 
 
 def truncated_suffixes(text: bytes, longest: int) -> list[bytes]:
@@ -56,30 +58,28 @@ def slot(lang: str, suffix: bytes, frequent: dict[str, frozenset[bytes]]) -> int
     return zlib.crc32(suffix[:end], zlib.crc32(lang.encode("utf-8", "surrogatepass"))) & 0x7FFFFFFF
 
 
-def prefix_counts(rows: Iterator[tuple[str, str, int]], least: int, frequent: dict[str, frozenset[str]]) -> Iterator[tuple[str, str, int]]:
-    """(lang, suffix, count), equal prefixes side by side -> (lang, prefix, count) of all that occur at least `least` times, and of the frequent beginnings."""
-    at, open_, counts, known = None, [], [], frozenset()  # the words of the last suffix, and the count of each of its prefixes
+def prefix_counts(rows: Iterator[tuple[bytes, int]], least: int, frequent: frozenset[bytes]) -> Iterator[tuple[bytes, int]]:
+    """(suffix, count), equal prefixes side by side -> (prefix, count) of all that occur at least `least` times, and of the frequent beginnings."""
+    open_: list[bytes] = []  # the words of the last suffix
+    counts: list[int] = []  # of each of its prefixes, without those that are below it in the stack
 
-    def closed(common: int) -> list[tuple[str, str, int]]:
+    def closed(common: int) -> list[tuple[bytes, int]]:
         out = []
         for k in range(len(counts), common, -1):
             n = counts.pop()
             if counts:
                 counts[-1] += n
-            if n >= least or known and " ".join(open_[:k]) in known:
-                out.append((at, " ".join(open_[:k]), n))
+            if n >= least or frequent and b" ".join([*open_[:k], b""]) in frequent:
+                out.append((b" ".join(open_[:k]), n))
         return out
 
-    for lang, suffix, n in rows:
-        words, common = suffix.split(" ")[:-1], 0
-        if lang != at:
-            yield from closed(0)
-            at, known = lang, frequent.get(lang, frozenset())
-        else:
-            for a, b in zip(words, open_):  # noqa: B905 (one may be longer)
-                if a != b:
-                    break
-                common += 1
+    for suffix, n in rows:
+        words, common = suffix.split(b" "), 0
+        words.pop()
+        for a, b in zip(words, open_):  # noqa: B905 (one may be longer)
+            if a != b:
+                break
+            common += 1
         if common < len(counts):
             yield from closed(common)
         counts.extend([0] * (len(words) - common))
@@ -88,36 +88,56 @@ def prefix_counts(rows: Iterator[tuple[str, str, int]], least: int, frequent: di
     yield from closed(0)
 
 
-def suffixes(docs: DataFrame, longest: int, frequent: dict[str, frozenset[bytes]] | None) -> DataFrame:
-    """lang, suffix, n: truncated suffixes, counted within tasks; with `frequent` given, also the slot to shuffle them by."""
+def _counted(texts: DataFrame, longest: int, told, schema: str) -> DataFrame:
+    """What `told` makes of the suffixes that tasks have counted, by language; at most HELD of them at a time."""
+    most = HELD
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-
-        def told() -> pa.RecordBatch:
-            langs = [lang for lang, c in held.items() for _ in range(len(c))]
-            names = [s for c in held.values() for s in c]
-            columns = {"lang": pa.array(langs, pa.string()), "suffix": pa.array(names, pa.binary()).cast(pa.string()), "n": pa.array([n for c in held.values() for n in c.values()], pa.int64())}
-            if frequent is not None:
-                columns["slot"] = pa.array([slot(lang, s, frequent) for lang, s in zip(langs, names, strict=True)], pa.int32())
-            held.clear()
-            return pa.RecordBatch.from_pydict(columns)
-
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held.setdefault(lang, Counter()).update(truncated_suffixes(text.as_py(), longest))
-                if sum(map(len, held.values())) > HELD:
-                    yield told()
-        yield told()
+                if sum(map(len, held.values())) > most:
+                    yield told(held)
+                    held = {}
+        yield told(held)
 
-    texts = docs.filter(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(count, COUNTED + (", slot int" if frequent is not None else ""))
+    wanted = texts.filter(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
+    return wanted.mapInArrow(count, schema)
 
 
-def frequent_beginnings(docs: DataFrame, longest: int, share: float, sample_bytes: int) -> tuple[int, dict[str, frozenset[bytes]]]:
-    """The bytes of all texts, and by language the beginnings that more than a share of a sample's suffixes have: at most longest / share of them."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    sampled = suffixes(docs.filter(F.rand(13) < sample_bytes / max(1, total)), longest, None)
+def suffixes(docs: DataFrame, longest: int) -> DataFrame:
+    """lang, suffix, n: truncated suffixes, counted within tasks."""
+
+    def told(held: dict[str, Counter]) -> pa.RecordBatch:
+        langs = [lang for lang, c in held.items() for _ in range(len(c))]
+        names, counts = [s for c in held.values() for s in c], [n for c in held.values() for n in c.values()]
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "suffix", "n"])
+
+    return _counted(docs, longest, told, "lang string, suffix string, n long")
+
+
+def packed(docs: DataFrame, longest: int, parts: int, frequent: dict[str, frozenset[bytes]]) -> DataFrame:
+    """part, lang, names, counts: suffixes counted within tasks, as sorted lines and as longs."""
+
+    def told(held: dict[str, Counter]) -> pa.RecordBatch:
+        rows = []
+        for lang, counter in held.items():
+            dealt: dict[int, list[bytes]] = {}
+            for suffix in counter:
+                dealt.setdefault(slot(lang, suffix, frequent) % parts, []).append(suffix)
+            for part, names in dealt.items():
+                names.sort()
+                rows.append((part, lang, b"\n".join(names), np.array([counter[s] for s in names], np.int64).tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["part", "lang", "names", "counts"])
+
+    return _counted(docs, longest, told, "part int, lang string, names binary, counts binary")
+
+
+def frequent_beginnings(docs: DataFrame, total: int, longest: int, share: float, sample_bytes: int) -> dict[str, frozenset[bytes]]:
+    """By language the beginnings that more than a share of a sample's suffixes have: at most longest / share of them. total: bytes of all texts."""
+    sampled = suffixes(docs.filter(F.rand(13) < sample_bytes / max(1, total)), longest)
     words = F.split(F.rtrim("suffix"), " ")
     begins = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
     counted = materialize(sampled.select("lang", "n", F.explode(begins).alias("begin")).groupBy("lang", "begin").agg(F.sum("n").alias("n")), "collocations-sample")
@@ -126,39 +146,26 @@ def frequent_beginnings(docs: DataFrame, longest: int, share: float, sample_byte
     found: dict[str, set[bytes]] = {}
     for r in counted.filter(F.col("n") > share * suffixes_seen).collect():
         found.setdefault(r["lang"], set()).add(r["begin"].encode() + b" ")
-    return total, {lang: frozenset(s) for lang, s in found.items()}
+    return {lang: frozenset(s) for lang, s in found.items()}
 
 
-def frequent_phrases(counted: DataFrame, least: int, partitions: int, frequent: dict[str, frozenset[bytes]]) -> DataFrame:
-    """lang, phrase, f: all phrases that occur at least `least` times, from counted suffixes; and all words' number as phrase ''."""
-    known = {lang: frozenset(s.decode().rstrip(" ") for s in begins) for lang, begins in frequent.items()}
+def frequent_phrases(dealt: DataFrame, least: int, parts: int, frequent: dict[str, frozenset[bytes]]) -> DataFrame:
+    """lang, phrase, f: all phrases that occur at least `least` times, from packed suffixes; and the number of all words, as phrase ''."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Counter = Counter()
-
-        def rows() -> Iterator[tuple[str, str, int]]:
-            for batch in batches:
-                langs, names, counts = (batch.column(i).to_pylist() for i in range(3))
-                for lang, n in zip(langs, counts, strict=True):
-                    totals[lang] += n
-                yield from zip(langs, names, counts, strict=True)
-
-        def told(out: list[tuple[str, str, int]]) -> pa.RecordBatch:
-            columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
-
-        out: list[tuple[str, str, int]] = []
-        for found in prefix_counts(rows(), least, known):
-            out.append(found)
-            if len(out) == 10_000:
-                yield told(out)
-                out = []
-        out += [(lang, "", n) for lang, n in totals.items()]
-        if out:
-            yield told(out)
-
-    keys = [F.col("lang").desc(), F.col("suffix").desc()]
-    swept = counted.repartition(partitions, "slot").drop("slot").sortWithinPartitions(*keys).mapInArrow(sweep, "lang string, phrase string, f long")
+        held: dict[str, dict[bytes, int]] = {}
+        for batch in batches:
+            for lang, names, counts in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+                own = held.setdefault(lang, {})
+                before = own.get
+                for suffix, n in zip(names.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    own[suffix] = before(suffix, 0) + n
+        for lang, own in held.items():
+            rows = prefix_counts(((s, own[s]) for s in sorted(own, reverse=True)), least, frequent.get(lang, frozenset()))
+            out = [(b"", sum(own.values())), *rows]  # few: those that are frequent
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array([p for p, _ in out], pa.binary()).cast(pa.string()), pa.array([n for _, n in out], pa.int64())], ["lang", "phrase", "f"])
+
+    swept = dealt.repartitionById(parts, F.col("part")).mapInArrow(sweep, "lang string, phrase string, f long")
     return swept.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
@@ -187,16 +194,17 @@ def _within_longer(candidates: DataFrame) -> DataFrame:
     return candidates.filter(size >= 3).select("lang", F.explode(inner).alias("inner"), "a").groupBy("lang", "inner").agg(F.max("a").alias("most"))
 
 
-def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, buckets: int = 64, share: float = 0.001, sample_bytes: int = 16 << 20, partition_bytes: int = 16 << 20) -> DataFrame:
+def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, buckets: int = 64, sample_bytes: int = 16 << 20, partition_bytes: int = 8 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `longest` words that occur at least `least` times.
 
-    `share` of all suffixes is the most that one beginning may send to one task, `partition_bytes` of text are meant for
-    one task; a sample of `sample_bytes` tells the frequent beginnings. A phrase goes where a longer one holds it and is as frequent. Ranks are dealt in two steps, so that no task
+    `partition_bytes` of text are meant for one task; a sample of `sample_bytes` tells the beginnings with more than a
+    quarter of that (and more than 1 in 100,000 of all, so that their set is bounded). A phrase goes where a longer one holds it and is as frequent. Ranks are dealt in two steps, so that no task
     sorts all phrases of a language.
     """
-    total, frequent = frequent_beginnings(docs, longest, share, sample_bytes)
-    partitions = max(docs.sparkSession.sparkContext.defaultParallelism, total // partition_bytes + 1)
-    swept = materialize(frequent_phrases(suffixes(docs, longest, frequent), least, partitions, frequent), "collocations-phrases")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, total // partition_bytes + 1)
+    frequent = frequent_beginnings(docs, total, longest, max(0.25 / parts, 1e-5), sample_bytes)
+    swept = materialize(frequent_phrases(packed(docs, longest, parts, frequent), least, parts, frequent), "collocations-phrases")
     totals, phrases = swept.filter("phrase = ''").select("lang", F.col("f").alias("n")), swept.filter("phrase <> ''")
     scored = _scores(phrases, totals)
     longer = _within_longer(scored).select(F.col("lang").alias("longer_lang"), "inner", "most")

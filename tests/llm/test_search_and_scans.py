@@ -93,18 +93,13 @@ def test_collocations_equal_counting_all(spark, folder, least):
     same(got.collect(), want)
 
 
-def test_collocations_over_many_ranges(spark):
+def test_collocations_over_many_tasks(spark, monkeypatch):
     """Beginnings that hold most suffixes go over many tasks; their counts are whole all the same."""
     texts = [(("en", None, "und")[i % 3], f"hot pair w{i % 41} x{i % 7}, hot hot hot\t\x01odd pair. Hot\x0bPAIR {'hot pair ' * (i % 5)}") for i in range(600)]
     docs = spark.createDataFrame(texts, "lang string, text string").repartition(7)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "60")
-    try:
-        for share in (0.5, 0.01, 0.0001):
-            same(collocations.mine(docs, least=20, share=share, partition_bytes=500).collect(), brute.collocations(texts, least=20))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(collocations, "HELD", 50)
+    for size in (500, 5000, 1 << 20):
+        same(collocations.mine(docs, least=20, partition_bytes=size).collect(), brute.collocations(texts, least=20))
 
 
 def test_collocation_scores_beyond_64_bits(spark):
