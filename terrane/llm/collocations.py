@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -50,42 +50,75 @@ def truncated_suffixes(text: bytes, longest: int) -> list[bytes]:
     return out
 
 
-def slot(lang: str, suffix: bytes, frequent: dict[str, frozenset[bytes]]) -> int:
-    """A hash of the shortest beginning, of whole words, that is not frequent."""
-    known, end = frequent.get(lang, ()), suffix.index(b" ") + 1
-    while end < len(suffix) and suffix[:end] in known:
-        end = suffix.index(b" ", end) + 1
-    return zlib.crc32(suffix[:end], zlib.crc32(lang.encode("utf-8", "surrogatepass"))) & 0x7FFFFFFF
+def dealt(suffixes: Iterable[bytes], lang: str, parts: int, frequent: frozenset[bytes]) -> dict[int, list[bytes]]:
+    """Suffixes by part: a hash of their shortest beginning, of whole words, that is not frequent."""
+    seed, out, of_first = zlib.crc32(lang.encode("utf-8", "surrogatepass")), {}, {}
+    for suffix in suffixes:
+        end = suffix.index(b" ") + 1
+        begin = suffix[:end]
+        held = of_first.get(begin)
+        if held is None:
+            if begin in frequent:
+                while end < len(suffix) and begin in frequent:
+                    end = suffix.index(b" ", end) + 1
+                    begin = suffix[:end]
+                out.setdefault(zlib.crc32(begin, seed) % parts, []).append(suffix)
+                continue
+            held = of_first[begin] = out.setdefault(zlib.crc32(begin, seed) % parts, [])
+        held.append(suffix)
+    return out
 
 
-def prefix_counts(rows: Iterator[tuple[bytes, int]], least: int, frequent: frozenset[bytes]) -> Iterator[tuple[bytes, int]]:
-    """(suffix, count), equal prefixes side by side -> (prefix, count) of all that occur at least `least` times, and of the frequent beginnings."""
-    open_: list[bytes] = []  # the words of the last suffix
-    counts: list[int] = []  # of each of its prefixes, without those that are below it in the stack
+def prefix_counts(rows: Mapping[bytes, int], least: int, frequent: frozenset[bytes]) -> list[tuple[bytes, int]]:
+    """Counts of suffixes -> those of their prefixes, of all that occur at least `least` times and of the frequent beginnings.
 
-    def closed(common: int) -> list[tuple[bytes, int]]:
-        out = []
+    The stack holds a count for each prefix of the last suffix, without what is above it; the first `hot` of them are
+    frequent beginnings, whose own beginnings are frequent too.
+    """
+    out: list[tuple[bytes, int]] = []
+    last, counts, hot = [b""], [], 0
+    for suffix in [*sorted(rows, reverse=True), None]:
+        words = suffix.split(b" ") if suffix is not None else [b"", b""]  # an empty word ends them
+        common = 0
+        while words[common] == last[common] != b"":
+            common += 1
         for k in range(len(counts), common, -1):
             n = counts.pop()
-            if counts:
+            if k > 1:
                 counts[-1] += n
-            if n >= least or frequent and b" ".join([*open_[:k], b""]) in frequent:
-                out.append((b" ".join(open_[:k]), n))
-        return out
-
-    for suffix, n in rows:
-        words, common = suffix.split(b" "), 0
-        words.pop()
-        for a, b in zip(words, open_):  # noqa: B905 (one may be longer)
-            if a != b:
-                break
-            common += 1
-        if common < len(counts):
-            yield from closed(common)
-        counts.extend([0] * (len(words) - common))
-        counts[-1] += n
-        open_ = words
-    yield from closed(0)
+            if n >= least or k <= hot:
+                out.append((b" ".join(last[:k]), n))
+        if suffix is None:
+            break
+        counts += [0] * (len(words) - 1 - common)
+        counts[-1] += rows[suffix]
+        last = words
+        if common <= hot:
+            hot = common
+            while hot < len(counts) and b" ".join([*words[: hot + 1], b""]) in frequent:
+                hot += 1
+    return out
+
+
+def worth_sorting(runs: Sequence[tuple[list[bytes], list[int]]], least: int, frequent: frozenset[bytes]) -> dict[bytes, int]:
+    """Counts of suffixes, those that begin with two words of too small a count cut to their first word: no longer prefix of theirs can count."""
+    heads: dict[bytes, int] = {}
+    seen = heads.get
+    cut = [[s[: s.find(b" ", s.find(b" ") + 1) + 1] or s for s in names] for names, _ in runs]
+    for own, (_, counts) in zip(cut, runs, strict=True):
+        for head, n in zip(own, counts, strict=True):
+            heads[head] = seen(head, 0) + n
+    kept = {head for head, n in heads.items() if n >= least} | {head for head in heads if head in frequent}
+    out: dict[bytes, int] = {}
+    for own, (names, counts) in zip(cut, runs, strict=True):
+        for head, suffix, n in zip(own, names, counts, strict=True):
+            if head in kept:
+                out[suffix] = out.get(suffix, 0) + n
+    for head, n in heads.items():
+        if head not in kept:
+            first = head[: head.index(b" ") + 1]
+            out[first] = out.get(first, 0) + n
+    return out
 
 
 def _counted(texts: DataFrame, longest: int, told, schema: str) -> DataFrame:
@@ -123,12 +156,9 @@ def packed(docs: DataFrame, longest: int, parts: int, frequent: dict[str, frozen
     def told(held: dict[str, Counter]) -> pa.RecordBatch:
         rows = []
         for lang, counter in held.items():
-            dealt: dict[int, list[bytes]] = {}
-            for suffix in counter:
-                dealt.setdefault(slot(lang, suffix, frequent) % parts, []).append(suffix)
-            for part, names in dealt.items():
+            for part, names in dealt(counter, lang, parts, frequent.get(lang, frozenset())).items():
                 names.sort()
-                rows.append((part, lang, b"\n".join(names), np.array([counter[s] for s in names], np.int64).tobytes()))
+                rows.append((part, lang, b"\n".join(names), np.fromiter(map(counter.__getitem__, names), np.int64, len(names)).tobytes()))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["part", "lang", "names", "counts"])
 
@@ -149,23 +179,20 @@ def frequent_beginnings(docs: DataFrame, total: int, longest: int, share: float,
     return {lang: frozenset(s) for lang, s in found.items()}
 
 
-def frequent_phrases(dealt: DataFrame, least: int, parts: int, frequent: dict[str, frozenset[bytes]]) -> DataFrame:
+def frequent_phrases(rows: DataFrame, least: int, parts: int, frequent: dict[str, frozenset[bytes]]) -> DataFrame:
     """lang, phrase, f: all phrases that occur at least `least` times, from packed suffixes; and the number of all words, as phrase ''."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, int]] = {}
+        held: dict[str, list[tuple[list[bytes], list[int]]]] = {}
         for batch in batches:
             for lang, names, counts in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
-                own = held.setdefault(lang, {})
-                before = own.get
-                for suffix, n in zip(names.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
-                    own[suffix] = before(suffix, 0) + n
-        for lang, own in held.items():
-            rows = prefix_counts(((s, own[s]) for s in sorted(own, reverse=True)), least, frequent.get(lang, frozenset()))
-            out = [(b"", sum(own.values())), *rows]  # few: those that are frequent
+                held.setdefault(lang, []).append((names.split(b"\n"), np.frombuffer(counts, np.int64).tolist()))
+        for lang, runs in held.items():
+            known = frequent.get(lang, frozenset())
+            out = [(b"", sum(sum(counts) for _, counts in runs)), *prefix_counts(worth_sorting(runs, least, known), least, known)]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array([p for p, _ in out], pa.binary()).cast(pa.string()), pa.array([n for _, n in out], pa.int64())], ["lang", "phrase", "f"])
 
-    swept = dealt.repartitionById(parts, F.col("part")).mapInArrow(sweep, "lang string, phrase string, f long")
+    swept = rows.repartitionById(parts, F.col("part")).mapInArrow(sweep, "lang string, phrase string, f long")
     return swept.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
