@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.paths import in_scope
-from terrane.operators import graph, resolve, retrieval, templates
+from terrane.operators import graph, incremental, resolve, retrieval, templates
 from terrane.operators.diff import changed, diff_counts, snapshot_diff
 from terrane.operators.store import Store, new_run_id
 from terrane.settings import Settings
 from terrane.sources import code, code_graph, configs, inventory, views
 
-INDEX_VERSION = 2
+INDEX_VERSION = 3
 SYMBOL = ["id", "kind", "name", "fqn", "file_path", "line_start", "line_end", "language", "project_id", "docstring", "source_hash", "properties"]
 
 # Kinds of symbols that are types; edges whose hints name a type, and the keys that name it.
@@ -36,10 +36,10 @@ def extract(files: DataFrame, staged: Callable[[str, DataFrame], DataFrame]) ->
     source = files.filter(F.col("language").isin("groovy", "java"))
     declared = staged("declarations", code_graph.described(code.declarations(source)))
     lines = code_graph.body_lines(declared)
-    (uses, use_edges), (settings, setting_edges) = code_graph.used(lines, declared), code_graph.configured(source, declared)
+    (uses, use_edges), (settings, setting_edges) = code_graph.used(lines, declared, by_file=True), code_graph.configured(source, declared, by_file=True)
     found = [
         views.view_symbols(gsp, F.col("artifact_type"), "gsp"), views.view_symbols(jsp, F.col("artifact_type"), "jsp"), configs.config_symbols(keys),
-        code_graph.code_symbols(declared), uses, settings, code_graph.bare_files(source, declared), configs.bean_symbols(beans),
+        code_graph.code_symbols(declared, by_file=True), uses, settings, code_graph.bare_files(source, declared), configs.bean_symbols(beans),
     ]
     edges = [views.gsp_edges(gsp), views.jsp_edges(jsp), code_graph.declared_edges(declared), code_graph.body_edges(lines), use_edges, setting_edges, configs.bean_edges(beans)]
     return reduce(DataFrame.unionByName, [f.select(SYMBOL) for f in found]), reduce(DataFrame.unionByName, edges)
@@ -51,6 +51,11 @@ def verified(edges: DataFrame, run_id: str) -> DataFrame:
     return edges.agg(F.count_if(own & open_).alias("new_unresolved_count"), F.count_if(own & open_ & (F.col("type") == "RENDERS")).alias("missing_views"), F.count_if(own & ~open_).alias("resolved_count"))
 
 
+def visible(symbols: DataFrame) -> DataFrame:
+    """Symbols without those that a symbol of the same id in another file stands before."""
+    return symbols.filter(~F.coalesce("shadowed", F.lit(False)))
+
+
 class Engine:
     @classmethod
     def configured(cls, spark: SparkSession, settings: Settings) -> Engine:
@@ -94,26 +99,59 @@ class Engine:
         return out | {"state": "DRY_RUN" if dry_run else "COMPLETED", "duration_ms": int((time.time() - began) * 1000)}
 
     def _merge(self, files: DataFrame, diff: DataFrame, pid: str, run_id: str, scope: str) -> None:
-        key = ["project_id", "path"]
-        touched = changed(diff).select(*key)
+        """Extracts the touched files, and resolves their edges and those of other files that the changed symbols concern.
+
+        Each table is written in the buckets of these files only. Symbols are written after what is derived from their change,
+        and the registry last, so that a run that ends early is made good by the next one.
+        """
+        key, staged, read = ["project_id", "path"], lambda name, df: self._staged(name, df, run_id), lambda name, **b: self.store.read(name, pid, **b)
+        touched = staged("touched", changed(diff).select(*key))
         gone = diff.filter("status = 'deleted'").select(*key)
         text = files.join(touched, key, "left_semi").withColumn("text", F.col("content").cast("string")).drop("content")
-        symbols, edges = (self._staged(name, df, run_id) for name, df in zip(("symbols", "edges"), extract(self._staged("text", text, run_id), lambda name, df: self._staged(name, df, run_id)), strict=True))
-        paths = touched.unionByName(gone).select(F.col("path").alias("file_path"), "project_id").distinct()
-        held = self.store.read("symbols", pid)
-        kept = held.join(paths, ["file_path", "project_id"], "left_anti").select(held.columns)
-        all_symbols = self.store.write("symbols", graph.upsert_nodes(kept, symbols.withColumn("last_run_id", F.lit(run_id)).select(held.columns), run_id), pid)
-        old = self.store.read("edges", pid)
-        rest = old.join(paths, ["file_path", "project_id"], "left_anti").select(old.columns)
-        new = self._staged("resolved", self._resolved(edges.withColumn("last_run_id", F.lit(run_id)).select(old.columns), all_symbols), run_id)
-        swept = graph.dangling_sweep(graph.upsert_edges(rest, new.drop("warning_code"), all_symbols, run_id).select(old.columns), all_symbols).filter("action <> 'delete'")
-        self.store.write("edges", swept.select(old.columns), pid)
-        # Only chunks of touched files are embedded; those of other files stay, those of deleted ones go.
-        fresh = all_symbols.join(paths, ["file_path", "project_id"], "left_semi")
-        chunk = retrieval.chunks(fresh).withColumn("embedding", retrieval.embed(F.col("text")))
-        stored = self.store.read("chunks", pid)
-        self.store.write("chunks", stored.join(paths, ["file_path", "project_id"], "left_anti").select(stored.columns).unionByName(chunk.select(stored.columns)), pid)
-        registry = self.store.read("files", pid)
+        symbols, edges = (staged(name, df) for name, df in zip(("symbols", "edges"), extract(staged("text", text), staged), strict=True))
+        paths = staged("paths", touched.unionByName(gone).select(F.col("path").alias("file_path"), "project_id").distinct())
+        own = ["file_path", "project_id"]
+
+        held = read("symbols")
+        before = read("symbols", buckets=self.store.buckets("symbols", paths)).join(paths, own, "left_semi").select(held.columns)
+        after = symbols.withColumns({"last_run_id": F.lit(run_id), "shadowed": F.lit(False)}).select(held.columns)
+        ids = before.select("id").unionByName(after.select("id")).distinct()
+        elsewhere = staged("elsewhere", held.join(ids, "id", "left_semi").join(paths, own, "left_anti").select(held.columns))  # the same ids in other files
+        versions = staged("versions", graph.with_shadows(after.unionByName(elsewhere)).select(held.columns))
+        concerned = paths.unionByName(elsewhere.select(own)).distinct()
+        all_symbols = visible(staged("all_symbols", held.join(versions.select("id", "file_path"), ["id", "file_path"], "left_anti").join(paths, own, "left_anti").select(held.columns).unionByName(versions)))
+
+        fresh = edges.withColumn("last_run_id", F.lit(run_id)).withColumn("origin", incremental.origin()).dropDuplicates(["origin"])
+        keys = staged("keys", incremental.symbol_keys(incremental.changed_symbols(visible(before.unionByName(elsewhere)), visible(versions))))
+        index = read("asked", buckets=self.store.buckets("asked", keys)).join(keys, "key", "left_semi").join(read("extracted"), [*own, "last_run_id"], "left_semi")
+        again = incremental.affected(index, keys).join(paths, own, "left_anti").withColumn("last_run_id", F.lit(run_id))
+        old = read("edges")
+        resolved = staged("resolved", self._resolved(fresh.select(old.columns).unionByName(again.select(old.columns)), all_symbols))
+        swept = graph.dangling_sweep(graph.upsert_edges(old.filter("false"), resolved.drop("warning_code"), all_symbols, run_id).select(old.columns), all_symbols).filter("action <> 'delete'").select(old.columns)
+        in_buckets = self.store.buckets("edges", paths.select("file_path").unionByName(resolved.select("file_path")))
+        # An edge that no longer has a symbol at its source goes too: it is in `resolved`, not in `swept`.
+        rest = read("edges", buckets=in_buckets).join(paths, own, "left_anti")
+        same = incremental.refreshed(rest.join(resolved.select("origin"), "origin", "left_semi").select(old.columns), swept)
+        self.store.write("edges", staged("merged_edges", rest.join(resolved.select("origin"), "origin", "left_anti").select(old.columns).unionByName(same)), pid, buckets=in_buckets)
+
+        # Only chunks of symbols that may have changed are embedded; those of deleted files go.
+        chunk = retrieval.chunks(all_symbols.join(concerned, own, "left_semi")).withColumn("embedding", retrieval.embed(F.col("text")))
+        in_buckets = self.store.buckets("chunks", concerned)
+        stored = read("chunks", buckets=in_buckets)
+        self.store.write("chunks", stored.join(concerned, own, "left_anti").select(stored.columns).unionByName(chunk.select(stored.columns)), pid, buckets=in_buckets)
+        # The index of what edges ask for is appended to: `extracted` tells which run's rows of a file count.
+        rows = incremental.index_rows(edges).withColumn("last_run_id", F.lit(run_id))
+        if read("extracted").join(paths, own, "left_anti").isEmpty():
+            self.store.write("asked", rows, pid)
+        else:
+            self.store.append("asked", rows, pid)
+        in_buckets = self.store.buckets("extracted", paths)
+        marks = read("extracted", buckets=in_buckets).join(paths, own, "left_anti").unionByName(touched.select(F.col("path").alias("file_path"), F.lit(run_id).alias("last_run_id"), "project_id"), allowMissingColumns=True)
+        self.store.write("extracted", marks, pid, buckets=in_buckets)
+        in_buckets = self.store.buckets("symbols", concerned)
+        kept = read("symbols", buckets=in_buckets).join(paths, own, "left_anti").join(versions.select("id", "file_path"), ["id", "file_path"], "left_anti").select(held.columns)
+        self.store.write("symbols", kept.unionByName(versions), pid, buckets=in_buckets)
+        registry = read("files")
         fresh = files.drop("content").withColumn("last_run_id", F.lit(run_id)).select(registry.columns)
         self.store.write("files", registry.filter(~in_scope(F.col("path"), scope)).unionByName(fresh), pid)
 
@@ -150,13 +188,17 @@ class Engine:
             out = out.unionByName(resolver(edges.filter(F.col("type").isin(*kinds))).select(*edges.columns, "warning_code"))
         return out
 
+    def _graph(self, project_id: str) -> tuple[DataFrame, DataFrame]:
+        """Symbols and edges of a project."""
+        return visible(self.store.read("symbols", project_id)), self.store.read("edges", project_id)
+
     def rebuild(self, project_id: str, scope: str = "incremental") -> dict:
         """scope as for index, or git:RANGE."""
         root = self.store.project(project_id).first()["root"]
         return self.index(root, inventory.git_scope(root, scope[4:]) if scope.startswith("git:") else scope, force=scope == "full")
 
     def query(self, project_id: str, template: str, **arguments) -> DataFrame:
-        symbols, edges = (self.store.read(t, project_id) for t in ("symbols", "edges"))
+        symbols, edges = self._graph(project_id)
         return templates.run_template(template, symbols, edges, **({"pid": project_id} if template in ("find_symbol", "file_symbols", "missing_views") else {}), **arguments)
 
     def query_edges(self, project_id: str, template: str, id: str) -> DataFrame:
@@ -165,12 +207,12 @@ class Engine:
 
     def settings(self, project_id: str) -> tuple[DataFrame, DataFrame]:
         """Spring profiles and database settings (secrets redacted) of a project's configuration files."""
-        keys = self.store.read("symbols", project_id).filter("kind = 'config_key'")
+        keys = self._graph(project_id)[0].filter("kind = 'config_key'")
         keys = keys.select("project_id", F.col("file_path").alias("path"), F.col("fqn").alias("key"), F.try_element_at("properties", F.lit("value")).alias("value"))
         return configs.profiles(keys), configs.database(keys)
 
     def ask(self, project_id: str, question: str, max_depth: int = 3) -> dict:
-        symbols, edges = (self.store.read(t, project_id) for t in ("symbols", "edges"))
+        symbols, edges = self._graph(project_id)
         pack = retrieval.plan(question, symbols, edges, project_id, self.store.read("chunks", project_id), max_depth)
         nodes, near, texts = (pack[k].collect() for k in ("nodes", "edges", "chunks"))  # each bounded by the pack's caps
         answer = f"{pack['intent']}: {len(nodes)} symbols, {len(near)} relations, {len(texts)} texts. " + ", ".join(f"{n['kind']}:{n['name']}" for n in nodes[:10]) + ". " + ", ".join(sorted({e["type"] for e in near})[:10])
@@ -180,8 +222,8 @@ class Engine:
         run = self.store.runs().filter(F.col("run_id") == run_id).first() if run_id else None
         pid = run["project_id"] if run else project_id
         project = self.store.project(pid).first()
-        count = lambda t: self.store.read(t, pid).count()
-        return {"project": project and project.asDict(), "run": run and run.asDict(), "graph_stats": {"nodes": count("symbols"), "edges": count("edges")}}
+        symbols, edges = self._graph(pid)
+        return {"project": project and project.asDict(), "run": run and run.asDict(), "graph_stats": {"nodes": symbols.count(), "edges": edges.count()}}
 
     def list_projects(self) -> DataFrame:
         return self.store.list_projects().select("project_id", "name", "root", "version", "state", "last_indexed_at")
@@ -199,6 +241,6 @@ class Engine:
 
     def change_plan(self, project_id: str, anchor: str, depth: int = 3) -> DataFrame:
         """What depends on a symbol, nearest first."""
-        symbols, edges = (self.store.read(t, project_id) for t in ("symbols", "edges"))
+        symbols, edges = self._graph(project_id)
         reached = templates.traverse(edges, self.spark.createDataFrame([(anchor,)], "id string"), depth=depth, reverse=True)
         return symbols.join(reached, "id").orderBy("depth", "file_path", "line_start", "id").select("id", "kind", "name", "file_path", "line_start", "depth")

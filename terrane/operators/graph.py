@@ -15,6 +15,14 @@ def upsert_nodes(old: DataFrame, new: DataFrame, run_id: str) -> DataFrame:
     return once.withColumn("last_run_id", F.lit(run_id)).unionByName(old.join(once.select("id"), "id", "left_anti"))
 
 
+def with_shadows(versions: DataFrame) -> DataFrame:
+    """Symbols of several files with shadowed: of those with one id, the first by file counts. Of one id in one file, the last line's stays."""
+    said = [c for c in versions.columns if c not in ("last_run_id", "shadowed")]
+    once = versions.groupBy("id", "file_path").agg(F.max_by(F.struct(*versions.columns), F.struct("line_start", F.to_json(F.struct(*said)))).alias("row")).select("row.*")
+    first = once.groupBy(F.col("id").alias("_id")).agg(F.min("file_path").alias("_file"))
+    return once.join(first, F.col("id") == F.col("_id")).withColumn("shadowed", F.col("file_path") != F.col("_file")).drop("_id", "_file")
+
+
 def upsert_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row: inserted, updated."""
     ids = new.select("id").distinct().join(old.select("id", F.lit(True).alias("held")).distinct(), "id", "left")
@@ -31,7 +39,8 @@ def upsert_edges(old: DataFrame, new: DataFrame, symbols: DataFrame, run_id: str
         .withColumn("last_run_id", F.lit(run_id))
     )
     both = kept.withColumn("_new", F.lit(1)).unionByName(old.withColumn("_new", F.lit(0)))
-    return both.groupBy(*EDGE_KEY).agg(F.max_by(F.struct(*old.columns), "_new").alias("row")).select("row.*")
+    order = F.struct("_new", F.to_json(F.struct(*[c for c in old.columns if c != "last_run_id"])))
+    return both.groupBy(*EDGE_KEY).agg(F.max_by(F.struct(*old.columns), order).alias("row")).select("row.*")
 
 
 def without_incident(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -89,8 +89,8 @@ def injected() -> Column:
     return (c("what") == "field") & F.coalesce(chain, F.lit(False))
 
 
-def code_symbols(d: DataFrame) -> DataFrame:
-    """One symbol for each declaration; of overloads with one id, the first. Properties without a value are left out."""
+def code_symbols(d: DataFrame, by_file: bool = False) -> DataFrame:
+    """One symbol for each declaration; of overloads with one id, the first (of each file). Properties without a value are left out."""
     is_type, grails = c("what") == "type", lambda kind: (c("what") == "type") & (c("artifact_type") == kind)
     visible = F.coalesce(F.try_element_at(F.filter("modifiers", lambda m: m.isin("public", "protected", "private")), F.lit(1)), F.when(c("language") == "java", F.lit("package-private")).otherwise(F.lit("public")))
     bean = F.regexp_replace("name", "Service$", "")
@@ -108,12 +108,12 @@ def code_symbols(d: DataFrame) -> DataFrame:
     }
     held = F.map_filter(F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
     named = d.select("id", c("role").alias("kind"), "name", "fqn", c("path").alias("file_path"), c("line").alias("line_start"), c("end_line").alias("line_end"), "language", "project_id", c("doc").alias("docstring"), c("content_hash").alias("source_hash"), held.alias("properties"))
-    return _first(named)
+    return _first(named, by_file)
 
 
-def _first(symbols: DataFrame) -> DataFrame:
-    row = F.struct(*symbols.columns)
-    return symbols.groupBy("project_id", "id").agg(F.min_by(row, F.struct("file_path", "line_start", "fqn")).alias("row")).select("row.*")
+def _first(symbols: DataFrame, by_file: bool) -> DataFrame:
+    row, key = F.struct(*symbols.columns), ["project_id", "id", *(["file_path"] if by_file else [])]
+    return symbols.groupBy(*key).agg(F.min_by(row, F.struct("file_path", "line_start", "fqn")).alias("row")).select("row.*")
 
 
 def qualifier() -> Column:
@@ -202,7 +202,7 @@ def _nodes(rows: DataFrame, tag: str, kind: str, key: Column, name: Column, fqn:
     )
 
 
-def used(lines: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
+def used(lines: DataFrame, d: DataFrame, by_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """What bodies and annotations use beside code: request parameters, HTTP services, exchanges and cache regions; nodes and edges."""
     none = F.lit(None).cast("string")
     read = F.concat(_all(c("bare"), r"\bparams\.(\w+)\b(?!\s*\()"), _all(c("said"), r"\bparams\.\w+\(\s*[\"'](\w+)"), _all(c("said"), r"\bparams\[\s*[\"'](\w+)"))
@@ -222,10 +222,10 @@ def used(lines: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
         _edges(queue, "PUBLISHES_TO", c("id"), none, _id(F.lit("mq_exchange"), "key"), "at"),
         _edges(cached, F.when(c("note").startswith("@CacheEvict"), "EVICTS_CACHE").otherwise("CACHED_BY"), c("id"), none, _id(F.lit("cache_region"), "key")),
     ]
-    return _first(reduce(DataFrame.unionByName, nodes)), reduce(DataFrame.unionByName, edges)
+    return _first(reduce(DataFrame.unionByName, nodes), by_file), reduce(DataFrame.unionByName, edges)
 
 
-def configured(files: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
+def configured(files: DataFrame, d: DataFrame, by_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """URL mappings, filters, Spring beans, plugins and interceptors: nodes and edges of the files that configure an application."""
     none = F.lit(None).cast("string")
     bare = F.regexp_replace("text", r"(?m)^\s*//.*$", "")
@@ -251,7 +251,7 @@ def configured(files: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
         _edges(rules.filter("hint is not null"), "APPLIES_TO", c("owner_id"), c("hint"), line="at", confidence=sure), _edges(beans, "PROVIDES", _id(F.lit("bean"), "name"), F.concat(F.lit("class:"), c("made")), confidence="EXACT"),
         _edges(asked, "ACCEPTS_PARAM", _id(F.lit("url_mapping"), "called"), none, _id(F.lit("url_param"), "key")),
     ]
-    return _first(reduce(DataFrame.unionByName, nodes)), reduce(DataFrame.unionByName, edges)
+    return _first(reduce(DataFrame.unionByName, nodes), by_file), reduce(DataFrame.unionByName, edges)
 
 
 def bare_files(files: DataFrame, d: DataFrame) -> DataFrame:
