@@ -14,7 +14,7 @@ from terrane.operators import graph, incremental, resolve, retrieval, templates
 from terrane.operators.diff import changed, diff_counts, snapshot_diff
 from terrane.operators.store import Store, new_run_id
 from terrane.settings import Settings
-from terrane.sources import code, code_graph, configs, inventory, views
+from terrane.sources import code, code_graph, configs, inventory, scopes, views
 
 INDEX_VERSION = 3
 SYMBOL = ["id", "kind", "name", "fqn", "file_path", "line_start", "line_end", "language", "project_id", "docstring", "source_hash", "properties"]
@@ -41,7 +41,7 @@ def extract(files: DataFrame, staged: Callable[[str, DataFrame], DataFrame]) ->
         views.view_symbols(gsp, F.col("artifact_type"), "gsp"), views.view_symbols(jsp, F.col("artifact_type"), "jsp"), configs.config_symbols(keys),
         code_graph.code_symbols(declared, by_file=True), uses, settings, code_graph.bare_files(source, declared), configs.bean_symbols(beans),
     ]
-    edges = [views.gsp_edges(gsp), views.jsp_edges(jsp), code_graph.declared_edges(declared), code_graph.body_edges(lines), use_edges, setting_edges, configs.bean_edges(beans)]
+    edges = [views.gsp_edges(gsp), views.jsp_edges(jsp), code_graph.declared_edges(declared), scopes.typed_calls(code_graph.body_edges(lines), declared, lines), use_edges, setting_edges, configs.bean_edges(beans)]
     return reduce(DataFrame.unionByName, [f.select(SYMBOL) for f in found]), reduce(DataFrame.unionByName, edges)
 
 

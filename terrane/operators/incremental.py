@@ -20,7 +20,7 @@ EXTRACTED = [*IDENTITY, "confidence", "extractor", "project_id"]
 READ = ["id", "kind", "name", "fqn", "file_path", "line_start", "properties"]
 
 # The keys of hints, by what the value names.
-NAMES = ("type", "class", "interface", "domain", "command", "method", "action", "receiver", "tag")
+NAMES = ("type", "class", "interface", "domain", "command", "method", "action", "receiver", "declared", "tag")
 BEANS = ("qualifier", "service", "bean", "receiver")
 VIEWS = ("view", "action", "template", "include")
 URIS = ("uri", "mapping")

@@ -70,6 +70,34 @@ def import_index(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     return named.join(fqn_index(symbols), "fqn").groupBy("file_path", "type").agg(F.min_by("id", "position").alias("id"))
 
 
+def package_of(fqn: Column) -> Column:
+    """What stands before a type's simple name, with its dot; empty for the default package."""
+    return F.regexp_replace(fqn, r"[^.]*$", "")
+
+
+def declared_owner(edges: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
+    """edges with _owner: the fqn of the known type that `declared` names in the edge's file and package (_package).
+
+    As the language has it: a full name, a single import, the same package, an import of a whole package (the first that
+    has the type); and last a simple name that only one known type has.
+    """
+    declared = hint(F.col("target_hint"), "declared")
+    known = types.select("fqn", "name").distinct()
+    wanted = edges.select("file_path", declared.alias("_wanted")).filter("_wanted is not null").distinct()
+    single = imports.filter("not endswith(import, '.*')").select("file_path", F.col("import").alias("fqn"), F.substring_index("import", ".", -1).alias("_wanted"), "position")
+    whole = imports.filter("endswith(import, '.*')").select("file_path", F.regexp_replace("import", r"\*$", "").alias("_in"), "position")
+    by_single = wanted.join(single, ["file_path", "_wanted"]).join(known.select("fqn"), "fqn").groupBy("file_path", "_wanted").agg(F.min_by("fqn", "position").alias("_single"))
+    by_whole = wanted.join(whole, "file_path").withColumn("fqn", F.concat("_in", "_wanted")).join(known.select("fqn"), "fqn").groupBy("file_path", "_wanted").agg(F.min_by("fqn", "position").alias("_whole"))
+    once = known.groupBy(simple_name(F.col("fqn")).alias("_simple")).agg(F.count("*").alias("n"), F.min("fqn").alias("_once")).filter("n = 1").drop("n")
+    full, near = (known.select(F.col("fqn").alias(c)).distinct() for c in ("_full", "_near"))
+    out = edges.withColumn("_wanted", declared)
+    for side in (by_single, by_whole):
+        side = side.withColumnsRenamed({"file_path": "_of", "_wanted": "_named"})
+        out = out.join(side, (F.col("file_path") == F.col("_of")) & (F.col("_wanted") == F.col("_named")), "left").drop("_of", "_named")
+    out = out.join(full, F.col("_wanted") == F.col("_full"), "left").join(near, F.concat("_package", "_wanted") == F.col("_near"), "left").join(once, F.col("_wanted") == F.col("_simple"), "left")
+    return out.withColumn("_owner", F.coalesce("_full", "_single", "_near", "_whole", "_once")).drop("_full", "_single", "_near", "_whole", "_once", "_simple", "_wanted")
+
+
 def action_index(symbols: DataFrame) -> DataFrame:
     """controller (class name), action -> id, from fqns `package.Controller#action`."""
     owner = simple_name(F.substring_index("fqn", "#", 1))
@@ -92,7 +120,7 @@ def resolve_types(edges: DataFrame, symbols: DataFrame, *keys: str) -> DataFrame
 
 
 def resolve_injects(edges: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Qualifier, else type (fqn, then imports), else bean name. A qualifier or type that is unknown never falls through."""
+    """Qualifier, else type (fqn, then imports, then the package of the hint's class), else bean name. A qualifier or type that is unknown never falls through."""
     h = F.col("target_hint")
     qualifier, kind, bean = hint(h, "qualifier"), hint(h, "type"), F.coalesce(hint(h, "service"), hint(h, "bean"))
     beans = bean_index(symbols)
@@ -100,13 +128,18 @@ def resolve_injects(edges: DataFrame, symbols: DataFrame, imports: DataFrame) ->
         Tier(beans, {"bean": qualifier}, "EXACT", qualifier.isNotNull()),
         Tier(fqn_index(symbols), {"fqn": kind}, "EXACT", qualifier.isNull()),
         Tier(import_index(imports, symbols), {"file_path": F.col("file_path"), "type": kind}, "EXACT", qualifier.isNull()),
+        Tier(fqn_index(symbols), {"fqn": F.concat(package_of(hint(h, "class")), kind)}, "EXACT", qualifier.isNull()),
         Tier(beans, {"bean": bean}, "LIKELY", qualifier.isNull() & kind.isNull()),
     ]
     return resolve(edges, tiers, "unresolved_di")
 
 
 def resolve_calls(edges: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Same class, then a bean's type, then imports, then a unique name; a tier that fails lets the next one try."""
+    """Same class, then the type that the receiver is declared with, else a bean's type, then imports, then a unique name.
+
+    A tier that fails lets the next one try, but a receiver whose declared type is known is no bean and no import. An
+    inherited method of a known type may still be the only one of its name.
+    """
     method, receiver = hint(F.col("target_hint"), "method"), F.coalesce(hint(F.col("target_hint"), "receiver"), F.lit(""))
     classes = symbols.select(F.col("id").alias("source_id"), F.substring_index("fqn", "#", 1).alias("_class")).dropDuplicates(["source_id"])
     bean_types = bean_index(symbols).join(symbols.select("id", F.coalesce(F.try_element_at("properties", F.lit("type")), F.col("fqn")).alias("_type")), "id").select(F.col("bean").alias("_bean"), "_type")
@@ -115,12 +148,15 @@ def resolve_calls(edges: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
         edges.join(classes, "source_id", "left").join(bean_types, receiver == F.col("_bean"), "left")
         .join(types, (F.col("file_path") == F.col("_file")) & (simple_name(receiver) == F.col("_last")), "left")
     )
+    types_known = symbols.filter(~F.col("kind").isin("method", "action", "bean"))
+    wide = declared_owner(wide.withColumn("_package", package_of(F.col("_class"))), types_known, imports)
     of = lambda owner: F.concat(F.col(owner), F.lit("#"), method)
-    methods = method_index(symbols)
+    methods, open_ = method_index(symbols), F.col("_owner").isNull()
     tiers = [
         Tier(methods, {"method": of("_class")}, "EXACT", receiver.isin("", "this")),
-        Tier(methods, {"method": of("_type")}, "LIKELY"),
-        Tier(methods, {"method": of("_import")}, "EXACT", receiver.rlike(r"^[A-Z]|\.")),
+        Tier(methods, {"method": of("_owner")}, "LIKELY"),
+        Tier(methods, {"method": of("_type")}, "LIKELY", open_),
+        Tier(methods, {"method": of("_import")}, "EXACT", receiver.rlike(r"^[A-Z]|\.") & open_),
         Tier(unique_names(symbols), {"name": method}, "HEURISTIC"),
     ]
     return resolve(wide, tiers).select(*edges.columns, "warning_code")
