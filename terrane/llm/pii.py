@@ -53,9 +53,9 @@ def _bound(value: Column, body) -> Column:
 
 
 def found(text: Column, pattern: str) -> Column:
-    """array<struct<m, s, e, before>>: the matches, their places in code points (end exclusive) and up to 64 characters before."""
+    """array<struct<m, s, e, before>>: the matches, their places in code points (end exclusive) and the text since the match before, after a space at the text's begin."""
     zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
-    pairs = F.transform(F.filter(zipped, lambda p: p["m"].isNotNull()), lambda p: F.struct(p["m"].alias("m"), F.substring(p["gap"], -64, 64).alias("before"), F.length(p["gap"]).alias("g"), F.length(p["m"]).alias("n")))
+    pairs = F.transform(F.filter(zipped, lambda p: p["m"].isNotNull()), lambda p, i: F.struct(p["m"].alias("m"), F.when(i == 0, F.concat(F.lit(" "), p["gap"])).otherwise(p["gap"]).alias("before"), F.length(p["gap"]).alias("g"), F.length(p["m"]).alias("n")))
     length = lambda part: F.aggregate(part, F.lit(0), lambda a, p: a + p["g"] + p["n"])
     blocks = lambda all_pairs: F.transform(F.sequence(F.lit(0), F.floor(F.size(all_pairs) / BLOCK).cast("int")), lambda b: F.slice(all_pairs, b * BLOCK + 1, F.lit(BLOCK)))
     summed = lambda cut: F.struct(cut.alias("cut"), F.transform(cut, length).alias("sums"))
@@ -119,9 +119,9 @@ def joined(spans: Column) -> Column:
 
 
 def _context(before: Column) -> Column:
-    """The last two words of what stands before a match, lower case; null if there are fewer."""
-    two = F.regexp_extract(F.lower(before), r"(?:^|\s)(\S+\s+\S+)\s+[^\s0-9A-Za-z@]*$", 1)
-    return F.when(two != "", F.regexp_replace(two, r"\s+", " "))
+    """The last two whole words of what stands before a match, lower case; null if there are fewer."""
+    two = F.regexp_extract(before, r"(?<=\s)(\S++\s++\S++)\s++[^\s0-9A-Za-z@]*+$", 1)
+    return F.when(two != "", F.regexp_replace(F.lower(two), r"\s+", " "))
 
 
 def _core(m: Column) -> Column:

@@ -41,6 +41,20 @@ def test_pii_discovers_by_context(spark, odd_dir):
     assert all(found[100 + i] == 0 for i in range(60))
 
 
+def test_pii_contexts_are_whole_words(spark):
+    """Words of any length make a pattern, all of them; what is glued to the mention before is no word."""
+    from terrane.llm.pii import extract
+
+    long, other = "q" * 15 + "z" * 60, "p" * 15 + "z" * 60
+    texts = [(i, f"write {long} to user{i}@mail.example.org now") for i in range(20)]
+    texts += [(100, f"write {long} to nobody@host100 now"), (101, f"write {other} to nobody@host101 now"), (102, f"write 7{long} to nobody@host102 now")]
+    texts += [(200 + i, f"key{i}9 short mail u{i}@x.example.org,glued mail v{i}@x.example.org") for i in range(20)]
+    texts += [(300, "see 1.2.3.4,glued mail w@host300 now"), (301, "see glued mail w@host301 now")]
+    got = {r["doc_id"]: r["n_found"] for r in extract(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert (got[100], got[101], got[102]) == (1, 0, 0)
+    assert got[300] == got[301] == 0, "no pattern was learnt from words that a mention cut"
+
+
 def test_pitman_yor(spark, folder):
     docs = rows(spark, folder, "documents", "doc_id", "text")
     want = defaultdict(list)
