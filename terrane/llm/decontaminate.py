@@ -7,7 +7,8 @@ windows of the benchmark's items) are searched backward at once by its ranks; oc
 sampled suffix positions; overlapping hits are merged to spans.
 
 Phrases are broadcast in batches of at most `batch_bytes` of item text. A larger benchmark takes more batches, which
-are applied one after the other to the same rows, so no broadcast grows with it and nothing is shuffled.
+are applied one after the other to the same rows: each batch's findings are a table, and its broadcast is destroyed,
+before the next one is gathered, so nothing on the driver grows with the benchmark. Nothing is shuffled.
 
 Defined results: null texts, and texts and items without words, have no windows and no hits; an item of fewer than
 `window` words is one window; repeated items and rows each count, item ids once a document; a null item id is the
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.common import materialize
+
 WINDOW = 10
 #: Bytes to white space: all ASCII but letters and digits.
 BREAKS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -208,6 +211,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
         held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
         # Only texts and findings go to Python, as one scalar column; the other columns stay where they are.
         out = out.withColumn("found", _searcher(held, window, shard_words)(F.col("row.text"), F.col("found")))
+        if batches > 1:  # One batch at a time: its findings are a table before the next one is gathered.
+            out = materialize(out, "decontaminate-found")
+            held.destroy()
     return out.select("row", "found.*")
 
 

@@ -122,6 +122,22 @@ def test_pitman_yor_seating_converges_to_the_sequential_sampler():
     assert abs(laws[2]["C0"] - own.mean()) < 0.06 * own.mean(), "near after the burn-in"
 
 
+@pytest.mark.parametrize(("discount", "others", "above"), [(0.5, 1.0, 0.01), (0.8, 40.0, 0.3), (0.3, 5.0, 0.001)])
+def test_pitman_yor_large_dishes_against_one_customer_at_a_time(discount, others, above):
+    """Dishes of more customers than the exact weights hold are seated in batches: the mean number of tables is that of single customers."""
+    from terrane.llm.pitman_yor import EXACT, seat
+
+    rng, copies, customers = np.random.default_rng(4), 600, 4 * EXACT
+    full = np.full(copies, float(others))
+    got = seat(np.full(copies, customers), full, np.full(copies, above), np.full(copies, 1.0), None, discount, rng)
+    tables = np.ones(copies)
+    for n in range(1, customers):
+        new = (full + discount * tables) * above
+        tables += rng.random(copies) < new / (new + n - discount * tables)
+    assert got.mean() == pytest.approx(tables.mean(), rel=0.05)
+    print(discount, others, above, got.mean(), tables.mean(), got.std(), tables.std())
+
+
 def test_pitman_yor_slices_of_frequent_words_change_nothing(spark):
     from terrane.llm.pitman_yor import score
 
@@ -551,6 +567,15 @@ def test_decontaminate(spark, folder):
     assert got == Counter(brute.contaminated(docs, items))
 
 
+def test_decontaminate_in_batches(spark):
+    from terrane.llm import decontaminate
+
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    whole, cut = (Counter(map(tuple, decontaminate.digest(decontaminate.find(docs, items, batch_bytes=size)).collect())) for size in (1 << 24, 2000))
+    assert whole == cut and sum(r[-1] for r in whole) > 0
+
+
 def test_fm_index_finds_every_occurrence():
     from terrane.llm.decontaminate import FMIndex
 
