@@ -64,14 +64,20 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, allow: tuple[str, ...] = (), most_mb: int = 5) -> None:
         self.spark, self.store, self.allow, self.most_mb = spark, Store(spark, root), list(allow), most_mb
 
-    def index(self, path: str, scope: str = "full", dry_run: bool = False, force: bool = False, version: str | None = None) -> dict:
-        """Scan, diff, extract, resolve and merge. A dry run writes nothing."""
+    def index(self, path: str, scope: str = "full", dry_run: bool = False, force: bool = False, version: str | None = None, listed: DataFrame | None = None) -> dict:
+        """Scan, diff, extract, resolve and merge. A dry run writes nothing.
+
+        listed: a listing of the folder. If it has the paths, sizes and times of the registry, the run ends there.
+        """
         began = time.time()
         if not inventory.allowed(path, self.allow):
             raise ValueError(f"{path} is not in an allowed folder")
         run_id, pid = new_run_id(), inventory.project_id(path)
         stage = (lambda name, df: df) if dry_run else (lambda name, df: self._staged(name, df, run_id))
-        listed = stage("listing", inventory.listing(self.spark, path))
+        follows = listed is not None
+        listed = stage("listing", listed if follows else inventory.listing(self.spark, path))
+        if follows and not self._moved(listed, pid):
+            return {"run_id": run_id, "project_id": pid, "state": "UNCHANGED", "duration_ms": int((time.time() - began) * 1000)}
         version = version or inventory.detect_version(self.spark, path, listed)
         known = self.store.project(pid).first()
         force = force or bool(known and known["index_version"] < INDEX_VERSION)
@@ -90,14 +96,21 @@ class Engine:
             self.store.log_run(run_id, pid, "RUNNING", "SCANNING")
             try:
                 self._merge(files, diff, pid, run_id, scope)
+                self.store.write("listed", listed.select(F.lit(pid).alias("project_id"), F.col("relative").alias("path"), "size", "mtime"), pid)
             except Exception as error:
                 self.store.set_state(pid, "FAILED")
                 self.store.log_run(run_id, pid, "FAILED", "FAILED", error=str(error)[:2000])
                 raise
             self.store.set_state(pid, "COMPLETED", last_indexed_at=F.current_timestamp(), last_run_id=F.lit(run_id), index_version=F.lit(INDEX_VERSION))
-            self.store.log_run(run_id, pid, "COMPLETED", "FINALIZING", counts, self._warnings(run_id, files))
+            versions = {f"{t}_version": self.store.version(t) for t in ("symbols", "edges")}
+            self.store.log_run(run_id, pid, "COMPLETED", "FINALIZING", counts | versions, self._warnings(run_id, files))
         return out | {"state": "DRY_RUN" if dry_run else "COMPLETED", "duration_ms": int((time.time() - began) * 1000)}
 
+    def _moved(self, listed: DataFrame, pid: str) -> bool:
+        """Whether a listing differs from the last one that was indexed, by paths, sizes or times."""
+        said = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("path", "size", "mtime")), F.lit(0)).alias("x")).first()
+        return said(self.store.read("listed", pid)) != said(listed.select(F.col("relative").alias("path"), "size", "mtime"))
+
     def _merge(self, files: DataFrame, diff: DataFrame, pid: str, run_id: str, scope: str) -> None:
         """Extracts the touched files, and resolves their edges and those of other files that the changed symbols concern.
 
@@ -236,8 +249,24 @@ class Engine:
         return {"invalidated_files": count, "next_index_mode": "full" if scope == "full" else "incremental"}
 
     def verify_change(self, run_id: str) -> dict:
-        pid = self.store.runs().filter(F.col("run_id") == run_id).first()["project_id"]
-        return {"run_id": run_id} | verified(self.store.read("edges", pid), run_id).first().asDict()
+        """Counts of a run's edges, and `issues`: what the run opened, closed or moved, as rows."""
+        runs = self.store.runs()
+        run = runs.filter(F.col("run_id") == run_id).first()
+        pid, before = run["project_id"], runs.filter((F.col("project_id") == run["project_id"]) & (F.col("updated_at") < F.lit(run["updated_at"])) & (F.col("state") == "COMPLETED"))
+        last = before.orderBy(F.col("updated_at").desc()).select("run_id").first()
+        issues = self.compare_runs(last["run_id"] if last else None, run_id) if "edges_version" in (run["counts"] or {}) else None
+        return {"run_id": run_id, "issues": issues} | verified(self.store.read("edges", pid), run_id).first().asDict()
+
+    def compare_runs(self, before: str | None, after: str) -> DataFrame:
+        """The edges that differ between the graphs that two runs of a project left (None: an empty one), see graph.compare; as long as their versions are kept."""
+        found = {r["run_id"]: r for r in self.store.runs().filter(F.col("run_id").isin([x for x in (before, after) if x])).collect()}
+        pid = found[after]["project_id"]
+
+        def at(run_id: str | None, table: str) -> DataFrame:
+            return self.store.read_version(table, found[run_id]["counts"][f"{table}_version"] if run_id else 0, pid)
+
+        symbols = [visible(at(r, "symbols")).select("id") for r in (before, after)]
+        return graph.compare(at(before, "edges"), at(after, "edges"), *symbols)
 
     def change_plan(self, project_id: str, anchor: str, depth: int = 3) -> DataFrame:
         """What depends on a symbol, nearest first."""

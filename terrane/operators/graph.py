@@ -78,3 +78,29 @@ def dangling_sweep(edges: DataFrame, symbols: DataFrame, deleted_files: DataFram
     down = F.col("action") == "downgrade"
     out = out.withColumn("warning_code", F.when(down, warning)).withColumn("confidence", F.when(down, "UNRESOLVED").otherwise(F.col("confidence"))).withColumn("target_id", F.when(~down, F.col("target_id")))
     return out.select(*edges.columns, "action", "warning_code", "dangling")
+
+
+def compare(old: DataFrame, new: DataFrame, old_ids: DataFrame, new_ids: DataFrame, key: tuple[str, ...] = ("origin",)) -> DataFrame:
+    """Edges that differ between two graphs: the key, type, source_id, file_path, line, change, cause, old_target and new_target.
+
+    change: opened (no target any more, or a new edge without one), closed (a target now, or an edge without one that is
+    gone), moved (another target), added and removed (with a target). cause: edge_added, edge_removed, target_removed (it
+    is no symbol any more), target_added (it was none), else ambiguity (other symbols of its names came or went).
+    """
+    about = ["type", "source_id", "file_path", "line"]
+    side = lambda df, name: df.select(*key, F.struct("target_id", *about).alias(name))
+    both = side(old, "was").join(side(new, "is"), list(key), "full")
+    was, now = F.col("was.target_id"), F.col("is.target_id")
+    both = both.filter(F.col("was").isNull() | F.col("is").isNull() | ~was.eqNullSafe(now)).select(*key, "was", "is", was.alias("old_target"), now.alias("new_target"))
+    gone = both.join(new_ids.select(F.col("id").alias("_new"), F.lit(True).alias("_stays")).distinct(), F.col("old_target") == F.col("_new"), "left")
+    told = gone.join(old_ids.select(F.col("id").alias("_old"), F.lit(True).alias("_was")).distinct(), F.col("new_target") == F.col("_old"), "left")
+    came, went = F.col("was").isNull(), F.col("is").isNull()
+    change = (
+        F.when(came, F.when(F.col("new_target").isNull(), "opened").otherwise("added")).when(went, F.when(F.col("old_target").isNull(), "closed").otherwise("removed"))
+        .when(F.col("new_target").isNull(), "opened").when(F.col("old_target").isNull(), "closed").otherwise("moved")
+    )
+    cause = (
+        F.when(came, "edge_added").when(went, "edge_removed").when(F.col("old_target").isNotNull() & F.col("_stays").isNull(), "target_removed")
+        .when(F.col("new_target").isNotNull() & F.col("_was").isNull(), "target_added").otherwise("ambiguity")
+    )
+    return told.select(*key, *[F.coalesce(f"is.{c}", f"was.{c}").alias(c) for c in about], change.alias("change"), cause.alias("cause"), "old_target", "new_target")

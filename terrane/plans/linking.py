@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.engine import TYPE_KINDS
-from terrane.operators import incremental, resolve
+from terrane.operators import graph, incremental, resolve
 from terrane.plans.bindings import PROJECT
 from terrane.plans.extraction import written
 from terrane.plans.registry import query, table
@@ -60,3 +60,25 @@ def reresolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = incremental.refreshed(stored, again)
     part = lambda i: F.split("source_id", "#")[i]
     return merged.select(part(1).cast("long").alias("l_orderkey"), part(2).cast("int").alias("l_linenumber"), "target_id", "confidence", "last_run_id").distinct()
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS k FROM lineitem),
+    t AS (SELECT *, o % 13 <> 0 AS in_old, o % 17 <> 0 AS in_new, CASE WHEN k % 5 <> 0 THEN concat('supplier:', k) END AS old_target,
+        CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN concat('supplier:', k + 1) ELSE concat('supplier:', k) END AS new_target FROM l)
+    SELECT o, p, k, CASE WHEN NOT in_old THEN CASE WHEN new_target IS NULL THEN 'opened' ELSE 'added' END WHEN NOT in_new THEN CASE WHEN old_target IS NULL THEN 'closed' ELSE 'removed' END
+            WHEN new_target IS NULL THEN 'opened' WHEN old_target IS NULL THEN 'closed' ELSE 'moved' END AS change,
+        CASE WHEN NOT in_old THEN 'edge_added' WHEN NOT in_new THEN 'edge_removed' WHEN old_target IS NOT NULL AND k % 4 = 0 THEN 'target_removed'
+            WHEN new_target IS NOT NULL AND CASE WHEN k % 3 = 0 THEN (k + 1) % 6 = 0 ELSE k % 6 = 0 END THEN 'target_added' ELSE 'ambiguity' END AS cause,
+        CASE WHEN in_old THEN old_target END AS old_target, CASE WHEN in_new THEN new_target END AS new_target
+    FROM t WHERE (in_old OR in_new) AND (NOT in_old OR NOT in_new OR old_target IS DISTINCT FROM new_target)""")
+def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that differ between two graphs: opened, closed, moved, added and removed ones, with the cause."""
+    k, null = F.col("l_suppkey"), F.lit(None).cast("string")
+    supplier = lambda n: F.concat(F.lit("supplier:"), n.cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct().withColumns({"origin": F.concat_ws("#", "l_orderkey", "l_partkey", "l_suppkey"), "type": F.lit("CALLS"), "source_id": F.lit("s"), "file_path": F.lit("f"), "line": F.lit(1).cast("long")})
+    old = rows.filter("l_orderkey % 13 <> 0").withColumn("target_id", F.when(k % 5 != 0, supplier(k)).otherwise(null))
+    new = rows.filter("l_orderkey % 17 <> 0").withColumn("target_id", F.when(k % 7 == 0, null).when(k % 3 == 0, supplier(k + 1)).otherwise(supplier(k)))
+    ids = rows.select(k.alias("n")).unionByName(rows.select((k + 1).alias("n"))).distinct()
+    got = graph.compare(old, new, ids.filter("n % 6 <> 0").select(supplier(F.col("n")).alias("id")), ids.filter("n % 4 <> 0").select(supplier(F.col("n")).alias("id")))
+    part = lambda i: F.split("origin", "#")[i].cast("long")
+    return got.select(part(0).alias("o"), part(1).alias("p"), part(2).alias("k"), "change", "cause", "old_target", "new_target")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.engine import Engine, verified
@@ -327,9 +327,19 @@ def engine_status(spark, sf_dir):
     return _row(spark, project=s["project"]["project_id"], project_state=s["project"]["state"], run_state=s["run"]["state"], stage=s["run"]["stage"], nodes=s["graph_stats"]["nodes"], edges=s["graph_stats"]["edges"])
 
 
-@query(f"SELECT '{PROJECT}' AS project_id, 'data' AS name, '3.x' AS version, 'IDLE' AS state UNION ALL SELECT 'other', 'other', '2.x', 'NEW'")
+@query("""SELECT concat('p', s_suppkey) AS project_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN '3.x' ELSE '2.x' END AS version, CASE WHEN s_suppkey % 3 = 0 THEN 'RUNNING' ELSE 'IDLE' END AS state,
+    CAST(row_number() OVER (ORDER BY s_nationkey DESC, concat('p', s_suppkey)) AS INTEGER) AS place FROM supplier""")
 def engine_projects(spark, sf_dir):
-    return _seeded(spark, sf_dir).list_projects().select("project_id", "name", "version", "state")
+    """A registry with a project for each supplier, listed by the time of their last run, the latest first."""
+    engine, s = Engine(spark, scratch(spark)), table(spark, sf_dir, "supplier")
+    rows = s.select(
+        F.concat(F.lit("p"), "s_suppkey").alias("project_id"), F.concat(F.lit("/"), "s_suppkey").alias("root"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "3.x").otherwise("2.x").alias("version"),
+        F.when(F.col("s_suppkey") % 3 == 0, "RUNNING").otherwise("IDLE").alias("state"), F.lit(3).alias("index_version"), F.timestamp_seconds(F.col("s_nationkey") + 1_700_000_000).alias("last_indexed_at"),
+    )
+    engine.store.write("projects", rows)
+    listed = engine.list_projects()
+    place = F.row_number().over(Window.orderBy(F.col("last_indexed_at").desc(), "project_id"))
+    return listed.withColumn("place", place).select("project_id", "name", "version", "state", "place")
 
 
 @query(f"{KG} SELECT id, kind, name FROM symbols WHERE id IN (SELECT source_id FROM edges WHERE target_id = 'customer:7' AND type = 'CALLS') ORDER BY id LIMIT 50")
@@ -367,12 +377,14 @@ def engine_ask(spark, sf_dir):
     return spark.createDataFrame([(n["id"],) for n in found["nodes"]], "id string")
 
 
-@query("SELECT 'Impact' AS intent, CAST(0 AS BIGINT) AS nodes UNION ALL SELECT 'Trace', 0")
+@query(f"{KG} SELECT 'Impact' AS intent, CAST(0 AS BIGINT) AS nodes, (SELECT count(*) FROM symbols) AS held UNION ALL SELECT 'Trace', 0, (SELECT count(*) FROM symbols)")
 def ask_about_nothing(spark, sf_dir):
-    """Questions about what is not in the graph find nothing."""
+    """Questions about what is not in the graph find nothing of all that it holds."""
     s, e = symbols(spark, sf_dir), edges(spark, sf_dir)
     packs = [retrieval.plan(q, s, e, PROJECT) for q in ("What calls UserService?", "Trace the flow of UserService")]
-    return spark.createDataFrame([(p["intent"], p["nodes"].count()) for p in packs], "intent string, nodes long")
+    held = F.lit(s.count()).alias("held")
+    found = [p["nodes"].agg(F.count("*").alias("nodes")).select(F.lit(p["intent"]).alias("intent"), "nodes", held) for p in packs]
+    return found[0].unionByName(found[1])
 
 
 @query("SELECT concat(source, '/', doc_id) AS path, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE sha256(text) END AS content_hash FROM documents")

@@ -43,26 +43,36 @@ def _entries(system, folder: str) -> list:
     return [x for x in found if x.type != fs.FileType.Directory or x.base_name not in IGNORED_DIRS]
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, relative, size, mtime of every file below a root; folders named in IGNORED_DIRS are not entered."""
+def roots(root: str) -> list[str]:
+    """The entries of a root, which tasks list from there."""
     system, base = _system(root.rstrip("/"))
-    first = [(x.path,) for x in _entries(system, base)]
+    return sorted(x.path for x in _entries(system, base))
+
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+def walk(root: str, paths: list[str]) -> list[tuple]:
+    """path, relative, size and mtime of the files at and below some paths of a root."""
+    from pyarrow import fs
+
+    system, base = _system(root.rstrip("/"))
+    rows, open_ = [], system.get_file_info(paths) if paths else []
+    while open_:
+        x = open_.pop()
+        if x.type == fs.FileType.Directory:
+            open_ += _entries(system, x.path)
+        elif x.type == fs.FileType.File:
+            rows.append((x.path, x.path[len(base) :].lstrip("/"), x.size, x.mtime))
+    return rows
 
-        here, _ = _system(root.rstrip("/"))
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, relative, size, mtime of every file below a root; folders named in IGNORED_DIRS are not entered."""
+    first = [(p,) for p in roots(root)]
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, open_ = [], here.get_file_info(pdf["path"].tolist()) if len(pdf) else []
-            while open_:
-                x = open_.pop()
-                if x.type == fs.FileType.Directory:
-                    open_ += _entries(here, x.path)
-                elif x.type == fs.FileType.File:
-                    rows.append((x.path, x.path[len(base) :].lstrip("/"), x.size, x.mtime))
-            yield pd.DataFrame(rows, columns=["path", "relative", "size", "mtime"])
-
-    return spark.createDataFrame(first, "path string").repartition(max(1, len(first))).mapInPandas(walk, LISTED)
+            yield pd.DataFrame(walk(root, pdf["path"].tolist()), columns=["path", "relative", "size", "mtime"])
+
+    return spark.createDataFrame(first, "path string").repartition(max(1, len(first))).mapInPandas(listed, LISTED)
 
 
 def contents(files: DataFrame, root: str) -> DataFrame:

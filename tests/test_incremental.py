@@ -102,6 +102,37 @@ def test_only_what_a_change_concerns_is_written_and_read(spark, tmp_path):
     assert calls()["AService#go"] == ("UNRESOLVED", third["run_id"])
 
 
+def test_a_followed_folder_equals_an_indexed_one(spark, tmp_path):
+    """New, changed and deleted files show in a stream of listings; a listing without a change, or a replay, writes nothing."""
+    from terrane.streaming.watch import follow
+
+    root = tmp_path / "project"
+    files = {"grails-app/services/AService.groovy": "class AService {\n  def bService\n  def go() { bService.run() }\n}\n", "grails-app/services/BService.groovy": "class BService {\n  def run() { 1 }\n}\n", "grails-app/views/a/x.gsp": "<p/>"}
+    for name, content in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    engine = Engine(spark, str(tmp_path / "store"))
+    turn = lambda checkpoint="check": follow(engine, str(root), str(tmp_path / checkpoint), version="3.x").awaitTermination()
+    turn()
+    (root / "grails-app/services/BService.groovy").unlink()
+    (root / "grails-app/views/a/y.gsp").write_text("<html><g:link controller='a' action='x'>x</g:link></html>")
+    turn()
+    pid = engine.list_projects().first()["project_id"]
+    anew = Engine(spark, str(tmp_path / "anew"))
+    anew.index(str(root), version="3.x")
+    assert said(engine, pid) == said(anew, pid)
+    versions = lambda: {t: engine.store.version(t) for t in ("symbols", "edges", "chunks", "files", "runs", "projects")}
+    before = versions()
+    turn()
+    turn("another-checkpoint")  # the same listing again, as in a replay
+    assert versions() == before
+    runs = [r["run_id"] for r in engine.store.runs().orderBy("updated_at").collect()]
+    assert len(runs) == 2
+    issues = {(r["type"], r["change"], r["cause"]) for r in engine.verify_change(runs[1])["issues"].collect()}
+    assert ("CALLS", "opened", "target_removed") in issues and ("LINKS_TO", "opened", "edge_added") in issues
+    assert {r["change"] for r in engine.compare_runs(None, runs[0]).collect()} <= {"added", "opened"} and engine.compare_runs(runs[1], runs[1]).count() == 0
+
+
 def test_keys(spark):
     shape = "source_id string, type string, target_id string, target_hint string, file_path string, line long, confidence string, extractor string, project_id string"
     edges = spark.createDataFrame([("s", "CALLS", None, "method:run|receiver:bService", "f", 1, None, "x", "p"), ("t", "RENDERS", None, "view:shared/_form|controller:User", "f", 2, None, "x", "p"), ("u", "DECLARES", "v", None, "f", 3, "EXACT", "x", "p"), ("w", "USES_TYPE", None, "type:com.x.A", "f", 4, None, "x", "p")], shape)
