@@ -184,7 +184,7 @@ class Engine:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _resolved(self, edges: DataFrame, symbols: DataFrame) -> DataFrame:
-        mappings = symbols.filter("kind = 'url_mapping'").select(F.col("name").alias("uri"), "id")
+        mappings = symbols.filter("kind = 'url_mapping'").select(F.col("name").alias("uri"), F.col("fqn").alias("pattern"), "id")
         imports = code_graph.imports(symbols)
         types = symbols.filter(F.col("kind").isin(TYPE_KINDS))
         passes = [

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import fqn_base, simple_name
+from terrane.operators.routing import segments
 
 #: What makes an extracted edge the same, and the columns it has before it is resolved.
 IDENTITY = ["source_id", "type", "target_id", "target_hint", "file_path", "line"]
@@ -35,6 +36,12 @@ def _present(*keys: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def _begin(uri: Column) -> Column:
+    """A path's first segment; `$` for one that any URI may have, or that may be missing."""
+    first = F.coalesce(F.get(segments(uri), F.lit(0)), F.lit("$"))
+    return F.when(first.rlike(r"^[$*]"), "$").otherwise(first)
+
+
 def symbol_keys(symbols: DataFrame) -> DataFrame:
     """key: of all symbols, once each."""
     last = F.substring_index(F.substring_index(F.substring_index(fqn_base(F.col("fqn")), "#", -1), ".", -1), "$", -1)
@@ -42,7 +49,7 @@ def symbol_keys(symbols: DataFrame) -> DataFrame:
     keys = _present(
         _key("id", F.col("id")), _key("name", simple_name(F.col("name"))), _key("name", last), _key("bean", bean),
         _key("view", F.regexp_extract("file_path", r"([^/]+)\.[a-z]+$", 1)), _key("layout", F.regexp_extract("file_path", r"layouts/(.+)\.gsp$", 1)),
-        _key("uri", F.when(F.col("kind") == "url_mapping", F.col("name"))),
+        _key("uri", F.when(F.col("kind") == "url_mapping", F.col("name"))), _key("route", F.when(F.col("kind") == "url_mapping", _begin(F.col("fqn")))),
     )
     return symbols.select(F.explode(keys).alias("key")).distinct()
 
@@ -58,6 +65,7 @@ def edge_keys() -> Column:
             _key("view", F.when(is_in(VIEWS), F.substring_index(F.regexp_replace(F.substring_index(value, "/", -1), r"^_|\.[a-z]+$", ""), "/", -1))),
             _key("view", F.when(is_in(VIEWS), F.regexp_replace(F.substring_index(value, "/", -1), r"\.[a-z]+$", ""))),
             _key("layout", F.when(name == "layout", value)), _key("uri", F.when(is_in(URIS), value)),
+            _key("route", F.when(is_in(URIS), _begin(value))), F.when(is_in(URIS), F.lit("route:$")),
         )
 
     hinted = F.flatten(F.transform(F.split(F.coalesce("target_hint", F.lit("")), r"\|"), of_part))

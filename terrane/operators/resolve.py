@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import fqn_base, hint, simple_name
+from terrane.operators.routing import route
 
 
 @dataclass
@@ -177,7 +178,10 @@ def resolve_renders(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolve_redirects(edges: DataFrame, symbols: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Controller and action are EXACT, a uri of the url mappings (uri, id) LIKELY. Links go the same way, by mapping name too."""
+    """Controller and action are EXACT, a uri of the url mappings (uri, id) LIKELY. Links go the same way, by mapping name too.
+
+    Where mappings have a `pattern`, other URIs go to the most specific pattern that fits them.
+    """
     h = F.col("target_hint")
     raw = F.coalesce(hint(h, "controller"), hint(h, "source_controller"), F.initcap(F.regexp_extract("file_path", r"views/([^/]+)/", 1)))
     controller = F.concat(F.upper(F.substring(raw, 1, 1)), F.substring(F.regexp_replace(raw, "Controller$", ""), 2, 1 << 30), F.lit("Controller"))
@@ -186,7 +190,11 @@ def resolve_redirects(edges: DataFrame, symbols: DataFrame, mappings: DataFrame)
     inferred = hint(h, "controller").isNull() & hint(h, "source_controller").isNull()
     actions = action_index(symbols)
     keys = {"controller": controller, "action": hint(h, "action")}
-    return resolve(edges, [Tier(actions, keys, "EXACT", ~inferred), Tier(actions, keys, "LIKELY", inferred), Tier(named, {"uri": uri}, "LIKELY")], "unresolved_redirect")
+    tiers = [Tier(actions, keys, "EXACT", ~inferred), Tier(actions, keys, "LIKELY", inferred), Tier(named, {"uri": uri}, "LIKELY")]
+    if "pattern" in mappings.columns:
+        routed = route(edges.select(uri.alias("uri")).filter("startswith(uri, '/')"), mappings)
+        tiers.append(Tier(routed, {"uri": uri}, "LIKELY"))
+    return resolve(edges, tiers, "unresolved_redirect")
 
 
 def resolve_layouts(edges: DataFrame, symbols: DataFrame) -> DataFrame:

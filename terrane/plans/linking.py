@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.engine import TYPE_KINDS
-from terrane.operators import graph, incremental, resolve
+from terrane.operators import graph, incremental, resolve, routing
 from terrane.plans.bindings import PROJECT
 from terrane.plans.extraction import written
 from terrane.plans.registry import query, table
@@ -82,3 +82,20 @@ def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = graph.compare(old, new, ids.filter("n % 6 <> 0").select(supplier(F.col("n")).alias("id")), ids.filter("n % 4 <> 0").select(supplier(F.col("n")).alias("id")))
     part = lambda i: F.split("origin", "#")[i].cast("long")
     return got.select(part(0).alias("o"), part(1).alias("p"), part(2).alias("k"), "change", "cause", "old_target", "new_target")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN concat('own:', c_nationkey) WHEN 1 THEN concat('own:', c_nationkey) WHEN 2 THEN concat('special:', c_nationkey) WHEN 3 THEN concat('rest:', c_nationkey) WHEN 4 THEN 'any' END AS id FROM customer""")
+def routed_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concrete URIs to the most specific of four patterns (three of them for each nation); some fit none."""
+    nation, n = table(spark, sf_dir, "nation"), F.col("n_nationkey").cast("string")
+    made = [("own:", "/n", "/$id?"), ("special:", "/n", "/special/$x"), ("rest:", "/n", "/**")]
+    patterns = reduce(DataFrame.unionByName, [nation.select(F.concat(F.lit(i), n).alias("id"), F.concat(F.lit(a), n, F.lit(b)).alias("pattern")) for i, a, b in made])
+    patterns = patterns.unionByName(nation.filter("n_nationkey = 0").select(F.lit("any").alias("id"), F.lit("/$controller/$action").alias("pattern")))
+    k, at = F.col("c_custkey").cast("string"), F.concat(F.lit("/n"), F.col("c_nationkey").cast("string"))
+    how = F.col("c_custkey") % 6
+    uri = (
+        F.when(how == 0, F.concat(at, F.lit("/"))).when(how == 1, F.concat(at, F.lit("/"), k, F.lit("#top"))).when(how == 2, F.concat(at, F.lit("/special/"), k, F.lit("?page=1/2")))
+        .when(how == 3, F.concat(at, F.lit("/a/b/"), k)).when(how == 4, F.concat(F.lit("/x"), k, F.lit("/list"))).otherwise(F.concat(F.lit("/x"), k, F.lit("/list/of/it")))
+    )
+    asked = table(spark, sf_dir, "customer").select("c_custkey", uri.alias("uri"))
+    return asked.join(routing.route(asked, patterns), "uri", "left").select("c_custkey", "id")

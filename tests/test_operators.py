@@ -225,7 +225,7 @@ def test_store_keeps_what_several_writers_wrote(spark, tmp_path):
 
 def _log_rows(spark, *pairs):
     shape = "run_id string, project_id string, state string, stage string, counts map<string,bigint>, warnings array<string>, error string, updated_at timestamp"
-    return spark.createDataFrame([(r, p, "", "", {}, [], None, None) for r, p in pairs], shape)
+    return spark.createDataFrame([(r, p, "", "", {}, [], None, None) for r, p in pairs], shape).coalesce(1)
 
 
 @pytest.mark.parametrize("step", ["_versions", "_entries", "_newest", "_add", "_publish", "_frame"])
