@@ -193,6 +193,8 @@ class Engine:
             (TYPE_EDGES, lambda e: resolve.resolve_types(e, types, *TYPE_KEYS)),
             (("USES_LAYOUT",), lambda e: resolve.resolve_layouts(e, symbols)),
             (("RENDERS",), lambda e: resolve.resolve_renders(e, symbols)),
+            (("INCLUDES_TEMPLATE", "JSP_INCLUDES", "JSP_FORWARDS", "USES_TAG"), lambda e: resolve.resolve_includes(e, symbols)),
+            (("APPLIES_TO",), lambda e: resolve.resolve_applied(e, symbols)),
             (("REDIRECTS_TO", "FORWARDS_TO", "CHAINS_TO", "LINKS_TO", "MAPS_TO"), lambda e: resolve.resolve_redirects(e, symbols, mappings)),
         ]
         none = F.lit(None).cast("string").alias("warning_code")

@@ -23,7 +23,7 @@ READ = ["id", "kind", "name", "fqn", "file_path", "line_start", "properties"]
 # The keys of hints, by what the value names.
 NAMES = ("type", "class", "interface", "domain", "command", "method", "action", "receiver", "declared", "tag")
 BEANS = ("qualifier", "service", "bean", "receiver")
-VIEWS = ("view", "action", "template", "include")
+VIEWS = ("view", "action", "template", "include", "forward")
 URIS = ("uri", "mapping")
 
 
@@ -48,7 +48,8 @@ def symbol_keys(symbols: DataFrame) -> DataFrame:
     bean = F.coalesce(F.try_element_at("properties", F.lit("bean_name")), F.when(F.col("kind") == "bean", F.col("name")))
     keys = _present(
         _key("id", F.col("id")), _key("name", simple_name(F.col("name"))), _key("name", last), _key("bean", bean),
-        _key("view", F.regexp_extract("file_path", r"([^/]+)\.[a-z]+$", 1)), _key("layout", F.regexp_extract("file_path", r"layouts/(.+)\.gsp$", 1)),
+        _key("view", F.regexp_extract("file_path", r"([^/]+)\.[a-z]+$", 1)), _key("view", F.regexp_extract("file_path", r"/_([^/]+)\.[a-z]+$", 1)), _key("tag", F.when(F.col("kind") == "custom_tag", F.col("fqn"))),
+        F.when(F.col("kind").isin("action", "method"), F.lit("applied")), _key("layout", F.regexp_extract("file_path", r"layouts/(.+)\.gsp$", 1)),
         _key("uri", F.when(F.col("kind") == "url_mapping", F.col("name"))), _key("route", F.when(F.col("kind") == "url_mapping", _begin(F.col("fqn")))),
     )
     return symbols.select(F.explode(keys).alias("key")).distinct()
@@ -63,13 +64,13 @@ def edge_keys() -> Column:
         return F.array(
             _key("name", F.when(is_in(NAMES), F.substring_index(simple_name(value), "$", -1))), _key("name", F.when(is_in(NAMES), simple_name(value))), _key("bean", F.when(is_in(BEANS), value)),
             _key("view", F.when(is_in(VIEWS), F.substring_index(F.regexp_replace(F.substring_index(value, "/", -1), r"^_|\.[a-z]+$", ""), "/", -1))),
-            _key("view", F.when(is_in(VIEWS), F.regexp_replace(F.substring_index(value, "/", -1), r"\.[a-z]+$", ""))),
+            _key("view", F.when(is_in(VIEWS), F.regexp_replace(F.substring_index(value, "/", -1), r"\.[a-z]+$", ""))), _key("tag", F.when(name == "tag", value)),
             _key("layout", F.when(name == "layout", value)), _key("uri", F.when(is_in(URIS), value)),
             _key("route", F.when(is_in(URIS), _begin(value))), F.when(is_in(URIS), F.lit("route:$")),
         )
 
     hinted = F.flatten(F.transform(F.split(F.coalesce("target_hint", F.lit("")), r"\|"), of_part))
-    return F.array_distinct(F.array_compact(F.concat(F.array(_key("id", F.col("source_id")), _key("id", F.col("target_id"))), hinted)))
+    return F.array_distinct(F.array_compact(F.concat(F.array(_key("id", F.col("source_id")), _key("id", F.col("target_id")), F.when(F.col("type") == "APPLIES_TO", F.lit("applied"))), hinted)))
 
 
 def origin() -> Column:

@@ -199,3 +199,64 @@ def resolve_redirects(edges: DataFrame, symbols: DataFrame, mappings: DataFrame)
 
 def resolve_layouts(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return resolve(edges, [Tier(layout_index(symbols), {"layout": hint(F.col("target_hint"), "layout")}, "EXACT")], "missing_layout")
+
+
+#: Folders that an absolute path of a page is under.
+WEB_ROOTS = ("web-app", "src/main/webapp", "grails-app/views")
+
+
+def relative_path(folder: Column, path: Column) -> Column:
+    """A path from a folder, without `.` and `..` segments."""
+    steps = F.filter(F.split(F.concat_ws("/", folder, path), "/"), lambda s: (s != "") & (s != "."))
+    up = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+    return F.array_join(up, "/")
+
+
+def resolve_includes(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Templates, included and forwarded pages by path: from the page's folder, else a web root's, else the only one of its file name; tags by their full name.
+
+    A template's file has an underscore before its name. What is not found has a warning; a tag of the namespace `g` that no
+    tag library defines is one of the framework's own.
+    """
+    h, here = F.col("target_hint"), F.regexp_replace("file_path", r"/[^/]*$", "")
+    template, page, tag = hint(h, "template"), F.regexp_extract(F.coalesce(hint(h, "include"), hint(h, "forward")), r"^[^?#]*", 0), hint(h, "tag")
+    under = F.concat(F.regexp_replace(template, r"[^/]*$", ""), F.lit("_"), F.substring_index(template, "/", -1), F.lit(".gsp"))
+    wanted = F.coalesce(under, F.nullif(page, F.lit("")))
+    absolute = wanted.startswith("/")
+    pages = path_index(symbols, ("gsp_view", "gsp_template", "gsp_layout", "jsp_view", "jsp_include"))
+    short = pages.groupBy(F.substring_index("path", "/", -1).alias("short")).agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1")
+    defined = symbols.filter("kind = 'custom_tag'").groupBy("fqn").agg(F.min("id").alias("id"))
+    tiers = [
+        Tier(pages, {"path": relative_path(here, wanted)}, "EXACT", ~absolute),
+        *[Tier(pages, {"path": relative_path(F.lit(root), wanted)}, "EXACT", absolute) for root in WEB_ROOTS],
+        Tier(short, {"short": F.substring_index(wanted, "/", -1)}, "LIKELY"),
+        Tier(defined, {"fqn": tag}, "EXACT"),
+    ]
+    out = resolve(edges, tiers, "missing_include")
+    own = hint(F.col("target_hint"), "tag")
+    warned = F.when(F.col("warning_code").isNull() | own.isNull(), F.col("warning_code")).when(own.startswith("g:"), "builtin_tag").otherwise("missing_tag")
+    return out.withColumn("warning_code", warned)
+
+
+def resolve_applied(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What filters and interceptors apply to: an edge for each action that the controller and action patterns fit.
+
+    Patterns are names, alternatives with `|`, and beginnings with `*` at their end, joined by equality with the names'
+    beginnings. An edge for all keeps its hint and its confidence: it names no action. What fits nothing has a warning.
+    """
+    h = F.col("target_hint")
+    part = lambda key: F.regexp_extract(F.concat(F.lit("|"), h), rf"\|{key}:(.*?)(?=\|(?:controller|action|uri):|$)", 1)
+    rows = edges.withColumn("_edge", F.struct(*edges.columns)).withColumn("_all", (h == "all") | ((part("controller") == "") & (part("action") == "")))
+    asked = rows.filter(~F.col("_all")).withColumn("_c", F.explode(F.split(F.when(part("controller") == "", "*").otherwise(part("controller")), r"\|"))).withColumn("_a", F.explode(F.split(F.when(part("action") == "", "*").otherwise(part("action")), r"\|")))
+    actions = action_index(symbols).select(F.regexp_replace("controller", "Controller$", "").alias("c"), "action", "id")
+    actions = actions.withColumn("c", F.concat(F.lower(F.substring("c", 1, 1)), F.substring("c", 2, 1 << 30)))
+    begins = F.transform(F.sequence(F.lit(0), F.length("c")), lambda n: F.concat(F.substring(F.col("c"), F.lit(1), n), F.lit("*")))
+    names = actions.select("c").distinct().select(F.col("c").alias("_known"), F.explode(F.concat(begins, F.array("c"))).alias("_c"))
+    met = asked.join(names, "_c").join(actions, F.col("c") == F.col("_known"))
+    fits = (F.col("_a") == F.col("action")) | (F.col("_a").endswith("*") & F.col("action").startswith(F.regexp_replace("_a", r"\*$", "")))
+    rest = [c for c in edges.columns if c not in ("target_id", "confidence")]
+    found = met.filter(fits).select(*[F.col(f"_edge.{c}").alias(c) for c in rest], F.col("id").alias("target_id"), F.lit("LIKELY").alias("confidence"), F.lit(None).cast("string").alias("warning_code")).distinct()
+    key = [c for c in ("source_id", "file_path", "line", "target_hint") if c in edges.columns]
+    open_ = rows.filter(~F.col("_all")).join(found.select(*key).distinct(), key, "left_anti")
+    left = rows.filter("_all").select(*edges.columns, F.lit(None).cast("string").alias("warning_code")).unionByName(open_.select(*rest, F.lit(None).cast("string").alias("target_id"), F.lit("UNRESOLVED").alias("confidence"), F.lit("missing_action").alias("warning_code")))
+    return found.select(*edges.columns, "warning_code").unionByName(left.select(*edges.columns, "warning_code"))

@@ -99,3 +99,45 @@ def routed_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     asked = table(spark, sf_dir, "customer").select("c_custkey", uri.alias("uri"))
     return asked.join(routing.route(asked, patterns), "uri", "left").select("c_custkey", "id")
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 6 AS how FROM part)
+    SELECT k, CASE how WHEN 0 THEN concat('page:web-app/v', k, '/part', k, '.jsp') WHEN 1 THEN concat('page:web-app/v', k, '/part', k, '.jsp') WHEN 2 THEN concat('page:web-app/v', k, '/part', k, '.jsp')
+        WHEN 3 THEN concat('page:grails-app/views/t', k, '/_row.gsp') WHEN 4 THEN concat('tag:', k) END AS target_id,
+        CASE WHEN how = 2 THEN 'LIKELY' WHEN how = 5 THEN 'UNRESOLVED' ELSE 'EXACT' END AS confidence, CASE WHEN how = 5 THEN 'missing_tag' END AS warning_code FROM p""")
+def included_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Includes by relative and absolute paths and by the only file of a name, templates with their underscore, tags of libraries and unknown ones."""
+    part, k, null = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string"), F.lit(None).cast("string")
+    lit = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    symbol = lambda id, kind, path, fqn: part.select(id.alias("id"), F.lit(kind).alias("kind"), fqn.alias("fqn"), path.alias("file_path"))
+    page, row = lit("web-app/v", k, "/part", k, ".jsp"), lit("grails-app/views/t", k, "/_row.gsp")
+    symbols = symbol(lit("page:", page), "jsp_view", page, page).unionByName(symbol(lit("page:", row), "gsp_template", row, row)).unionByName(symbol(lit("tag:", k), "custom_tag", F.lit("T.groovy"), lit("ns:tag", k)))
+    how = F.col("p_partkey") % 6
+    said = (
+        F.when(how == 0, lit("include:../v", k, "/./part", k, ".jsp?x=1")).when(how == 1, lit("forward:/v", k, "/part", k, ".jsp")).when(how == 2, lit("include:/elsewhere/part", k, ".jsp"))
+        .when(how == 3, F.lit("template:row")).when(how == 4, lit("tag:ns:tag", k)).otherwise(lit("tag:other:tag", k))
+    )
+    edges = part.select("p_partkey", null.alias("target_id"), said.alias("target_hint"), F.when(how == 3, lit("grails-app/views/t", k, "/list.gsp")).otherwise(F.lit("web-app/from/a.jsp")).alias("file_path"), null.alias("confidence"))
+    return resolve.resolve_includes(edges, symbols).select(F.col("p_partkey").alias("k"), "target_id", "confidence", "warning_code")
+
+
+@query("""WITH a AS (SELECT n_nationkey AS n, unnest(['list', 'listAll', 'show']) AS action FROM nation),
+    f AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 6 AS how FROM supplier)
+    SELECT k, concat('action:', a.n, ':', action) AS target_id, 'LIKELY' AS confidence, NULL AS warning_code FROM f JOIN a ON
+        (how = 0 AND f.n = a.n) OR (how = 1 AND f.n = a.n AND action = 'show') OR (how = 2 AND f.n = a.n AND starts_with(action, 'list')) OR (how = 3 AND a.n IN (f.n, (f.n + 1) % 25) AND action IN ('list', 'show'))
+    UNION ALL SELECT k, NULL, CASE how WHEN 4 THEN 'HEURISTIC' ELSE 'UNRESOLVED' END, CASE how WHEN 5 THEN 'missing_action' END FROM f WHERE how > 3""")
+def applied_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters for a controller, an action, a beginning, alternatives of both, all, and an unknown controller."""
+    nation, null, n = table(spark, sf_dir, "nation"), F.lit(None).cast("string"), F.col("n_nationkey").cast("string")
+    lit = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    symbols = nation.withColumn("name", F.explode(F.array(*map(F.lit, ("list", "listAll", "show"))))).select(
+        lit("action:", n, ":", F.col("name")).alias("id"), F.lit("action").alias("kind"), "name", lit("com.x.N", n, "xController#", F.col("name")).alias("fqn"), F.lit("f").alias("file_path"), F.lit(1).cast("long").alias("line_start"),
+    )
+    supplier, m, how = table(spark, sf_dir, "supplier"), F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 6
+    after = ((F.col("s_nationkey") + 1) % 25).cast("string")
+    said = (
+        F.when(how == 0, lit("controller:n", m, "x")).when(how == 1, lit("controller:n", m, "x|action:show")).when(how == 2, lit("controller:n", m, "x*|action:list*"))
+        .when(how == 3, lit("controller:n", m, "x|n", after, "x|action:list|show")).when(how == 4, F.lit("all")).otherwise(lit("controller:none", m, "|action:show"))
+    )
+    edges = supplier.select(F.col("s_suppkey").cast("string").alias("source_id"), null.alias("target_id"), said.alias("target_hint"), F.lit("f").alias("file_path"), F.lit(1).alias("line"), F.when(how == 4, "HEURISTIC").otherwise("UNRESOLVED").alias("confidence"))
+    return resolve.resolve_applied(edges, symbols).select(F.col("source_id").cast("long").alias("k"), "target_id", "confidence", "warning_code")

@@ -30,7 +30,9 @@ def changed_files(k, step, rng) -> dict[str, str | None]:
         f"grails-app/controllers/m{k}/M{k}XController.groovy": lambda: controller(k, rng),
         f"grails-app/controllers/m{k}/M{k}YController.groovy": lambda: controller(k, rng),
         f"grails-app/domain/m{k}/M{k}Thing.groovy": lambda: f"package m{k}\nclass M{k}Thing {{\n  String name{rng.randrange(2)}\n}}\n",
-        f"grails-app/views/m{k}X/page0.gsp": lambda: f"<html><meta name='layout' content='m{k}l{rng.randrange(2)}'/><g:link controller='m{k}X' action='{rng.choice(['show', 'list'])}'>x</g:link></html>",
+        f"grails-app/views/m{k}X/page0.gsp": lambda: f"<html><meta name='layout' content='m{k}l{rng.randrange(2)}'/><g:link controller='m{k}X' action='{rng.choice(['show', 'list'])}'>x</g:link><g:render template='row'/></html>",
+        f"grails-app/views/m{k}X/_row.gsp": lambda: f"<p><m{k}:badge/></p>",
+        f"grails-app/conf/m{k}/M{k}Filters.groovy": lambda: f"class M{k}Filters {{\n  def filters = {{\n    some(controller: 'm{k}{rng.choice('XY')}', action: '{rng.choice(['show', '*'])}') {{\n    }}\n  }}\n}}\n",
         f"grails-app/views/m{k}Y/page1.gsp": lambda: f"<html><meta name='layout' content='m{k}l0'/></html>",
         f"grails-app/views/layouts/m{k}l0.gsp": lambda: "<html><g:layoutBody/></html>",
         f"grails-app/views/layouts/m{k}l1.gsp": lambda: "<html><g:layoutBody/>1</html>",
