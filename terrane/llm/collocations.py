@@ -34,7 +34,7 @@ from terrane.llm.common import materialize
 #: Lower case for A-Z, a line end for what ends a piece, a space for a tab.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 #: Suffixes that a task counts before it gives them out.
-HELD = 400_000
+HELD = 300_000
 
 
 def truncated_suffixes(text: bytes, longest: int) -> list[bytes]:
@@ -221,7 +221,7 @@ def _within_longer(candidates: DataFrame) -> DataFrame:
     return candidates.filter(size >= 3).select("lang", F.explode(inner).alias("inner"), "a").groupBy("lang", "inner").agg(F.max("a").alias("most"))
 
 
-def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, buckets: int = 64, sample_bytes: int = 16 << 20, partition_bytes: int = 8 << 20) -> DataFrame:
+def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, buckets: int = 64, sample_bytes: int = 16 << 20, partition_bytes: int = 4 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `longest` words that occur at least `least` times.
 
     `partition_bytes` of text are meant for one task; a sample of `sample_bytes` tells the beginnings with more than a
