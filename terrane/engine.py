@@ -34,7 +34,7 @@ def extract(files: DataFrame, staged: Callable[[str, DataFrame], DataFrame]) ->
     keys = keys.unionByName(configs.yaml_keys(files.filter("language = 'yaml'"))).unionByName(configs.groovy_keys(scripts))
     beans = staged("beans", configs.xml_beans(configs.parse_xml(of("xml_config"))))
     source = files.filter(F.col("language").isin("groovy", "java"))
-    declared = staged("declarations", code_graph.described(code.declarations(source)))
+    declared = staged("declarations", code_graph.described(staged("scanned", code.declarations(source))))
     lines = code_graph.body_lines(declared)
     (uses, use_edges), (settings, setting_edges) = code_graph.used(lines, declared, by_file=True), code_graph.configured(source, declared, by_file=True)
     found = [

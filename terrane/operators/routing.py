@@ -1,8 +1,8 @@
 """URI routing: concrete URIs reach the most specific of many patterns by walking a trie of path segments.
 
 The trie is rows: every prefix of a pattern is a node, `$name` and `*` are one segment each whatever their name, `$name?`
-may be missing, `**` takes all that follows. URIs walk it level by level, by joins on (node, segment) for literal segments
-and on the node for variable ones; a URI is at several nodes at once. Levels are as many as the longest pattern has
+may be missing, `**` takes all that follows. URIs walk it level by level, by a join on (node, step) for each of the steps that
+their next segment allows; a URI is at several nodes at once. Levels are as many as the longest pattern has
 segments. Of the patterns that are reached, the first by segment counts: a literal before a variable before `**`.
 """
 
@@ -47,22 +47,21 @@ def route(uris: DataFrame, patterns: DataFrame) -> DataFrame:
     """uri and id: of each distinct uri that a pattern fits, the most specific pattern's."""
     steps, ends = trie(patterns)
     depth = steps.agg(F.max(F.size(F.split("to", "/"))).alias("n")).first()["n"] or 0
-    state = uris.select("uri").distinct().select("uri", segments(F.col("uri")).alias("path"), F.lit("").alias("at"), F.lit("").alias("how"))
-    literal = steps.filter(~F.col("step").isin("$", "**")).select(F.col("at").alias("_at"), "step", "to")
-    variable, rest = (steps.filter(F.col("step") == s).select(F.col("at").alias("_at"), "to") for s in ("$", "**"))
-    reached = []
+    steps = steps.select(F.col("at").alias("_at"), F.col("step").alias("_step"), "to")
+    state = uris.select("uri").distinct().select("uri", segments(F.col("uri")).alias("path"), F.lit("").alias("at"), F.lit("").alias("how"), F.lit(False).alias("done"))
+    go = lambda key, how, done: F.struct(key.alias("key"), F.lit(how).alias("how"), F.lit(done).alias("done"))
+    stay = F.lit(None).cast("string")
     for level in range(depth + 1):
-        here, segment = F.col("at") == F.col("_at"), F.get("path", F.lit(level))
-        reached.append(state.filter(F.size("path") == level).select("uri", "at", F.concat("how", F.lit(END)).alias("how")))
-        reached.append(state.join(rest, here).select("uri", F.col("to").alias("at"), F.concat("how", F.lit(REST)).alias("how")))
-        if level == depth:
-            break
-        going = state.filter(F.size("path") > level)
-        exact = going.join(literal, here & (segment == F.col("step"))).select("uri", "path", F.col("to").alias("at"), F.concat("how", F.lit(LITERAL)).alias("how"))
-        any_ = going.join(variable, here).select("uri", "path", F.col("to").alias("at"), F.concat("how", F.lit(VARIABLE)).alias("how"))
-        state = exact.unionByName(any_)
-    found = reached[0]
-    for part in reached[1:]:
-        found = found.unionByName(part)
+        segment = F.get("path", F.lit(level))
+        ways = (
+            F.when(F.col("done"), F.array(go(stay, "", True)))
+            .when(F.size("path") == level, F.array(go(stay, END, True), go(F.lit("**"), REST, True)))
+            .otherwise(F.array(go(F.when(~segment.isin("$", "**"), segment), LITERAL, False), go(F.lit("$"), VARIABLE, False), go(F.lit("**"), REST, True)))
+        )
+        # Each level is one join, and what has arrived travels along, so the walk's plan grows with the levels and no more.
+        tried = state.select("uri", "path", "at", "how", F.explode(ways).alias("go")).filter("go.key is not null or go.done")
+        state = tried.join(steps, (F.col("at") == F.col("_at")) & (F.col("go.key") == F.col("_step")), "left").filter("go.key is null or to is not null")
+        state = state.select("uri", "path", F.coalesce("to", "at").alias("at"), F.concat("how", "go.how").alias("how"), "go.done")
+    found = state.filter("done").select("uri", "at", "how")
     best = F.max_by("id", F.struct("how", "id"))
     return found.join(ends, "at").groupBy("uri").agg(best.alias("id"))

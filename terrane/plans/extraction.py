@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.plans.bindings import PROJECT
-from terrane.plans.registry import query, table
+from terrane.plans.registry import query, staged, table
 from terrane.sources import code, code_graph, configs, views
 
 JAVA = """package com.n{n};
@@ -137,7 +137,7 @@ def _groovy(spark, sf_dir, template: str, path: str, kind: str):
 
 
 def _declared(files: DataFrame) -> DataFrame:
-    return code_graph.described(code.declarations(files))
+    return code_graph.described(staged(code.declarations(files)))
 
 
 def _said(symbols: DataFrame, *kinds: str, **properties: str) -> DataFrame:

@@ -11,7 +11,7 @@ from terrane.engine import TYPE_KINDS
 from terrane.operators import graph, incremental, resolve, routing
 from terrane.plans.bindings import PROJECT
 from terrane.plans.extraction import written
-from terrane.plans.registry import query, table
+from terrane.plans.registry import query, staged, table
 from terrane.sources import code, code_graph, scopes
 
 REPOSITORY = "package com.n{k};\npublic class Repo{k} {\n    public void load() { }\n}\nclass Other{k} {\n    void load() { }\n}\n"
@@ -35,10 +35,10 @@ def scoped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_shape = lambda i: F.regexp_extract("path", r"U(\d+)", 1).cast("long") % 6 == i
     users = [written(spark, sf_dir, "supplier", "s_suppkey", text, "src/U{k}.java", "plain_java", "java", n="s_nationkey").filter(of_shape(i)) for i, text in enumerate(SHAPES)]
     files = reduce(DataFrame.unionByName, users).unionByName(written(spark, sf_dir, "nation", "n_nationkey", REPOSITORY, "src/Repo{k}.java", "plain_java", "java"))
-    declared = code_graph.described(code.declarations(files))
+    declared = staged(code_graph.described(staged(code.declarations(files))))
     lines = code_graph.body_lines(declared)
-    symbols = code_graph.code_symbols(declared).filter(F.col("kind").isin(*TYPE_KINDS, "method"))
-    calls = scopes.typed_calls(code_graph.body_edges(lines), declared, lines).filter("type = 'CALLS' and target_hint like 'method:load|%'")
+    symbols = staged(code_graph.code_symbols(declared).filter(F.col("kind").isin(*TYPE_KINDS, "method")))
+    calls = staged(scopes.typed_calls(code_graph.body_edges(lines), declared, lines).filter("type = 'CALLS' and target_hint like 'method:load|%'"))
     return resolve.resolve_calls(calls, symbols, code_graph.imports(symbols)).select("source_id", "line", "target_id", "confidence")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from terrane.functions import paths, text
 from terrane.operators import graph, resolve, retrieval, templates
 from terrane.operators.store import NEXT_STATES, SCHEMAS, Store
 from terrane.plans.bindings import PROJECT, edges, oracle_prelude, symbols
-from terrane.plans.registry import query, table
+from terrane.plans.registry import query, scratch, table
 from terrane.sources import code_graph
 
 KG = oracle_prelude()
@@ -23,14 +20,6 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one in local mode only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='terrane-')}/store-{uuid.uuid4().hex}"
-
-
 def _said(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
