@@ -1,4 +1,4 @@
-"""The engine: index, rebuild, query, ask, status, list_projects, invalidate, verify_change and change_plan."""
+"""The engine: index, rebuild, query, ask, ask_many, status, list_projects, invalidate, verify_change, change_plan and impact."""
 
 from __future__ import annotations
 
@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from terrane.functions.paths import in_scope
 from terrane.operators import graph, incremental, resolve, retrieval, templates
 from terrane.operators.diff import changed, diff_counts, snapshot_diff
+from terrane.operators.reach import reach
 from terrane.operators.store import Store, new_run_id
+from terrane.operators.vector_index import VectorIndex
 from terrane.settings import Settings
 from terrane.sources import code, code_graph, configs, inventory, scopes, views
 
-INDEX_VERSION = 3
+INDEX_VERSION = 4
 SYMBOL = ["id", "kind", "name", "fqn", "file_path", "line_start", "line_end", "language", "project_id", "docstring", "source_hash", "properties"]
 
 # Kinds of symbols that are types; edges whose hints name a type, and the keys that name it.
@@ -148,10 +150,14 @@ class Engine:
         self.store.write("edges", staged("merged_edges", rest.join(resolved.select("origin"), "origin", "left_anti").select(old.columns).unionByName(same)), pid, buckets=in_buckets)
 
         # Only chunks of symbols that may have changed are embedded; those of deleted files go.
-        chunk = retrieval.chunks(all_symbols.join(concerned, own, "left_semi")).withColumn("embedding", retrieval.embed(F.col("text")))
+        # Chunks of bodies depend on their file alone, so they are held for shadowed symbols too; see `_chunks`.
+        bodies = retrieval.body_chunks(after, self._staged_again("text", run_id))
+        chunk = retrieval.chunks(all_symbols.join(concerned, own, "left_semi")).unionByName(bodies, allowMissingColumns=True).withColumn("embedding", retrieval.embed(F.col("text")))
         in_buckets = self.store.buckets("chunks", concerned)
         stored = read("chunks", buckets=in_buckets)
-        self.store.write("chunks", stored.join(concerned, own, "left_anti").select(stored.columns).unionByName(chunk.select(stored.columns)), pid, buckets=in_buckets)
+        others = stored.filter("chunk_type <> 'body'").join(concerned, own, "left_anti").select(stored.columns)
+        others = others.unionByName(stored.filter("chunk_type = 'body'").join(paths, own, "left_anti").select(stored.columns))
+        self.store.write("chunks", others.unionByName(chunk.select(stored.columns)), pid, buckets=in_buckets)
         # The index of what edges ask for is appended to: `extracted` tells which run's rows of a file count.
         rows = incremental.index_rows(edges).withColumn("last_run_id", F.lit(run_id))
         if read("extracted").join(paths, own, "left_anti").isEmpty():
@@ -203,6 +209,12 @@ class Engine:
             out = out.unionByName(resolver(edges.filter(F.col("type").isin(*kinds))).select(*edges.columns, "warning_code"))
         return out
 
+    def _chunks(self, project_id: str) -> DataFrame:
+        """Chunks of a project without those of shadowed symbols."""
+        hidden = self.store.read("symbols", project_id).filter("shadowed").select(F.col("id").alias("symbol_id"), "file_path")
+        chunks = self.store.read("chunks", project_id)
+        return chunks.join(hidden, ["symbol_id", "file_path"], "left_anti").select(chunks.columns)
+
     def _graph(self, project_id: str) -> tuple[DataFrame, DataFrame]:
         """Symbols and edges of a project."""
         return visible(self.store.read("symbols", project_id)), self.store.read("edges", project_id)
@@ -228,7 +240,7 @@ class Engine:
 
     def ask(self, project_id: str, question: str, max_depth: int = 3) -> dict:
         symbols, edges = self._graph(project_id)
-        pack = retrieval.plan(question, symbols, edges, project_id, self.store.read("chunks", project_id), max_depth)
+        pack = retrieval.plan(question, symbols, edges, project_id, self._chunks(project_id), max_depth)
         nodes, near, texts = (pack[k].collect() for k in ("nodes", "edges", "chunks"))  # each bounded by the pack's caps
         answer = f"{pack['intent']}: {len(nodes)} symbols, {len(near)} relations, {len(texts)} texts. " + ", ".join(f"{n['kind']}:{n['name']}" for n in nodes[:10]) + ". " + ", ".join(sorted({e["type"] for e in near})[:10])
         return {"answer": answer, "intent": pack["intent"], "templates": pack["templates"], "nodes": [n.asDict() for n in nodes], "edges": [e.asDict() for e in near], "chunks": [{**c.asDict(), "text": c["text"][:200]} for c in texts]}
@@ -275,3 +287,17 @@ class Engine:
         symbols, edges = self._graph(project_id)
         reached = templates.traverse(edges, self.spark.createDataFrame([(anchor,)], "id string"), depth=depth, reverse=True)
         return symbols.join(reached, "id").orderBy("depth", "file_path", "line_start", "id").select("id", "kind", "name", "file_path", "line_start", "depth")
+
+    def impact(self, project_id: str, anchors: DataFrame, depth: int = 3) -> DataFrame:
+        """change_plan for many symbols (id) in one job: seed, and what depends on it with its depth."""
+        run_id, (symbols, edges) = new_run_id(), self._graph(project_id)
+        reached = reach(edges, anchors, lambda name, df: self._staged(name, df, run_id), depth=depth, reverse=True)
+        return symbols.join(reached, "id").select("seed", "id", "kind", "name", "file_path", "line_start", "depth")
+
+    def ask_many(self, project_id: str, questions: DataFrame, k: int = 10) -> DataFrame:
+        """The k nearest chunks, exactly, for each of many questions (query_id, text): query_id, rank, distance and the chunk."""
+        run_id, chunks = new_run_id(), self._chunks(project_id)
+        index = VectorIndex.build(chunks, f"{self.store.root}/staging/{run_id}/index")
+        asked = questions.select("query_id", retrieval.embed(F.col("text")).alias("embedding"))
+        found = index.search(asked, lambda name, df: self._staged(name, df, run_id), k).withColumnRenamed("id", "chunk_id")
+        return found.join(chunks.select("chunk_id", "symbol_id", "chunk_type", "text", "file_path", "line_start"), "chunk_id")

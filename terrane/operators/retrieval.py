@@ -24,6 +24,8 @@ INTENT_TEMPLATES = {
 }
 # Most templates, nodes, edges and chunks of a context pack; characters of a chunk of a view.
 MOST_TEMPLATES, MOST_NODES, MOST_EDGES, MOST_CHUNKS, VIEW_CHARS = 5, 50, 200, 50, 2000
+#: Kinds of symbols whose source lines are chunks, and of how many ends of statements one ends a chunk.
+BODY_KINDS, CUT_ONE_IN = ("method", "constructor", "action"), 8
 
 
 def chunks(symbols: DataFrame, static_text: str = "static_text") -> DataFrame:
@@ -40,6 +42,42 @@ def chunks(symbols: DataFrame, static_text: str = "static_text") -> DataFrame:
     return out.select(F.concat_ws("_", "symbol_id", "nth").alias("chunk_id"), "symbol_id", "c.chunk_type", "c.text", "project_id", "kind", "file_path", "line_start")
 
 
+def body_chunks(symbols: DataFrame, files: DataFrame, kinds: tuple[str, ...] = BODY_KINDS) -> DataFrame:
+    """The columns of `chunks` for the source of methods: consecutive lines of the symbols' files (path, text), whole, as chunk_type body.
+
+    A chunk ends after a line that ends a statement (`;`, `{`, `}` or a blank line) if the hash of the trimmed line says so, one
+    in CUT_ONE_IN. So cuts depend on the lines alone, and an inserted or changed line touches its own chunk and at most the next. A
+    chunk's id has the symbol, the hash of its text and how many equal ones of the symbol stand before it, no position. A file is
+    joined once with all ranges of its symbols and cut in its row. Symbols without lines or file have no chunks; chunks of
+    white space only go, NULs and carriage returns at ends of lines too.
+    """
+    ranges = symbols.filter(F.col("kind").isin(*kinds) & (F.col("line_start") >= 1) & (F.col("line_end") >= F.col("line_start")))
+    ranges = ranges.select(F.col("id").alias("symbol_id"), "project_id", "kind", "file_path", F.col("line_start").cast("int"), F.col("line_end").cast("int"))
+    held = files.select("project_id", F.col("path").alias("file_path"), F.split(F.replace("text", F.lit("\0"), F.lit("")), "\r?\n", -1).alias("lines"))
+    of_file = ranges.groupBy("project_id", "file_path").agg(F.collect_list(F.struct("symbol_id", "kind", "line_start", "line_end")).alias("ranges"))
+    one_of = F.array(*[F.lit(f"{h:02x}") for h in range(256 // CUT_ONE_IN)])
+
+    def marked(line: Column, i: Column) -> Column:
+        """A line that ends a chunk carries the number of the one after it, behind a NUL."""
+        said = F.trim(line)
+        ends = (F.right(said, F.lit(1)).isin(";", "{", "}") | (said == "")) & F.array_contains(one_of, F.substring(F.sha2(said, 256), 1, 2))
+        return F.when(ends, F.concat(line, F.lit("\0"), (i + 1).cast("string"))).otherwise(line)
+
+    def body(r: Column) -> Column:
+        lines = F.slice("lines", r["line_start"], r["line_end"] - r["line_start"] + 1)
+        texts = F.split(F.concat(F.lit("0\n"), F.array_join(F.transform(lines, marked), "\n")), "\0", -1)
+        return F.struct(*[r[c].alias(c) for c in ("symbol_id", "kind", "line_start")], texts.alias("texts"))
+
+    cuts = held.join(of_file, ["project_id", "file_path"]).select("project_id", "file_path", F.explode(F.transform("ranges", body)).alias("b"))
+    cuts = cuts.select("b.symbol_id", "project_id", "b.kind", "file_path", "b.line_start", F.explode("b.texts").alias("piece"))
+    at = F.locate("\n", "piece")
+    text, first = F.expr("substring(piece, locate('\n', piece) + 1)"), F.col("line_start") + F.substring_index("piece", "\n", 1).cast("long")
+    out = cuts.filter(at > 0).withColumns({"text": text, "line_start": first}).filter(F.trim(F.translate("text", "\t\r\n", "   ")) != "")
+    same = F.row_number().over(Window.partitionBy("symbol_id", "project_id", "file_path", "text").orderBy("line_start")) - 1
+    out = out.withColumn("chunk_id", F.concat_ws("_", "symbol_id", F.substring(F.sha2("text", 256), 1, 16), same))
+    return out.select("chunk_id", "symbol_id", F.lit("body").alias("chunk_type"), "text", "project_id", "kind", "file_path", "line_start")
+
+
 def hashed_vectors(texts: list[str | None], width: int = 384) -> np.ndarray:
     """The offline backend: signed hashed word counts of unit length; a text without words has a constant vector."""
     out = np.zeros((len(texts), width), np.float32)

@@ -327,4 +327,4 @@ def static_text(spark, sf_dir):
 
 
 # Their queries register themselves.
-from terrane.plans import extraction, linking, serving  # noqa: E402, F401
+from terrane.plans import extraction, linking, searching, serving  # noqa: E402, F401
