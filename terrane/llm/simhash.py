@@ -31,6 +31,17 @@ from terrane.llm.components import components
 SEED = 42
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The bits set in over half of n hashes, as a signed integer."""
+    value = int("".join("1" if x else "0" for x in (2 * total > n)), 2)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64 bits, as a signed integer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -43,12 +54,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         part = np.fromiter((digest(b" ".join(g), seed) for g in islice(grams, 1 << 16)), ">u8") if not isinstance(grams, list) else np.array([digest(b" ".join(grams[0]), seed)], ">u8")
         if not len(part):
             break
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        total += bit_sums(part)
         n += len(part)
         if isinstance(grams, list):
             break
-    value = int("".join("1" if x else "0" for x in (2 * total > n)), 2)
-    return value - (1 << 64) if value >> 63 else value
+    return majority(total, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -68,6 +78,11 @@ def _masks(bits: list[int], parts: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def block_masks(distance: int = 3, blocks: int = 6) -> list[int]:
+    """Fingerprints that differ in at most `distance` bits agree under one of these masks at least."""
+    return _masks(list(range(64)), blocks, blocks - distance)
+
+
 def _free(mask: int) -> list[int]:
     return [b for b in range(64) if not (mask >> b) & 1]
 
@@ -90,7 +105,7 @@ def links(fps: DataFrame, distance: int = 3, blocks: int = 6, bucket: int = 2048
     """Distinct fingerprints fp -> (u, v): a graph with the components of 'differ in at most `distance` bits'."""
     spark = fps.sparkSession
     # Fixed-size lookup of masks: as many as choices of blocks, times distance + 1 for each finer cut.
-    masks = _masks(list(range(64)), blocks, blocks - distance)
+    masks = block_masks(distance, blocks)
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for m in masks])).alias("b")).select("fp", "b.mask", "b.key")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

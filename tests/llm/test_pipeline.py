@@ -131,6 +131,24 @@ def test_near_dedup_with_planted_edits(spark):
     assert corpus_pipeline.near_dedup(spark, frame.filter("false"), "").collect() == []
 
 
+def test_near_dedup_finds_candidates_by_fingerprints(spark):
+    """Texts within 3 bits meet under a choice of their fingerprints' blocks, without any band of minima in common."""
+    from terrane.llm import jaccard
+    from terrane.llm.components import components
+
+    rng, made = np.random.default_rng(6), []
+    print_of = lambda s: np.bitwise_or.reduce(jaccard.blocks(s))
+    while len(made) < 60:
+        text = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+        pair = [jaccard.shingles(" ".join(t)) for t in (text, [*text[:-1], "edited"])]
+        if np.bitwise_count(print_of(pair[0]) ^ print_of(pair[1])) <= 3:
+            made += pair
+    distinct = spark.createDataFrame([(i, np.append(jaccard.bands(s)[: -jaccard.BANDS], [-i]).tolist()) for i, s in enumerate(made)], "id long, bands array<long>")
+    held = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(made)], "id long, shingles array<long>")
+    roots = {r["node"]: r["root"] for r in components(jaccard.links(distinct, lambda wanted: held.join(wanted, "id", "left_semi")), "t").collect()}
+    assert roots == {i: i - i % 2 for i in range(60)}
+
+
 def test_decontamination(spark, folder):
     docs = documents(spark, folder)
     listed, items = rows(docs, *COLUMNS), rows(spark.read.parquet(f"{folder}/benchmark.parquet"), "item_id", "text")
