@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -60,35 +61,55 @@ def _rolled(h: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(map(digest, words), np.uint64, len(words))
-
-
-def paths(words: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of a document: first window, number of windows, minimizer and hash of each path."""
-    n = len(words) - window + 1
-    if n < 1:
-        return None
-    h = _hashed(words)
-    grams = _rolled(h, seed)
-    width = window - seed + 1
-    best, where = grams[:n].copy(), np.arange(n)
-    for j in range(1, width):  # the leftmost smallest of each window
-        less = grams[j : j + n] < best
-        best[less] = grams[j : j + n][less]
-        where[less] = np.flatnonzero(less) + j
-    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    count = np.diff(np.concatenate([first, [n]]))
-    # The hash of words first .. first + count + window - 2, from prefix sums of the polynomial.
-    power = _powers(len(words) + 1)
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(h * power[: len(words)], dtype=np.uint64)])
-    end = first + count + window - 1
-    # Aligned to a common power: times BASE^(top - first), for a top that depends on the length alone.
-    names = (prefix[end] - prefix[first]) * _inverse_powers(len(words) + 1)[first]
+def _hashed(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+
+
+def least_of(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of each run of `width` values and where the leftmost such stands, by runs that double."""
+    best, where, have = values, np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        less = best[step:] < best[:-step]
+        best, where = np.where(less, best[step:], best[:-step]), np.where(less, where[step:], where[:-step])
+        have += step
+    return best, where
+
+
+def paths(texts: list[list[bytes]], window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """Of documents as words: which document, first window, number of windows, minimizer and hash of each path.
+
+    Documents are hashed one behind the other; windows that reach into the next one are left out.
+    """
+    texts_at = np.concatenate([[0], np.cumsum([len(words) for words in texts])]).astype(np.int64)
+    h = _hashed(chain.from_iterable(texts), int(texts_at[-1]))
+    if len(h) < window:
+        return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)))
+    best, where = least_of(_rolled(h, seed), window - seed + 1)
+    which = np.repeat(np.arange(len(texts)), np.diff(texts_at))[: len(best)]
+    inside = np.flatnonzero(np.arange(window, window + len(best)) <= texts_at[which + 1])
+    where = where[inside]
+    begin = np.flatnonzero(np.concatenate([[len(where) > 0], where[1:] != where[:-1]])[: len(where)])
+    first, count = inside[begin], np.diff(np.append(begin, len(inside)))
+    # The hash of words first .. first + count + window - 2, from prefix sums of the polynomial, brought to BASE^0 for the first.
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(len(h))[: len(h)], dtype=np.uint64)])
+    names = (prefix[first + count + window - 1] - prefix[first]) * _inverse_powers(len(h))[first]
     names ^= names >> np.uint64(31)
     names = (names + count.astype(np.uint64)) * MIX
-    return first, count, best[first], names
+    return which[first], first - texts_at[which[first]], count, best[first], names
+
+
+def in_batches(texts: Iterable[str | None], words: int = 1 << 17) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Texts as words, in lists of about so many words, each with the place of its first text."""
+    held, n, at = [], 0, 0
+    for text in texts:
+        held.append(split_words(text))
+        n += len(held[-1])
+        if n >= words:
+            yield at, held
+            held, n, at = [], 0, at + len(held)
+    if held:
+        yield at, held
 
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -129,23 +150,19 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_byt
 
     def seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            made = [paths(split_words(text), window, seed) for text in pdf["text"]]
-            found = [np.unique(p[2]) for p in made if p is not None]
-            if found:
-                yield pd.DataFrame({"least": _signed(np.concatenate(found))})
+            for _, texts in in_batches(pdf["text"]):
+                which, _, _, least, _ = paths(texts, window, seed)
+                order = np.lexsort((least, which))
+                which, least = which[order], least[order]
+                once = np.concatenate([[True], (which[1:] != which[:-1]) | (least[1:] != least[:-1])])[: len(least)]
+                yield pd.DataFrame({"least": _signed(least[once])})
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ids, parts = [], []
-            for doc, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
-                made = paths(split_words(text), window, seed)
-                if made is not None:
-                    ids.append(np.tile(np.array([[doc], [row]], np.int64), len(made[0])))
-                    parts.append(made)
-            if ids:
-                doc, row = np.concatenate(ids, 1)
-                at, n, least, hashed = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"doc": doc, "row": row, "at": at.astype(np.int32), "n": n.astype(np.int16), "least": _signed(least), "name": _signed(hashed)})
+            doc, row = pdf["doc_id"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64)
+            for start, texts in in_batches(pdf["text"]):
+                which, at, n, least, hashed = paths(texts, window, seed)
+                yield pd.DataFrame({"doc": doc[start + which], "row": row[start + which], "at": at.astype(np.int32), "n": n.astype(np.int16), "least": _signed(least), "name": _signed(hashed)})
 
     # What a join reads beside rows of a key in every document is a table of its own, so that a hot key's partition can be split.
     alone = named_rows.select("text").mapInPandas(seeds, "least long").groupBy("least").agg(F.count("*").alias("rows"))
@@ -162,18 +179,16 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_byt
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out: list[tuple[np.ndarray, ...]] = []
-            for doc, row, text, where in zip(pdf["doc_id"], pdf["row"], pdf["text"], pdf["where"], strict=True):
-                hashes = _rolled(_hashed(split_words(text)), window)
-                for x in where:
-                    at = np.arange(x["at"], x["at"] + x["n"])
-                    same = lambda v: np.full(len(at), v, np.int64)  # noqa: B023, E731
-                    out.append((same(doc), same(row), at, same(x["least"]), _signed(hashes[at])))
+            for doc, row, text, ats, ns, leasts in zip(pdf["doc_id"], pdf["row"], pdf["text"], pdf["ats"], pdf["ns"], pdf["leasts"], strict=True):
+                words, n = split_words(text), ns.astype(np.int64)
+                at = np.repeat(ats - np.cumsum(n) + n, n) + np.arange(n.sum())
+                out.append((np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64), at, np.repeat(leasts, n), _signed(_rolled(_hashed(words, len(words)), window)[at])))
             if out:
                 yield pd.DataFrame({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("doc", "row", "at", "least", "name"))}).astype({"at": "int32"})
 
     # Rows keep their buckets; only coordinates are shuffled to them.
     open_at = judged.filter("not whole").groupBy("row").agg(F.collect_list(F.struct("at", "n", "least")).alias("where"))
-    windows = materialize(held.join(open_at.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "where").mapInPandas(expand, "doc long, row long, at int, least long, name long"), "repeats-windows")
+    windows = materialize(held.join(open_at.hint("shuffle_hash"), "row").select("doc_id", "row", "text", F.col("where.at").alias("ats"), F.col("where.n").alias("ns"), F.col("where.least").alias("leasts")).mapInPandas(expand, "doc long, row long, at int, least long, name long"), "repeats-windows")
     twice = windows.groupBy("least", "name").agg(place, F.max("doc").alias("last")).filter("source.doc < last").drop("last")
     single = windows.join(materialize(twice, "repeats-twice"), ["least", "name"]).filter("source.doc < doc")
     marks = judged.filter("whole").select("row", "at", "n", "source").unionByName(single.select("row", "at", F.lit(1).cast("short").alias("n"), "source"))
@@ -198,14 +213,14 @@ def verified(held: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for row, text, where in zip(pdf["row"], pdf["text"], pdf["where"], strict=True):
+            for row, text, ats, ns in zip(pdf["row"], pdf["text"], pdf["ats"], pdf["ns"], strict=True):
                 words = split_words(text)
-                out += [(row, x["at"], x["n"], xxhash.xxh3_128_digest(b" ".join(words[x["at"] : x["at"] + x["n"] + window - 1]))) for x in where]
+                out += [(row, at, n, xxhash.xxh3_128_digest(b" ".join(words[at : at + n + window - 1]))) for at, n in zip(ats.tolist(), ns.tolist(), strict=True)]
             yield pd.DataFrame(out, columns=["row", "at", "n", "words"])
 
     asked = spans.select("row", "at", "n").unionByName(spans.select(F.col("s_row").alias("row"), F.col("s_at").alias("at"), "n")).distinct()
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("where"))
-    said = materialize(held.join(asked.hint("shuffle_hash"), "row").select("row", "text", "where").mapInPandas(read, "row long, at int, n int, words binary"), "repeats-words")
+    said = materialize(held.join(asked.hint("shuffle_hash"), "row").select("row", "text", F.col("where.at").alias("ats"), F.col("where.n").alias("ns")).mapInPandas(read, "row long, at int, n int, words binary"), "repeats-words")
     of_source = said.select(F.col("row").alias("s_row"), F.col("at").alias("s_at"), "n", F.col("words").alias("s_words"))
     return spans.join(said, ["row", "at", "n"]).join(of_source, ["s_row", "s_at", "n"]).filter("words = s_words").select("row", "at", "n")
 

@@ -549,6 +549,25 @@ def test_repeats_of_one_id_and_of_many(spark):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter(brute.repeats(docs))
 
 
+def test_repeats_paths_of_a_batch_equal_those_of_each_text():
+    """Texts are hashed one behind the other: no path reaches into the next text, and each is that of its text alone and of a plain walk."""
+    from terrane.llm.repeats import _hashed, _rolled, in_batches, paths
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, most, n)) for n in (0, 1, 12, 13, 14, 40, 5, 200, 13) for most in (1, 3, 500)] + [None, ""]
+    got = defaultdict(list)
+    for start, held in in_batches(texts, words=100):
+        for which, *path in zip(*paths(held), strict=True):
+            got[start + which].append(tuple(map(int, path)))
+    for k, text in enumerate(texts):
+        words = (text or "").encode().split()
+        assert got[k] == [tuple(map(int, path)) for _, *path in zip(*paths([words]), strict=True)]
+        grams = _rolled(_hashed(words, len(words)), 5).tolist() if len(words) >= 13 else []
+        least = [min(range(i, i + 9), key=lambda j: (grams[j], j)) for i in range(len(words) - 12)]
+        begins = [i for i, x in enumerate(least) if i == 0 or x != least[i - 1]]
+        assert [p[:3] for p in got[k]] == [(i, j - i, grams[least[i]]) for i, j in zip(begins, [*begins[1:], len(least)], strict=False)]
+
+
 def test_repeats_verify_words_at_source_coordinates(spark):
     """Spans that only hashes call equal are dropped."""
     from terrane.llm.repeats import compacted, verified
