@@ -2,21 +2,24 @@
 
 A restaurant for each context seats the words that follow it; all of them share one parent, the restaurant of words
 without context, whose customers are their tables and whose base draws an unknown word (one class) with probability
-`unknown` and else a training word. A context is a class of previous words by their hash. Classes grow with the text, a
-power of two of about one for each `context_bytes`, up to `most_contexts`: their totals are two vectors in every task.
+`unknown` and else a training word. Each previous word is a context of its own, as is the beginning of a text: their number
+is that of the different words, and no two are merged. Dishes are dealt by word, the totals of contexts by context to
+owners, in a table with what each partition has of them; after a sweep partitions send their tables to the owners, and get
+the totals of those contexts back that they ask for.
 
 Seating is sampled by Gibbs sweeps. A sweep takes all customers of a dish out of a restaurant, with their tables and
 these tables' customers of the parent, and draws a new number of tables from its law given all others (a blocked move of
 the Chinese-restaurant seating, by generalised Stirling numbers). Dishes do so side by side, given the other dishes'
 tables of the sweep before: a parallel sampler, which the tests hold against a sequential one that moves single
-customers. Tasks exchange only the totals. A sweep's draws depend
-on its number and the partition alone, so a state is replayed from the totals and never stored. Seating starts at the
+customers. Tasks exchange only the totals; the tables after a sweep are kept for the next. Draws depend on the sweep's
+number and the partition alone. Seating starts at the
 square roots of the counts, which is near where sweeps lead; the first `BURN_IN` sweeps are left out; probabilities are
 averaged over the `SAMPLES` after them.
 
 Blocks of about `chunk_bytes` of text ask for their own distinct (word, context) pairs, packed by partitions of the
 vocabulary, and get one number back for each; no token is shuffled and no vocabulary broadcast. Words are known by
-64-bit hashes. A partition of frequent words, asked for by every block, has its requests cut into slices of about
+64-bit hashes. In messages contexts are hashes too, but for the most frequent ones: a book of up to `most_contexts` of
+these, one for each `context_bytes` of text, has 16-bit names for them. It changes how messages are written and nothing else. A partition of frequent words, asked for by every block, has its requests cut into slices of about
 `slice_bytes`: slices count by themselves, their counts are added up 16 at a time, and each answers with a copy of the sum.
 
 Defined results: a null or empty text is one end token; without training documents every word is unknown and N and V
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,7 @@ from pyspark.sql import functions as F
 from terrane.llm.common import materialize, shared_dir
 
 LEAST_CONTEXTS, BURN_IN, SAMPLES, EXACT = 1024, 1, 2, 512
+PARTS_OF_OWNER, HELD_WORDS = 8, 1 << 20
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
 
 
@@ -50,19 +55,110 @@ def token_hashes(text: str | None) -> np.ndarray:
 
 
 def n_contexts(volume: int, context_bytes: int, most: int) -> int:
-    """A power of two of about volume / context_bytes."""
+    """How many contexts have short names: a power of two of about volume / context_bytes. All others have long ones."""
     return min(most, max(LEAST_CONTEXTS, 1 << (volume // context_bytes).bit_length()))
 
 
 def number_type(contexts: int) -> type:
-    """The numbers that messages hold contexts in."""
+    """The numbers that messages hold classes of contexts in."""
     return np.uint16 if contexts <= 1 << 16 else np.uint32
 
 
+class Book:
+    """Every word is a context: the first 65,535 words of the book are 16-bit numbers, any other word is its hash."""
+
+    LONG = (1 << 16) - 1
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words[: self.LONG].astype(np.uint64)
+        self.order = np.argsort(self.words)
+        self.sorted = self.words[self.order]
+
+    def short(self, contexts: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(contexts), self.LONG, np.uint16)
+        at = np.minimum(np.searchsorted(self.sorted, contexts), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == contexts, self.order[at], self.LONG).astype(np.uint16)
+
+    def pack(self, contexts: np.ndarray, short: np.ndarray | None = None) -> bytes:
+        short = self.short(contexts) if short is None else short
+        return short.tobytes() + contexts[short == self.LONG].tobytes()
+
+    def unpack(self, data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+        """n contexts, and where they end."""
+        short, at = np.frombuffer(data, np.uint16, n, at), at + 2 * n
+        out, long = np.empty(n, np.uint64), short == self.LONG
+        out[~long] = self.words[short[~long]]
+        out[long] = np.frombuffer(data, np.uint64, int(long.sum()), at)
+        return out, at + 8 * int(long.sum())
+
+
+def frequent(docs: DataFrame, volume: int, context_bytes: int, most: int) -> Book:
+    """Words with short names, roughly the most frequent ones: a task forgets rare words when it holds very many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, waiting, n = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+        def merge() -> None:
+            nonlocal words, counts, waiting, n
+            new, of_new = np.unique(np.concatenate([*waiting, words[:0]]), return_counts=True)
+            both, which = np.unique(np.concatenate([words, new]), return_inverse=True)
+            total = np.bincount(which, np.concatenate([counts, of_new]), len(both)).astype(np.int64)
+            kept = np.sort(np.argsort(-total, kind="stable")[:HELD_WORDS])
+            words, counts, waiting, n = both[kept], total[kept], [], 0
+
+        for batch in batches:  # one text at a time becomes Python's
+            for text in batch.column(0):
+                waiting.append(token_hashes(text.as_py()))
+                n += len(waiting[-1])
+                if n >= HELD_WORDS:
+                    merge()
+        merge()
+        top = np.argsort(-counts, kind="stable")[:wanted]
+        yield pa.RecordBatch.from_pydict({"word": words[top].astype(np.int64), "n": counts[top]})
+
+    wanted = min(n_contexts(volume, context_bytes, most), Book.LONG)
+    found = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return Book(found.orderBy(F.desc("n"), "word").limit(wanted).toPandas()["word"].to_numpy(np.int64).astype(np.uint64))
+
+
+def pack_contexts(values: np.ndarray, contexts: int | Book) -> bytes:
+    return values.astype(number_type(contexts)).tobytes() if isinstance(contexts, int) else contexts.pack(values)
+
+
+def unpack_contexts(data: bytes, n: int, at: int, contexts: int | Book) -> tuple[np.ndarray, int]:
+    if not isinstance(contexts, int):
+        return contexts.unpack(data, n, at)
+    out = np.frombuffer(data, number_type(contexts), n, at)
+    return out, at + out.nbytes
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0: a byte each, 255 where one follows behind them all; then how many follow, and their bytes."""
+    large = numbers[numbers >= 255]
+    width = 4 if not len(large) or int(large.max()) < 1 << 32 else 8
+    return b"".join([np.minimum(numbers, 255).astype(np.uint8).tobytes(), large.astype(f"u{width}").tobytes(), np.uint32(len(large)).tobytes(), bytes([width])])
+
+
+def narrowed(data: bytes) -> int:
+    """The bytes at the end of what `narrow` has written that are not one for each number."""
+    return data[-1] * int.from_bytes(data[-5:-1], "little") + 5
+
+
+def widen(data: bytes, at: int = 0) -> np.ndarray:
+    end = len(data) - narrowed(data)
+    out = np.frombuffer(data, np.uint8, end - at, at).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[end:-5], f"u{data[-1]}")
+    return out
+
+
 class Chunk:
-    """Distinct words and (word, context) pairs of a block, ordered by the words' partition."""
+    """Distinct words and (word, context) pairs of a block, ordered by the words' partition.
+
+    contexts: a book, by which every previous word is a context; or a number of classes of previous words.
+    """
 
-    def __init__(self, texts: list[str | None], parts: int, contexts: int) -> None:
+    def __init__(self, texts: list[str | None], parts: int, contexts: int | Book) -> None:
         self.contexts = contexts
         each = [token_hashes(t) for t in texts]
         self.lengths = np.array([len(x) for x in each], np.int64)
@@ -70,52 +166,62 @@ class Chunk:
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = START
-        context = (before % np.uint64(contexts)).astype(np.int64)
+        self.names, context = np.unique(before % np.uint64(contexts) if isinstance(contexts, int) else before, return_inverse=True)
         words, which = np.unique(tokens, return_inverse=True)
         part = ((words >> np.uint64(10)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         self.words, self.part, self.word_of = words[order], part[order], place[which]
-        self.pairs, self.pair_of = np.unique(self.word_of * contexts + context, return_inverse=True)
+        self.pairs, self.pair_of = np.unique(self.word_of * len(self.names) + context, return_inverse=True)
 
     def requests(self, trained: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        counts = np.bincount(self.pair_of, np.repeat(trained, self.lengths).astype(np.float64), len(self.pairs)).astype(np.uint32)
-        word, context = self.pairs // self.contexts, (self.pairs % self.contexts).astype(number_type(self.contexts))
+        counts = np.bincount(self.pair_of, np.repeat(trained, self.lengths).astype(np.float64), len(self.pairs)).astype(np.int64)
+        word, context = self.pairs // len(self.names), self.names[self.pairs % len(self.names)]
         per_word = np.bincount(word, minlength=len(self.words)).astype(np.uint32)
         edges = np.flatnonzero(np.concatenate([[True], self.part[1:] != self.part[:-1], [True]]))
         pair_edges = np.searchsorted(word, edges)
+        short = None if isinstance(self.contexts, int) else self.contexts.short(self.names)[self.pairs % len(self.names)]
         for a, b, x, y in zip(edges[:-1], edges[1:], pair_edges[:-1], pair_edges[1:], strict=True):
-            yield int(self.part[a]), b"".join([np.array([b - a, y - x], np.int64).tobytes(), self.words[a:b].tobytes(), per_word[a:b].tobytes(), context[x:y].tobytes(), counts[x:y].tobytes()])
+            held = pack_contexts(context[x:y], self.contexts) if short is None else self.contexts.pack(context[x:y], short[x:y])
+            yield int(self.part[a]), b"".join([np.array([b - a, y - x], np.int64).tobytes(), self.words[a:b].tobytes(), per_word[a:b].tobytes(), held, narrow(counts[x:y])])
 
 
-def unpack(data: bytes, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack(data: bytes, contexts: int | Book) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, pairs of each word, contexts, counts."""
-    n, m = np.frombuffer(data, np.int64, 2)
+    n, m = (int(x) for x in np.frombuffer(data, np.int64, 2))
     at = 16
     words = np.frombuffer(data, np.uint64, n, at)
     per_word = np.frombuffer(data, np.uint32, n, at := at + 8 * n)
-    context = np.frombuffer(data, number_type(contexts), m, at := at + 4 * n)
-    at += context.nbytes
-    counts = np.frombuffer(data, np.uint32, m, at) if len(data) >= at + 4 * m else np.zeros(m, np.uint32)
+    context, at = unpack_contexts(data, m, at + 4 * n, contexts)
+    counts = widen(data, at) if len(data) > at else np.zeros(m, np.int64)
     return words, per_word, context, counts
 
 
 def without_counts(data: bytes) -> bytes:
     """A request after its counts have been gathered."""
-    return data[: len(data) - 4 * int(np.frombuffer(data, np.int64, 2)[1])]
+    return data[: len(data) - narrowed(data) - int(np.frombuffer(data, np.int64, 2)[1])]
 
 
-def gathered(rows: list[bytes], contexts: int) -> bytes:
+def gathered(rows: list[bytes], contexts: int | Book) -> bytes:
     """The training counts of a partition's words and pairs, over all blocks."""
+    return gathered_with_rest(rows, [], contexts)[0]
+
+
+def gathered_with_rest(rows: list[bytes], rests: list[bytes], contexts: int | Book) -> tuple[bytes, bytes]:
+    """The training counts, and the contexts that blocks ask for and no pair in training has (8 bytes each; also of `rests`)."""
     parts = [unpack(r, contexts) for r in rows]
     words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    code = np.repeat(which, np.concatenate([p[1] for p in parts])) * contexts + np.concatenate([p[2] for p in parts]).astype(np.int64)
+    names, context = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    code = np.repeat(which, np.concatenate([p[1] for p in parts])) * max(1, len(names)) + context
     counts = np.concatenate([p[3] for p in parts])
     pairs, back = np.unique(code[counts > 0], return_inverse=True)
-    total = np.bincount(back, counts[counts > 0], len(pairs)).astype(np.uint32)
-    held, per_word = np.unique(pairs // contexts, return_counts=True)
-    return b"".join([np.array([len(held), len(pairs)], np.int64).tobytes(), words[held].tobytes(), per_word.astype(np.uint32).tobytes(), (pairs % contexts).astype(number_type(contexts)).tobytes(), total.tobytes()])
+    total = np.bincount(back, counts[counts > 0], len(pairs)).astype(np.int64)
+    held, per_word = np.unique(pairs // max(1, len(names)), return_counts=True)
+    context = pairs % max(1, len(names))
+    model = b"".join([np.array([len(held), len(pairs)], np.int64).tobytes(), words[held].tobytes(), per_word.astype(np.uint32).tobytes(), pack_contexts(names[context], contexts), narrow(total)])
+    asked = np.concatenate([names.astype(np.uint64), *(np.frombuffer(r, np.uint64) for r in rests)])
+    return model, np.setdiff1d(asked, names[np.unique(context)].astype(np.uint64)).tobytes()
 
 
 _STIRLING: dict[float, np.ndarray] = {}
@@ -175,17 +281,40 @@ def seat(customers: np.ndarray, others: np.ndarray, above: np.ndarray, beneath:
 
 
 class Partition:
-    """The restaurants' dishes of one partition of the vocabulary."""
+    """The restaurants' dishes of one partition of the vocabulary.
 
-    def __init__(self, number: int, data: bytes, contexts: int) -> None:
+    By a book, contexts are places in `names`, all that the partition's blocks ask for: those of dishes and `rest`. By
+    classes they are the classes themselves.
+    """
+
+    def __init__(self, number: int, data: bytes, contexts: int | Book, rest: bytes = b"") -> None:
         self.number, self.contexts = number, contexts
-        self.words, per_word, self.context, self.counts = unpack(data, contexts)
-        self.context, self.counts = self.context.astype(np.int64), self.counts.astype(np.int64)
+        self.words, per_word, named, self.counts = unpack(data, contexts)
+        self.names = None if isinstance(contexts, int) else np.unique(np.concatenate([named, np.frombuffer(rest, np.uint64)]))
+        self.n_contexts, self.context = contexts if self.names is None else len(self.names), self.places(named)
         self.word = np.repeat(np.arange(len(self.words)), per_word)
         self.total = np.bincount(self.word, self.counts, len(self.words)).astype(np.int64)
         self.tables = np.maximum(1, np.sqrt(self.counts)).astype(np.int64)  # nearer to where sweeps lead than one table each
         self.parent_tables = np.ones(len(self.words), np.int64)
 
+    def places(self, named: np.ndarray) -> np.ndarray:
+        return (named if self.names is None else np.searchsorted(self.names, named)).astype(np.int64)
+
+    def of_context(self, numbers: np.ndarray) -> np.ndarray:
+        """Sums of the dishes' numbers by context."""
+        return np.bincount(self.context, numbers, self.n_contexts).astype(np.int64)
+
+    def by_owner(self, owners: int) -> list[tuple[int, int, int]]:
+        """Owners of contexts, and the first and last place of theirs."""
+        owner = ((self.names >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(1, np.int64)
+        return [(int(owner[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def single(self) -> list[int]:
+        """Totals over all dishes, as `Model.ONE` names them."""
+        found = (self.parent_tables.sum(), self.tables.sum(), self.counts.sum(), len(self.words), (self.total == 1).sum(), (self.total == 2).sum(), (self.counts == 1).sum(), (self.counts == 2).sum())
+        return [int(x) for x in found]
+
     def customers(self) -> np.ndarray:
         return np.bincount(self.word, self.tables, len(self.words))
 
@@ -209,12 +338,12 @@ class Partition:
 
     def answer(self, data: bytes, states: list[tuple[dict, np.ndarray, np.ndarray]]) -> bytes:
         """Of a block's request: training counts of its words, log10 of the averaged probability of its pairs."""
-        words, per_word, context, _ = unpack(data, self.contexts)
+        words, per_word, named, _ = unpack(data, self.contexts)
         at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
         known = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
-        word, context = np.repeat(at, per_word), context.astype(np.int64)
-        code = self.word * self.contexts + self.context
-        want = word * self.contexts + context
+        word, context = np.repeat(at, per_word), self.places(named)
+        code = self.word * self.n_contexts + self.context
+        want = word * self.n_contexts + context
         pair = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
         seen = np.repeat(known, per_word) & (code[pair] == want if len(code) else False)
         total = np.zeros(len(want))
@@ -230,98 +359,189 @@ class Partition:
         return np.array([len(c), len(want)], np.int64).tobytes() + c.tobytes() + np.log10(total / len(states)).astype(np.float32).tobytes()
 
 
-def summed(packed: DataFrame, contexts: int) -> tuple[DataFrame, DataFrame]:
-    """part, model; part, model, requests: what all slices of a partition (part, slice, model, requests) have counted.
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """The rows as a table in buckets of a key, by which they are dealt out already: it meets other rows and stays where it is."""
+    spark, name = df.sparkSession, f"pitman_yor_{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
-    Partitions of one slice stay as they are. The others are at most one for each `slice_bytes` of requests, and only
-    their models and requests are shuffled.
+
+def summed(seats: DataFrame, contexts: int | Book, most_buckets: int) -> tuple[list[int], DataFrame | None]:
+    """Partitions of several slices, and home, part, model, rest of what all slices of such a partition have counted.
+
+    They are at most one slice for each `slice_bytes` of requests, and only models and contexts are shuffled.
     """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "slice": [int(pdf["slice"].iloc[0])], "model": [gathered(pdf["model"].tolist(), contexts)]})
+        model, rest = gathered_with_rest(pdf["model"].tolist(), pdf["rest"].tolist(), contexts)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "slice": [int(pdf["slice"].iloc[0])], "model": [model], "rest": [rest]})
 
-    cut = {r["part"]: r["most"] for r in packed.groupBy("part").agg(F.count("*").alias("n"), F.max("slice").alias("most")).filter("n > 1").collect()}
-    split = F.col("part").isin(list(cut))
-    whole, sliced = packed.filter(~split), packed.filter(split)
-    sums, most = sliced.select("part", "slice", "model"), max(cut.values(), default=0)
+    cut = {r["part"]: r["most"] for r in seats.groupBy("part").agg(F.count("*").alias("n"), F.max("slice").alias("most")).filter("n > 1 or most > 0").collect()}
+    if not cut:
+        return [], None
+    sums, most = seats.filter(F.col("part").isin(list(cut))).select("part", "slice", "model", "rest"), max(cut.values())
     while most > 0:
         most //= 16
-        sums = sums.withColumn("slice", F.floor(F.col("slice") / 16).cast("int")).groupBy("part", "slice").applyInPandas(add, "part int, slice int, model binary")
-    sums = materialize(sums.select("part", "model"), "pitman-yor-sums", compression="zstd")
-    copies = sliced.select("part", "slice").join(sums, "part")
-    asked = copies.join(sliced.select("part", "slice", "requests"), ["part", "slice"]).select("part", "model", "requests")
-    return whole.select("part", "model").unionByName(sums), whole.select("part", "model", "requests").unionByName(asked)
+        sums = sums.withColumn("slice", F.floor(F.col("slice") / 16).cast("int")).groupBy("part", "slice").applyInPandas(add, "part int, slice int, model binary, rest binary")
+    homes = sums.select(F.col("part").cast("long").alias("home"), "part", "model", "rest")
+    buckets = min(len(cut), most_buckets)
+    return list(cut), bucketed(homes.repartition(buckets, "home"), "sums", "home", buckets)
+
+
+def totals_of(names: list[bytes], numbers: list[bytes], book: Book) -> list[bytes]:
+    """Of an owner: partitions' numbers of their contexts, each with the total over all partitions in its place."""
+    each = [widen(x) for x in numbers]
+    _, which = np.unique(np.concatenate([book.unpack(n, len(x))[0] for n, x in zip(names, each, strict=True)]), return_inverse=True)
+    total = np.bincount(which, np.concatenate(each)).astype(np.int64)[which]
+    return [narrow(x) for x in np.split(total, np.cumsum([len(x) for x in each])[:-1])]
 
 
 class Model:
-    """Partitions, a table of theirs with their requests, and the restaurants' totals after each sweep (fixed size)."""
+    """Partitions at their homes, what owners know of contexts, and the laws and seating after each sweep.
+
+    seats: home, part, model, rest, requests. A home is a partition, or one of its slices; where it is cut, `sums` has what
+    all slices have counted. owned: owner, home, and a partition's contexts of this owner with their customers and tables.
+    Owners are ranges of hashes, and so are contexts in the order of a partition's names.
+    """
 
-    def __init__(self, parts: DataFrame, asked: DataFrame, contexts: int, unknown: float, theta: float) -> None:
-        self.parts, self.asked, self.contexts, self.laws = parts, asked, contexts, []
-        first, c, t = self._totals(0)
-        one = lambda kind: float(first.get(kind, 0))
+    ONE = ("T0", "C0", "tokens", "V", "word1", "word2", "pair1", "pair2")
+
+    def __init__(self, seats: DataFrame, contexts: Book, owners: int, unknown: float, theta: float, most_buckets: int = 50_000) -> None:
+        self.seats, self.contexts, self.owners, self.sweeps = seats, contexts, owners, {}
+        self.cut, sums = summed(seats, contexts, most_buckets)
+        self.sums, whole = sums, seats.filter(~F.col("part").isin(self.cut)).select("home", "part", "model", "rest")
+        self.places = [whole, sums] if self.cut else [whole]
+        buckets = min(owners, most_buckets)
+        self.owned = bucketed(self._started().repartition(buckets, "owner"), "owned", "owner", buckets)
+        one = self._singles(self.owned)
         discount = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-        self.tokens, self.types = int(c.sum()), int(one("V"))
-        fixed = {"theta0": theta, "theta1": theta, "d0": discount(one("word1"), one("word2")), "d1": discount(one("pair1"), one("pair2")), "c": c, "unknown": unknown, "known": (1 - unknown) / max(1, self.types)}
+        self.tokens, self.types = one["tokens"], one["V"]
+        fixed = {"theta0": theta, "theta1": theta, "d0": discount(one["word1"], one["word2"]), "d1": discount(one["pair1"], one["pair2"]), "unknown": unknown, "known": (1 - unknown) / max(1, self.types)}
         if not self.types:
             fixed["unknown"] = 1.0
-        self.laws = [fixed | {"t": t, "T0": one("T0"), "C0": t.sum()}]
+        self.laws = [fixed | {"T0": float(one["T0"]), "C0": float(one["C0"])}]
         for k in range(1, BURN_IN + SAMPLES + 1):
-            found, _, t = self._totals(k)
-            self.laws.append(fixed | {"t": t, "T0": float(found.get("T0", 0)), "C0": t.sum()})
+            self.sweeps[k] = materialize(self._swept(k), "pitman-yor-sweep", compression="zstd")
+            one = self._singles(self.sweeps[k])
+            self.laws.append(fixed | {"T0": float(one["T0"]), "C0": float(one["C0"])})
 
-    def _totals(self, sweeps: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-        """Single totals, and the customers and tables of each context, after so many sweeps."""
-        laws, contexts = self.laws, self.contexts
+    def _singles(self, rows: DataFrame) -> dict[str, int]:
+        found = rows.filter("owner = -1").agg(*(F.sum(F.col("one")[i]).alias(k) for i, k in enumerate(self.ONE))).first()
+        return {k: int(found[k] or 0) for k in self.ONE}
 
-        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c, t, one = np.zeros(contexts), np.zeros(contexts), dict.fromkeys(("T0", "V", "word1", "word2", "pair1", "pair2"), 0)
-            for pdf in frames:
-                for number, data in zip(pdf["part"], pdf["model"], strict=True):
-                    p = Partition(number, data, contexts)
-                    for k in range(1, sweeps + 1):
-                        p.sweep(laws[k - 1], k)
-                    c += np.bincount(p.context, p.counts, contexts)
-                    t += np.bincount(p.context, p.tables, contexts)
-                    for kind, n in (("T0", p.parent_tables.sum()), ("V", len(p.words)), ("word1", (p.total == 1).sum()), ("word2", (p.total == 2).sum()), ("pair1", (p.counts == 1).sum()), ("pair2", (p.counts == 2).sum())):
-                        one[kind] += int(n)
-            at = np.flatnonzero(c)
-            yield pd.DataFrame({"kind": "u", "u": at, "c": c[at].astype(np.int64), "t": t[at].astype(np.int64)})
-            yield pd.DataFrame({"kind": list(one), "u": -1, "c": list(one.values()), "t": 0})
-
-        totals = self.parts.mapInPandas(count, "kind string, u long, c long, t long").groupBy("kind", "u").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-        rows, c, t = totals.toPandas(), np.zeros(contexts), np.zeros(contexts)
-        of_context = rows[rows["kind"] == "u"]
-        c[of_context["u"].to_numpy(np.int64)], t[of_context["u"].to_numpy(np.int64)] = of_context["c"].to_numpy(float), of_context["t"].to_numpy(float)
-        single = rows[rows["kind"] != "u"]
-        return dict(zip(single["kind"], single["c"], strict=True)), c, t
+    def _started(self) -> DataFrame:
+        """Each partition's contexts by owner, and its single totals (owner -1), before any sweep."""
+        book, owners = self.contexts, self.owners
 
-    def answers(self) -> DataFrame:
-        laws, contexts = self.laws, self.contexts
-
-        def reply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                for number, data, requests in zip(pdf["part"], pdf["model"], pdf["requests"], strict=True):
-                    p, states = Partition(number, data, contexts), []
-                    for k in range(1, BURN_IN + SAMPLES + 1):
-                        p.sweep(laws[k - 1], k)
-                        if k > BURN_IN:
-                            states.append((laws[k], p.tables, p.parent(laws[k])))
-                    for r in requests:
-                        yield pd.DataFrame({"chunk": [r["chunk"]], "part": [number], "data": [p.answer(r["data"], states)]})
+                for home, part, data, rest in zip(pdf["home"], pdf["part"], pdf["model"], pdf["rest"], strict=True):
+                    p = Partition(part, data, book, rest)
+                    c, t = p.of_context(p.counts), p.of_context(p.tables)
+                    rows = [(home, o, book.pack(p.names[a:b]), narrow(c[a:b]), narrow(t[a:b]), None) for o, a, b in p.by_owner(owners)]
+                    yield pd.DataFrame([*rows, (home, -1, None, None, None, p.single())], columns=["home", "owner", "names", "c", "t", "one"])
+
+        shape = "home long, owner int, names binary, c binary, t binary, one array<long>"
+        rows = [x.mapInPandas(start, shape) for x in self.places]
+        return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+
+    def _totals(self, of: str, k: int = 0) -> DataFrame:
+        """home, what, owner, data: totals of the contexts that each partition has with an owner; c, or t after k sweeps."""
+        book, what = self.contexts, f"{of}{k}"
+
+        def answer(held: pd.DataFrame, numbers: pd.DataFrame) -> pd.DataFrame:
+            data = totals_of(held["names"].tolist(), numbers[of].tolist(), book) if len(held) else []
+            return pd.DataFrame({"home": held["home"], "what": what, "owner": held["owner"], "data": data})
+
+        def first(held: pd.DataFrame) -> pd.DataFrame:
+            return answer(held, held)
+
+        def later(held: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+            held, sent = held.sort_values("home", ignore_index=True), sent.sort_values("home", ignore_index=True)
+            assert held["home"].equals(sent["home"]), "each partition has sent its tables"
+            return answer(held, sent)
+
+        shape, owned = "home long, what string, owner int, data binary", self.owned.filter("owner >= 0")
+        if not k:
+            return owned.select("owner", "home", "names", of).groupBy("owner").applyInPandas(first, shape)
+        sent = self.sweeps[k].filter("owner >= 0").select("owner", "home", of)
+        return owned.select("owner", "home", "names").groupBy("owner").cogroup(sent.groupBy("owner")).applyInPandas(later, shape)
+
+    def _seating(self, k: int) -> DataFrame:
+        """home, what, owner, data: the tables and the parent's tables after k sweeps."""
+        rows = self.sweeps[k].filter("owner = -1")
+        kept = lambda column: rows.select("home", F.lit(f"{column}{k}").alias("what"), "owner", F.col(column).alias("data"))
+        return kept("t_of_dish").unionByName(kept("parents"))
+
+    def _swept(self, k: int) -> DataFrame:
+        """A sweep: each partition's tables by owner, its seating and single totals (owner -1)."""
+        book, owners, law = self.contexts, self.owners, self.laws[k - 1]
+
+        def sweep(seat: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            home, p, told = int(seat["home"].iloc[0]), Partition(int(seat["part"].iloc[0]), seat["model"].iloc[0], book, seat["rest"].iloc[0]), Told(told)
+            if k > 1:
+                p.tables, p.parent_tables = told[f"t_of_dish{k - 1}"], told[f"parents{k - 1}"]
+            p.sweep(law | {"t": told[f"t{k - 1}"]}, k)
+            t = p.of_context(p.tables)
+            rows = [(home, o, narrow(t[a:b]), None, None, None) for o, a, b in p.by_owner(owners)]
+            return pd.DataFrame([*rows, (home, -1, None, narrow(p.tables), narrow(p.parent_tables), p.single())], columns=["home", "owner", "t", "t_of_dish", "parents", "one"])
+
+        told = self._totals("t", k - 1)
+        if k > 1:
+            told = told.unionByName(self._seating(k - 1))
+        shape = "home long, owner int, t binary, t_of_dish binary, parents binary, one array<long>"
+        here = [(self.places[0], told)] if not self.cut else [(self.places[0], told.filter(~F.col("home").isin(self.cut))), (self.places[1], told.filter(F.col("home").isin(self.cut)))]
+        rows = [seats.groupBy("home").cogroup(t.groupBy("home")).applyInPandas(sweep, shape) for seats, t in here]
+        return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
 
-        return self.asked.mapInPandas(reply, "chunk long, part int, data binary")
+    def answers(self) -> DataFrame:
+        book, laws, states = self.contexts, self.laws, range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
+
+        def reply(seat: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            told, seat = Told(told), seat.iloc[0]
+            model, rest = (told.raw.get(f"{k}0", seat[k]) for k in ("model", "rest"))
+            p, held = Partition(int(seat["part"]), model, book, rest), []
+            for k in states:
+                p.tables, p.parent_tables = told[f"t_of_dish{k}"], told[f"parents{k}"]
+                law = laws[k] | {"t": told[f"t{k}"], "c": told["c0"]}
+                held.append((law, p.tables, p.parent(law)))
+            rows = [(r["chunk"], p.number, p.answer(r["data"], held)) for r in seat["requests"]]
+            return pd.DataFrame(rows, columns=["chunk", "part", "data"])
+
+        told = self._totals("c")
+        for k in states:
+            told = told.unionByName(self._totals("t", k)).unionByName(self._seating(k))
+        if self.cut:
+            for k in ("model", "rest"):
+                told = told.unionByName(self.sums.select("home", F.lit(f"{k}0").alias("what"), F.lit(-1).alias("owner"), F.col(k).alias("data")))
+            slices = self.seats.filter(F.col("part").isin(self.cut)).select(F.col("part").cast("long").alias("whole"), F.col("home").alias("slice_home"))
+            copies = told.join(slices, F.col("home") == F.col("whole")).select(F.col("slice_home").alias("home"), "what", "owner", "data")
+            told = told.filter(~F.col("home").isin(self.cut)).unionByName(copies)
+        seats = self.seats.select("home", "part", "model", "rest", "requests")
+        return seats.groupBy("home").cogroup(told.groupBy("home")).applyInPandas(reply, "chunk long, part int, data binary")
+
+
+class Told:
+    """What a partition is told: numbers by what they are, in the order of the owners they come from."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("owner")
+        self.numbers = {what: of["data"].tolist() for what, of in rows.groupby("what", sort=False)}
+        self.raw = {what: data[0] for what, data in self.numbers.items()}
+
+    def __getitem__(self, what: str) -> np.ndarray:
+        return np.concatenate([widen(x) for x in self.numbers[what]])
 
 
 def score(
     docs: DataFrame, held_out_of: int = 7, held_out: int = 2, unknown: float = 0.5, theta: float = 1.0, chunk_bytes: int = 12 << 20, part_bytes: int = 8 << 20,
-    slice_bytes: int = 16 << 20, context_bytes: int = 1 << 18, most_contexts: int = 1 << 20, most_buckets: int = 50_000,
+    slice_bytes: int = 16 << 20, context_bytes: int = 1 << 12, most_contexts: int = 1 << 16, most_buckets: int = 50_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (10 to the power of -score / n_tokens)."""
     spark = docs.sparkSession
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     chunks, parts = max(1, -(-volume // chunk_bytes)), max(8, -(-volume // part_bytes))
-    contexts, buckets = n_contexts(volume, context_bytes, most_contexts), min(chunks, most_buckets)
+    contexts, buckets = frequent(docs, volume, context_bytes, most_contexts), min(chunks, most_buckets)
     name = f"pitman_yor_{uuid.uuid4().hex}"
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out_of
 
@@ -337,7 +557,7 @@ def score(
     # Blocks are runs of rows of one task, so that each task writes the files of its own few blocks only.
     block = F.shiftleft(F.spark_partition_id().cast("long"), 32) + nth_block.asNondeterministic()(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
     rows = docs.select(block.alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(remainder == held_out, F.lit(False)).alias("held_out"), "text")
-    rows.write.bucketBy(buckets, "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    rows.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     held = spark.table(name)
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -347,15 +567,18 @@ def score(
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["chunk"].tolist(), pdf["data"], strict=True))
         asked = [{"chunk": c, "data": without_counts(d)} for c, d in rows]
-        part, piece = (int(pdf[k].iloc[0]) for k in ("part", "slice"))
-        return pd.DataFrame({"part": [part], "slice": [piece], "model": [gathered([d for _, d in rows], contexts)], "requests": [asked]})
+        home, part, piece = (int(pdf[k].iloc[0]) for k in ("home", "part", "slice"))
+        model, rest = gathered_with_rest([d for _, d in rows], [], contexts)
+        return pd.DataFrame({"home": [home], "part": [part], "slice": [piece], "model": [model], "rest": [rest], "requests": [asked]})
 
     # A block takes its own request for that of every block, and so has the slices that these would fill to choose from.
     slices = F.greatest(F.lit(1), F.ceil(F.octet_length("data") * F.lit(float(chunks)) / slice_bytes))
     asked = held.groupBy("chunk").applyInPandas(ask, "part int, chunk long, data binary").withColumn("slice", F.pmod(F.xxhash64("chunk"), slices).cast("int"))
-    shape = "part int, slice int, model binary, requests array<struct<chunk:bigint,data:binary>>"
-    packed = materialize(asked.groupBy("part", "slice").applyInPandas(gather, shape), "pitman-yor-seats", compression="zstd")
-    model = Model(*summed(packed, contexts), contexts, unknown, theta)
+    homes = min(parts, most_buckets)
+    dealt = asked.withColumn("home", F.col("part") + F.lit(parts).cast("long") * F.col("slice")).repartition(homes, "home")
+    shape = "home long, part int, slice int, model binary, rest binary, requests array<struct<chunk:bigint,data:binary>>"
+    seats = bucketed(dealt.groupBy("home").applyInPandas(gather, shape), "seats", "home", homes)
+    model = Model(seats, contexts, max(8, parts // PARTS_OF_OWNER), unknown, theta, most_buckets)
     tokens, spread = model.tokens, np.log10(model.tokens + model.types + 1)
 
     def total(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from terrane.llm import queries
@@ -164,6 +165,77 @@ def test_pitman_yor_messages(contexts):
     assert all((x == y).all() for x, y in zip(asked[:3], unpack(without_counts(data), contexts)[:3], strict=True))
 
 
+@pytest.mark.parametrize("numbers", [[], [0, 1, 254], [255, 3, 256, 1 << 31], [7, 1 << 40, 255]])
+def test_pitman_yor_numbers_are_packed_whole(numbers):
+    from terrane.llm.pitman_yor import narrow, widen
+
+    assert widen(b"before" + narrow(np.array(numbers, np.int64)), 6).tolist() == numbers
+
+
+def test_pitman_yor_no_two_contexts_are_merged(spark):
+    """Scores do not depend on how many contexts have short names, also with more contexts than that and than any old cap of classes."""
+    from terrane.llm.pitman_yor import score
+
+    docs = spark.createDataFrame([(i, f"left{i} alpha{i % 3} right{i} beta{i % 2}") for i in range(700)], "doc_id long, text string")
+    few, some, many = (sorted(map(str, score(docs, context_bytes=b, most_contexts=n, slice_bytes=s).collect())) for b, n, s in ((1 << 12, 2, 1 << 30), (1 << 12, 1 << 16, 1 << 30), (1, 700, 2000)))
+    assert few == some == many and len(few) == 700
+
+
+def test_pitman_yor_tells_contexts_of_one_class_apart(spark):
+    """Two previous words whose hashes agree modulo 2^20 keep their own followers."""
+    from terrane.llm.pitman_yor import score
+
+    seen, n = {}, 0
+    while (key := xxhash.xxh64_intdigest(f"w{n}".encode()) % (1 << 20)) not in seen:
+        seen[key] = n
+        n += 1
+    one, other = f"w{seen[key]}", f"w{n}"
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = [i for i in range(3000, 3600) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, f"{one} north" if i % 2 else f"{other} south") for i in train] + [(held[0], f"{one} north"), (held[1], f"{one} south")]
+    got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] - got[held[1]] > 1.5, "one of them is hundreds of times likelier after this word"
+
+
+def test_pitman_yor_tables_of_totals_equal_a_plain_loop(spark):
+    """Scores through owners, sweeps and homes against the same partitions in one process, with all totals in dictionaries."""
+    from terrane.llm.pitman_yor import BURN_IN, SAMPLES, Book, Chunk, Partition, gathered_with_rest, score
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    ids, texts, book = [i for i, _ in docs], [t for _, t in docs], Book(np.empty(0, np.uint64))
+    chunk = Chunk(texts, 8, book)
+    asked = dict(chunk.requests(np.array([zlib.crc32(str(i).encode()) % 7 != 2 for i in ids])))
+    parts = [Partition(k, *(lambda x: (x[0], book, x[1]))(gathered_with_rest([d], [], book))) for k, d in sorted(asked.items())]
+
+    def totals(numbers):
+        out = Counter()
+        for p in parts:
+            for u, n in zip(p.names[p.context].tolist(), getattr(p, numbers).tolist(), strict=True):
+                out[u] += n
+        return out
+
+    share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b)))
+    count = lambda of, n: sum(int((getattr(p, of) == n).sum()) for p in parts)
+    c, known = totals("counts"), 0.5 / sum(len(p.words) for p in parts)
+    fixed = {"theta0": 1.0, "theta1": 1.0, "unknown": 0.5, "known": known, "d0": share(count("total", 1), count("total", 2)), "d1": share(count("counts", 1), count("counts", 2))}
+    states = {p.number: [] for p in parts}
+    for k in range(BURN_IN + SAMPLES + 1):
+        t = totals("tables")
+        law = fixed | {"T0": float(sum(p.parent_tables.sum() for p in parts)), "C0": float(sum(t.values()))}
+        for p in parts:
+            own = law | {"t": np.array([t[u] for u in p.names.tolist()]), "c": np.array([c[u] for u in p.names.tolist()])}
+            if k > BURN_IN:
+                states[p.number].append((own, p.tables, p.parent(own)))
+            p.sweep(own, k + 1)
+    logs = []
+    for p in parts:
+        n, m = np.frombuffer(p.answer(asked[p.number], states[p.number]), np.int64, 2)
+        logs.append(np.frombuffer(p.answer(asked[p.number], states[p.number]), np.float32, m, 16 + 8 * n))
+    want = np.add.reduceat(np.concatenate(logs).astype(float)[chunk.pair_of], np.concatenate([[0], np.cumsum(chunk.lengths)[:-1]]))
+    got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=5000).collect()}
+    assert got == pytest.approx(dict(zip(ids, want.tolist(), strict=True)), rel=1e-6)
+
+
 def test_simhash(spark, folder):
     docs = rows(spark, folder, "documents", "doc_id", "text")
     got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in result(spark, folder, "op3_simhash"))
