@@ -111,7 +111,7 @@ def frequent(docs: DataFrame, volume: int, context_bytes: int, most: int) -> Boo
             for text in batch.column(0):
                 waiting.append(token_hashes(text.as_py()))
                 n += len(waiting[-1])
-                if n >= HELD_WORDS:
+                if n >= 2 * HELD_WORDS:
                     merge()
         merge()
         top = np.argsort(-counts, kind="stable")[:wanted]
@@ -163,11 +163,13 @@ class Chunk:
         each = [token_hashes(t) for t in texts]
         self.lengths = np.array([len(x) for x in each], np.int64)
         tokens = np.concatenate(each)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = START
-        self.names, context = np.unique(before % np.uint64(contexts) if isinstance(contexts, int) else before, return_inverse=True)
         words, which = np.unique(tokens, return_inverse=True)
+        self.names, context = np.append(words, np.uint64(START)), np.empty_like(which)
+        context[1:] = which[:-1]
+        context[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = len(words)
+        if isinstance(contexts, int):
+            self.names, of_class = np.unique(self.names % np.uint64(contexts), return_inverse=True)
+            context = of_class[context]
         part = ((words >> np.uint64(10)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         place = np.empty(len(words), np.int64)
@@ -293,6 +295,7 @@ class Partition:
         self.names = None if isinstance(contexts, int) else np.unique(np.concatenate([named, np.frombuffer(rest, np.uint64)]))
         self.n_contexts, self.context = contexts if self.names is None else len(self.names), self.places(named)
         self.word = np.repeat(np.arange(len(self.words)), per_word)
+        self.code = self.word * self.n_contexts + self.context
         self.total = np.bincount(self.word, self.counts, len(self.words)).astype(np.int64)
         self.tables = np.maximum(1, np.sqrt(self.counts)).astype(np.int64)  # nearer to where sweeps lead than one table each
         self.parent_tables = np.ones(len(self.words), np.int64)
@@ -342,8 +345,7 @@ class Partition:
         at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
         known = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
         word, context = np.repeat(at, per_word), self.places(named)
-        code = self.word * self.n_contexts + self.context
-        want = word * self.n_contexts + context
+        code, want = self.code, word * self.n_contexts + context
         pair = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
         seen = np.repeat(known, per_word) & (code[pair] == want if len(code) else False)
         total = np.zeros(len(want))
