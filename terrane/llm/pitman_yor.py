@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +43,69 @@ from pyspark.sql import functions as F
 from terrane.llm.common import materialize, shared_dir
 
 LEAST_CONTEXTS, BURN_IN, SAMPLES, EXACT = 1024, 1, 2, 512
-PARTS_OF_OWNER, HELD_WORDS = 8, 1 << 20
+PARTS_OF_OWNER, HELD_WORDS, SPLIT_BYTES, HASHED = 8, 1 << 20, 4 << 20, 1 << 14
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different tokens in the order of their hashes, each token's place among these, and how many each text has: words and one end.
+
+    Arrow splits the texts and numbers their different words, so that a word is hashed once however often it occurs. What
+    it needs for that goes as soon as it can, and back to the system, since workers live longer than this call.
+    """
+    texts = pc.ascii_lower(pc.fill_null(texts, ""))
+    texts = pc.ascii_split_whitespace(texts)
+    lengths = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = texts.flatten()
+    texts = texts.dictionary_encode()
+    named, number = texts.dictionary.view(pa.large_binary()), texts.indices.to_numpy()
+    del texts
+    hashes = np.empty(len(named) + 1, np.uint64)
+    hashes[-1] = END
+    for k in range(0, len(named), HASHED):
+        some = named.slice(k, HASHED).to_numpy(zero_copy_only=False)
+        hashes[k : k + len(some)] = np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some))
+    if (empty := pc.index(named, pa.scalar(b"", named.type)).as_py()) >= 0:  # white space at a text's ends, and empty texts
+        none = np.flatnonzero(number == empty)
+        lengths -= np.bincount(np.searchsorted(np.cumsum(lengths), none, side="right"), minlength=len(lengths))
+        number, hashes[empty] = np.delete(number, none), END
+    lengths += 1
+    ends = np.zeros(lengths.sum(), bool)
+    ends[np.cumsum(lengths) - 1] = True
+    which = np.full(len(ends), len(named), np.int32)
+    which[~ends] = number
+    del named, number
+    pa.default_memory_pool().release_unused()
+    words, place = np.unique(hashes, return_inverse=True)
+    return words, place[which], lengths
+
+
+def encoded(texts: list[str | None]) -> pa.Array:
+    return pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """np.unique of unsigned numbers by a plain sort, which takes less time than hashing where most of them differ."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def numbered(codes: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with its inverse, of numbers from 0 and less than `below`: a plain sort, with places in the lower bits where 64 hold both."""
+    bits = len(codes).bit_length()
+    if not len(codes) or int(below).bit_length() + bits > 64:
+        return np.unique(codes, return_inverse=True)
+    keys = codes.astype(np.uint64)
+    keys <<= np.uint64(bits)
+    keys |= np.arange(len(keys), dtype=np.uint64)
+    keys.sort()
+    place = (keys & np.uint64((1 << bits) - 1)).view(np.int64)
+    keys >>= np.uint64(bits)
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    nth, back = np.cumsum(first), np.empty(len(keys), np.int64)
+    nth -= 1
+    back[place] = nth
+    return keys[first].view(np.int64), back
 
 
 def n_contexts(volume: int, context_bytes: int, most: int) -> int:
@@ -84,36 +138,80 @@ class Book:
         short = self.short(contexts) if short is None else short
         return short.tobytes() + contexts[short == self.LONG].tobytes()
 
+    def split(self, data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+        """Short names of n contexts, the hashes of those that have none, and where they end."""
+        short, at = np.frombuffer(data, np.uint16, n, at), at + 2 * n
+        long = np.frombuffer(data, np.uint64, int((short == self.LONG).sum()), at)
+        return short, long, at + long.nbytes
+
     def unpack(self, data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
         """n contexts, and where they end."""
-        short, at = np.frombuffer(data, np.uint16, n, at), at + 2 * n
+        short, hashes, at = self.split(data, n, at)
         out, long = np.empty(n, np.uint64), short == self.LONG
         out[~long] = self.words[short[~long]]
-        out[long] = np.frombuffer(data, np.uint64, int(long.sum()), at)
-        return out, at + 8 * int(long.sum())
+        out[long] = hashes
+        return out, at
+
+    def names(self, short: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+        """The different contexts among short names and hashes, in order."""
+        used = np.flatnonzero(np.bincount(short, minlength=self.LONG + 1)[: self.LONG])
+        return distinct(np.concatenate([self.words[used], *hashes]))
+
+
+class Split:
+    """Reads contexts as their short names and the hashes of those that have none."""
+
+    def __init__(self, book: Book) -> None:
+        self.book = book
+
+    def unpack(self, data: bytes, n: int, at: int = 0) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+        short, hashes, at = self.book.split(data, n, at)
+        return (short, hashes), at
+
+
+class Places:
+    """Places of contexts among names in order; a short name's place is looked up once."""
+
+    def __init__(self, names: np.ndarray, book: Book) -> None:
+        self.names, self.book, self.of_short = names, book, np.zeros(Book.LONG + 1, np.int64)
+        self.of_short[book.order] = np.searchsorted(names, book.sorted)
+
+    def find(self, short: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        out = self.of_short[short]
+        out[short == Book.LONG] = np.searchsorted(self.names, hashes)
+        return out
+
+    def unpack(self, data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+        short, hashes, at = self.book.split(data, n, at)
+        return self.find(short, hashes), at
 
 
 def frequent(docs: DataFrame, volume: int, context_bytes: int, most: int) -> Book:
     """Words with short names, roughly the most frequent ones: a task forgets rare words when it holds very many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, waiting, n = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+        words, counts, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
 
         def merge() -> None:
-            nonlocal words, counts, waiting, n
-            new, of_new = np.unique(np.concatenate([*waiting, words[:0]]), return_counts=True)
-            both, which = np.unique(np.concatenate([words, new]), return_inverse=True)
-            total = np.bincount(which, np.concatenate([counts, of_new]), len(both)).astype(np.int64)
+            nonlocal words, counts, n
+            both, which = np.unique(np.concatenate(words), return_inverse=True)
+            total = np.bincount(which, np.concatenate(counts), len(both)).astype(np.int64)
             kept = np.sort(np.argsort(-total, kind="stable")[:HELD_WORDS])
-            words, counts, waiting, n = both[kept], total[kept], [], 0
-
-        for batch in batches:  # one text at a time becomes Python's
-            for text in batch.column(0):
-                waiting.append(token_hashes(text.as_py()))
-                n += len(waiting[-1])
+            words, counts, n = [both[kept]], [total[kept]], 0
+
+        for batch in batches:  # texts of about `SPLIT_BYTES` at a time are split
+            texts = batch.column(0).cast(pa.large_string())
+            upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // SPLIT_BYTES
+            edges = np.flatnonzero(np.concatenate([[True], upto[1:] != upto[:-1], [True]])) if len(texts) else np.zeros(1, np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                new, which, _ = tokenized(texts.slice(a, b - a))
+                words.append(new)
+                counts.append(np.bincount(which, minlength=len(new)))
+                n += len(new)
                 if n >= 2 * HELD_WORDS:
                     merge()
         merge()
+        words, counts = words[0], counts[0]
         top = np.argsort(-counts, kind="stable")[:wanted]
         yield pa.RecordBatch.from_pydict({"word": words[top].astype(np.int64), "n": counts[top]})
 
@@ -126,7 +224,7 @@ def pack_contexts(values: np.ndarray, contexts: int | Book) -> bytes:
     return values.astype(number_type(contexts)).tobytes() if isinstance(contexts, int) else contexts.pack(values)
 
 
-def unpack_contexts(data: bytes, n: int, at: int, contexts: int | Book) -> tuple[np.ndarray, int]:
+def unpack_contexts(data: bytes, n: int, at: int, contexts: int | Book | Places) -> tuple[np.ndarray, int]:
     if not isinstance(contexts, int):
         return contexts.unpack(data, n, at)
     out = np.frombuffer(data, number_type(contexts), n, at)
@@ -160,10 +258,7 @@ class Chunk:
 
     def __init__(self, texts: list[str | None], parts: int, contexts: int | Book) -> None:
         self.contexts = contexts
-        each = [token_hashes(t) for t in texts]
-        self.lengths = np.array([len(x) for x in each], np.int64)
-        tokens = np.concatenate(each)
-        words, which = np.unique(tokens, return_inverse=True)
+        words, which, self.lengths = tokenized(encoded(texts))
         self.names, context = np.append(words, np.uint64(START)), np.empty_like(which)
         context[1:] = which[:-1]
         context[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = len(words)
@@ -175,7 +270,7 @@ class Chunk:
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         self.words, self.part, self.word_of = words[order], part[order], place[which]
-        self.pairs, self.pair_of = np.unique(self.word_of * len(self.names) + context, return_inverse=True)
+        self.pairs, self.pair_of = numbered(self.word_of * len(self.names) + context, len(words) * len(self.names))
 
     def requests(self, trained: np.ndarray) -> Iterator[tuple[int, bytes]]:
         counts = np.bincount(self.pair_of, np.repeat(trained, self.lengths).astype(np.float64), len(self.pairs)).astype(np.int64)
@@ -189,8 +284,8 @@ class Chunk:
             yield int(self.part[a]), b"".join([np.array([b - a, y - x], np.int64).tobytes(), self.words[a:b].tobytes(), per_word[a:b].tobytes(), held, narrow(counts[x:y])])
 
 
-def unpack(data: bytes, contexts: int | Book) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, pairs of each word, contexts, counts."""
+def unpack(data: bytes, contexts: int | Book | Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, pairs of each word, contexts (or their places), counts."""
     n, m = (int(x) for x in np.frombuffer(data, np.int64, 2))
     at = 16
     words = np.frombuffer(data, np.uint64, n, at)
@@ -212,18 +307,28 @@ def gathered(rows: list[bytes], contexts: int | Book) -> bytes:
 
 def gathered_with_rest(rows: list[bytes], rests: list[bytes], contexts: int | Book) -> tuple[bytes, bytes]:
     """The training counts, and the contexts that blocks ask for and no pair in training has (8 bytes each; also of `rests`)."""
-    parts = [unpack(r, contexts) for r in rows]
+    by_book = not isinstance(contexts, int)
+    parts = [unpack(r, Split(contexts) if by_book else contexts) for r in rows]
     words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    names, context = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-    code = np.repeat(which, np.concatenate([p[1] for p in parts])) * max(1, len(names)) + context
-    counts = np.concatenate([p[3] for p in parts])
-    pairs, back = np.unique(code[counts > 0], return_inverse=True)
+    if by_book:
+        short, hashes = (np.concatenate([p[2][k] for p in parts]) for k in (0, 1))
+        names = contexts.names(short, hashes)
+        context = Places(names, contexts).find(short, hashes)
+    else:
+        names, context = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    most = max(1, len(names))
+    code, counts = np.repeat(which, np.concatenate([p[1] for p in parts])) * most + context, np.concatenate([p[3] for p in parts])
+    pairs, back = numbered(code[counts > 0], len(words) * most)
     total = np.bincount(back, counts[counts > 0], len(pairs)).astype(np.int64)
-    held, per_word = np.unique(pairs // max(1, len(names)), return_counts=True)
-    context = pairs % max(1, len(names))
-    model = b"".join([np.array([len(held), len(pairs)], np.int64).tobytes(), words[held].tobytes(), per_word.astype(np.uint32).tobytes(), pack_contexts(names[context], contexts), narrow(total)])
-    asked = np.concatenate([names.astype(np.uint64), *(np.frombuffer(r, np.uint64) for r in rests)])
-    return model, np.setdiff1d(asked, names[np.unique(context)].astype(np.uint64)).tobytes()
+    per_word, context = np.bincount(pairs // most, minlength=len(words)), pairs % most
+    held, used = np.flatnonzero(per_word), np.bincount(context, minlength=len(names)) > 0
+    packed = contexts.pack(names[context], contexts.short(names)[context]) if by_book else pack_contexts(names[context], contexts)
+    model = b"".join([np.array([len(held), len(pairs)], np.int64).tobytes(), words[held].tobytes(), per_word[held].astype(np.uint32).tobytes(), packed, narrow(total)])
+    asked, trained = distinct(np.concatenate([names[~used].astype(np.uint64), *(np.frombuffer(r, np.uint64) for r in rests)])), names[used].astype(np.uint64)
+    at = np.searchsorted(trained, asked)
+    new = at == len(trained)
+    new[~new] = trained[at[~new]] != asked[~new]
+    return model, asked[new].tobytes()
 
 
 _STIRLING: dict[float, np.ndarray] = {}
@@ -291,18 +396,21 @@ class Partition:
 
     def __init__(self, number: int, data: bytes, contexts: int | Book, rest: bytes = b"") -> None:
         self.number, self.contexts = number, contexts
-        self.words, per_word, named, self.counts = unpack(data, contexts)
-        self.names = None if isinstance(contexts, int) else np.unique(np.concatenate([named, np.frombuffer(rest, np.uint64)]))
-        self.n_contexts, self.context = contexts if self.names is None else len(self.names), self.places(named)
+        self.names, self.read = None, contexts
+        if isinstance(contexts, int):
+            self.words, per_word, named, self.counts = unpack(data, contexts)
+            self.n_contexts, self.context = contexts, named.astype(np.int64)
+        else:
+            self.words, per_word, (short, hashes), self.counts = unpack(data, Split(contexts))
+            self.names = contexts.names(short, hashes, np.frombuffer(rest, np.uint64))
+            self.read = Places(self.names, contexts)
+            self.n_contexts, self.context = len(self.names), self.read.find(short, hashes)
         self.word = np.repeat(np.arange(len(self.words)), per_word)
         self.code = self.word * self.n_contexts + self.context
         self.total = np.bincount(self.word, self.counts, len(self.words)).astype(np.int64)
         self.tables = np.maximum(1, np.sqrt(self.counts)).astype(np.int64)  # nearer to where sweeps lead than one table each
         self.parent_tables = np.ones(len(self.words), np.int64)
 
-    def places(self, named: np.ndarray) -> np.ndarray:
-        return (named if self.names is None else np.searchsorted(self.names, named)).astype(np.int64)
-
     def of_context(self, numbers: np.ndarray) -> np.ndarray:
         """Sums of the dishes' numbers by context."""
         return np.bincount(self.context, numbers, self.n_contexts).astype(np.int64)
@@ -341,10 +449,10 @@ class Partition:
 
     def answer(self, data: bytes, states: list[tuple[dict, np.ndarray, np.ndarray]]) -> bytes:
         """Of a block's request: training counts of its words, log10 of the averaged probability of its pairs."""
-        words, per_word, named, _ = unpack(data, self.contexts)
+        words, per_word, context, _ = unpack(data, self.read)
         at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
         known = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
-        word, context = np.repeat(at, per_word), self.places(named)
+        word, context = np.repeat(at, per_word), context.astype(np.int64)
         code, want = self.code, word * self.n_contexts + context
         pair = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
         seen = np.repeat(known, per_word) & (code[pair] == want if len(code) else False)
@@ -393,8 +501,12 @@ def summed(seats: DataFrame, contexts: int | Book, most_buckets: int) -> tuple[l
 def totals_of(names: list[bytes], numbers: list[bytes], book: Book) -> list[bytes]:
     """Of an owner: partitions' numbers of their contexts, each with the total over all partitions in its place."""
     each = [widen(x) for x in numbers]
-    _, which = np.unique(np.concatenate([book.unpack(n, len(x))[0] for n, x in zip(names, each, strict=True)]), return_inverse=True)
-    total = np.bincount(which, np.concatenate(each)).astype(np.int64)[which]
+    named, of_all = [book.split(n, len(x)) for n, x in zip(names, each, strict=True)], np.concatenate(each)
+    short = np.concatenate([n[0] for n in named])
+    total = np.bincount(short, of_all, book.LONG + 1).astype(np.int64)[short]
+    long = short == book.LONG
+    _, which = np.unique(np.concatenate([n[1] for n in named]), return_inverse=True)
+    total[long] = np.bincount(which, of_all[long]).astype(np.int64)[which]
     return [narrow(x) for x in np.split(total, np.cumsum([len(x) for x in each])[:-1])]
 
 

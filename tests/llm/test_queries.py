@@ -236,6 +236,66 @@ def test_pitman_yor_tables_of_totals_equal_a_plain_loop(spark):
     assert got == pytest.approx(dict(zip(ids, want.tolist(), strict=True)), rel=1e-6)
 
 
+def hashes_one_by_one(text):
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return [xxhash.xxh64_intdigest(w) for w in words] + [xxhash.xxh64_intdigest(b" end")]
+
+
+def test_pitman_yor_tokens_of_odd_texts():
+    """Texts split at once have the tokens that each has by itself: white space at the ends, controls that are none, other letters, nulls."""
+    from terrane.llm.pitman_yor import encoded, tokenized
+
+    texts = [None, "", " ", "a", "A b", "  x\t\ny ", "\x1c q\x1fz \x85 \xa0  w", "\xc4\xd6 \xe9", "\ud800 b", "\x0b\x0c", " end", "A" * 100_000]
+    for some in (texts, ["a b a", "b"], [None], []):
+        words, which, lengths = tokenized(encoded(some))
+        want = [hashes_one_by_one(t) for t in some]
+        assert words[which].tolist() == [h for t in want for h in t] and lengths.tolist() == [len(t) for t in want]
+        assert words.tolist() == sorted({*words.tolist()}) and (not some or {*which.tolist()} == {*range(len(words))})
+
+
+def test_pitman_yor_hashes_a_word_once_for_each_block(monkeypatch):
+    """The time of a block is that of its different words where these repeat; each token had been hashed by itself."""
+    from terrane.llm import pitman_yor
+
+    calls, real = Counter(), xxhash.xxh64_intdigest
+    monkeypatch.setattr(pitman_yor.xxhash, "xxh64_intdigest", lambda word: calls.update([word]) or real(word))
+    chunk = pitman_yor.Chunk(["a b A\n" * 1000, None, " b c"] * 10, 8, pitman_yor.Book(np.empty(0, np.uint64)))
+    assert chunk.lengths.tolist() == [3001, 1, 3] * 10 and max(calls.values()) == 1 and {*calls} >= {b"a", b"b", b"c"}
+
+
+@pytest.mark.parametrize("below", [50, 1 << 40, 1 << 62])
+def test_pitman_yor_codes_are_numbered_as_by_unique(below):
+    """Also where a code and its place need over 64 bits together."""
+    from terrane.llm.pitman_yor import distinct, numbered
+
+    for n in (0, 1, 2, 5000):
+        codes = np.random.default_rng(n).integers(0, below, n) // 3 * 3
+        want = np.unique(codes, return_inverse=True)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(numbered(codes, below), want, strict=True))
+        assert (distinct(codes) == want[0]).all()
+
+
+@pytest.mark.parametrize("named", [0, 3, 40])
+def test_pitman_yor_totals_by_short_and_long_names(named):
+    """An owner's totals are those of a dictionary, however many contexts have short names, and rests hold what training lacks."""
+    from terrane.llm.pitman_yor import Book, Chunk, gathered_with_rest, narrow, totals_of, unpack, widen
+
+    rng = np.random.default_rng(6)
+    every = np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64))
+    book, held = Book(rng.permutation(every)[:named]), [every[::2], every[::3], every[:0], every[20:]]
+    numbers, want = [rng.integers(0, 999, len(x)) for x in held], Counter()
+    for names, count in zip(held, numbers, strict=True):
+        want.update(dict(zip(names.tolist(), count.tolist(), strict=True)))
+    got = totals_of([book.pack(x) for x in held], [narrow(x) for x in numbers], book)
+    assert [widen(x).tolist() for x in got] == [[want[u] for u in x.tolist()] for x in held]
+    rows = [dict(Chunk(["a b a c", "d e", "e"], 1, book).requests(np.array(t)))[0] for t in ([True, False, True], [False, True, False])]
+    whole = gathered_with_rest(rows, [], book)
+    each = [gathered_with_rest([r], [], book) for r in rows]
+    assert gathered_with_rest([m for m, _ in each], [r for _, r in each], book) == whole and whole[1] == b""
+    first = gathered_with_rest(rows[:1], [], book)
+    assert np.frombuffer(first[1], np.uint64).tolist() == [xxhash.xxh64_intdigest(b"d")] and unpack(first[0], book)[3].sum() == 7
+
+
 def test_simhash(spark, folder):
     docs = rows(spark, folder, "documents", "doc_id", "text")
     got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in result(spark, folder, "op3_simhash"))
