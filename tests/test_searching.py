@@ -80,6 +80,18 @@ def test_search_equals_brute_force(spark, tmp_path, keep, monkeypatch, block_byt
         assert pairs < len(queries) * index.blocks.count() / 4
 
 
+def test_every_cluster_has_a_centroid_of_its_own():
+    """Also where a third of the rows are in one cluster; from evenly spaced rows some clusters shared a wide cell. Copies and huge components do no harm."""
+    for seed in range(8):
+        rows = np.array([v for _, v in clustered(900, 8, np.random.default_rng(seed))])
+        centers = vector_index.centroids(rows, 55)
+        far = np.sqrt(vector_index._squares(rows, centers).min(1))
+        assert far.max() < 10 and len(centers) <= 55, "clusters are tens apart, their rows about three from the middle"
+    assert vector_index.centroids(np.ones((20, 2)), 5).tolist() == [[1.0, 1.0]]
+    assert vector_index.centroids(np.array([[2.0], [5.0]]), 2).tolist() == [[2.0], [5.0]]
+    assert np.isfinite(vector_index.seeds(np.array([[1e200], [-1e200], [0.0]]), 3)).all()
+
+
 def test_search_with_ties_copies_and_few_rows(spark, tmp_path, keep):
     """Equal distances by id; more asked for than there is; a query's own row is left out only if asked for."""
     rows = [(i, [float(i % 2), 0.0]) for i in range(40)]
