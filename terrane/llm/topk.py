@@ -1,16 +1,18 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A score is the sum of the inner products of `slices` slices of the dimensions; a query's local scores in a slice are a
-list. Vectors are packed into blocks of rows, and every block of queries meets every block of candidates once a phase.
+list. Rows are packed into rows of about PACKED bytes, which are dealt to blocks of candidates. A block's task holds its
+candidates as one matrix and reads the packed queries one after the other; queries go to every block once a phase, candidates to
+their own block only.
 
-1. Each block gathers the k best entries of each query's local list in each slice; these few are summed exactly. The
+1. Each block finds the k best entries of each query's local list in each slice; these few are summed exactly. The
    k-th best of them over all blocks is a cutoff that no answer can be under.
 2. The cutoff goes back to the queries. A candidate that reaches it must reach cutoff / slices in one slice at least,
    so each block collects the entries at or above that uniform threshold. A query does not look at a slice of a block
    where the product of its norm and the block's largest norm stays under the threshold.
 3. The scores of what was collected are resolved exactly; those at or above the cutoff are returned and ranked.
 
-Cutoffs travel with the query blocks (their number grows with the queries, so no broadcast holds them).
+Cutoffs travel with the packed queries (their number grows with the queries, so no broadcast holds them).
 
 Defined results: rows whose vec_id or vector is null, or whose vector holds null or non-finite components, take no
 part; vectors of other lengths count as padded with zeros; candidate rows that repeat each count; query rows of one
@@ -21,16 +23,19 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import materialize
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Bytes of a packed row's vectors and of a block's, both as 8 bytes a component; products that a task holds at once.
+PACKED, BLOCK_BYTES, PRODUCTS = 1 << 16, 1 << 25, 1 << 18
 
 
 def whole(vector: Column, scale: int = 256) -> Column:
@@ -46,36 +51,102 @@ def usable(frame: DataFrame, vector: str) -> DataFrame:
     return frame.filter(F.col("vec_id").isNotNull() & F.col(vector).isNotNull()).filter(fine)
 
 
-def _packed(rows: DataFrame, block: str) -> DataFrame:
-    return rows.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("rows"))
-
-
-def _matrix(rows, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors, as longs where all fit, else as Python's integers."""
-    ids = np.array([r["vec_id"] for r in rows], np.int64)
-    given = [np.asarray(r["vector"]) for r in rows]
-    small = all(not len(v) or np.abs(v).max() < 2.0**62 for v in given)
-    out = np.zeros((len(rows), width), np.int64 if small else object)
-    for row, v in zip(out, given, strict=True):
-        row[: len(v)] = v.astype(np.int64) if small else [int(x) for x in v]
-    return ids, out
+def _packed(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (vec_id, vector and some longs) as rows of bytes; vectors of short integers where all are."""
+    schema = "nth long, n int, code string, width int, ids binary, vectors binary" + "".join(f", {c} binary" for c in more)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nth = TaskContext.get().partitionId() << 33
+        for b in batches:
+            out, at = [], 0
+            widths = b["vector"].map(len).to_numpy()
+            while at < len(b):
+                width = max(1, widths[at : at + PACKED // 8].max())
+                part = b.iloc[at : at + max(1, PACKED // (8 * width))]
+                given = [np.asarray(v) for v in part["vector"]]
+                m = np.zeros((len(part), width), np.int64 if all(v.dtype.kind == "i" for v in given) else np.float64)
+                for row, v in zip(m, given, strict=True):
+                    row[: len(v)] = v
+                short = not m.size or (m.min() >= -(1 << 15) and m.max() < 1 << 15)
+                m = m.astype(np.int16) if short else m
+                out.append((nth, len(part), m.dtype.str, width, part["vec_id"].to_numpy(np.int64).tobytes(), m.tobytes(), *[part[c].to_numpy(np.int64).tobytes() for c in more]))
+                nth, at = nth + 1, at + len(part)
+            yield pd.DataFrame(out, columns=["nth", "n", "code", "width", "ids", "vectors", *more])
+
+    return rows.select("vec_id", "vector", *more).mapInPandas(pack, schema)
+
+
+class _Rows:
+    """Packed rows as one matrix of longs where all fit, else of Python's integers."""
+
+    def __init__(self, packed: list) -> None:
+        self.ids = np.concatenate([np.frombuffer(r.ids, np.int64) for r in packed])
+        given = [np.frombuffer(r.vectors, r.code).reshape(r.n, r.width) for r in packed]
+        small = all(not v.size or np.abs(v.astype(np.float64)).max() < 2.0**62 for v in given)
+        self.v = np.zeros((len(self.ids), max(v.shape[1] for v in given)), np.int64 if small else object)
+        at = 0
+        for v in given:
+            self.v[at : at + len(v), : v.shape[1]] = v.astype(np.int64) if small else [[int(x) for x in row] for row in v.tolist()]
+            at += len(v)
+        self.largest, self.cast, self.order = _largest(self.v), {}, np.argsort(self.ids, kind="stable")
+        self.sorted = self.ids[self.order]
+
+    def widened(self, width: int) -> None:
+        if width > self.v.shape[1]:
+            self.v, self.cast = np.pad(self.v, ((0, 0), (0, width - self.v.shape[1]))), {}
+
+    def part(self, a: int, b: int, kind: type) -> np.ndarray:
+        if (a, b, kind) not in self.cast:
+            self.cast[a, b, kind] = np.ascontiguousarray(self.v[:, a:b].astype(kind))
+        return self.cast[a, b, kind]
+
+    def norms(self, a: int, b: int) -> np.ndarray:
+        if (a, b) not in self.cast:
+            self.cast[a, b] = _norms(self.v[:, a:b])
+        return self.cast[a, b]
+
+    def same(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of equal ids: in asked, and here."""
+        lo, hi = np.searchsorted(self.sorted, asked, "left"), np.searchsorted(self.sorted, asked, "right")
+        i = np.repeat(np.arange(len(asked)), hi - lo)
+        return i, self.order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[i]]
 
 
 def _largest(a: np.ndarray) -> float:
     return float(np.abs(a).max()) if a.size else 0.0
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a b', through doubles or longs where they hold every sum exactly."""
-    bound = _largest(a) * _largest(b) * max(1, a.shape[1])
-    if bound < 2.0**52:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T if bound < 2.0**62 else a.astype(object) @ b.astype(object).T
-
-
-def _summed(y: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, pairs: int = 1 << 16) -> np.ndarray:
-    """Inner products of the rows i of y and j of x, pair by pair, as longs; some pairs at a time."""
-    fits, out = _largest(y) * _largest(x) * max(1, y.shape[1]) < 2.0**62, np.empty(len(i), np.int64)
+def _products(q: _Rows, x: _Rows, slices: int) -> tuple[list[tuple[int, int]], type, Callable[[int, int, int, int], np.ndarray]]:
+    """The slices, the type of their products, and the products of the queries lo to hi with all rows of x: in floats, doubles or longs where they hold every sum exactly."""
+    width = max(q.v.shape[1], x.v.shape[1])
+    q.widened(width)
+    x.widened(width)
+    cuts = np.unique(np.linspace(0, width, slices + 1).astype(int)).tolist()
+    bound = q.largest * x.largest * max(1, width)
+    kind = np.float32 if bound < 2.0**23 else np.float64 if bound < 2.0**52 else np.int64 if bound < 2.0**62 else object
+    return list(zip(cuts[:-1], cuts[1:], strict=True)), kind, lambda lo, hi, a, b: q.part(a, b, kind)[lo:hi] @ x.part(a, b, kind).T
+
+
+def _best(local: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k largest of each row (all, if fewer)."""
+    m, n = local.shape
+    if n <= k:
+        return np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
+    if local.dtype != object and n >= 32 * k:
+        of = local[:, : n // 16 * 16].reshape(m, 16, -1).max(1)  # no row's k-th largest is under the k-th largest of these
+        reach = local >= np.partition(of, of.shape[1] - k, axis=1)[:, -k, None]
+        at = np.flatnonzero(reach)
+        if len(at) <= 16 * k * m:
+            at = at[np.lexsort((-local.ravel()[at], at // n))]
+            i, j = np.divmod(at, n)
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            return i[first], j[first]
+    return np.repeat(np.arange(m), k), np.argpartition(local, n - k, axis=1)[:, -k:].ravel()
+
+
+def _summed(q: _Rows, c: _Rows, i: np.ndarray, j: np.ndarray, pairs: int = 1 << 16) -> np.ndarray:
+    """Inner products of the rows i of q and j of c, pair by pair, as longs; some pairs at a time."""
+    y, x, fits, out = q.v, c.v, q.largest * c.largest * max(1, q.v.shape[1]) < 2.0**62, np.empty(len(i), np.int64)
     for at in range(0, len(i), pairs):
         a, b = y[i[at : at + pairs]], x[j[at : at + pairs]]
         if fits:
@@ -91,68 +162,90 @@ def _norms(a: np.ndarray) -> np.ndarray:
         return np.sqrt(np.square(a.astype(np.float64)).sum(1))
 
 
+def _first(asked: _Rows, cutoff: np.ndarray, x: _Rows, k: int, slices: int) -> Iterator[pd.DataFrame]:
+    parts, kind, product = _products(asked, x, slices)
+    step = max(1, PRODUCTS // len(x.ids))
+    for lo in range(0, len(asked.ids), step):
+        hi, found = min(lo + step, len(asked.ids)), []
+        own = x.same(asked.ids[lo:hi])
+        for a, b in parts:
+            local = product(lo, hi, a, b)
+            local[own] = -(10**700) if kind is object else LEAST if kind is np.int64 else -np.inf
+            i, j = _best(local, k)
+            found.append(i * len(x.ids) + j)
+        i, j = np.divmod(np.setdiff1d(np.concatenate(found), own[0] * len(x.ids) + own[1]), len(x.ids))
+        score = _summed(asked, x, i + lo, j)
+        order = np.lexsort((-np.maximum(score, LEAST + 1), i))  # of a block, no more than k scores can be among a query's k best
+        i, score = i[order], score[order]
+        yield pd.DataFrame({"query_id": asked.ids[lo:hi][i], "score": score})[np.arange(len(i)) - np.searchsorted(i, i) < k]
+
+
+def _rest(asked: _Rows, cutoff: np.ndarray, x: _Rows, k: int, slices: int) -> Iterator[pd.DataFrame]:
+    parts, kind, product = _products(asked, x, slices)
+    step = max(1, PRODUCTS // len(x.ids))
+    uniform, every = cutoff // len(parts), cutoff == LEAST  # rounded down: a sum that reaches the cutoff has a part that reaches this
+    with np.errstate(invalid="ignore"):  # a slice is left out for the queries that no row of it can bring to the threshold, but not where a norm overflows
+        seen = [every | ~(asked.norms(a, b) * x.norms(a, b).max() * (1 + 1e-9) + 1 < uniform) for a, b in parts]
+    for lo in range(0, len(asked.ids), step):
+        hi, total = min(lo + step, len(asked.ids)), None
+        if not any(s[lo:hi].any() for s in seen):
+            continue
+        collected = np.tile(every[lo:hi, None], (1, len(x.ids)))
+        # Rounded down to a float, a threshold collects no less.
+        least, lowest = (np.nextafter(c[lo:hi].astype(kind), kind(-np.inf))[:, None] if kind in (np.float32, np.float64) else c[lo:hi, None] for c in (uniform, cutoff))
+        for (a, b), s in zip(parts, seen, strict=True):
+            local = product(lo, hi, a, b)
+            collected |= (local >= least).astype(bool) & s[lo:hi, None]
+            total = local if total is None else total + local
+        collected[x.same(asked.ids[lo:hi])] = False
+        if kind is not object:
+            collected &= total >= lowest
+        at = np.flatnonzero(collected)
+        (i, j), score = np.divmod(at, len(x.ids)), total.ravel()[at]
+        score = np.array([min(max(int(v), LEAST), MOST) for v in score], np.int64) if kind is object else score.astype(np.int64)
+        held = score >= cutoff[lo:hi][i]
+        i, j, score = i[held], j[held], score[held]
+        order = np.lexsort((x.ids[j], -np.maximum(score, LEAST + 1), i))  # of a block, no more than k entries of a query can be answers
+        i, j, score = i[order], j[order], score[order]
+        yield pd.DataFrame({"query_id": asked.ids[lo:hi][i], "vec_id": x.ids[j], "score": score})[np.arange(len(i)) - np.searchsorted(i, i) < k]
+
+
 def top_k(frame: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, block_rows: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score. Both inputs have vec_id and vector (array of long, or of doubles without fractions)."""
+    """query_id, rank, vec_id, score. Both inputs have vec_id and vector (array of long, or of doubles without fractions).
+
+    A block has about block_rows rows; more, as far as BLOCK_BYTES go, where there would be more blocks than shuffle partitions.
+    """
+    said = frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)).alias("components")).first()
+    most = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = max(1, -(-8 * said["components"] // BLOCK_BYTES), min(most, -(-said["n"] // block_rows)))
+    candidates = materialize(_packed(frame), "topk-rows").withColumn("block", F.pmod(F.xxhash64("nth"), F.lit(n_blocks)).cast("int")).drop("nth")
     wanted = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    counts = frame.count(), wanted.count()
-    n_blocks, q_blocks = (max(1, -(-c // block_rows)) for c in counts)
-    blocks = materialize(_packed(frame.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_blocks)).cast("int")), "block"), "topk-blocks")
-    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"))
-
-    def meet(packed: DataFrame, phase, schema: str) -> DataFrame:
-        """Each block of queries goes to each block of candidates: a copy for each, joined on the block's number."""
-        sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        return blocks.join(sent.withColumnRenamed("rows", "asked"), "block").repartition("block", "part").select("rows", "asked").mapInPandas(phase, schema)
-
-    def vectors(c, q):
-        width = max([1] + [len(r["vector"]) for r in c] + [len(r["vector"]) for r in q])
-        cuts = np.unique(np.linspace(0, width, slices + 1).astype(int))
-        return *_matrix(c, width), *_matrix(q, width), [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for c, q in zip(pdf["rows"], pdf["asked"], strict=True):
-                ids, x, asked, y, parts = vectors(c, q)
-                own, best = asked[:, None] == ids[None, :], set()
-                for part in parts:
-                    local = _product(y[:, part], x[:, part])
-                    local[own] = LEAST if local.dtype == np.int64 else -(10**700)
-                    at = np.argpartition(local, len(ids) - k, axis=1)[:, -k:] if len(ids) > k else np.tile(np.arange(len(ids)), (len(asked), 1))
-                    best |= {(i, j) for i, row in enumerate(at.tolist()) for j in row if not own[i, j]}
-                if best:
-                    i, j = np.array(sorted(best)).T
-                    yield pd.DataFrame({"query_id": asked[i], "score": _summed(y, x, i, j)})
-
-    listed = meet(_packed(wanted, "part"), first, "query_id long, score long")
+
+    def meet(asked: DataFrame, phase: Callable[..., Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+        """Each packed row of queries goes to each block, behind the block's candidates."""
+        sent = _packed(asked, "cutoff").drop("nth").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        rows = candidates.withColumn("cutoff", F.lit(None).cast("binary")).withColumn("asks", F.lit(False)).unionByName(sent.withColumn("asks", F.lit(True)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block, held, x = None, [], None
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    if r.block != block:
+                        block, held, x = r.block, [], None
+                    if not r.asks:
+                        held.append(r)
+                    elif held:
+                        x = x or _Rows(held)
+                        yield from phase(_Rows([r]), np.frombuffer(r.cutoff, np.int64), x, k, slices)
+
+        return rows.repartition(n_blocks, "block").sortWithinPartitions("block", "asks").mapInPandas(run, schema)
+
+    none = F.lit(LEAST)
+    listed = meet(wanted.withColumn("cutoff", none), _first, "query_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     cutoffs = listed.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
     cutoffs = cutoffs.select("query_id", F.when(F.col("n") == k, F.col("cutoff")).alias("cutoff"))
-    told = wanted.join(cutoffs, F.col("vec_id") == F.col("query_id"), "left")
-    packed = told.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector", "cutoff"))).alias("rows"))
-
-    def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for c, q in zip(pdf["rows"], pdf["asked"], strict=True):
-                ids, x, asked, y, parts = vectors(c, q)
-                cutoff = np.array([LEAST if r["cutoff"] is None else int(r["cutoff"]) for r in q], np.int64)
-                uniform = cutoff // len(parts)  # rounded down: a sum that reaches the cutoff has a part that reaches this
-                every = cutoff == LEAST
-                collected = np.tile(every[:, None], (1, len(ids)))
-                for part in parts:
-                    with np.errstate(invalid="ignore"):
-                        reach = _norms(y[:, part]) * _norms(x[:, part]).max() * (1 + 1e-9) + 1
-                    some = np.flatnonzero(~every & ~(reach < uniform))  # also where a norm overflows
-                    if len(some):
-                        collected[some] |= (_product(y[some, part], x[:, part]) >= uniform[some, None]).astype(bool)
-                i, j = np.nonzero(collected & (asked[:, None] != ids[None, :]))
-                score = _summed(y, x, i, j)
-                held = score >= cutoff[i]
-                i, j, score = i[held], j[held], score[held]
-                order = np.lexsort((ids[j], -np.maximum(score, LEAST + 1), i))  # of a block, no more than k entries of a query can be answers
-                i, j, score = i[order], j[order], score[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                yield pd.DataFrame({"query_id": asked[i], "vec_id": ids[j], "score": score})[nth < k]
-
+    told = wanted.join(cutoffs, F.col("vec_id") == F.col("query_id"), "left").withColumn("cutoff", F.coalesce("cutoff", none))
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    out = meet(packed, rest, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(ranked))
+    out = meet(told, _rest, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(ranked))
     return out.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -391,6 +391,25 @@ def test_topk_of_large_components(spark):
     assert got == want
 
 
+def test_topk_rows_between_tasks_are_bounded(spark, monkeypatch):
+    """Whatever a block holds, what is shuffled and sent to Python is rows of PACKED bytes: a row with a whole block of candidates and one of queries failed at 6 GB."""
+    from terrane.llm import topk
+
+    rng = np.random.default_rng(6)
+    vectors = [(i, rng.integers(-(9 ** (1 + i % 7)), 9 ** (1 + i % 7), 64).tolist()) for i in range(3000)]
+    frame = spark.createDataFrame(vectors, "vec_id long, vector array<bigint>").repartition(2)
+    packed = topk._packed(frame).collect()
+    assert max(len(r["vectors"]) for r in packed) <= topk.PACKED and sorted(i for r in packed for i in np.frombuffer(r["ids"], np.int64)) == list(range(3000))
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1 << 17)
+    got = {tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 500 = 0"), k=5, block_rows=10_000).collect()}
+    x, want = np.array([v for _, v in vectors]), set()
+    for q in range(0, 3000, 500):
+        score = x @ x[q]
+        order = [int(i) for i in np.lexsort((np.arange(3000), -score)) if i != q][:5]
+        want |= {(q, rank + 1, i, int(score[i])) for rank, i in enumerate(order)}
+    assert got == want
+
+
 def test_topk_list_holds_k_other_rows(spark):
     """One block, one slice: the query's own row takes no place in its list, so the cutoff is known."""
     from terrane.llm.topk import top_k
