@@ -5,7 +5,8 @@ a hash of file or key, so that a write of some files need not write a project's
 only and then a manifest that names them in place of the old ones. A manifest is written whole under a private name, and
 then given the next version's name in one step that fails if there is such a file; so every version is whole, and of
 two writers that saw the same version one starts over from the other's. It fails if both wrote the same project. A write
-that ends early leaves the table as it was, and no job overwrites what it reads.
+that ends early leaves the table as it was, and no job overwrites what it reads. Tables of a row or so for each project are written
+whole as one folder that all projects share (SHARED): a project that is written alone since then has its own entry, which stands before it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SCHEMAS = {
 }
 #: The column whose hash deals a table's rows into buckets, and their number.
 BUCKET_BY, BUCKETS = {"symbols": "file_path", "edges": "file_path", "chunks": "file_path", "extracted": "file_path", "asked": "key"}, 16
+#: Tables with a row or so for each project, and the manifest's entry for the folders that projects without an entry share.
+SHARED, EVERY = ("projects",), "*"
 # States a run can start from, and the states that may follow each.
 STARTABLE = ["NEW", "IDLE", "COMPLETED", "PARTIAL", "FAILED"]
 NEXT_STATES = {**{s: ["RUNNING"] for s in STARTABLE}, "RUNNING": ["COMPLETED", "FAILED", "PARTIAL"], "COMPLETED": ["RUNNING", "IDLE"], "FAILED": ["RUNNING", "IDLE"]}
@@ -54,6 +57,15 @@ def project_key(project_id: str | None) -> str:
     return hashlib.sha256((project_id or "").encode()).hexdigest()
 
 
+def _key_of(project_id: Column) -> Column:
+    return F.sha2(F.coalesce(project_id, F.lit("")), 256)
+
+
+def _held(entries: dict[str, list[str]], key: str) -> list[str]:
+    """The folders that hold a project's rows: its own, or those that all share."""
+    return entries.get(key, entries.get(EVERY, []))
+
+
 def bucket(value: Column) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
 
@@ -137,16 +149,26 @@ class Store:
         while True:
             number, now = self._newest(name)
             over = set(now) | set(base) if keys is None else keys
-            if any(now.get(k) != base.get(k) for k in over):
+            if any(_held(now, k) != _held(base, k) for k in over):
                 raise Conflict(f"{name}: another writer changed the same project")
-            entries = {k: v for k, v in now.items() if k not in over} | made
+            alone = {} if keys is None or EVERY not in now else {k: [] for k in keys}  # without rows of its own it is not to get back the shared ones
+            entries = {k: v for k, v in now.items() if k not in over} | alone | made
             if self._publish(f"{self.root}/{name}/versions/v{number + 1:012d}.json", entries):
                 return
 
     def _frame(self, name: str, entries: dict[str, list[str]], projects: tuple[str, ...], buckets: set[int] | None = None) -> DataFrame:
-        keys = [project_key(p) for p in projects] or sorted(entries)
+        own = sorted(set(entries) - {EVERY})
+        keys = [project_key(p) for p in projects] or own
         folders = [f"{self.root}/{name}/rows/{f}" for k in keys for f in entries.get(k, []) if buckets is None or _bucket_of(f) in buckets]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMAS[name])
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMAS[name])
+        if EVERY not in entries or projects and all(k in entries for k in keys):
+            return rows
+        shared, key = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{name}/rows/{f}" for f in entries[EVERY]]), _key_of(F.col("project_id"))
+        if projects:
+            shared = shared.filter(key.isin(*[k for k in keys if k not in entries]))
+        elif own:
+            shared = shared.filter(~key.isin(*own))
+        return rows.unionByName(shared) if folders else shared
 
     def read(self, name: str, *projects: str, buckets: set[int] | None = None) -> DataFrame:
         """Rows of some projects, from their own folders, or of all; of some buckets, or of all."""
@@ -164,11 +186,14 @@ class Store:
         """The buckets of rows that have the table's bucket column: at most BUCKETS."""
         return {r["b"] for r in rows.select(bucket(F.col(BUCKET_BY[name])).alias("b")).distinct().collect()}
 
-    def _add(self, name: str, df: DataFrame) -> dict[str, list[str]]:
-        """Writes rows that no version names yet."""
+    def _add(self, name: str, df: DataFrame, whole: bool = False) -> dict[str, list[str]]:
+        """Writes rows that no version names yet. whole: they are all rows of the table."""
         target, folder = self.spark.createDataFrame([], SCHEMAS[name]).schema, uuid.uuid4().hex
         given = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target]
-        rows, by = df.select(*given, F.sha2(F.coalesce("project_id", F.lit("")), 256).alias("project_key")), ["project_key"]
+        if whole and name in SHARED:
+            df.select(*given).write.parquet(f"{self.root}/{name}/rows/{folder}")
+            return {EVERY: [folder]}
+        rows, by = df.select(*given, _key_of(F.col("project_id")).alias("project_key")), ["project_key"]
         if name in BUCKET_BY:
             # Rebalanced, a bucket is not a file of every task; a large one is still written by several.
             rows, by = rows.withColumn("bucket", bucket(F.col(BUCKET_BY[name]))), ["project_key", "bucket"]
@@ -188,7 +213,7 @@ class Store:
         base: the manifest that df was made from, where another writer's change since then must not be lost.
         """
         base = self.manifest(name) if base is None else base
-        keys, made = {project_key(p) for p in projects} or None, self._add(name, df)
+        keys, made = {project_key(p) for p in projects} or None, self._add(name, df, not projects)
         if keys is not None and not keys >= set(made):
             raise ValueError(f"{name}: rows of other projects than those to write")
         if buckets is not None:
@@ -203,7 +228,7 @@ class Store:
         key = project_key(project_id)
         while True:
             base = self.manifest(name)
-            whole = len({f.split("/")[0] for f in base.get(key, [])}) >= self.MOST_FOLDERS
+            whole = len({f.split("/")[0] for f in base.get(key, [])}) >= self.MOST_FOLDERS or key not in base and EVERY in base
             made = self._add(name, self._frame(name, base, (project_id,)).unionByName(df) if whole else df)
             try:
                 return self._commit(name, {key: ([] if whole else base.get(key, [])) + made.get(key, [])}, base, {key})

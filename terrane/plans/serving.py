@@ -10,7 +10,7 @@ from terrane.functions import paths, text
 from terrane.operators import graph, resolve, retrieval, templates
 from terrane.operators.store import NEXT_STATES, SCHEMAS, Store
 from terrane.plans.bindings import PROJECT, edges, oracle_prelude, symbols
-from terrane.plans.registry import query, scratch, table
+from terrane.plans.registry import query, scratch, staged, table
 from terrane.sources import code_graph
 
 KG = oracle_prelude()
@@ -305,6 +305,15 @@ def _seeded(spark: SparkSession, sf_dir: str) -> Engine:
     return engine
 
 
+def _placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with their place in an order, from 1: each task takes a range, and counts from where the ranges before it end."""
+    ranged = staged(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ends = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    begins = ends.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_nth", nth).join(begins, "_range").withColumn("place", (F.col("_before") + F.col("_nth")).cast("int")).drop("_range", "_nth", "_before")
+
+
 def _row(spark: SparkSession, **values) -> DataFrame:
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'string'}" for k, v in values.items()))
 
@@ -326,9 +335,7 @@ def engine_projects(spark, sf_dir):
         F.when(F.col("s_suppkey") % 3 == 0, "RUNNING").otherwise("IDLE").alias("state"), F.lit(3).alias("index_version"), F.timestamp_seconds(F.col("s_nationkey") + 1_700_000_000).alias("last_indexed_at"),
     )
     engine.store.write("projects", rows)
-    listed = engine.list_projects()
-    place = F.row_number().over(Window.orderBy(F.col("last_indexed_at").desc(), "project_id"))
-    return listed.withColumn("place", place).select("project_id", "name", "version", "state", "place")
+    return _placed(engine.list_projects(), F.col("last_indexed_at").desc(), F.col("project_id")).select("project_id", "name", "version", "state", "place")
 
 
 @query(f"{KG} SELECT id, kind, name FROM symbols WHERE id IN (SELECT source_id FROM edges WHERE target_id = 'customer:7' AND type = 'CALLS') ORDER BY id LIMIT 50")

@@ -223,6 +223,27 @@ def test_store_keeps_what_several_writers_wrote(spark, tmp_path):
     assert one.vacuum("runs", keep=1, older_than_s=-60) > 0 and held("q/=é", "r") == before[:1] + before[2:]
 
 
+def test_projects_that_are_written_together_share_a_folder(spark, tmp_path):
+    """Not a folder for each of many projects; one that is written alone stands before its shared row, and is not lost with it."""
+    from terrane.operators.store import SCHEMAS, Conflict, Store
+
+    one, two = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    rows = spark.range(500).selectExpr("concat('p', id) as project_id", "'/r' as root", "'n' as name", "'v' as version", "'IDLE' as state", "3 as index_version", "timestamp_seconds(1000 - id) as last_indexed_at", "'r' as last_run_id")
+    one.write("projects", rows)
+    assert len(list((tmp_path / "store/projects/rows").glob("**/*.parquet"))) <= rows.rdd.getNumPartitions() and [len(f) for f in one.manifest("projects").values()] == [1]
+    base = one.manifest("projects")
+    two.set_state("p7", "RUNNING")
+    one.replace("projects", one.read("projects", "p8").replace("IDLE", "FAILED", "state"), ["project_id"], base)  # another project than the other writer's
+    with pytest.raises(Conflict):
+        one.replace("projects", one.read("projects", "p7"), ["project_id"], base)
+    two.write("projects", spark.createDataFrame([], SCHEMAS["projects"]), "p9")
+    listed = one.list_projects().collect()
+    assert [r["project_id"] for r in listed] == [f"p{i}" for i in range(500) if i != 9] and [r["state"] for r in listed[6:9]] == ["IDLE", "RUNNING", "FAILED"]
+    assert [one.project(p).count() for p in ("p7", "p9", "p10", "other")] == [1, 0, 1, 0] and one.read("projects", "p7", "p10").count() == 2
+    one.write("projects", rows.limit(3))
+    assert two.read("projects").count() == 3 and not two.project("p7").count()
+
+
 def _log_rows(spark, *pairs):
     shape = "run_id string, project_id string, state string, stage string, counts map<string,bigint>, warnings array<string>, error string, updated_at timestamp"
     return spark.createDataFrame([(r, p, "", "", {}, [], None, None) for r, p in pairs], shape).coalesce(1)
