@@ -101,6 +101,31 @@ def test_search_with_ties_copies_and_few_rows(spark, tmp_path, keep):
         assert found(index.search(vectors(spark, queries), keep, k, "id", "v", own)) == nearest(rows, queries, k, own)
 
 
+def test_a_query_and_a_block_are_never_one_row(spark, tmp_path, keep, monkeypatch):
+    """Rows with a block and a list of its queries took an executor's memory; ids beyond 2^53 stay as they are."""
+    monkeypatch.setattr(vector_index, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(vector_index, "HELD_BYTES", 5000)
+    monkeypatch.setattr(vector_index, "MEET", 3)
+    rng, far = np.random.default_rng(8), (1 << 60) + 1
+    rows = [(far + i, rng.normal(size=8).tolist()) for i in range(300)]
+    index, sent = VectorIndex.build(vectors(spark, rows), str(tmp_path / "index"), "id", "v"), []
+    of = type(rows_ := spark.range(1)).mapInPandas
+    monkeypatch.setattr(type(rows_), "mapInPandas", lambda self, *a, **b: sent.append(self) or of(self, *a, **b))
+    queries = rows[::50] + [(5, [0.0] * 8)]
+    assert found(index.search(vectors(spark, queries), keep, 4, "id", "v", but_own=True)) == nearest(rows, queries, 4, but_own=True)
+    met = [s for s in sent if "vectors" in s.columns]
+    assert len(met) == 2 and all(s.filter("vectors is not null and v is not null").isEmpty() for s in met)
+
+
+def test_the_sample_reaches_the_driver_as_bytes(spark):
+    """Python's numbers took four times the driver's memory; floats go as such, other doubles are not rounded."""
+    values = np.random.default_rng(9).normal(size=(150, 3))
+    for given in (values, values.astype(np.float32).astype(float)):
+        frame = spark.createDataFrame([(v,) for v in given.tolist()], "v array<double>").coalesce(1)
+        assert vector_index._sample(frame, 3).tolist() == given.tolist()
+    assert vector_index._sample(frame.limit(0), 3).shape == (0, 3)
+
+
 def test_search_leaves_out_what_is_not_a_vector(spark, tmp_path, keep):
     """Nulls, empty ones, null or non-finite components, other widths and rows without id take no part; ids may be strings."""
     nan, inf = float("nan"), float("inf")
