@@ -8,7 +8,7 @@ changed; edges without such a key are not read. The index is stored in buckets b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.text import fqn_base, simple_name
@@ -96,8 +96,13 @@ def affected(index: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def refreshed(resolved: DataFrame, again: DataFrame) -> DataFrame:
-    """Resolved edges with those of `again` in place of the same origin's; an edge that came out the same keeps its run."""
-    held = resolved.select("origin", *[F.col(c).alias(f"_{c}") for c in ("target_id", "confidence", "last_run_id")]).dropDuplicates(["origin"])
-    same = F.col("target_id").eqNullSafe(F.col("_target_id")) & (F.col("confidence") == F.col("_confidence"))
-    kept_run = again.join(held, "origin", "left").withColumn("last_run_id", F.when(same, F.col("_last_run_id")).otherwise(F.col("last_run_id")))
-    return resolved.join(again.select("origin").distinct(), "origin", "left_anti").select(resolved.columns).unionByName(kept_run.select(resolved.columns))
+    """Resolved edges with those of `again` in place of the same origin's; an edge that came out the same keeps its run.
+
+    Both are dealt out by origin once, and neither is read twice.
+    """
+    both = resolved.withColumn("_again", F.lit(False)).unionByName(again.select(resolved.columns).withColumn("_again", F.lit(True)))
+    of_origin = Window.partitionBy("origin")
+    was = F.min(F.when(~F.col("_again"), F.struct("target_id", "confidence", "last_run_id"))).over(of_origin)
+    rows = both.withColumns({"_replaced": F.max("_again").over(of_origin), "_was": was}).filter(F.col("_again") | F.col("origin").isNull() | ~F.col("_replaced"))
+    same = F.col("_again") & F.col("origin").isNotNull() & F.col("_was").isNotNull() & F.col("target_id").eqNullSafe(F.col("_was.target_id")) & (F.col("confidence") == F.col("_was.confidence"))
+    return rows.withColumn("last_run_id", F.when(same, F.col("_was.last_run_id")).otherwise(F.col("last_run_id"))).select(resolved.columns)

@@ -55,7 +55,7 @@ def reresolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("origin", incremental.origin())
     run = lambda edges, symbols, name: resolve.resolve_types(edges, symbols).withColumn("last_run_id", F.lit(name)).drop("warning_code")
     stored = run(raw, before, "r1")
-    keys = incremental.symbol_keys(incremental.changed_symbols(before, after))
+    keys = staged(incremental.symbol_keys(incremental.changed_symbols(before, after)))  # a table's size is known: few keys go to the edges, not edges to the keys
     again = run(incremental.affected(incremental.index_rows(raw), keys), after, "r2")
     merged = incremental.refreshed(stored, again)
     part = lambda i: F.split("source_id", "#")[i]
